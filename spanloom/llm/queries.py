@@ -6,10 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from spanloom.llm import langid
+from spanloom.llm import langid, mixing, sstable, token_counts
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_token_counts": token_counts.op1_token_counts,
+    "op2_mixing": mixing.op2_mixing,
+    "op3_token_ids": sstable.op3_token_ids,
     "op6_language_id": langid.op6_language_id,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {"op2_mixing": mixing.ORACLE}
