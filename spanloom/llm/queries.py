@@ -6,12 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from spanloom.llm import langid, mixing, sstable, token_counts
+from spanloom.llm import decontam, langid, mixing, quality, sstable, token_counts
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_counts": token_counts.op1_token_counts,
     "op2_mixing": mixing.op2_mixing,
     "op3_token_ids": sstable.op3_token_ids,
+    "op10_decontamination": decontam.op10_decontamination,
+    "op5_quality": quality.op5_quality,
     "op6_language_id": langid.op6_language_id,
 }
 
