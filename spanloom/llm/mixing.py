@@ -45,9 +45,11 @@ def source_rates(docs: DataFrame, source: str, weights: DataFrame | None, expone
         given = weights.groupBy(F.col("source").alias("given_source")).agg(F.sum("weight").alias("weight"))
         weighed = sizes.join(given, F.col("mix_source").eqNullSafe(F.col("given_source")), "left").drop("given_source")
     weighed = weighed.withColumn("weight", F.greatest(F.coalesce(F.col("weight").cast("double"), F.lit(0.0)), F.lit(0.0)))
-    total = weighed.agg(F.sum("n").alias("all_n"), F.sum("weight").alias("all_weight"))  # one row
-    rate = F.when(F.col("all_weight") > 0, F.col("weight") / F.col("all_weight") * F.lit(budget) * F.col("all_n") / F.col("n")).otherwise(F.lit(0.0))
-    return weighed.join(F.broadcast(total)).select("mix_source", rate.alias("mix_rate"))
+    total = weighed.agg(F.sum("n").alias("n"), F.sum("weight").alias("weight")).first()
+    if not total["weight"]:
+        return weighed.select("mix_source", F.lit(0.0).alias("mix_rate"))
+    rate = F.col("weight") / F.lit(total["weight"]) * F.lit(budget) * F.lit(total["n"]) / F.col("n")
+    return weighed.select("mix_source", rate.alias("mix_rate"))
 
 
 def mix(docs: DataFrame, key: str = "doc_id", source: str = "source", weights: DataFrame | None = None, exponent: float = 0.5, budget: float = 1.0, seed: str = "mix") -> DataFrame:

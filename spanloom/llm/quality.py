@@ -15,8 +15,10 @@ from spanloom.llm.store import wider
 
 #: Character n-grams are hashed into this many columns.
 COLUMNS = 1 << 18
-#: Lengths of the character n-grams.
+#: Lengths of the n-grams of characters, of character kinds, and of marks for words that repeat the one before.
 LENGTHS = (1, 2, 3)
+KIND_LENGTHS = (3, 4)
+REPEAT_LENGTHS = (1, 2, 3, 4)
 #: Labelled rows that are fitted on at most, those of smallest hash. The bound keeps the fit inside the driver.
 TRAINING_ROWS = 12_000
 #: Added to each count before ratios are taken.
@@ -28,16 +30,35 @@ PASSES = 12
 COST = 1.0
 
 
-def columns_of(text: str) -> np.ndarray:
-    """The distinct columns of all character n-grams of the whole text, ascending."""
-    codes = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
+def kind_table() -> np.ndarray:
+    """For each code point below 0x3000 its kind: upper and lower case, digit, space, or else itself."""
+    kinds = np.arange(0x3000, dtype=np.uint32) + 8
+    for i in range(0x3000):
+        c = chr(i)
+        kinds[i] = 1 if c.isupper() else 2 if c.isalpha() else 3 if c.isdigit() else 4 if c.isspace() else i + 8
+    return kinds
+
+
+def hashed_grams(codes: np.ndarray, lengths: tuple[int, ...], salt: int) -> list[np.ndarray]:
+    """The columns of all runs of these lengths."""
     grams = []
-    for n in LENGTHS:
-        h = np.full(max(0, len(codes) - n + 1), n, np.uint32)
+    for n in lengths:
+        h = np.full(max(0, len(codes) - n + 1), salt + n, np.uint32)
         for i in range(n if len(h) else 0):
             h = (h ^ codes[i : i + len(h)]) * np.uint32(0x9E3779B1)
             h ^= h >> np.uint32(15)
         grams.append(h >> np.uint32(32 - 18))
+    return grams
+
+
+def columns_of(text: str, kinds: np.ndarray) -> np.ndarray:
+    """The distinct columns of all n-grams of the whole text, ascending."""
+    codes = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
+    words = text.split()
+    repeats = np.fromiter((a == b for a, b in zip(words, words[1:], strict=False)), np.uint32, max(0, len(words) - 1))
+    grams = hashed_grams(codes, LENGTHS, 0)
+    grams += hashed_grams(kinds[np.minimum(codes, len(kinds) - 1)], KIND_LENGTHS, 100)
+    grams += hashed_grams(repeats, REPEAT_LENGTHS, 200)
     mark = np.zeros(COLUMNS, bool)
     mark[np.concatenate(grams)] = True
     return np.flatnonzero(mark)
@@ -56,8 +77,8 @@ class Model:
         """Indicators are scaled to length one, so that long texts don't get larger margins."""
         return float(self.weights[columns].sum() / np.sqrt(len(columns)) + self.offset) if len(columns) else self.offset
 
-    def score(self, text: str) -> float:
-        return float(1.0 / (1.0 + np.exp(-(self.slope * self.margin(columns_of(text)) + self.shift))))
+    def score(self, columns: np.ndarray) -> float:
+        return float(1.0 / (1.0 + np.exp(-np.clip(self.slope * self.margin(columns) + self.shift, -500, 500))))
 
 
 def log_count_ratios(rows: list[np.ndarray], good: np.ndarray) -> np.ndarray:
@@ -106,19 +127,32 @@ def calibrate(margins: np.ndarray, good: np.ndarray) -> tuple[float, float]:
     return float(a), float(b)
 
 
-def fit(rows: list[np.ndarray], good: np.ndarray) -> Model:
-    """Train on the columns of each row and whether it is good. Of one class alone, every score is that class's share."""
-    share = (good.sum() + 1) / (len(rows) + 2)
-    if good.all() or not good.any():
-        return Model(np.zeros(COLUMNS), 0.0, 0.0, float(np.log(share / (1 - share))))
+def weigh(rows: list[np.ndarray], good: np.ndarray) -> tuple[np.ndarray, float]:
+    """Weights of the plain indicators, and the offset, of the interpolated model."""
     ratios = log_count_ratios(rows, good)
     values = [ratios[c] / np.sqrt(max(1, len(c))) for c in rows]
     signs = np.where(good, 1.0, -1.0)
-    costs = COST * np.where(good, len(rows) / (2 * good.sum()), len(rows) / (2 * (~good).sum()))
+    costs = COST * np.where(good, len(rows) / (2 * max(1, good.sum())), len(rows) / (2 * max(1, (~good).sum())))
     weights, offset = dual_coordinate_descent(rows, values, signs, costs)
     weights = (1 - INTERPOLATION) * np.abs(weights).mean() * np.sign(weights) + INTERPOLATION * weights
-    margins = np.array([(weights[c] * v).sum() + INTERPOLATION * offset for c, v in zip(rows, values, strict=True)])
-    return Model(weights * ratios, INTERPOLATION * offset, *calibrate(margins, good))
+    return weights * ratios, INTERPOLATION * offset
+
+
+def fit(rows: list[np.ndarray], good: np.ndarray) -> Model:
+    """Train on the columns of each row and whether it is good.
+
+    Margins become probabilities by a curve through the margins that models of either half give the other.
+    Where rows are of one class alone, or fewer than four, every score is the (smoothed) share of good rows.
+    """
+    share = (good.sum() + 1) / (len(rows) + 2)
+    half = np.arange(len(rows)) % 2 == 0
+    if any(part.all() or not part.any() for part in (good, good[half], good[~half])):
+        return Model(np.zeros(COLUMNS), 0.0, 0.0, float(np.log(share / (1 - share))))
+    margins = np.zeros(len(rows))
+    for side in (half, ~half):
+        part = Model(*weigh([rows[i] for i in np.flatnonzero(side)], good[side]), 1.0, 0.0)
+        margins[~side] = [part.margin(rows[i]) for i in np.flatnonzero(~side)]
+    return Model(*weigh(rows, good), *calibrate(margins, good))
 
 
 def training_rows(docs: DataFrame, labels: DataFrame, label: str, key: str, text: str, most: int) -> tuple[list[np.ndarray], np.ndarray]:
@@ -132,8 +166,9 @@ def training_rows(docs: DataFrame, labels: DataFrame, label: str, key: str, text
     found = docs.where(F.col(text).isNotNull()).select(F.col(key).alias("label_key"), F.col(text).alias("text")).join(F.broadcast(chosen), "label_key").select("label", "label_key", "text")
 
     def indicators(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kinds = kind_table()
         for batch in batches:
-            rows = [columns_of(t).astype("<u4").tobytes() for t in batch.column(2).to_pylist()]
+            rows = [columns_of(t, kinds).astype("<u4").tobytes() for t in batch.column(2).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1).cast(pa.int64()), pa.array(rows, pa.binary())], ["label", "label_key", "columns"])
 
     got = found.withColumn("label_key", F.xxhash64("label_key")).mapInArrow(indicators, "label int, label_key long, columns binary").toArrow()
@@ -153,9 +188,9 @@ def score(docs: DataFrame, model: Model, text: str = "text", out: str = "score")
     shipped = docs.sparkSession.sparkContext.broadcast((model.weights, model.offset, model.slope, model.shift))  # 2 MB
 
     def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = Model(*shipped.value)
+        own, kinds = Model(*shipped.value), kind_table()
         for batch in batches:
-            got = [own.score(t) for t in pc.fill_null(batch.column(at), "").to_pylist()]
+            got = [own.score(columns_of(t, kinds)) for t in pc.fill_null(batch.column(at), "").to_pylist()]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(got, pa.float64())], [*batch.schema.names, out])
 
     return docs.mapInArrow(scored, wider(docs, f"`{out}` double"))
