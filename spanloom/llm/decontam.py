@@ -214,23 +214,26 @@ class Matcher:
 
     def verify(self, k: int, words: np.ndarray, starts: np.ndarray, text: int, first: int) -> bool:
         item = self.items[k]
-        if k not in self.masks:
-            self.masks[k] = pattern_masks(item.words.tolist())
         lo, hi = max(starts[text], first - item.edits), min(starts[text + 1], first + item.n + item.edits)
-        distance = infix_distance(self.masks[k], item.n, words[lo:hi].tolist())
-        if distance <= item.edits:
-            self.best[text] = min(distance, self.best.get(text, distance))
-            return True
-        return False
+        return self.distance(k, words[lo:hi]) <= item.edits
+
+    def distance(self, k: int, words: np.ndarray) -> int:
+        """The item's least distance to any run of these words."""
+        if k not in self.masks:
+            self.masks[k] = pattern_masks(self.items[k].words.tolist())
+        return infix_distance(self.masks[k], self.items[k].n, words.tolist())
 
     def find(self, words: np.ndarray, starts: np.ndarray) -> list[tuple[int, int, int, int]]:
         """(text, item_id, distance, item's words) for each text that holds an item."""
         out = []
         for k, seeds in self.seeds(words, starts).items():
-            self.best: dict[int, int] = {}
             self.sure: set[int] = set()
             self.candidates(k, words, starts, seeds)
-            out += [(text, self.items[k].item_id, d, self.items[k].n) for text, d in sorted(self.best.items())]
+            item = self.items[k]
+            for text in sorted(self.sure):  # the closest run has an unchanged segment too, so it lies about a seed
+                spots = seeds[seeds[:, 0] == text, 1].tolist()
+                runs = ((max(starts[text], f - 2 * item.edits), min(starts[text + 1], f + item.n + 2 * item.edits)) for f in spots)
+                out.append((text, item.item_id, min(self.distance(k, words[lo:hi]) for lo, hi in runs), item.n))
         return out
 
 

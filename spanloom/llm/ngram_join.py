@@ -21,6 +21,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from spanloom.llm.blocks import BLOCKS, deal, forest, pairs_in_groups, tally, whole_groups
 from spanloom.llm.components import components
 from spanloom.llm.store import materialise
 from spanloom.llm.words import mix, pieces, shingles, word_hashes
@@ -33,11 +34,8 @@ BANDS, ROWS = 24, 4
 VALUES = BANDS * ROWS
 #: Values compared between two prunings, and the posterior probability below which a pair is dropped.
 STEP, TOLERANCE = 16, 1e-6
-#: Members of a block. A task sees two.
-BLOCK = 256
-#: Bytes of text that verification holds at once, but for a single group that is larger.
-TEXT_BYTES = 8_000_000
-TASK = ["band", "bucket", "lo", "hi"]
+KEYS = ["band", "bucket"]
+TASK = [*KEYS, *BLOCKS]
 
 
 def minhash(hashes: np.ndarray, starts: np.ndarray) -> np.ndarray:
@@ -67,18 +65,6 @@ def fewest_matches() -> list[int]:
     return out
 
 
-def pairs_in_groups(group: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """All pairs of rows of equal group, where equal ones stand together, by growing distance."""
-    at, d = np.arange(len(group)), 1
-    while True:
-        at = at[at + d < len(group)]
-        at = at[group[at] == group[at + d]]
-        if not at.size:
-            return
-        yield at, at + d
-        d += 1
-
-
 def candidates(group: np.ndarray, block: np.ndarray, band: np.ndarray, across: np.ndarray, node: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """The pairs that belong to their group's band and survive pruning.
 
@@ -104,48 +90,6 @@ def candidates(group: np.ndarray, block: np.ndarray, band: np.ndarray, across: n
     return np.concatenate(left), np.concatenate(right)
 
 
-def whole_groups(batches: Iterator[pa.RecordBatch], keys: list[str], sized: str | None = None) -> Iterator[tuple[pa.Table, np.ndarray]]:
-    """Tables of whole groups, sorted rows of equal keys, with a number for each row's group."""
-    waiting: list[pa.RecordBatch] = []
-    for batch in batches:
-        if batch.num_rows:
-            waiting.append(batch)
-            table = pa.Table.from_batches(waiting).combine_chunks()
-            number = _numbers(table, keys)
-            cut = int(np.searchsorted(number, number[-1]))
-            if cut:
-                yield from _bounded(table.slice(0, cut), number[:cut], sized)
-            waiting = table.slice(cut).combine_chunks().to_batches()
-    if waiting:
-        table = pa.Table.from_batches(waiting).combine_chunks()
-        yield from _bounded(table, _numbers(table, keys), sized)
-
-
-def _numbers(table: pa.Table, keys: list[str]) -> np.ndarray:
-    new = np.zeros(table.num_rows, bool)
-    for k in keys:
-        column = table[k].to_numpy()
-        new[1:] |= column[1:] != column[:-1]
-    return np.cumsum(new)
-
-
-def _bounded(table: pa.Table, number: np.ndarray, sized: str | None) -> Iterator[tuple[pa.Table, np.ndarray]]:
-    if sized is None:
-        yield table, number
-        return
-    import pyarrow.compute as pc
-
-    ends = np.cumsum(pc.binary_length(table[sized]).to_numpy().astype(np.int64))
-    at = 0
-    while at < len(number):
-        stop = int(np.searchsorted(ends, (ends[at - 1] if at else 0) + TEXT_BYTES, side="right"))
-        stop = len(number) if stop >= len(number) else int(np.searchsorted(number, number[stop]))  # a group's begin
-        if stop <= at:
-            stop = int(np.searchsorted(number, number[at], side="right"))
-        yield table.slice(at, stop - at), number[at:stop]
-        at = stop
-
-
 def signatures(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
     """(doc_id, fa, fb, sig): a 128-bit hash of each text's words, null without words, and its MinHash values."""
 
@@ -163,18 +107,9 @@ def signatures(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
 
 
 def buckets(reps: DataFrame) -> DataFrame:
-    """Members of each task: its key (band, bucket and two blocks), the member's own block, and the member.
-
-    A band's bucket with one member makes no task. A bucket is dealt into blocks by a hash, and every two
-    blocks, and each with itself, make a task.
-    """
+    """Members of each task: its key (band, bucket and two blocks), the member's own block, and the member."""
     key = F.expr(f"transform(sequence(0, {BANDS - 1}), b -> named_struct('band', b, 'bucket', xxhash64(b, substring(sig, b * {2 * ROWS} + 1, {2 * ROWS}))))")
-    bands = reps.select("node", F.explode(key).alias("k")).select("node", "k.band", "k.bucket")
-    sizes = bands.groupBy("band", "bucket").agg(F.count("*").alias("size")).where("size > 1")
-    blocks = F.ceil(F.col("size") / BLOCK).cast("int")
-    found = bands.join(sizes, ["band", "bucket"]).withColumn("blocks", blocks).withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
-    found = found.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    return found.select("band", "bucket", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"), "block", "node")
+    return deal(reps.select("node", F.explode(key).alias("k")).select("node", "k.band", "k.bucket"), KEYS)
 
 
 def _arrays(table: pa.Table) -> dict[str, np.ndarray]:
@@ -212,25 +147,6 @@ def intersections(sets: list[np.ndarray], i: np.ndarray, j: np.ndarray) -> np.nd
     return total[np.searchsorted(used, i), np.searchsorted(used, j)].astype(np.int64)
 
 
-def forest(i: np.ndarray, j: np.ndarray) -> list[int]:
-    """Positions of pairs that make a spanning forest of them."""
-    parent: dict[int, int] = {}
-
-    def root(x: int) -> int:
-        while (up := parent.setdefault(x, x)) != x:
-            parent[x] = parent[up]
-            x = parent[x]
-        return x
-
-    kept = []
-    for k, (a, b) in enumerate(zip(i.tolist(), j.tolist(), strict=True)):
-        a, b = root(a), root(b)
-        if a != b:
-            parent[max(a, b)] = min(a, b)
-            kept.append(k)
-    return kept
-
-
 def verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Of sorted task members with their texts: counts of verified links (a, null, n) and edges of a forest (a, b, 0)."""
     for table, number in whole_groups(batches, TASK, "text"):
@@ -249,14 +165,7 @@ def verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         i, j = i[linked], j[linked]
         if not i.size:
             continue
-        node, copies = arrays["node"], table["copies"].to_numpy()
-        ends, partners = np.concatenate([node[i], node[j]]), np.concatenate([copies[j], copies[i]])
-        nodes, at = np.unique(ends, return_inverse=True)
-        links = np.bincount(at, partners).astype(np.int64)
-        tree = forest(node[i], node[j])
-        a = np.concatenate([nodes, node[i[tree]]])
-        b = pa.array(np.concatenate([nodes, node[j[tree]]]), mask=np.arange(len(a)) < len(nodes))
-        yield pa.RecordBatch.from_arrays([pa.array(a), b, pa.array(np.concatenate([links, np.zeros(len(tree), np.int64)]))], ["a", "b", "n"])
+        yield tally(arrays["node"], table["copies"].to_numpy(), i, j)
 
 
 def join(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:

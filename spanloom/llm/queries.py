@@ -6,12 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from spanloom.llm import decontam, langid, mixing, ngram_join, quality, sstable, token_counts
+from spanloom.llm import decontam, langid, mixing, ngram_join, pivots, quality, sstable, token_counts
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_counts": token_counts.op1_token_counts,
     "op2_mixing": mixing.op2_mixing,
     "op3_token_ids": sstable.op3_token_ids,
+    "op7_pivot_index": pivots.op7_pivot_index,
     "op10_decontamination": decontam.op10_decontamination,
     "op4_ngram_join": ngram_join.op4_ngram_join,
     "op5_quality": quality.op5_quality,
