@@ -6,13 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from spanloom.llm import decontam, langid, line_dedup, mixing, ngram_join, pivots, quality, sstable, token_counts
+from spanloom.llm import decontam, langid, line_dedup, mixing, ngram_join, pivots, quality, sstable, token_counts, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_counts": token_counts.op1_token_counts,
     "op2_mixing": mixing.op2_mixing,
     "op3_token_ids": sstable.op3_token_ids,
     "op7_pivot_index": pivots.op7_pivot_index,
+    "op8_warc": warc.op8_warc,
     "op9_line_dedup": line_dedup.op9_line_dedup,
     "op10_decontamination": decontam.op10_decontamination,
     "op4_ngram_join": ngram_join.op4_ngram_join,
