@@ -179,53 +179,68 @@ class Encoder:
     """Encodes whole texts with the tokenizers library, each distinct run between single spaces once.
 
     Where one space stands between two other characters that aren't white space, the byte-level
-    pre-tokenizer always cuts before it, so that the ids of the runs, joined, are the ids of the text.
+    pre-tokenizer always cuts before it, and it makes a lone line feed a piece of its own, so that the ids of
+    the runs, joined, are the ids of the text. Texts with other white space are cut by a pattern instead. The
+    ids of runs are remembered from task to task of a worker, up to a bound on their number.
     """
 
     BATCH = 20_000
+    REMEMBERED = 500_000
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
+        import tokenizers
 
-        self.tokenizer = Tokenizer.from_file(path)
+        # The module outlives the task, and so do what hangs on it: the tokenizer and the ids known so far.
+        kept = vars(tokenizers).setdefault("_spanloom", {})
+        if path not in kept:
+            kept[path] = tokenizers.Tokenizer.from_file(path), {}
+        self.tokenizer, self.known = kept[path]
         self.cut = regex.compile(r"(?<=\S)(?= \S)")
 
+    def ids_of(self, strings: list[str]) -> list[bytes]:
+        """The ids of each string, as unsigned 32-bit numbers."""
+        found = [self.known.get(s) for s in strings]
+        new = [i for i, f in enumerate(found) if f is None]
+        for k in range(0, len(new), self.BATCH):
+            some = new[k : k + self.BATCH]
+            for i, e in zip(some, self.tokenizer.encode_batch_fast([strings[i] for i in some], add_special_tokens=False), strict=True):
+                found[i] = np.array(e.ids, np.uint32).tobytes()
+        for i in new[: max(0, self.REMEMBERED - len(self.known))]:
+            self.known[strings[i]] = found[i]
+        return found
+
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """All ids in a row, and where each text's begin (one more than texts)."""
         space = r"[\s\x1c-\x1f\x{85}\x{a0}\p{Z}]"
         loose = pc.match_substring_regex(texts, f"{space}{{2}}|^{space}|{space}$")
         loose = loose.to_numpy(zero_copy_only=False)
-        lists = pc.split_pattern(pc.if_else(loose, "", texts), " ")
+        spaced = pc.replace_substring(pc.if_else(loose, "", texts), "\n", " \n ")
+        lists = pc.split_pattern(spaced, " ")
         starts = lists.offsets.to_numpy(zero_copy_only=False).astype(np.int64)
         flat = lists.values.slice(starts[0], starts[-1] - starts[0])
         starts = starts - starts[0]
-        first = np.zeros(len(flat), bool)
-        first[starts[:-1]] = True
         coded = pc.dictionary_encode(flat)
         at = coded.indices.to_numpy(zero_copy_only=False).astype(np.int64)
         runs = coded.dictionary.to_pylist()
-        begins = np.unique(at[first])  # a text's first run has no space before it
-        strings = [" " + r for r in runs] + [runs[i] for i in begins]
-        at[first] = len(runs) + np.searchsorted(begins, at[first])
+        bare = np.zeros(len(flat) + 1, bool)  # runs without a space before them: a text's or a line's first, and line feeds
+        bare[starts[:-1]] = True
+        if "\n" in runs:
+            feeds = at == runs.index("\n")
+            bare[:-1] |= feeds
+            bare[1:] |= feeds
+        bare = bare[:-1]
+        spaced_runs, bare_runs = np.unique(at[~bare]), np.unique(at[bare])
+        strings = [" " + runs[i] for i in spaced_runs] + [runs[i] for i in bare_runs]
+        at = np.where(bare, len(spaced_runs) + np.searchsorted(bare_runs, at), np.searchsorted(spaced_runs, at))
         extra: dict[str, int] = {}
         slow: dict[int, list[int]] = {}
         for i in np.flatnonzero(loose):
             slow[int(i)] = [extra.setdefault(r, len(extra)) for r in self.cut.split(texts[int(i)].as_py())]
         base = len(strings)
-        strings += extra
-        used = np.zeros(len(strings), bool)
-        used[at] = True
-        used[base:] = True
-        lens = np.zeros(len(strings), np.int64)
-        parts: list[np.ndarray] = []
-        chosen = np.flatnonzero(used)
-        for k in range(0, len(chosen), self.BATCH):
-            some = chosen[k : k + self.BATCH]
-            got = [e.ids for e in self.tokenizer.encode_batch_fast([strings[i] for i in some], add_special_tokens=False)]
-            lens[some] = [len(g) for g in got]
-            parts.append(np.fromiter((x for g in got for x in g), np.uint32, int(lens[some].sum())))
-        ids = np.concatenate(parts) if parts else np.zeros(0, np.uint32)
+        found = self.ids_of([*strings, *extra])
+        lens = np.fromiter((len(f) // 4 for f in found), np.int64, len(found))
+        ids = np.frombuffer(b"".join(found), np.uint32)
         offsets = np.concatenate([[0], np.cumsum(lens)])
         if slow:
             rows = [np.array(slow[i], np.int64) + base if i in slow else at[starts[i] : starts[i + 1]] for i in range(len(texts))]
