@@ -1,11 +1 @@
-"""Operators for building training corpora; nothing outside this subpackage imports it.
-
-Functions that run on executors are shipped by value, so a cluster needs the third-party
-libraries only, not this package.
-"""
-
-import sys
-
-from pyspark import cloudpickle
-
-cloudpickle.register_pickle_by_value(sys.modules[__name__])
+"""Operators for building training corpora; nothing outside this subpackage imports it."""
