@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 from importlib import import_module
 
-MODULES = ["token_queries", "span_queries", "rewrite_queries"]
+MODULES = ["token_queries", "span_queries", "rewrite_queries", "graph_queries"]
 
 
 def _modules():
