@@ -228,6 +228,7 @@ def json_documents(spark: SparkSession, path: str) -> dict[str, DataFrame]:
     schema = "tokens array<string>, sentences array<array<int>>, paragraphs array<array<int>>, entities array<array<string>>, relations array<array<string>>, dt_head_distances array<int>, dt_labels array<string>, pos array<string>"
     read = spark.read.option("multiLine", "true").schema(schema).json(path).withColumn("name", F.regexp_extract("_metadata.file_name", r"^(.*?)(\.[^.]*)?$", 1))
     docs = read.withColumn("doc_id", doc_key(F.col("name")))
+    docs = docs.withColumns({c: F.coalesce(c, F.array().cast(t)) for c, t in docs.dtypes if t.startswith("array")})
     at = lambda c, i: F.get(c, F.lit(i))
     sentences = docs.select("doc_id", F.posexplode("sentences").alias("sent_idx", "s")).select("doc_id", "sent_idx", at("s", 0).alias("start_token"), at("s", 1).alias("end_token"))
     tokens = docs.select("doc_id", F.posexplode(F.arrays_zip("tokens", "pos", "dt_head_distances", "dt_labels")).alias("tok_idx", "t")).select("doc_id", "tok_idx", F.col("t.tokens").alias("token"), "t.pos", F.col("t.dt_head_distances").alias("head_dist"), F.col("t.dt_labels").alias("dt_label"))
