@@ -85,23 +85,27 @@ def _bounded(table: pa.Table, number: np.ndarray, sized: str | None) -> Iterator
         at = stop
 
 
-def forest(i: np.ndarray, j: np.ndarray) -> list[int]:
-    """Positions of pairs that make a spanning forest of them."""
-    parent: dict[int, int] = {}
-
-    def root(x: int) -> int:
-        while (up := parent.setdefault(x, x)) != x:
-            parent[x] = parent[up]
-            x = parent[x]
+class Forest:
+    """Pairs that connect what others have not connected yet."""
+
+    def __init__(self):
+        self.parent: dict[int, int] = {}
+        self.pairs: list[tuple[int, int]] = []
+
+    def root(self, x: int) -> int:
+        while (up := self.parent.setdefault(x, x)) != x:
+            self.parent[x] = self.parent[up]
+            x = self.parent[x]
         return x
 
-    kept = []
-    for k, (a, b) in enumerate(zip(i.tolist(), j.tolist(), strict=True)):
-        a, b = root(a), root(b)
-        if a != b:
-            parent[max(a, b)] = min(a, b)
-            kept.append(k)
-    return kept
+    def apart(self, a: int, b: int) -> bool:
+        return self.root(a) != self.root(b)
+
+    def link(self, a: int, b: int) -> None:
+        x, y = self.root(a), self.root(b)
+        if x != y:
+            self.parent[max(x, y)] = min(x, y)
+            self.pairs.append((a, b))
 
 
 def tally(node: np.ndarray, copies: np.ndarray, i: np.ndarray, j: np.ndarray) -> pa.RecordBatch:
@@ -109,7 +113,10 @@ def tally(node: np.ndarray, copies: np.ndarray, i: np.ndarray, j: np.ndarray) ->
     ends, partners = np.concatenate([node[i], node[j]]), np.concatenate([copies[j], copies[i]])
     nodes, at = np.unique(ends, return_inverse=True)
     links = np.bincount(at, partners).astype(np.int64)
-    tree = forest(node[i], node[j])
-    a = np.concatenate([nodes, node[i[tree]]])
-    b = pa.array(np.concatenate([nodes, node[j[tree]]]), mask=np.arange(len(a)) < len(nodes))
-    return pa.RecordBatch.from_arrays([pa.array(a), b, pa.array(np.concatenate([links, np.zeros(len(tree), np.int64)]))], ["a", "b", "n"])
+    tree = Forest()
+    for a, b in zip(node[i].tolist(), node[j].tolist(), strict=True):
+        tree.link(a, b)
+    first, second = np.array(tree.pairs, np.int64).reshape(-1, 2).T
+    a, b = np.concatenate([nodes, first]), np.concatenate([nodes, second])
+    n = np.concatenate([links, np.zeros(len(first), np.int64)])
+    return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b, mask=np.arange(len(a)) < len(nodes)), pa.array(n)], ["a", "b", "n"])

@@ -21,7 +21,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from spanloom.llm.blocks import BLOCKS, deal, forest, pairs_in_groups, tally, whole_groups
+from spanloom.llm.blocks import BLOCKS, deal, pairs_in_groups, tally, whole_groups
 from spanloom.llm.components import components
 from spanloom.llm.store import materialise
 from spanloom.llm.words import mix, pieces, shingles, word_hashes
@@ -212,8 +212,8 @@ def deduplicate(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") ->
     Of rows that repeat a doc_id one stays. Rows with a null doc_id all stay.
     """
     found = materialise(join(docs, doc_id, text).where("doc_id IS NOT NULL").select("doc_id", "kept"), "kept")
-    gone = found.where("NOT kept").select(F.col("doc_id").alias("gone_id")).distinct()
-    left = docs.join(gone, docs[doc_id].cast("long") == gone["gone_id"], "left_anti")
+    gone = found.where("NOT kept").select(F.col("doc_id").alias("_gone_id")).distinct()
+    left = docs.join(gone, docs[doc_id].cast("long") == gone["_gone_id"], "left_anti")
     if found.groupBy("doc_id").count().where("count > 1").limit(1).count():
         named = left.where(F.col(doc_id).isNotNull()).dropDuplicates([doc_id])
         left = named.unionByName(left.where(F.col(doc_id).isNull()))
