@@ -38,18 +38,18 @@ def source_rates(docs: DataFrame, source: str, weights: DataFrame | None, expone
     row count. A source without a weight, or of a negative one, weighs nothing. The rates make the expected
     number of rows ``budget`` times that of the input.
     """
-    sizes = docs.groupBy(F.col(source).alias("mix_source")).agg(F.count("*").alias("n"))
+    sizes = docs.groupBy(F.col(source).alias("_mix_source")).agg(F.count("*").alias("n"))
     if weights is None:
         weighed = sizes.withColumn("weight", F.pow(F.col("n").cast("double"), F.lit(exponent)))
     else:
         given = weights.groupBy(F.col("source").alias("given_source")).agg(F.sum("weight").alias("weight"))
-        weighed = sizes.join(given, F.col("mix_source").eqNullSafe(F.col("given_source")), "left").drop("given_source")
+        weighed = sizes.join(given, F.col("_mix_source").eqNullSafe(F.col("given_source")), "left").drop("given_source")
     weighed = weighed.withColumn("weight", F.greatest(F.coalesce(F.col("weight").cast("double"), F.lit(0.0)), F.lit(0.0)))
     total = weighed.agg(F.sum("n").alias("n"), F.sum("weight").alias("weight")).first()
     if not total["weight"]:
-        return weighed.select("mix_source", F.lit(0.0).alias("mix_rate"))
+        return weighed.select("_mix_source", F.lit(0.0).alias("_mix_rate"))
     rate = F.col("weight") / F.lit(total["weight"]) * F.lit(budget) * F.lit(total["n"]) / F.col("n")
-    return weighed.select("mix_source", rate.alias("mix_rate"))
+    return weighed.select("_mix_source", rate.alias("_mix_rate"))
 
 
 def mix(docs: DataFrame, key: str = "doc_id", source: str = "source", weights: DataFrame | None = None, exponent: float = 0.5, budget: float = 1.0, seed: str = "mix") -> DataFrame:
@@ -65,23 +65,23 @@ def mix(docs: DataFrame, key: str = "doc_id", source: str = "source", weights: D
     names = docs.columns
     kept = [c for c in names if c not in ("copy", "shuffle_key")]
     rates = source_rates(docs, source, weights, exponent, budget)
-    draws = F.greatest(F.lit(1), F.ceil(F.col("mix_rate") / MEAN_OF_DRAW)).cast("int")
-    rates = rates.where(F.col("mix_rate") > 0).withColumn("mix_draws", draws)
-    rates = rates.select("mix_source", "mix_draws", poisson_cdf(F.col("mix_rate") / F.col("mix_draws")).alias("mix_cdf"))
+    draws = F.greatest(F.lit(1), F.ceil(F.col("_mix_rate") / MEAN_OF_DRAW)).cast("int")
+    rates = rates.where(F.col("_mix_rate") > 0).withColumn("_mix_draws", draws)
+    rates = rates.select("_mix_source", "_mix_draws", poisson_cdf(F.col("_mix_rate") / F.col("_mix_draws")).alias("_mix_cdf"))
     row_key = F.coalesce(F.col(key).cast("string"), F.lit("null"))
-    same = F.col(source).eqNullSafe(F.col("mix_source"))
+    same = F.col(source).eqNullSafe(F.col("_mix_source"))
     if rates.limit(BROADCAST_SOURCES + 1).count() <= BROADCAST_SOURCES:
         joined = docs.select(*kept).join(F.broadcast(rates), same)
     else:
-        dealt = docs.select(*kept, F.pmod(F.xxhash64(row_key), F.lit(SALTS)).cast("int").alias("mix_salt"))
-        salted = rates.withColumn("mix_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-        joined = dealt.join(salted, same & (dealt["mix_salt"] == salted["mix_salt"]))
+        dealt = docs.select(*kept, F.pmod(F.xxhash64(row_key), F.lit(SALTS)).cast("int").alias("_mix_salt"))
+        salted = rates.withColumn("_mix_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        joined = dealt.join(salted, same & (dealt["_mix_salt"] == salted["_mix_salt"]))
     times = F.aggregate(
-        F.sequence(F.lit(1), F.col("mix_draws")),
+        F.sequence(F.lit(1), F.col("_mix_draws")),
         F.lit(0),
-        lambda total, i: total + F.size(F.filter("mix_cdf", lambda c: c < uniform(seed, row_key, i.cast("string")))),
+        lambda total, i: total + F.size(F.filter("_mix_cdf", lambda c: c < uniform(seed, row_key, i.cast("string")))),
     )
-    copies = joined.withColumn("mix_times", times).where(F.col("mix_times") > 0).withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("mix_times"))))
+    copies = joined.withColumn("_mix_times", times).where(F.col("_mix_times") > 0).withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("_mix_times"))))
     shuffle_key = F.md5(F.concat_ws("|", F.lit(seed), row_key, F.col("copy").cast("string"), F.lit("place")).cast("binary"))
     return copies.select(*kept, "copy", shuffle_key.alias("shuffle_key")).repartition("shuffle_key").sortWithinPartitions("shuffle_key")
 
