@@ -163,6 +163,25 @@ def test_lines_against_all_pairs(spark):
     assert got == removed_lines(docs) and len(got) > 10
 
 
+def test_long_lines_against_all_pairs(spark):
+    rng = random.Random(5)
+    base = ["".join(rng.choice("abcdefgh ") for _ in range(n)).strip() for n in (58, 62, 79, 81, 119, 160, 300)]
+    lines = sorted({random_edits(rng, x, rng.randrange(0, len(x) // 14)).strip() for x in base for _ in range(8)} | {"ab" * 70, "ab" * 72, "-" * 90, "-" * 99})
+    near = lambda a, b: edit_distance(a, b) <= max(2, min(len(a), len(b)) // 20)
+    roots = groups_of(range(len(lines)), [(i, j) for i in range(len(lines)) for j in range(i) if abs(len(lines[i]) - len(lines[j])) < 20 and near(lines[i], lines[j])])
+    got = {r.doc_id for r in line_dedup.repeated(spark.createDataFrame(list(enumerate(lines)), "doc_id long, text string"), edits=line_dedup.edits_by_length).collect()}
+    assert got == {i for i in roots if roots[i] != i} and len(got) > 20
+    a = "".join(rng.choice("abcd") for _ in range(900))
+    b = random_edits(rng, a, 40)
+    assert line_dedup.banded_distance(a, b, 45) == edit_distance(a, b) > 31
+
+
+def test_op9_links_a_replaced_word_in_a_long_line(spark, tmp_path):
+    line = "the committee met again on tuesday to discuss the budget for the coming year and agreed that nothing should be decided before the auditors had reported to everyone"
+    spark.createDataFrame([(1, line), (2, line.replace("tuesday", "friday"))], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    assert {r.doc_id: r.n_removed for r in line_dedup.op9_line_dedup(spark, str(tmp_path)).collect()} == {1: 0, 2: 1}
+
+
 def test_line_edges(spark, messy, corpus, nothing, clashing):
     got = {r.doc_id: r.removed for r in line_dedup.repeated(messy).collect()}
     assert got == removed_lines([(r[0], r[1]) for r in corpus])
