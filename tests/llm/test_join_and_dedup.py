@@ -182,6 +182,14 @@ def test_op9_links_a_replaced_word_in_a_long_line(spark, tmp_path):
     assert {r.doc_id: r.n_removed for r in line_dedup.op9_line_dedup(spark, str(tmp_path)).collect()} == {1: 0, 2: 1}
 
 
+def test_op9_takes_short_lines(spark, tmp_path):
+    # Exact repeats at any length; near copies from 10 characters on; empty lines stay.
+    texts = ["Les.\n\nx\nOf, edti oner.", "Lea.\n\nLes.\nx", "Of, edti onar.\nOf, ebti onar, so", "x"]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r.doc_id: (r.n_lines, r.removed) for r in line_dedup.op9_line_dedup(spark, str(tmp_path)).collect()}
+    assert got == {0: (4, ""), 1: (4, "2,3"), 2: (2, "0"), 3: (1, "0")}
+
+
 def test_line_edges(spark, messy, corpus, nothing, clashing):
     got = {r.doc_id: r.removed for r in line_dedup.repeated(messy).collect()}
     assert got == removed_lines([(r[0], r[1]) for r in corpus])
