@@ -23,10 +23,11 @@ class PieceAutomaton:
     """A trie over the vocabulary with failure links, and for each link the number of pieces it pops.
 
     ``initial`` are pieces that begin a word, ``inner`` those that continue one. Reading a word takes one
-    step for each character and each link; the pieces themselves are never built.
+    step for each character and each link; the pieces themselves are never built. With ``bare`` the word mark
+    is a piece by itself, which stands before the inner pieces of a word that no initial piece begins.
     """
 
-    def __init__(self, initial: Iterable[str], inner: Iterable[str]):
+    def __init__(self, initial: Iterable[str], inner: Iterable[str], bare: bool = False):
         self.step: dict[int, int] = {}
         is_piece = [False, False]  # nodes 0 and 1: before a word's first piece, and after any piece
         edges: list[list[tuple[int, int]]] = [[], []]
@@ -45,6 +46,8 @@ class PieceAutomaton:
                 is_piece[node] |= node > 1
         self.link = [-1] * len(is_piece)
         self.pops = [0] * len(is_piece)
+        if bare:
+            self.link[0], self.pops[0] = 1, 1
         waiting = deque([0, 1])
         while waiting:
             node = waiting.popleft()
@@ -104,6 +107,14 @@ def sentencepiece_vocabulary(path: str) -> tuple[list[str], list[str]]:
     return [p for p in initial if p and WORD_BEGIN not in p], [p for p in inner if WORD_BEGIN not in p]
 
 
+def has_bare_mark(path: str) -> bool:
+    """Whether the word mark alone is a piece of a SentencePiece model."""
+    from sentencepiece import SentencePieceProcessor
+
+    model = SentencePieceProcessor(model_file=path)
+    return not model.is_unknown(model.piece_to_id(WORD_BEGIN))
+
+
 def count_tokens(docs: DataFrame, automaton: PieceAutomaton, text: str = "text") -> DataFrame:
     """Add ``n_words``, ``n_tokens`` and ``n_unknown`` to every row, from its whole text.
 
@@ -139,6 +150,7 @@ def op1_token_counts(spark, sf_dir: str) -> DataFrame:
     """Word-piece counts of every whole text of ``documents``, by the public vocabulary of 32,000 pieces."""
     import public_tokenizers
 
-    automaton = PieceAutomaton(*sentencepiece_vocabulary(public_tokenizers.path("piece_bpe_32k.model")))
+    path = public_tokenizers.path("piece_bpe_32k.model")
+    automaton = PieceAutomaton(*sentencepiece_vocabulary(path), has_bare_mark(path))
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
     return count_tokens(docs, automaton).drop("text")

@@ -40,6 +40,31 @@ def test_small_automaton_by_hand():
     assert [automaton.count(w) for w in ("abcdz", "abcdx", "abcdy", "abcd", "a", "x", "")] == [4, 1, 3, -1, 1, -1, -1]
 
 
+def test_words_behind_a_bare_mark_are_not_unknown(small):
+    import pyarrow.parquet as pq
+    from sentencepiece import SentencePieceProcessor
+
+    path = public_tokenizers.path("piece_bpe_32k.model")
+    model = SentencePieceProcessor(model_file=path)
+    every = {model.id_to_piece(i) for i in range(model.get_piece_size()) if not (model.is_control(i) or model.is_unknown(i) or model.is_byte(i) or model.is_unused(i))}
+    most = max(map(len, every))
+
+    def greedy(word):
+        rest, n = "▁" + word, 0
+        while rest:
+            k = next((k for k in range(min(most, len(rest)), 0, -1) if rest[:k] in every), None)
+            if k is None:
+                return -1
+            rest, n = rest[k:], n + 1
+        return n
+
+    automaton = token_counts.PieceAutomaton(*token_counts.sentencepiece_vocabulary(path), token_counts.has_bare_mark(path))
+    texts = pq.read_table(f"{small}/documents.parquet", columns=["text"]).column(0).to_pylist()
+    words = {w for t in texts if t for w in t.split() if "▁" not in w} | {"日本", "éé", "日", "x日y", "\U000f0000", "a\U000f0000"}
+    assert {w: automaton.count(w) for w in words} == {w: greedy(w) for w in words}
+    assert automaton.count("日") == 2 and automaton.count("\U000f0000") == -1
+
+
 def test_mixing_equals_sql_and_handles_edges(spark, small, messy, corpus, nothing, clashing):
     docs = spark.read.parquet(f"{small}/documents.parquet")
     got = sorted((r.doc_id, r.copy, r.shuffle_key) for r in mixing.mix(docs).collect())
