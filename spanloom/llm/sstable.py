@@ -13,6 +13,7 @@ import os
 import struct
 import zlib
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -32,9 +33,15 @@ FOOTER = "<8sQQIIQIQII"
 FOOTER_BYTES = struct.calcsize(FOOTER)
 #: Bytes of values, before compression, at which a block or a shard is closed. A longer document stays whole.
 BLOCK_BYTES = 64 << 10
-SHARD_BYTES = 8 << 20
+SHARD_BYTES = 32 << 20
 BLOOM_BITS_PER_KEY = 10
+#: Bytes of text that are encoded at once. More would repeat fewer words and take more memory.
+PIECE_BYTES = 6_000_000
 BLOOM_PROBES = 7
+#: How byte-level vocabularies write a space.
+BYTE_SPACE = "Ġ"
+#: Writing tasks whose totals are summed up in one task; the totals of such runs are summed up in another.
+RUN_PARTS = 4096
 
 
 def encode_key(doc_id: int | None, nth: int) -> bytes:
@@ -180,35 +187,41 @@ class Encoder:
 
     Where one space stands between two other characters that aren't white space, the byte-level
     pre-tokenizer always cuts before it, and it makes a lone line feed a piece of its own, so that the ids of
-    the runs, joined, are the ids of the text. Texts with other white space are cut by a pattern instead. The
-    ids of runs are remembered from task to task of a worker, up to a bound on their number.
+    the runs, joined, are the ids of the text. Texts with other white space are cut by a pattern instead.
+    Nothing is remembered from one piece of text to the next, so memory is bounded by a piece.
     """
 
     BATCH = 20_000
-    REMEMBERED = 500_000
+    JOINED = 100
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         import tokenizers
 
-        # The module outlives the task, and so do what hangs on it: the tokenizer and the ids known so far.
-        kept = vars(tokenizers).setdefault("_spanloom", {})
-        if path not in kept:
-            kept[path] = tokenizers.Tokenizer.from_file(path), {}
-        self.tokenizer, self.known = kept[path]
+        self.tokenizer = tokenizers.Tokenizer.from_file(path)
+        getattr(self.tokenizer.model, "_resize_cache", int)(0)  # no cache of words: what comes is distinct already
         self.cut = regex.compile(r"(?<=\S)(?= \S)")
-
-    def ids_of(self, strings: list[str]) -> list[bytes]:
-        """The ids of each string, as unsigned 32-bit numbers."""
-        found = [self.known.get(s) for s in strings]
-        new = [i for i, f in enumerate(found) if f is None]
-        for k in range(0, len(new), self.BATCH):
-            some = new[k : k + self.BATCH]
-            for i, e in zip(some, self.tokenizer.encode_batch_fast([strings[i] for i in some], add_special_tokens=False), strict=True):
-                found[i] = np.array(e.ids, np.uint32).tobytes()
-        for i in new[: max(0, self.REMEMBERED - len(self.known))]:
-            self.known[strings[i]] = found[i]
-        return found
+        vocabulary = self.tokenizer.get_vocab()
+        self.spaced = np.zeros(max(vocabulary.values(), default=0) + 1, bool)  # ids that begin with a space
+        self.spaced[[i for token, i in vocabulary.items() if token.startswith(BYTE_SPACE)]] = True
+
+    def ids_of_spaced(self, strings: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """As ``ids_of``, for strings with one space each, at their begin: many are encoded as one, and ids that begin with a space part them."""
+        joined = ["".join(strings[k : k + self.JOINED]) for k in range(0, len(strings), self.JOINED)]
+        ids, _ = self.ids_of(joined, self.BATCH // self.JOINED)
+        begins = np.flatnonzero(self.spaced[ids])
+        if len(begins) != len(strings):  # a vocabulary whose tokens hold spaces elsewhere
+            return self.ids_of(strings)
+        return ids, np.diff(begins, append=len(ids))
+
+    def ids_of(self, strings: list[str], batch: int = BATCH) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all strings in a row, and how many each has; ``batch`` strings are encoded at once."""
+        ids, lens = [np.zeros(0, np.uint32)], [np.zeros(0, np.int64)]
+        for k in range(0, len(strings), batch):
+            lists = [e.ids for e in self.tokenizer.encode_batch_fast(strings[k : k + batch], add_special_tokens=False)]
+            lens.append(np.fromiter(map(len, lists), np.int64, len(lists)))
+            ids.append(np.fromiter(chain.from_iterable(lists), np.uint32, int(lens[-1].sum())))
+        return np.concatenate(ids), np.concatenate(lens)
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """All ids in a row, and where each text's begin (one more than texts)."""
@@ -230,17 +243,18 @@ class Encoder:
             bare[:-1] |= feeds
             bare[1:] |= feeds
         bare = bare[:-1]
-        spaced_runs, bare_runs = np.unique(at[~bare]), np.unique(at[bare])
-        strings = [" " + runs[i] for i in spaced_runs] + [runs[i] for i in bare_runs]
-        at = np.where(bare, len(spaced_runs) + np.searchsorted(bare_runs, at), np.searchsorted(spaced_runs, at))
+        at = np.where(bare, len(runs) + at, at)
+        used = np.zeros(2 * len(runs), bool)  # each run after a space, then each without
+        used[at] = True
+        spaced_runs = [" " + runs[i] for i in np.flatnonzero(used[: len(runs)]).tolist()]
+        bare_runs = [runs[i] for i in np.flatnonzero(used[len(runs) :]).tolist()]
+        at = (np.cumsum(used) - 1)[at]
         extra: dict[str, int] = {}
         slow: dict[int, list[int]] = {}
         for i in np.flatnonzero(loose):
             slow[int(i)] = [extra.setdefault(r, len(extra)) for r in self.cut.split(texts[int(i)].as_py())]
-        base = len(strings)
-        found = self.ids_of([*strings, *extra])
-        lens = np.fromiter((len(f) // 4 for f in found), np.int64, len(found))
-        ids = np.frombuffer(b"".join(found), np.uint32)
+        base = len(spaced_runs) + len(bare_runs)
+        ids, lens = map(np.concatenate, zip(self.ids_of_spaced(spaced_runs), self.ids_of([*bare_runs, *extra]), strict=True))
         offsets = np.concatenate([[0], np.cumsum(lens)])
         if slow:
             rows = [np.array(slow[i], np.int64) + base if i in slow else at[starts[i] : starts[i + 1]] for i in range(len(texts))]
@@ -248,24 +262,30 @@ class Encoder:
             at = np.concatenate(rows)
         n = lens[at]
         total = np.concatenate([[0], np.cumsum(n)])
-        return ids[np.repeat(offsets[at] - total[:-1], n) + np.arange(total[-1])], total[starts]
+        kind = np.int32 if max(total[-1], offsets[-1]) < 2**31 else np.int64
+        where = np.repeat((offsets[at] - total[:-1]).astype(kind), n)
+        where += np.arange(total[-1], dtype=kind)
+        return ids[where], total[starts]
 
 
 def write(docs: DataFrame, path: str, tokenizer: str, end_id: int, key: str = "doc_id", text: str = "text", id_bytes: int = 2) -> None:
     """Encode every row's whole text, a null one as an empty one, append ``end_id``, and write shards.
 
-    Files come out in ascending order of (null first) ``key``, rows of one key in order of their texts. They
-    go through Spark's own writer, so any store works, and a task that is run again replaces its files.
+    Files come out in ascending order of (null first) ``key``, rows of one key in order of a hash of their
+    texts, so that neither a repeated key nor a null one need fit a task. Equal rows give equal entries; a text
+    of any length is one entry; an empty table gives no shard; other columns are not looked at. Files go through
+    Spark's own writer, so any store works, and a task that is run again replaces its files.
     """
     rows = docs.select(F.col(key).cast("long").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
-    dealt = rows.repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
+    rows = rows.withColumn("place", F.xxhash64("text"))
+    dealt = rows.repartitionByRange("doc_id", "place").sortWithinPartitions("doc_id", "place").select("doc_id", "text")
     most = 1 << 8 * id_bytes
 
     def shards(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder, writer, last, nth = Encoder(tokenizer), ShardWriter(id_bytes), (), 0
         give = lambda w: pa.RecordBatch.from_arrays([pa.array([w.finish()], pa.binary())], ["shard"])
         for batch in batches:
-            for part, texts in pieces(batch):
+            for part, texts in pieces(batch, "text", PIECE_BYTES):
                 ids, starts = encoder.encode(texts)
                 if ids.size and int(ids.max()) >= most:
                     raise ValueError(f"an id doesn't fit {id_bytes} bytes")
@@ -337,13 +357,36 @@ def digest(spark, path_of_shards: str) -> DataFrame:
     docs = spark.read.schema(kind).parquet(path)
     shards = docs.groupBy("part", "shard").agg(F.sum("n_tokens").alias("n"))
     parts = shards.groupBy("part").agg(F.sum("n").alias("part_n"))  # one row for each task that wrote
-    before = lambda w: w.rowsBetween(Window.unboundedPreceding, -1)
-    parts = parts.select("part", F.coalesce(F.sum("part_n").over(before(Window.orderBy("part"))), F.lit(0)).alias("part_base"))
-    base = F.col("part_base") + F.coalesce(F.sum("n").over(before(Window.partitionBy("part").orderBy("shard"))), F.lit(0))
+    runs = parts.groupBy(F.floor(F.col("part") / RUN_PARTS).alias("run")).agg(F.sum("part_n").alias("run_n"))
+    before = lambda n, w: F.coalesce(F.sum(n).over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    runs = runs.select("run", before("run_n", Window.orderBy("run")).alias("run_base"))
+    parts = parts.withColumn("run", F.floor(F.col("part") / RUN_PARTS)).join(runs, "run")
+    parts = parts.select("part", (F.col("run_base") + before("part_n", Window.partitionBy("run").orderBy("part"))).alias("part_base"))
+    base = F.col("part_base") + before("n", Window.partitionBy("part").orderBy("shard"))
     bases = shards.join(parts, "part").select("part", "shard", base.alias("base"))
     return docs.join(bases, ["part", "shard"]).select("doc_id", (F.col("base") + F.col("row")).alias("start"), "n_tokens", "ids_crc32")
 
 
+def lookup(spark, path: str, doc_ids: list[int | None]) -> DataFrame:
+    """(doc_id, ids) of the documents with these identifiers, each as often as it was written.
+
+    Every shard is asked through its Bloom filter and index, and only blocks that can hold an identifier are
+    unpacked. The identifiers are shipped with the task, so their number must be small; join ``read`` with a
+    table of them otherwise. Identifiers that no shard holds give no row.
+    """
+    wanted = sorted(set(doc_ids), key=lambda x: (x is not None, x))
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for content in batch.column(2):
+                shard = Shard(content.as_py())
+                found = [(doc_id, ids.astype(np.int32)) for doc_id in wanted for ids in shard.get(doc_id)]
+                if found:
+                    yield _rows({"doc_id": pa.int64(), "ids": pa.list_(pa.int32())}, found)
+
+    return _shards(spark, path).mapInArrow(rows, "doc_id long, ids array<int>")
+
+
 def op3_token_ids(spark, sf_dir: str) -> DataFrame:
     """Contract query: write all of ``documents`` as shards and read them back."""
     return documents_round_trip(spark, spark.read.parquet(f"{sf_dir}/documents.parquet"))
