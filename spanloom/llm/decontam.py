@@ -6,14 +6,16 @@ insertions, deletions and replacements of words. Case and white space don't coun
 How runs are found. An item within k edits has at least one of its k + 1 segments unchanged in the document
 (pigeonhole), so only windows around an unchanged segment can qualify; the others are left out without loss.
 Each such window, as long as the item, is embedded by CGK random walks, which turn few edits into a small
-Hamming distance, and compared with the item's own embedding at a few sampled positions. A walk whose sampled
-positions all agree makes the window a candidate. Walks are repeated as often as the target recall needs.
-Candidates are verified by an exact bit-parallel edit distance.
+Hamming distance, and compared with the item's own embedding at a few sampled positions, none of them behind the
+end of either walk. A walk whose sampled positions all agree makes the window a candidate. Walks are repeated as
+often as the target recall needs, measured for each length of items. Candidates are verified by an exact
+bit-parallel edit distance.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -24,16 +26,16 @@ from spanloom.llm.words import mix, pieces, word_hashes
 
 #: Edits allowed, as a share of the item's words: similarity of 0.8 or more.
 TOLERANCE = 0.2
-#: Items with fewer words hold too little to tell a passage by, and match nothing.
-LEAST_WORDS = 5
 #: Share of windows at the very tolerance that the repeated walks must find.
 TARGET_RECALL = 0.9999
-#: Positions of the embedding that one walk samples.
+#: Positions of the embedding that one walk samples, one from each equal part of it.
 SAMPLED = 2
-#: Items that are shipped and matched at once; more are taken in further passes over the documents.
-ITEM_BLOCK = 20_000
-#: An upper end for walks, should a calibration ask for more.
-MOST_WALKS = 400
+#: Bytes of items' texts that are shipped and matched at once; more are taken in further passes over the documents.
+ITEM_BYTES = 32 << 20
+#: Items that would need more walks, or have more words, aren't embedded: all their windows are verified.
+MOST_WALKS, MOST_WORDS = 400, 1_000
+#: Walks of windows that are taken at once.
+WALKS_AT_ONCE = 1 << 20
 
 
 class Item:
@@ -47,23 +49,66 @@ class Item:
         self.seeds = bounds[:-1].tolist()
 
 
-def walks(windows: np.ndarray, seed: int) -> np.ndarray:
-    """CGK embeddings, three times as long, of equally long windows (rows of word hashes), by one random function."""
-    count, n = windows.shape
-    padded = np.concatenate([windows, np.zeros((count, 1), np.uint64)], axis=1)
-    out = np.zeros((count, 3 * n), np.uint64)
-    at, rows = np.zeros(count, np.int64), np.arange(count)
-    for t in range(3 * n):
-        here = padded[rows, at]
-        out[:, t] = here
-        step = mix(here ^ np.uint64((seed * 1_000_003 + t) * 0x9E3779B97F4A7C15 & 0xFFFFFFFFFFFFFFFF)) & np.uint64(1)
-        at = np.minimum(at + step.astype(np.int64), n)
-    return out
+class Walks:
+    """An item's CGK walks: for each of them the positions that it samples, and the item's words there.
 
+    A walk reads the word at its place and then stays or moves on by one, as a random function of the walk, the step
+    and the word says, so it is over after about twice as many steps as there are words. Positions are drawn before
+    the end of the item's own walk.
+    """
 
-def sampled_positions(seed: int, n: int) -> np.ndarray:
-    """The positions of an embedding of an item of ``n`` words that this walk compares."""
-    return np.random.default_rng([seed, n]).choice(3 * n, SAMPLED, replace=False)
+    def __init__(self, words: np.ndarray, count: int):
+        self.n, self.count, self.first = len(words), count, 1
+        each, at, read = np.arange(count), np.zeros(count, np.int64), []
+        ends = np.full(count, -1)
+        padded = np.append(words, np.uint64(0))
+        while (ends < 0).any():
+            here = padded[at]
+            read.append(here)
+            at = np.minimum(at + self.moves(here, len(read) - 1), self.n)
+            ends[(at == self.n) & (ends < 0)] = len(read)
+        share = np.random.default_rng([count, self.n]).random((count, SAMPLED))
+        self.positions = ((np.arange(SAMPLED) + share) / SAMPLED * ends[:, None]).astype(np.int64)
+        self.words = np.array(read)[self.positions, each[:, None]]
+        order = np.argsort(self.positions, axis=None, kind="stable")
+        due = self.positions.ravel()[order]
+        self.due = [(t, *np.divmod(order[due == t], SAMPLED)) for t in np.unique(due).tolist()]
+
+    def only(self, walk: int) -> Walks:
+        """One of the walks by itself."""
+        one = Walks.__new__(Walks)
+        one.n, one.count, one.words, one.first = self.n, 1, self.words[[walk]], self.first + walk
+        one.positions = self.positions[[walk]]
+        one.due = [(t, np.zeros(1, int), np.array([j])) for t, j in sorted((int(t), j) for j, t in enumerate(one.positions[0]))]
+        return one
+
+    def moves(self, here: np.ndarray, step: int) -> np.ndarray:
+        """Whether each walk (the last axis) moves on after it has read these words."""
+        salts = mix(np.arange(self.first, self.first + self.count, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15) + np.uint64(step))
+        return (mix(here ^ salts) & np.uint64(1)).astype(np.int64)
+
+    def agree(self, words: np.ndarray, first: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
+        """Whether some walk's samples agree, for the windows that begin at ``first`` of ``words``. What stands before
+        ``lo`` or from ``hi`` on belongs to other texts, and agrees with nothing, like all behind a window's end."""
+        out, size = [np.zeros(0, bool)], max(1, WALKS_AT_ONCE // self.count)
+        for k in range(0, len(first), size):
+            f, low, high = (x[k : k + size, None] for x in (first, lo, hi))
+            at = np.zeros((len(f), self.count), np.int64)
+            same = np.ones(at.shape, bool)
+            step = 0
+            for t, walk, sample in self.due:
+                while True:
+                    place = f + at
+                    inside = (at < self.n) & (place >= low) & (place < high)
+                    here = np.where(inside, words[np.clip(place, 0, len(words) - 1)], np.uint64(0))
+                    if step == t:
+                        break
+                    at = np.minimum(at + self.moves(here, step), self.n)
+                    step += 1
+                for w, j in zip(walk.tolist(), sample.tolist(), strict=True):
+                    same[:, w] &= inside[:, w] & (here[:, w] == self.words[w, j])
+            out.append(same.any(1))
+        return np.concatenate(out)
 
 
 def edited(words: np.ndarray, edits: int, rng: np.random.Generator) -> np.ndarray:
@@ -82,23 +127,40 @@ def edited(words: np.ndarray, edits: int, rng: np.random.Generator) -> np.ndarra
     return np.array(out, np.uint64)
 
 
-def calibrated_walks(items: list[Item], recall: float = TARGET_RECALL, sample: int = 24, trials: int = 24) -> int:
-    """How many walks find a window at the very tolerance with probability ``recall``.
+@lru_cache(maxsize=4096)
+def walks_for(n: int, recall: float = TARGET_RECALL, trials: int = 40, probes: int = 128) -> int:
+    """How many walks find a window at the very tolerance of an item of ``n`` words with probability ``recall``, or
+    0 if these are too many and windows are to be verified without them.
 
-    Measured on a bounded sample of items: the share of single walks whose sampled positions agree, from
-    randomly edited copies. The copies that agree least set the number.
+    Measured on randomly edited copies of random words: the share of single walks whose samples agree. The twentieth
+    of the copies that agrees least sets the number.
     """
-    rng = np.random.default_rng(5)
-    shares = []
-    for item in items[:: max(1, len(items) // sample)][:sample]:
-        copies = np.stack([item.words, *(edited(item.words, item.edits, rng) for _ in range(trials))])
-        agree = np.zeros(trials)
-        for seed in range(60):
-            got = walks(copies, seed)[:, sampled_positions(seed, item.n)]
-            agree += (got[1:] == got[0]).all(1)
-        shares.append(float(np.quantile(agree / 60, 0.1)))
-    p = max(min(shares, default=1.0), 1e-3)
-    return int(min(MOST_WALKS, max(8, np.ceil(np.log(1 - recall) / np.log(1 - min(p, 0.999))))))
+    if int(n * TOLERANCE) == 0:
+        return 1  # equal windows agree in every walk
+    if n > MOST_WORDS:
+        return 0
+    rng = np.random.default_rng([5, n])
+    words = rng.integers(1, 2**63, n).astype(np.uint64)
+    copies = np.concatenate([edited(words, int(n * TOLERANCE), rng) for _ in range(trials)])
+    first = np.arange(trials) * n
+    walks = Walks(words, probes)
+    hits = np.zeros(trials)
+    for w in range(probes):
+        one = walks.only(w)
+        hits += one.agree(copies, first, first, first + n)
+    p = float(np.quantile(hits / probes, 0.05))
+    needed = int(np.ceil(np.log(1 - recall) / np.log(1 - min(p, 0.999)))) if p > 0 else MOST_WALKS + 1
+    return needed if needed <= MOST_WALKS else 0
+
+
+def length_class(n: int) -> int:
+    """Items of similar length share a calibration: that of the longest in their class, classes growing by an eighth."""
+    size = 16
+    if n <= size:
+        return n
+    while size < n:
+        size += size // 8
+    return size
 
 
 def infix_distance(masks: dict[int, int], n: int, text: list[int]) -> int:
@@ -138,7 +200,8 @@ class Matcher:
 
     BITS = 22
 
-    def __init__(self, items: list[Item], n_walks: int):
+    def __init__(self, items: list[Item], n_walks: dict[int, int]):
+        """``n_walks`` has the number of walks for each ``length_class``."""
         self.items, self.n_walks = items, n_walks
         self.by_q: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]] = {}
         for q in sorted({i.q for i in items}):
@@ -149,7 +212,7 @@ class Matcher:
             quick[(keys >> np.uint64(64 - self.BITS)).astype(np.int64)] = True
             self.by_q[q] = keys, np.array([r[1] for r in rows]), np.array([r[2] for r in rows]), quick
         self.masks: dict[int, dict[int, int]] = {}
-        self.embedded: dict[int, np.ndarray] = {}
+        self.walks: dict[int, Walks] = {}
 
     @staticmethod
     def gram(words: np.ndarray, q: int) -> np.ndarray:
@@ -182,40 +245,25 @@ class Matcher:
         return {k: np.unique(np.concatenate(v), axis=0) for k, v in found.items()}
 
     def candidates(self, k: int, words: np.ndarray, starts: np.ndarray, seeds: np.ndarray) -> np.ndarray:
-        """Those (text, first word) of windows near the seeds whose walk agrees with the item's, each once."""
-        item = self.items[k]
-        near = (seeds[:, 1:] + np.arange(-item.edits, item.edits + 1)).ravel()
-        spots = np.unique(np.stack([np.repeat(seeds[:, 0], 2 * item.edits + 1), near], 1), axis=0)
-        lo, hi = starts[spots[:, 0]], starts[spots[:, 0] + 1]
-        spots = spots[(spots[:, 1] > lo - item.n) & (spots[:, 1] < hi)]
-        lo, hi = starts[spots[:, 0]], starts[spots[:, 0] + 1]
-        alive, kept = np.ones(len(spots), bool), []
-        at = spots[:, 1:] + np.arange(item.n)
-        windows = np.where((at >= lo[:, None]) & (at < hi[:, None]), words[np.clip(at, 0, len(words) - 1)], np.uint64(0))
-        for seed in range(self.n_walks):
-            left = np.flatnonzero(alive)
-            if not left.size:
-                break
-            where = sampled_positions(seed, item.n)
-            got = walks(np.concatenate([item.words[None], windows[left]]), seed)[:, where]
-            agree = left[(got[1:] == got[0]).all(1)]
-            kept.append(agree)
-            done = np.isin(spots[:, 0], spots[agree, 0]) if agree.size else np.zeros(len(spots), bool)
-            done = done & self.settled(k, words, starts, spots, agree)
-            alive[agree] = False
-            alive &= ~done
-        return spots[np.concatenate(kept)] if kept else spots[:0]
-
-    def settled(self, k: int, words: np.ndarray, starts: np.ndarray, spots: np.ndarray, agree: np.ndarray) -> np.ndarray:
-        """Marks the windows of texts in which a candidate has just been verified; the rest of them adds nothing."""
-        sure = {int(t) for t, s in spots[agree] if (int(t) not in self.sure) and self.verify(k, words, starts, int(t), int(s))}
-        self.sure |= sure
-        return np.isin(spots[:, 0], list(sure)) if sure else np.zeros(len(spots), bool)
-
-    def verify(self, k: int, words: np.ndarray, starts: np.ndarray, text: int, first: int) -> bool:
+        """Those (text, first word) of windows near the seeds that some walk finds alike."""
         item = self.items[k]
-        lo, hi = max(starts[text], first - item.edits), min(starts[text + 1], first + item.n + item.edits)
-        return self.distance(k, words[lo:hi]) <= item.edits
+        if k not in self.walks:
+            self.walks[k] = Walks(item.words, self.n_walks[length_class(item.n)])
+        kept, size = [seeds[:0]], max(1, WALKS_AT_ONCE // (2 * item.edits + 1))
+        for at in range(0, len(seeds), size):
+            some = seeds[at : at + size]
+            near = (some[:, 1:] + np.arange(-item.edits, item.edits + 1)).ravel()
+            spots = np.unique(np.stack([np.repeat(some[:, 0], 2 * item.edits + 1), near], 1), axis=0)
+            lo, hi = starts[spots[:, 0]], starts[spots[:, 0] + 1]
+            there = (spots[:, 1] > lo - item.n) & (spots[:, 1] < hi)
+            spots, lo, hi = spots[there], lo[there], hi[there]
+            kept.append(spots[self.walks[k].agree(words, spots[:, 1], lo, hi)])
+        return np.concatenate(kept)
+
+    def run_distance(self, k: int, words: np.ndarray, starts: np.ndarray, text: int, first: int, slack: int) -> int:
+        """The item's least distance to any run of words about a window of a text."""
+        n = self.items[k].n
+        return self.distance(k, words[max(starts[text], first - slack) : min(starts[text + 1], first + n + slack)])
 
     def distance(self, k: int, words: np.ndarray) -> int:
         """The item's least distance to any run of these words."""
@@ -227,50 +275,61 @@ class Matcher:
         """(text, item_id, distance, item's words) for each text that holds an item."""
         out = []
         for k, seeds in self.seeds(words, starts).items():
-            self.sure: set[int] = set()
-            self.candidates(k, words, starts, seeds)
             item = self.items[k]
-            for text in sorted(self.sure):  # the closest run has an unchanged segment too, so it lies about a seed
+            embedded = self.n_walks[length_class(item.n)] > 0
+            looked = self.candidates(k, words, starts, seeds) if embedded else seeds
+            held: set[int] = set()
+            for text, first in looked.tolist():
+                if text not in held and self.run_distance(k, words, starts, text, first, (1 if embedded else 2) * item.edits) <= item.edits:
+                    held.add(text)
+            for text in sorted(held):  # the closest run has an unchanged segment too, so it lies about a seed
                 spots = seeds[seeds[:, 0] == text, 1].tolist()
-                runs = ((max(starts[text], f - 2 * item.edits), min(starts[text + 1], f + item.n + 2 * item.edits)) for f in spots)
-                out.append((text, item.item_id, min(self.distance(k, words[lo:hi]) for lo, hi in runs), item.n))
+                out.append((text, item.item_id, min(self.run_distance(k, words, starts, text, first, 2 * item.edits) for first in spots), item.n))
         return out
 
 
-def item_blocks(benchmark: DataFrame, item_id: str = "item_id", text: str = "text", block: int = ITEM_BLOCK) -> Iterator[list[Item]]:
-    """The items in blocks, as shipped to executors. Null and short texts are left out."""
+def item_blocks(benchmark: DataFrame, item_id: str = "item_id", text: str = "text") -> Iterator[list[Item]]:
+    """The items in blocks of bounded size, as shipped to executors. Items without a word are left out."""
     batch: list[tuple[int, str]] = []
+    size = 0
     rows = benchmark.where(F.col(text).isNotNull() & F.col(item_id).isNotNull()).select(item_id, text).orderBy(item_id, text)
 
     def finished(some: list[tuple[int, str]]) -> list[Item]:
         words, starts = word_hashes(pa.array([t for _, t in some], pa.large_string()))
-        items = [Item(i, words[starts[n] : starts[n + 1]]) for n, (i, _) in enumerate(some)]
-        return [i for i in items if i.n >= LEAST_WORDS]
+        items = [Item(i, words[starts[n] : starts[n + 1]]) for n, (i, _) in enumerate(some) if starts[n] < starts[n + 1]]
+        return items
 
     for row in rows.toLocalIterator():
         batch.append((row[0], row[1]))
-        if len(batch) == block:
+        size += len(row[1])
+        if size >= ITEM_BYTES:
             yield finished(batch)
-            batch = []
+            batch, size = [], 0
     yield finished(batch)
 
 
+def _shipped(docs: DataFrame, items: list[Item]):
+    """A function that makes the matcher of a block of items on an executor."""
+    n_walks = {size: walks_for(size) for size in {length_class(i.n) for i in items}}
+    shipped = docs.sparkSession.sparkContext.broadcast([(i.item_id, i.words) for i in items])  # at most as large as ITEM_BYTES and a few bytes for each word
+    return lambda: Matcher([Item(*x) for x in shipped.value], n_walks)
+
+
 def matches(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """One row for each document and item that it holds: doc_id, item_id, distance (in words), item_words.
 
-    Whole texts are searched, in one pass and without a shuffle for each block of items. Null and empty texts
-    hold nothing, nor do empty tables; items that are null or shorter than five words are held by nothing;
-    repeated rows of documents give repeated rows, equal items each their own.
+    Whole texts are searched, in one pass and without a shuffle for each block of items. Items of one to four words
+    are held where they stand word for word. Null and empty texts hold nothing, nor do empty tables; items that are
+    null or without a word are held by nothing; repeated rows of documents give repeated rows, equal items each
+    their own. Other columns are not looked at.
     """
     found = None
     for items in item_blocks(benchmark):
         if not items:
             continue
-        n_walks = calibrated_walks(items)
-        shipped = docs.sparkSession.sparkContext.broadcast([(i.item_id, i.words) for i in items])
 
-        def search(batches: Iterator[pa.RecordBatch], shipped=shipped, n_walks=n_walks) -> Iterator[pa.RecordBatch]:
-            matcher = Matcher([Item(*x) for x in shipped.value], n_walks)
+        def search(batches: Iterator[pa.RecordBatch], made=_shipped(docs, items)) -> Iterator[pa.RecordBatch]:
+            matcher = made()
             for batch in batches:
                 for part, texts in pieces(batch):
                     rows = matcher.find(*word_hashes(texts))
@@ -291,11 +350,9 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, text: str = "text") ->
     for items in item_blocks(benchmark):
         if not items:
             continue
-        n_walks = calibrated_walks(items)
-        shipped = docs.sparkSession.sparkContext.broadcast([(i.item_id, i.words) for i in items])
 
-        def keep(batches: Iterator[pa.RecordBatch], shipped=shipped, n_walks=n_walks) -> Iterator[pa.RecordBatch]:
-            matcher = Matcher([Item(*x) for x in shipped.value], n_walks)
+        def keep(batches: Iterator[pa.RecordBatch], made=_shipped(docs, items)) -> Iterator[pa.RecordBatch]:
+            matcher = made()
             for batch in batches:
                 for part, texts in pieces(batch, batch.schema.names[at]):
                     clean = np.ones(len(texts), bool)
