@@ -18,7 +18,7 @@ from math import comb
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from spanloom.llm.blocks import BLOCKS, deal, pairs_in_groups, tally, whole_groups
@@ -34,6 +34,8 @@ BANDS, ROWS = 24, 4
 VALUES = BANDS * ROWS
 #: Values compared between two prunings, and the posterior probability below which a pair is dropped.
 STEP, TOLERANCE = 16, 1e-6
+#: Rows, of three numbers each, up to which a table is broadcast.
+BROADCAST_ROWS = 500_000
 KEYS = ["band", "bucket"]
 TASK = [*KEYS, *BLOCKS]
 
@@ -91,7 +93,8 @@ def candidates(group: np.ndarray, block: np.ndarray, band: np.ndarray, across: n
 
 
 def signatures(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
-    """(doc_id, fa, fb, sig): a 128-bit hash of each text's words, null without words, and its MinHash values."""
+    """(doc_id, row, fa, fb, sig): what tells rows of one doc_id apart, a 128-bit hash of each text's words, null
+    without words, and its MinHash values."""
 
     def signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -100,10 +103,15 @@ def signatures(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
                 sig = minhash(*shingles(words, starts, SHINGLE_WORDS))
                 prints = [xxhash.xxh3_128_intdigest(words[starts[i] : starts[i + 1]].tobytes()) if starts[i] < starts[i + 1] else None for i in range(len(texts))]
                 halves = [pa.array([None if p is None else (p >> s & (1 << 64) - 1) - (1 << 63) for p in prints], pa.int64()) for s in (64, 0)]
-                yield pa.RecordBatch.from_arrays([part.column(0), *halves, pa.array([r.tobytes() for r in sig.astype("<u2")], pa.binary())], ["doc_id", "fa", "fb", "sig"])
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), *halves, pa.array([r.tobytes() for r in sig.astype("<u2")], pa.binary())], ["doc_id", "row", "fa", "fb", "sig"])
 
-    rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    return rows.mapInArrow(signed, "doc_id long, fa long, fb long, sig binary")
+    rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), row_key(text).alias("row"), F.col(text).alias("text"))
+    return rows.mapInArrow(signed, "doc_id long, row long, fa long, fb long, sig binary")
+
+
+def row_key(text: str) -> Column:
+    """With the doc_id, what tells rows apart: rows of one doc_id and equal texts are copies in any case."""
+    return F.xxhash64(F.col(text))
 
 
 def buckets(reps: DataFrame) -> DataFrame:
@@ -168,56 +176,84 @@ def verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield tally(arrays["node"], table["copies"].to_numpy(), i, j)
 
 
-def join(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """One row for each row of ``docs``: doc_id, class_id, n_links, component_id, kept.
+def text_of(docs: DataFrame, heads: DataFrame, doc_id: str, text: str, repeats: bool) -> DataFrame:
+    """(node, text) for the given classes (node, doc_id, row), each from the row that stands for it."""
+    rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), row_key(text).alias("row"), F.col(text).alias("text"))
+    if heads.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:  # three numbers a row, so other texts aren't shuffled
+        heads = F.broadcast(heads)
+    found = rows.join(heads, ["doc_id", "row"]).select("node", "text")
+    return found.groupBy("node").agg(F.min("text").alias("text")) if repeats else found
 
-    Two documents are linked if the Jaccard similarity of their shingles is 0.8 or more. ``class_id`` is the
-    smallest doc_id of texts with the same words (case and white space don't count), ``n_links`` the number of
-    other documents that are linked directly, copies included, ``component_id`` the smallest doc_id that
-    links lead to, ``kept`` whether that is the document itself.
 
-    A text of one to four words has one shingle, of all its words. A null text, an empty one or one without
-    words is linked to nothing. Rows with a null doc_id come out with nulls, and kept. Rows with an equal
-    doc_id count as copies if their texts are equal, else as one document with several texts. An empty table
-    gives an empty one. Other columns are not looked at.
-    """
+def classified(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """For each row of ``docs``: doc_id, row, worded, class_id, n_links, component_id, kept. See ``join``."""
     rows = materialise(signatures(docs, doc_id, text), "signatures")
     known = rows.where("doc_id IS NOT NULL AND fa IS NOT NULL")
-    classes = materialise(known.groupBy("fa", "fb").agg(F.min("doc_id").alias("node"), F.count("*").alias("copies")), "classes")
-    reps = known.join(classes.withColumnRenamed("node", "doc_id"), ["fa", "fb", "doc_id"]).select(F.col("doc_id").alias("node"), "copies", "sig").distinct()
-    reps = materialise(reps, "representatives")
+    classes = known.groupBy("fa", "fb").agg(F.min(F.struct("doc_id", "row")).alias("head"), F.count("*").alias("copies"), F.any_value("sig").alias("sig"))
+    classes = materialise(classes.withColumn("node", F.monotonically_increasing_id()), "classes")
+    repeats = known.groupBy("doc_id", "row").count().where("count > 1").limit(1).count() > 0
+    reps = classes.select("node", "copies", "sig")
     members = buckets(reps).join(reps, "node").select(*TASK, "block", "node", "copies", "sig")
     schema = "band int, bucket long, lo int, hi int, block int, node long, copies long, sig binary"
     left = materialise(members.repartition(*TASK).sortWithinPartitions(*TASK).mapInArrow(surviving, schema), "candidates")
-    texts = docs.select(F.col(doc_id).cast("long").alias("node"), F.col(text).alias("text")).where("text IS NOT NULL")
-    with_text = left.join(texts, "node").select(*TASK, "block", "node", "copies", "sig", "text")
+    heads = materialise(left.select("node").distinct().join(classes.select("node", "head.*"), "node"), "heads")
+    with_text = left.join(text_of(docs, heads, doc_id, text, repeats), "node").select(*TASK, "block", "node", "copies", "sig", "text")
     found = materialise(with_text.repartition(*TASK).sortWithinPartitions(*TASK).mapInArrow(verified, "a long, b long, n long"), "links")
     links = found.where("b IS NULL").groupBy(F.col("a").alias("node")).agg(F.sum("n").alias("links"))
-    groups = components(found.where("b IS NOT NULL").select("a", "b"))
-    of_class = classes.join(links, "node", "left").join(groups, "node", "left")
-    of_class = of_class.select("fa", "fb", "node", (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("links"), F.coalesce("component", "node").alias("component"))
+    groups = materialise(components(found.where("b IS NOT NULL").select("a", "b")), "groups")
+    firsts = groups.join(classes.select("node", "head"), "node").groupBy("component").agg(F.min("head").alias("first"))
+    firsts = groups.join(firsts, "component").select("node", "first")
+    of_class = classes.select("fa", "fb", "node", "head", "copies").join(links, "node", "left").join(firsts, "node", "left")
+    of_class = of_class.select("fa", "fb", "head", (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("links"), F.coalesce("first", "head").alias("first"))
     own = F.col("doc_id")
-    return rows.select("doc_id", "fa", "fb").join(of_class, ["fa", "fb"], "left").select(
+    return rows.select("doc_id", "row", "fa", "fb").join(of_class, ["fa", "fb"], "left").select(
         "doc_id",
-        F.coalesce("node", own).alias("class_id"),
+        "row",
+        F.col("fa").isNotNull().alias("worded"),
+        F.when(own.isNotNull(), F.coalesce("head.doc_id", own)).alias("class_id"),
         F.when(own.isNotNull(), F.coalesce("links", F.lit(0))).alias("n_links"),
-        F.when(own.isNotNull(), F.coalesce("component", own)).alias("component_id"),
-        F.coalesce(own == F.coalesce("component", own), F.lit(True)).alias("kept"),
+        F.when(own.isNotNull(), F.coalesce("first.doc_id", own)).alias("component_id"),
+        (own.isNull() | F.col("first").isNull() | ((own == F.col("first.doc_id")) & (F.col("row") == F.col("first.row")))).alias("kept"),
     )
 
 
+def join(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """One row for each row of ``docs``: doc_id, class_id, n_links, component_id, kept.
+
+    Two documents are linked if the Jaccard similarity of their shingles is 0.8 or more. ``class_id`` is the
+    smallest doc_id of texts with the same words (case and white space don't count), ``n_links`` the number of
+    other documents that are linked directly, copies included, ``component_id`` the smallest doc_id that
+    links lead to, ``kept`` whether the row is the one of its component that stays: that of the smallest doc_id,
+    and among texts that share it, of the smallest ``row_key``.
+
+    A text of one to four words has one shingle, of all its words. A null text, an empty one or one without
+    words is linked to nothing, and kept. Rows with a null doc_id come out with nulls, and kept. Rows that share a
+    doc_id but not a text are documents of their own; rows equal in both are copies of each other, and all of them
+    are marked as kept if one is. An empty table gives an empty one. Other columns are not looked at.
+    """
+    return classified(docs, doc_id, text).drop("row", "worded")
+
+
 def deduplicate(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """``docs`` with one document of each linked group, that of the smallest doc_id; all columns stay.
+    """``docs`` with one document of each linked group, that marked as kept by ``join``; all columns stay.
 
-    Of rows that repeat a doc_id one stays. Rows with a null doc_id all stay.
+    Of rows equal in doc_id and text (with a word in it) the one whose other columns have the smallest hash
+    stays. Rows without a doc_id or without a word all stay. No text that is unlike all others is lost, whatever
+    doc_ids repeat.
     """
-    found = materialise(join(docs, doc_id, text).where("doc_id IS NOT NULL").select("doc_id", "kept"), "kept")
-    gone = found.where("NOT kept").select(F.col("doc_id").alias("_gone_id")).distinct()
-    left = docs.join(gone, docs[doc_id].cast("long") == gone["_gone_id"], "left_anti")
-    if found.groupBy("doc_id").count().where("count > 1").limit(1).count():
-        named = left.where(F.col(doc_id).isNotNull()).dropDuplicates([doc_id])
-        left = named.unionByName(left.where(F.col(doc_id).isNull()))
-    return left
+    found = materialise(classified(docs, doc_id, text).where("doc_id IS NOT NULL AND worded").select("doc_id", "row", "kept"), "kept")
+    keys = lambda side: (F.col(f"docs.`{doc_id}`").cast("long") == F.col(f"{side}.doc_id")) & (row_key(f"docs.`{text}`") == F.col(f"{side}.row"))
+    gone = found.where("NOT kept").select("doc_id", "row").distinct()
+    left = docs.alias("docs").join(gone.alias("gone"), keys("gone"), "left_anti")
+    again = found.where("kept").groupBy("doc_id", "row").count().where("count > 1").select("doc_id", "row")
+    if not again.limit(1).count():
+        return left
+    again = materialise(again, "repeated").alias("again")
+    once, many = left.alias("docs").join(again, keys("again"), "left_anti"), left.alias("docs").join(again, keys("again"), "left_semi")
+    whole = F.struct(*(F.col(f"`{c}`") for c in docs.columns))
+    others = F.xxhash64(F.to_json(whole))
+    one = many.groupBy(F.col(f"`{doc_id}`"), row_key(f"`{text}`")).agg(F.min_by(whole, others).alias("chosen"))
+    return once.unionByName(one.select("chosen.*"))
 
 
 def op4_ngram_join(spark, sf_dir: str) -> DataFrame:

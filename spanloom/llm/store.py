@@ -10,14 +10,23 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.types import StructType
 
 
+#: Paths of tables written by ``materialise`` that are still there.
+TABLES: dict[str, None] = {}
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """The folder named by spark.checkpoint.dir. Only where that is unset (tests), a new temporary one."""
+    """The folder named by spark.checkpoint.dir. Only in local mode (tests) a new temporary one, where that is unset."""
     sc = spark.sparkContext
     path = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir", None)
     if not path:
         set_dir = sc._jsc.sc().getCheckpointDir()
-        path = set_dir.get() if set_dir.isDefined() else "file://" + tempfile.mkdtemp(prefix="spanloom-")
-        sc.setCheckpointDir(path)
+        if set_dir.isDefined():
+            path = set_dir.get()
+        elif sc.master.startswith("local"):
+            path = "file://" + tempfile.mkdtemp(prefix="spanloom-")
+            sc.setCheckpointDir(path)
+        else:
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
     return path.rstrip("/")
 
 
@@ -36,11 +45,32 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = scratch_path(spark, name)
     df.write.parquet(path)
+    TABLES[path] = None
     return spark.read.schema(df.schema).parquet(path)
 
 
+def last_table() -> str:
+    """The path of the table that was written last."""
+    return next(reversed(TABLES))
+
+
+def release(spark: SparkSession, kept: set[str]) -> None:
+    """Remove all tables written by ``materialise`` but those kept. For when nothing that reads them is still to run."""
+    for path in [p for p in TABLES if p not in kept]:
+        remove(spark, path)
+
+
+def free_name(names: list[str], wanted: str) -> str:
+    """``wanted``, or it with underscores behind where a column has that name already."""
+    taken = {n.lower() for n in names}
+    while wanted.lower() in taken:
+        wanted += "_"
+    return wanted
+
+
 def remove(spark: SparkSession, path: str) -> None:
     """Delete a scratch folder through Hadoop's file system; a stopped session is left alone."""
+    TABLES.pop(path, None)
     sc = spark.sparkContext
     if sc._jsc is None:
         return
