@@ -6,7 +6,6 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -19,6 +18,8 @@ UNKNOWN = "und"
 BORDER = 1
 #: N-grams in a profile of a language and of a document.
 PROFILE_SIZE = 300
+#: Bytes of text that are worked on at once; a longer text is worked on alone.
+PIECE_BYTES = 4_000_000
 
 
 def letter_table() -> np.ndarray:
@@ -72,7 +73,7 @@ def learn_profiles(docs: DataFrame, text: str = "text", lang: str = "lang", size
     def counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         letters = letter_table()
         for batch in batches:
-            for part, texts in pieces(batch, text, 4_000_000):
+            for part, texts in pieces(batch, text, PIECE_BYTES):
                 langs = np.array(part.column(1).to_pylist(), object)
                 values = texts.to_pylist()
                 for one in dict.fromkeys(langs.tolist()):
@@ -130,9 +131,10 @@ def scorer(profiles: dict[str, list[int]], size: int = PROFILE_SIZE) -> Callable
 def identify(docs: DataFrame, profiles: dict[str, list[int]], text: str = "text", out: tuple[str, str] = ("lang_pred", "lang_score")) -> DataFrame:
     """Add the predicted language and a score, 1 less the normalised out-of-place distance, to every row.
 
-    Whole texts are read. A null text, an empty one, or one without a letter gives (``und``, 0). Ties between
-    languages go to the first by name. Without any profile every row is ``und``. All columns of ``docs`` are
-    kept; one that has an output name already is replaced. Empty tables give empty results.
+    Whole texts are read, however long. A null text, an empty one, or one without a letter gives (``und``, 0).
+    Ties between languages go to the first by name. Without any profile every row is ``und``. Equal rows get equal
+    predictions and all come out. All columns of ``docs`` are kept; one that has an output name already is
+    replaced. Empty tables give empty results.
     """
     for name in out:
         docs = docs.drop(name)
@@ -142,9 +144,10 @@ def identify(docs: DataFrame, profiles: dict[str, list[int]], text: str = "text"
     def predict(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         score = scorer(profiles)
         for batch in batches:
-            got = [score(t) for t in pc.fill_null(batch.column(at), "").to_pylist()]
-            arrays = [*batch.columns, pa.array([g[0] for g in got], pa.string()), pa.array([g[1] for g in got], pa.float64())]
-            yield pa.RecordBatch.from_arrays(arrays, [*batch.schema.names, *out])
+            for part, texts in pieces(batch, batch.schema.names[at], PIECE_BYTES):
+                got = [score(t) for t in texts.to_pylist()]
+                arrays = [*part.columns, pa.array([g[0] for g in got], pa.string()), pa.array([g[1] for g in got], pa.float64())]
+                yield pa.RecordBatch.from_arrays(arrays, [*batch.schema.names, *out])
 
     return docs.mapInArrow(predict, schema)
 

@@ -52,18 +52,18 @@ def source_rates(docs: DataFrame, source: str, weights: DataFrame | None, expone
     return weighed.select("_mix_source", rate.alias("_mix_rate"))
 
 
-def mix(docs: DataFrame, key: str = "doc_id", source: str = "source", weights: DataFrame | None = None, exponent: float = 0.5, budget: float = 1.0, seed: str = "mix") -> DataFrame:
+def mix(docs: DataFrame, key: str = "doc_id", source: str = "source", weights: DataFrame | None = None, exponent: float = 0.5, budget: float = 1.0, seed: str = "mix", out: tuple[str, str] = ("copy", "shuffle_key")) -> DataFrame:
     """Repeat every row a Poisson number of times, so that sources reach their target weights, and shuffle all.
 
     The number is drawn by inverting the distribution at a uniform hashed from seed and key, so it is the same
     in every run; rows with equal keys get equal numbers, a null key counts as the text ``null``, and a null
-    source is a source. The result has all columns of ``docs`` and ``copy`` (1, 2, ...) and ``shuffle_key``,
-    and lies in order of that key within tasks that are dealt by it. Columns that have these names already
-    are replaced. An empty table gives an empty one. No source needs to fit a task: rates are joined by
+    source is a source. The result has all columns of ``docs`` and those named by ``out``, the number of the copy
+    (1, 2, ...) and a shuffle key, and lies in order of that key within tasks that are dealt by it. Columns that have
+    these names already are replaced. Texts are never looked at, so any will do. An empty table gives an empty one. No source needs to fit a task: rates are joined by
     broadcast where sources are few, else on a salted key.
     """
     names = docs.columns
-    kept = [c for c in names if c not in ("copy", "shuffle_key")]
+    kept = [c for c in names if c not in out]
     rates = source_rates(docs, source, weights, exponent, budget)
     draws = F.greatest(F.lit(1), F.ceil(F.col("_mix_rate") / MEAN_OF_DRAW)).cast("int")
     rates = rates.where(F.col("_mix_rate") > 0).withColumn("_mix_draws", draws)
@@ -81,9 +81,9 @@ def mix(docs: DataFrame, key: str = "doc_id", source: str = "source", weights: D
         F.lit(0),
         lambda total, i: total + F.size(F.filter("_mix_cdf", lambda c: c < uniform(seed, row_key, i.cast("string")))),
     )
-    copies = joined.withColumn("_mix_times", times).where(F.col("_mix_times") > 0).withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("_mix_times"))))
-    shuffle_key = F.md5(F.concat_ws("|", F.lit(seed), row_key, F.col("copy").cast("string"), F.lit("place")).cast("binary"))
-    return copies.select(*kept, "copy", shuffle_key.alias("shuffle_key")).repartition("shuffle_key").sortWithinPartitions("shuffle_key")
+    copies = joined.withColumn("_mix_times", times).where(F.col("_mix_times") > 0).withColumn("_mix_copy", F.explode(F.sequence(F.lit(1), F.col("_mix_times"))))
+    shuffle_key = F.md5(F.concat_ws("|", F.lit(seed), row_key, F.col("_mix_copy").cast("string"), F.lit("place")).cast("binary"))
+    return copies.select(*kept, F.col("_mix_copy").alias(out[0]), shuffle_key.alias(out[1])).repartition(F.col(f"`{out[1]}`")).sortWithinPartitions(F.col(f"`{out[1]}`"))
 
 
 def op2_mixing(spark, sf_dir: str) -> DataFrame:

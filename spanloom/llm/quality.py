@@ -7,11 +7,11 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from spanloom.llm.store import wider
+from spanloom.llm.store import materialise, wider
+from spanloom.llm.words import pieces
 
 #: Character n-grams are hashed into this many columns.
 COLUMNS = 1 << 18
@@ -21,6 +21,10 @@ KIND_LENGTHS = (3, 4)
 REPEAT_LENGTHS = (1, 2, 3, 4)
 #: Labelled rows that are fitted on at most, those of smallest hash. The bound keeps the fit inside the driver.
 TRAINING_ROWS = 12_000
+#: Bytes of their indicators at most, a few thousand for a usual text and a million for the longest; rows past them aren't fitted on.
+TRAINING_BYTES = 192 << 20
+#: Bytes of text that are worked on at once; a longer text is worked on alone.
+PIECE_BYTES = 4_000_000
 #: Added to each count before ratios are taken.
 SMOOTHING = 1.0
 #: The share of the scaled weights against their mean magnitude.
@@ -158,8 +162,9 @@ def fit(rows: list[np.ndarray], good: np.ndarray) -> Model:
 def training_rows(docs: DataFrame, labels: DataFrame, label: str, key: str, text: str, most: int) -> tuple[list[np.ndarray], np.ndarray]:
     """The columns of at most ``most`` labelled documents, and whether they are good.
 
-    The chosen labels are few and bounded, so they are broadcast; ties and repeated rows all count. Rows with
-    a null label, key or text teach nothing.
+    The chosen labels are few and bounded, so they are broadcast. Rows equal in key, label and indicators count
+    once; texts that share a key all count. What comes to the driver is at most ``most`` rows and TRAINING_BYTES.
+    Rows with a null label, key or text teach nothing.
     """
     known = labels.where(F.col(label).isNotNull() & F.col(key).isNotNull()).select(F.col(key).alias("label_key"), F.col(label).cast("int").alias("label"))
     chosen = known.orderBy(F.xxhash64("label_key"), "label_key", "label").limit(most)
@@ -168,11 +173,21 @@ def training_rows(docs: DataFrame, labels: DataFrame, label: str, key: str, text
     def indicators(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kinds = kind_table()
         for batch in batches:
-            rows = [columns_of(t, kinds).astype("<u4").tobytes() for t in batch.column(2).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1).cast(pa.int64()), pa.array(rows, pa.binary())], ["label", "label_key", "columns"])
-
-    got = found.withColumn("label_key", F.xxhash64("label_key")).mapInArrow(indicators, "label int, label_key long, columns binary").toArrow()
-    got = got.sort_by([("label_key", "ascending"), ("label", "ascending"), ("columns", "ascending")]).slice(0, most)
+            for part, texts in pieces(batch, "text", PIECE_BYTES):
+                rows = [columns_of(t, kinds).astype("<u4").tobytes() for t in texts.to_pylist()]
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1).cast(pa.int64()), pa.array(rows, pa.binary())], ["label", "label_key", "columns"])
+
+    made = found.withColumn("label_key", F.xxhash64("label_key")).mapInArrow(indicators, "label int, label_key long, columns binary")
+    order = ["label_key", "label", "print"]
+    made = materialise(made.withColumn("print", F.xxhash64("columns")).dropDuplicates(order), "indicators")
+    sizes = made.select(*order, F.length("columns").alias("size")).orderBy(*order).limit(most).collect()
+    total = np.cumsum([r["size"] for r in sizes])
+    last = int(np.searchsorted(total, TRAINING_BYTES, side="right")) - 1
+    if last < 0:
+        return [], np.zeros(0, bool)
+    key, label, mark = sizes[last][:3]
+    upto = F.struct(*order) <= F.struct(F.lit(key).cast("long"), F.lit(label).cast("int"), F.lit(mark).cast("long"))
+    got = made.where(upto).toArrow().sort_by([(c, "ascending") for c in order])
     rows = [np.frombuffer(x.as_py(), "<u4").astype(np.int64) for x in got["columns"]]
     return rows, np.array(got["label"].to_pylist(), int) == 1
 
@@ -180,8 +195,9 @@ def training_rows(docs: DataFrame, labels: DataFrame, label: str, key: str, text
 def score(docs: DataFrame, model: Model, text: str = "text", out: str = "score") -> DataFrame:
     """Add the probability of the good class to every row, from its whole text; null counts as empty.
 
-    An empty text gets the score of the model's offset. All columns are kept, but for one named as the output,
-    which is replaced. There is no shuffle.
+    An empty text gets the score of the model's offset, one of any length is read whole, and equal texts get equal
+    scores. All rows and columns are kept, but for a column named as the output, which is replaced. An empty table
+    gives an empty one. There is no shuffle.
     """
     docs = docs.drop(out)
     at = docs.columns.index(text)
@@ -190,8 +206,9 @@ def score(docs: DataFrame, model: Model, text: str = "text", out: str = "score")
     def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own, kinds = Model(*shipped.value), kind_table()
         for batch in batches:
-            got = [own.score(columns_of(t, kinds)) for t in pc.fill_null(batch.column(at), "").to_pylist()]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(got, pa.float64())], [*batch.schema.names, out])
+            for part, texts in pieces(batch, batch.schema.names[at], PIECE_BYTES):
+                got = [own.score(columns_of(t, kinds)) for t in texts.to_pylist()]
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(got, pa.float64())], [*batch.schema.names, out])
 
     return docs.mapInArrow(scored, wider(docs, f"`{out}` double"))
 
