@@ -9,8 +9,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spanloom.llm import decontam, langid, mixing, ngram_join, sstable
-from spanloom.llm.store import materialise
+from spanloom.llm import decontam, langid, mixing, ngram_join, sstable, store
+from spanloom.llm.store import free_name
 
 #: Documents less like their nearest language than this go, as do those without a letter.
 LEAST_LANGUAGE_SCORE = 0.2
@@ -20,30 +20,56 @@ ORACLE_SQL = None
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep documents that resemble some language learned from the labelled ones; the others go."""
+    """Keep documents that resemble some language learned from the labelled ones; the others go.
+
+    Null and empty texts and those without a letter go. Equal rows share their fate; texts of any length are read
+    whole; ties between languages don't matter here. Without any label in the table all rows go, as no language is
+    known; an empty table gives an empty one. A null doc_id or source is no reason to go. All columns stay as they are.
+    """
     profiles = langid.learn_profiles(docs.where(~langid.held_out()))
-    scored = langid.identify(docs, profiles, out=("pipeline_lang", "pipeline_lang_score"))
-    kept = (F.col("pipeline_lang") != langid.UNKNOWN) & (F.col("pipeline_lang_score") >= LEAST_LANGUAGE_SCORE)
-    return scored.where(kept).select(*docs.columns)
+    names = free_name(docs.columns, "lang_pred"), free_name(docs.columns, "lang_score")
+    scored = langid.identify(docs, profiles, out=names)
+    return scored.where((F.col(names[0]) != langid.UNKNOWN) & (F.col(names[1]) >= LEAST_LANGUAGE_SCORE)).drop(*names)
 
 
 def fold_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep one document of each group that Jaccard links of 0.8 or more connect."""
+    """Keep one document of each group that Jaccard links of 0.8 or more connect.
+
+    That of the smallest doc_id stays; rows of one doc_id and different texts are documents of their own, of rows
+    equal in both one stays. Rows with a null doc_id, and null, empty and blank texts, all stay. Texts of any length
+    are compared whole. An empty table gives an empty one. All columns stay as they are.
+    """
     return ngram_join.deduplicate(docs)
 
 
 def drop_benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep documents that hold no passage of ``benchmark``."""
+    """Keep documents that hold no passage of ``benchmark``.
+
+    Null and empty texts hold none and stay, as do all rows where ``benchmark`` is empty; its null texts are passed
+    over. Equal rows share their fate, texts of any length are searched whole, and of several passages one is enough.
+    An empty table gives an empty one. All columns stay as they are.
+    """
     return decontam.decontaminate(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Repeat or leave out documents so that sources weigh the square root of their sizes, and shuffle."""
-    return mixing.mix(docs).select(*docs.columns)
+    """Repeat or leave out documents so that sources weigh the square root of their sizes, and shuffle.
+
+    A null source is a source; a null doc_id draws as the text ``null``; rows of equal doc_ids draw alike; texts,
+    null, empty or long, aren't looked at. An empty table gives an empty one. All columns stay as they are, also those
+    named like what mixing adds.
+    """
+    names = free_name(docs.columns, "copy"), free_name(docs.columns, "shuffle_key")
+    return mixing.mix(docs, out=names).drop(*names)
 
 
 def write_token_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Write shards of token ids; what comes back is each document's place and digest, read from them."""
+    """Write shards of token ids; what comes back is each document's place and digest, read from them.
+
+    A null or empty text is the end id alone; a long one is one entry. Rows come in order of doc_id, null first;
+    those that repeat one are entries of their own. An empty table gives no shard and no row. Only doc_id and text
+    are written, whatever other columns there are.
+    """
     return sstable.documents_round_trip(spark, docs)
 
 
@@ -59,6 +85,8 @@ STAGES = [
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over ``documents``, each one's rows written to the shared folder and read again."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    others = set(store.TABLES)
     for name, stage in STAGES:
-        docs = materialise(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+        docs = store.materialise(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+        store.release(spark, others | {store.last_table()})  # what this stage read and wrote on its way
     return docs
