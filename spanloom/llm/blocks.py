@@ -5,7 +5,7 @@ Pairs are made in numpy and come out as counts of links and a spanning forest, n
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -20,7 +20,7 @@ BLOCKS = ["lo", "hi"]
 TEXT_BYTES = 8_000_000
 
 
-def deal(members: DataFrame, keys: list[str], size: int = BLOCK) -> DataFrame:
+def deal(members: DataFrame, keys: list[str], size: int = BLOCK, carry: Sequence[str] = ()) -> DataFrame:
     """From members (``keys`` of a bucket, ``node``) those of tasks: keys, lo, hi, the node's own block, node.
 
     A bucket with one member makes no task. A bucket is dealt into blocks by a hash of the node, and every two
@@ -30,7 +30,7 @@ def deal(members: DataFrame, keys: list[str], size: int = BLOCK) -> DataFrame:
     blocks = F.ceil(F.col("size") / size).cast("int")
     found = members.join(sizes, keys).withColumn("blocks", blocks).withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
     found = found.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    return found.select(*keys, F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"), "block", "node")
+    return found.select(*keys, F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"), "block", "node", *carry)
 
 
 def pairs_in_groups(group: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:

@@ -10,6 +10,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.types import StructType
 
 
+#: Whether shuffle files go when a query has ended.
+SHUFFLE_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 #: Paths of tables written by ``materialise`` that are still there.
 TABLES: dict[str, None] = {}
 
@@ -40,11 +42,17 @@ def scratch_path(spark: SparkSession, name: str) -> str:
 def materialise(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` as Parquet into the shared folder and return it as read back.
 
-    Unlike localCheckpoint the rows outlive the executors that made them.
+    Unlike localCheckpoint the rows outlive the executors that made them. Files that were shuffled on the way are
+    no longer needed then, and are removed at once.
     """
     spark = df.sparkSession
     path = scratch_path(spark, name)
-    df.write.parquet(path)
+    before = spark.conf.get(SHUFFLE_CLEANUP, "false")
+    spark.conf.set(SHUFFLE_CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(SHUFFLE_CLEANUP, before)
     TABLES[path] = None
     return spark.read.schema(df.schema).parquet(path)
 

@@ -79,6 +79,17 @@ def test_join_edges(spark, messy, corpus, nothing, clashing):
     assert ngram_join.deduplicate(nothing).count() == 0
 
 
+def test_rows_that_share_an_id_keep_their_own_texts(spark):
+    a, x, y = (" ".join(f"{k}{i}" for i in range(80)) for k in "axy")
+    near = a.replace("a7 ", "b ")
+    rows = [(1, a, 1), (2, a, 2), (2, "unique words here", 3), (3, x, 4), (3, y, 5), (3, x, 6), (4, near, 7), (4, near.upper(), 8), (5, "", 9), (5, "", 10), (None, a, 11)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, row int")
+    kept = sorted((r.doc_id or 0, r.text) for r in ngram_join.deduplicate(docs).collect())
+    assert kept == sorted([(1, a), (2, "unique words here"), (3, x), (3, y), (5, ""), (5, ""), (0, a)])
+    found = ngram_join.join(docs).where("doc_id IN (1, 2, 4)").collect()
+    assert sorted((r.doc_id, r.class_id, r.n_links, r.component_id, r.kept) for r in found) == [(1, 1, 3, 1, True), (2, 1, 3, 1, False), (2, 2, 0, 2, True), (4, 4, 3, 1, False), (4, 4, 3, 1, False)]
+
+
 def test_pruning_keeps_what_reaches_the_threshold():
     fewest = ngram_join.fewest_matches()
     assert len(fewest) == ngram_join.VALUES // ngram_join.STEP and fewest == sorted(fewest)
@@ -138,10 +149,10 @@ def removed_lines(docs):
     for doc_id, text in sorted((d, t) for d, t in docs if d is not None and t is not None):
         for pos, line in enumerate(text.split("\n")):
             line = line.strip(line_dedup.WHITE)
-            if len(line) >= line_dedup.LEAST_CHARS and (doc_id, pos) not in places.setdefault(line, []):
+            if line and (doc_id, pos) not in places.setdefault(line, []):
                 places[line].append((doc_id, pos))
     lines = sorted(places)
-    roots = groups_of(lines, [(a, b) for i, a in enumerate(lines) for b in lines[:i] if edit_distance(a, b) <= line_dedup.EDITS])
+    roots = groups_of(lines, [(a, b) for i, a in enumerate(lines) for b in lines[:i] if abs(len(a) - len(b)) < 30 and edit_distance(a, b) <= max(min(2, min(len(a), len(b)) // 10), min(len(a), len(b)) // 20)])
     gone = {}
     for root in set(roots.values()):
         members = [m for m in lines if roots[m] == root]
@@ -190,6 +201,24 @@ def test_op9_takes_short_lines(spark, tmp_path):
     assert got == {0: (4, ""), 1: (4, "2,3"), 2: (2, "0"), 3: (1, "0")}
 
 
+def test_lines_of_rows_that_share_an_id(spark):
+    same, other = "a line that is repeated here", "precious unique line of the other row"
+    docs = spark.createDataFrame([(1, f"{same}\nfirst", 0), (5, f"{same}\nsecond", 0), (5, f"{other}\n{same}", 0), (5, f"{other}\n{same}", 1), (6, "seventh\nLes.", 0), (7, "Les.", 0), (8, "x\n\nx\n\n", 0)], "doc_id long, text string, _gone int")
+    got = sorted((r.doc_id, r.text, r._gone) for r in line_dedup.clean(docs).collect())
+    assert got == [(1, f"{same}\nfirst", 0), (5, other, 0), (5, other, 1), (5, "second", 0), (6, "seventh\nLes.", 0), (7, "", 0), (8, "x\n\n\n", 0)]
+    # Of two texts of the smallest doc_id one keeps the line.
+    twice = spark.createDataFrame([(1, f"{same}\none"), (1, f"two\n{same}"), (2, same)], "doc_id long, text string")
+    left = "\n".join(r.text for r in line_dedup.clean(twice).collect())
+    assert left.count(same) == 1 and "one" in left and "two" in left
+
+
+def test_very_common_lines_are_salted(spark, monkeypatch):
+    docs = spark.createDataFrame([(i, f"the very common line\nown {i * 7919 % 1000:04d} of this row {i}") for i in range(60)], "doc_id long, text string")
+    known = {(r.doc_id, tuple(r.removed)) for r in line_dedup.repeated(docs).collect()}
+    monkeypatch.setattr(line_dedup, "BROADCAST_ROWS", 0)
+    assert {(r.doc_id, tuple(r.removed)) for r in line_dedup.repeated(docs).collect()} == known and len(known) == 59
+
+
 def test_line_edges(spark, messy, corpus, nothing, clashing):
     got = {r.doc_id: r.removed for r in line_dedup.repeated(messy).collect()}
     assert got == removed_lines([(r[0], r[1]) for r in corpus])

@@ -1,7 +1,9 @@
 """Operators on single rows and files: token counts, mixing, shards, language, quality, WARC, decontamination."""
 
 import random
+import time
 import zlib
+from html.parser import HTMLParser
 
 import duckdb
 import numpy as np
@@ -10,7 +12,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from spanloom.llm import decontam, langid, mixing, quality, sstable, store, token_counts, warc, words
+from spanloom.llm import decontam, html_pass, langid, mixing, quality, sstable, store, token_counts, warc, words
 
 BYTE_BPE = public_tokenizers.path("byte_bpe_50k.json")
 
@@ -206,7 +208,7 @@ def plain_distance(pattern, text):
 def test_decontamination_against_plain_search(spark, messy, corpus, nothing, clashing):
     rng = random.Random(3)
     vocabulary = [f"w{i}" for i in range(300)]
-    items = [" ".join(rng.choice(vocabulary) for _ in range(n)) for n in (5, 6, 9, 10, 15, 23, 40, 59, 80)]
+    items = [" ".join(rng.choice(vocabulary) for _ in range(n)) for n in (1, 2, 3, 4, 5, 6, 9, 10, 15, 23, 40, 59, 80)]
     docs = []
     for _ in range(250):
         item = rng.choice(items).split()
@@ -234,6 +236,46 @@ def test_decontamination_against_plain_search(spark, messy, corpus, nothing, cla
     assert decontam.matches(nothing, leak).count() == 0
 
 
+@pytest.mark.parametrize("n", [5, 10, 25, 60, 150])
+def test_walks_reach_recall_and_leave_unrelated_windows(n):
+    rng = np.random.default_rng(n)
+    count = decontam.walks_for(decontam.length_class(n))
+    assert 0 < count <= decontam.MOST_WALKS
+    found = passed = 0
+    for _ in range(20):
+        words = rng.integers(1, 2**63, n).astype(np.uint64)
+        walks = decontam.Walks(words, count)
+        near = np.concatenate([decontam.edited(words, int(n * decontam.TOLERANCE), rng) for _ in range(50)])
+        far = rng.choice(np.append(words, rng.integers(1, 2**63, 49 * n).astype(np.uint64)), 50 * n)  # of fifty words, one is the item's
+        first = np.arange(50) * n
+        found += walks.agree(near, first, first, first + n).sum()
+        passed += walks.agree(far, first, first, first + n).sum()
+        assert walks.agree(words, np.zeros(1, int), np.zeros(1, int), np.full(1, n)).all()
+    assert found >= 0.99 * 1000 and passed < 0.05 * 1000, (count, found, passed)
+
+
+def test_items_beyond_the_walks_are_verified(monkeypatch):
+    rng = np.random.default_rng(0)
+    words = rng.integers(1, 2**63, 90).astype(np.uint64)
+    items = [decontam.Item(1, words[:30]), decontam.Item(2, words[30:60])]
+    texts = np.concatenate([words[60:75], decontam.edited(words[:30], 6, rng), words[75:], words[30:60]])
+    starts = np.array([0, 50, len(texts)])
+    n_walks = decontam.walks_for(decontam.length_class(30))
+    assert decontam.walks_for(decontam.MOST_WORDS + 1) == 0
+    got = [decontam.Matcher(items, {decontam.length_class(30): n}).find(texts, starts) for n in (n_walks, 0)]
+    assert got[0] == got[1] and {r[1] for r in got[0]} == {1, 2}
+    monkeypatch.setattr(decontam, "WALKS_AT_ONCE", 1)
+    assert decontam.Matcher(items, {decontam.length_class(30): n_walks}).find(texts, starts) == got[0]
+
+
+def test_items_come_in_blocks_of_bounded_size(spark, monkeypatch):
+    docs = spark.createDataFrame([(i, f"a b c d e f{i} g h i j") for i in range(30)], "doc_id long, text string")
+    items = spark.createDataFrame([(i, f"c d e f{i} g h") for i in range(20)], "item_id long, text string")
+    whole = sorted(map(tuple, decontam.matches(docs, items).collect()))
+    monkeypatch.setattr(decontam, "ITEM_BYTES", 60)
+    assert sorted(map(tuple, decontam.matches(docs, items).collect())) == whole and len(whole) == 600
+
+
 def test_words_and_shingles():
     texts = pa.array(["A b  c\nd e f", "", "x", "  ", "a b c d e f"], pa.large_string())
     hashes, starts = words.word_hashes(texts)
@@ -263,7 +305,85 @@ def test_warc_round_trip(spark):
         assert r.block_digest == warc.digest(r.block) and r.headers.get("WARC-Date") == origin.headers["WARC-Date"]
     text = next(r.block.decode() for r in got if r.type == "conversion" and r.target_uri == "http://a/é")
     assert text == "link\nOne\ntwo <3\nthree"
-    assert warc.page_metadata(html) == {"Head": {"Title": "A & b"}, "Links": [{"path": "A@/href", "url": "/x"}]}
+    assert html_pass.read_page(html)[1:] == ("A & b", [{"path": "A@/href", "url": "/x"}])
+    one_by_one = spark.read.format("binaryFile").load(source).where("length > 0").select("content").collect()
+    for file in one_by_one:  # each record is a member of its own, between members of nothing
+        member, rest, seen = zlib.decompressobj(31), bytes(file.content), []
+        while rest:
+            seen.append(member.decompress(rest))
+            member, rest = zlib.decompressobj(31), member.unused_data
+        assert seen[-1] == b"" and all(x.startswith(b"WARC/1.1\r\n") and x.endswith(b"\r\n\r\n") for x in seen[:-1])
     empty = store.scratch_path(spark, "test-nowarc")
     warc.write(warc.responses(pages.limit(0)), empty)
     assert warc.read(spark, empty).count() == 0
+
+
+class PlainReader(HTMLParser):
+    """Text, title and links by the standard library's parser, for pages whose elements are closed."""
+
+    def __init__(self):
+        super().__init__(convert_charrefs=True)
+        self.out, self.links, self.title, self.open = [], [], None, []
+
+    def handle_starttag(self, tag, attrs):
+        names = dict(reversed(attrs))
+        self.links += [{"path": f"{tag.upper()}@/{k}", "url": v.strip()} for k, v in dict.fromkeys((k, names[k]) for k, _ in attrs) if tag in html_pass.LINKING and k in ("href", "src") and v is not None]
+        if tag in ("head", "script", "style", "title", "noscript", "template", "svg"):
+            self.open.append(tag)
+        if tag in html_pass.BLOCKS:
+            self.out.append("\n")
+
+    def handle_endtag(self, tag):
+        if tag in self.open:
+            self.open.remove(tag)
+        if tag in html_pass.BLOCKS:
+            self.out.append("\n")
+
+    def handle_data(self, data):
+        if "title" in self.open and "svg" not in self.open and self.title is None:
+            self.title = " ".join(data.split())
+        if not self.open:
+            self.out.append(data)
+
+    def read(self, html):
+        self.feed(html)
+        self.close()
+        lines = (" ".join(line.split()) for line in "".join(self.out).split("\n"))
+        return "\n".join(line for line in lines if line), self.title, self.links
+
+
+def test_page_pass_equals_the_standard_parser(small):
+    import pyarrow.parquet as pq
+
+    pages = [p for p in pq.read_table(f"{small}/pages.parquet", columns=["html"]).column(0).to_pylist() if p]
+    pages += ['<a title="a>b" href="/x">link</a>', "<p>don't <i x='1>2' src=a>stay</i><br/>x", "<svg><title>t</title>in</svg>out<noscript><p>no</p></noscript>", "<img src=a.png alt='<a href=no>'> 1 < 2 <3"]
+    for page in pages:
+        assert html_pass.read_page(page) == PlainReader().read(page), page
+
+
+@pytest.mark.parametrize("unit", ["<a ", "<script>", "<!--", "<a title='", "<title>", "</", "<svg>", "<a href=", "<", "&", "<svg></head>", "a=<b c= "])
+def test_page_pass_is_linear(unit):
+    began = time.process_time()
+    html_pass.read_page(unit * (1_000_000 // len(unit)))
+    assert time.process_time() - began < 1
+
+
+def test_repeated_headers_and_damage():
+    assert warc.by_name(warc.http_parts(b"HTTP/1.1 200 OK\r\nA: 1\r\nB: 2\r\nA: 3\r\n\r\nx")[1]) == {"A": ["1", "3"], "B": "2"}
+    whole = warc.record([("X", "1"), ("X", "2")], b"abc") + warc.END.encode()
+    assert list(warc.parse_records([whole[:7], whole[7:], whole])) == [({"X": "1, 2", "Content-Length": "3"}, b"abc")] * 2
+    for cut in (9, len(whole) - 6):
+        with pytest.raises(ValueError):
+            list(warc.parse_records([whole[:cut]]))
+    import gzip
+
+    assert list(warc.parse_records(warc.inflated(gzip.compress(whole * 3)))) == list(warc.parse_records([whole])) * 3
+
+
+def test_lookup_by_bloom_and_index(spark):
+    docs = spark.createDataFrame([(i, f"text {i}" * (i % 5)) for i in range(300)] + [(7, "other"), (None, "x")], "doc_id long, text string").repartition(3)
+    path = store.scratch_path(spark, "test-lookup")
+    sstable.write(docs, path, BYTE_BPE, end_id=2)
+    every = sorted((r.doc_id is not None, r.doc_id, r.ids) for r in sstable.read(spark, path).collect())
+    got = sorted((r.doc_id is not None, r.doc_id, r.ids) for r in sstable.lookup(spark, path, [7, None, 299, 1000]).collect())
+    assert got == [x for x in every if x[1] in (7, None, 299)] and len(got) == 4
