@@ -27,7 +27,11 @@ def annotate(tokens: DataFrame) -> DataFrame:
 
 
 def runs(tagged: DataFrame) -> DataFrame:
-    """(doc_id, sent_idx, start_token, end_token, type): neighbouring tokens of one tag within a sentence."""
+    """(doc_id, sent_idx, start_token, end_token, type): neighbouring tokens of one tag within a sentence.
+
+    Rows are dealt by document, which serves the window, the aggregate, and what numbers mentions later.
+    """
+    tagged = tagged.repartition("doc_id")
     place = F.row_number().over(Window.partitionBy("doc_id", "sent_idx", "tag").orderBy("tok_idx"))
     islands = tagged.withColumn("island", F.col("tok_idx") - place).groupBy("doc_id", "sent_idx", F.col("tag").alias("type"), "island")
     return islands.agg(F.min("tok_idx").alias("start_token"), (F.max("tok_idx") + 1).alias("end_token")).drop("island")
@@ -46,8 +50,10 @@ def rule_mentions(tokens: DataFrame) -> DataFrame:
     The contexts make mentions that are nested, overlap, and reach over the end of a sentence.
     """
     found = runs(annotate(tokens))
-    wide = found.where("start_token % 2 = 0").select("doc_id", "sent_idx", F.lit("CTX").alias("type"), "start_token", (F.col("end_token") + 2).alias("end_token"))
-    return numbered(found.unionByName(wide).distinct())
+    span = lambda kind, end: F.struct(kind.alias("type"), end.alias("end_token"))
+    context = F.when(F.col("start_token") % 2 == 0, span(F.lit("CTX"), F.col("end_token") + 2))
+    both = F.filter(F.array(span(F.col("type"), F.col("end_token")), context), lambda x: x.isNotNull())
+    return numbered(found.select("doc_id", "sent_idx", "start_token", F.inline(both)))
 
 
 def as_struct(prefix: str = "") -> F.Column:
@@ -105,10 +111,19 @@ def align_raw(raw: DataFrame, tokens: DataFrame) -> DataFrame:
     The first token is the one that holds the start, else the first after it; the last token is the one whose
     end the span reaches into, else the last before it. Spans that no token meets come out with nulls.
     """
-    joined = raw.join(tokens.select("doc_id", "tok_idx", "char_start", "char_end"), "doc_id", "left")
-    start = F.min(F.when(F.col("char_end") > F.col("start"), F.col("tok_idx")))
-    end = F.coalesce(F.min(F.when((F.col("char_start") < F.col("end")) & (F.col("end") <= F.col("char_end")), F.col("tok_idx"))), F.max(F.when(F.col("char_end") < F.col("end"), F.col("tok_idx"))))
-    found = joined.groupBy("doc_id", "id", "type", "start", "end").agg(start.alias("start_token"), (end + 1).alias("end_token"))
+    # Tokens and the ends of spans in one order of places. From the right, the last token seen is the first that
+    # ends behind a place (for a start) or at it or behind it (for an end); from the left, the last that ends before.
+    key = ["doc_id", "id", "type", "start", "end"]
+    nothing = {c: F.lit(None).cast(t).alias(c) for c, t in raw.dtypes if c in key}
+    known = tokens.select("doc_id", F.col("char_end").alias("pos"), F.lit("token").alias("kind"), F.struct("tok_idx", "char_start").alias("tok"), *(nothing[c] for c in key[1:]))
+    spot = F.inline(F.array(F.struct(F.col("start").alias("pos"), F.lit("start").alias("kind")), F.struct(F.col("end").alias("pos"), F.lit("end").alias("kind"))))
+    asked = raw.select(*key).distinct().select("*", spot).withColumn("tok", F.lit(None).cast(known.schema["tok"].dataType))
+    both = known.unionByName(asked).repartition("doc_id")
+    from_right = Window.partitionBy("doc_id").orderBy(F.desc("pos"), F.when(F.col("kind") == "start", 0).when(F.col("kind") == "token", 1).otherwise(2)).rowsBetween(Window.unboundedPreceding, 0)
+    from_left = Window.partitionBy("doc_id").orderBy("pos", (F.col("kind") == "token").cast("int")).rowsBetween(Window.unboundedPreceding, 0)
+    seen = both.withColumns({"after": F.last("tok", ignorenulls=True).over(from_right), "before": F.last("tok.tok_idx", ignorenulls=True).over(from_left)}).where("kind <> 'token'")
+    reached = F.when(F.col("after.char_start") < F.col("pos"), F.col("after.tok_idx")).otherwise(F.col("before"))
+    found = seen.groupBy(*key).agg(F.max(F.when(F.col("kind") == "start", F.col("after.tok_idx"))).alias("start_token"), (F.max(F.when(F.col("kind") == "end", reached)) + 1).alias("end_token"))
     ok = F.col("start_token") < F.col("end_token")
     return found.withColumns({"start_token": F.when(ok, F.col("start_token")), "end_token": F.when(ok, F.col("end_token"))})
 

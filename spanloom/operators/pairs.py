@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from spanloom.functions import spans as S
+from spanloom.operators.asof import with_counts
 from spanloom.operators.mentions import as_struct
 
 Filter = Callable[[Column, Column], Column]
@@ -114,16 +115,13 @@ def with_entity_distance(pairs: DataFrame, mentions: DataFrame) -> DataFrame:
     Counting stops at the first mention that ends after the later start, so one that ends in time but comes
     after it isn't counted; this is less than a plain count.
     """
-    keyed = pairs.withColumns({"from_end": F.least("e1.end_token", "e2.end_token"), "to_start": F.greatest("e1.start_token", "e2.start_token")})
-    gaps = keyed.select("doc_id", "from_end", "to_start").distinct()
-    all_m = mentions.select("doc_id", F.col("ord").alias("m_ord"), F.col("start_token").alias("m_start"), F.col("end_token").alias("m_end"))
-    reach = Window.partitionBy("doc_id").orderBy("m_ord").rowsBetween(Window.unboundedPreceding, 0)
-    # The first mention that ends after a place is where the running maximum of ends first passes it.
-    running = all_m.withColumn("reach", F.max("m_end").over(reach))
-    near = gaps.join(running, "doc_id").where((F.col("reach") <= F.col("to_start")) & (F.col("m_start") >= F.col("from_end")))
-    counted = near.groupBy("doc_id", "from_end", "to_start").agg(F.count("*").alias("entity_distance"))
-    joined = keyed.join(counted, ["doc_id", "from_end", "to_start"], "left").drop("from_end", "to_start")
-    return joined.withColumn("entity_distance", F.coalesce("entity_distance", F.lit(0)))
+    m = mentions.select("doc_id", "ord", "start_token", "end_token")
+    # Mentions are in order of their starts. The first that ends after a place is where the running maximum of ends
+    # first passes it, so both bounds are places in this order, and what lies between is a difference of two counts.
+    reach = F.max("end_token").over(Window.partitionBy("doc_id").orderBy("ord").rowsBetween(Window.unboundedPreceding, 0))
+    counted = with_counts(pairs, F.least("e1.end_token", "e2.end_token"), m.select("doc_id", F.col("start_token").alias("pos")), "n_from")
+    counted = with_counts(counted, F.greatest("e1.start_token", "e2.start_token"), m.select("doc_id", reach.alias("pos")), "n_upto", inclusive=True)
+    return counted.withColumn("entity_distance", F.greatest(F.col("n_upto") - F.col("n_from"), F.lit(0))).drop("n_from", "n_upto")
 
 
 def with_mention_distance(pairs: DataFrame, mentions: DataFrame) -> DataFrame:
@@ -137,20 +135,39 @@ def with_mention_distance(pairs: DataFrame, mentions: DataFrame) -> DataFrame:
 
 
 def nearest_in_chain(mentions: DataFrame, chains: DataFrame, seekers: Column, targets: Column, most: int, strict: bool = False) -> DataFrame:
-    """For each seeking mention and each chain, the nearest member: one not to its right, else (unless strict) any.
+    """For each seeking mention and each chain one member within ``most`` by entity distance, or none.
 
-    Ties go to the first in order. Members are mentions that ``targets`` holds for; pairs are in order of place.
+    That is the nearest by token distance of those that begin no later, or if there is none or it is too far (and
+    not ``strict``) the nearest of all, if that isn't too far. Of equally near ones the first in order. Members are
+    mentions that ``targets`` holds for; pairs are in order of place. ``distance`` is the token distance.
     """
     m = mentions.join(chains.select("doc_id", "ent_id", "chain_id"), ["doc_id", "ent_id"], "left")
     seek = m.where(seekers).select("doc_id", as_struct().alias("s"))
     aim = m.where(targets & F.col("chain_id").isNotNull()).select("doc_id", "chain_id", as_struct().alias("t"))
-    joined = seek.join(aim, "doc_id").where(~S.same(F.col("s"), F.col("t")))
+    joined = seek.join(aim, "doc_id").where(F.col("s.ord") != F.col("t.ord"))
+    near = F.struct(S.token_distance(F.col("s"), F.col("t")).alias("distance"), F.col("t.ord").alias("ord"), F.col("t").alias("t"))
     left = F.col("t.start_token") <= F.col("s.start_token")
-    ranked = (joined.where(left) if strict else joined).withColumn("distance", S.token_distance(F.col("s"), F.col("t")))
-    order = Window.partitionBy("doc_id", "s", "chain_id").orderBy(F.desc(left), "distance", "t.ord")
-    best = ranked.withColumn("rank", F.row_number().over(order)).where("rank = 1").where(F.col("distance") <= most)
+    best = joined.groupBy("doc_id", "s", "chain_id").agg(F.min(F.when(left, near)).alias("on_left"), F.min(near).alias("anywhere"))
+    tries = F.array(*(F.struct(F.lit(i).alias("try"), F.col(c).alias("n")) for i, c in enumerate(["on_left"] if strict else ["on_left", "anywhere"])))
+    tried = best.select("doc_id", "s", "chain_id", F.inline(tries)).where("n IS NOT NULL")
+    first = F.col("s.ord") < F.col("n.t.ord")
+    pairs = tried.select("doc_id", "chain_id", "try", F.col("s.ord").alias("seeker"), F.when(first, F.col("s")).otherwise(F.col("n.t")).alias("e1"), F.when(first, F.col("n.t")).otherwise(F.col("s")).alias("e2"), F.col("n.distance").alias("distance"))
+    reached = with_entity_distance(pairs, mentions).where(F.col("entity_distance") <= most)
+    chosen = reached.groupBy("doc_id", "chain_id", "seeker").agg(F.min_by(F.struct("e1", "e2", "distance"), "try").alias("p"))
+    return chosen.select("doc_id", "chain_id", "p.*")
+
+
+def pronoun_pairs(mentions: DataFrame, chains: DataFrame, seekers: Column, targets: Column, most: int) -> DataFrame:
+    """Every seeking mention with each member of a chain that begins no later and is within ``most`` by entity distance.
+
+    Members are mentions that ``targets`` holds for; pairs are in order of place.
+    """
+    aim = mentions.where(targets).join(chains.select("doc_id", "ent_id", "chain_id"), ["doc_id", "ent_id"]).select("doc_id", "chain_id", as_struct().alias("t"))
+    seek = mentions.where(seekers).select("doc_id", as_struct().alias("s"))
+    joined = seek.join(aim, "doc_id").where((F.col("t.start_token") <= F.col("s.start_token")) & (F.col("t.ord") != F.col("s.ord")))
     first = F.col("s.ord") < F.col("t.ord")
-    return best.select("doc_id", "chain_id", F.when(first, F.col("s")).otherwise(F.col("t")).alias("e1"), F.when(first, F.col("t")).otherwise(F.col("s")).alias("e2"), "distance")
+    pairs = joined.select("doc_id", "chain_id", F.when(first, F.col("s")).otherwise(F.col("t")).alias("e1"), F.when(first, F.col("t")).otherwise(F.col("s")).alias("e2"))
+    return with_entity_distance(pairs, mentions).where(F.col("entity_distance") <= most)
 
 
 def chain_labelled(pairs: DataFrame, chains: DataFrame, label: str = "COREF") -> DataFrame:

@@ -9,7 +9,10 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -19,32 +22,90 @@ from spanloom.functions import text as T
 OPEN_ABBREVIATIONS = ["sp", "spp", "subsp", "approx", "i.e", "e.g", "b.i.d"]
 
 
-def _running(values: Column) -> Column:
-    """Sums of the elements before and up to each one."""
-    return F.aggregate(values, F.array(F.lit(0)), lambda sums, x: F.concat(sums, F.array(F.element_at(sums, -1) + x)))
+#: The bytes that part tokens, and the one that ends a line. They never stand inside a longer UTF-8 sequence.
+WHITE = np.isin(np.arange(256), np.frombuffer(b" \t\n\x0b\x0c\r", np.uint8))
+LINE_END = 10
+#: Bytes of text that are cut at once; a longer text is cut alone.
+PIECE_BYTES = 8_000_000
 
 
-def lines(docs: DataFrame) -> DataFrame:
-    """(doc_id, sent_idx, line, line_start, first_token) for each line that isn't blank; no shuffle."""
-    split = F.split("text", "\n")
-    parts = F.transform(split, lambda x: F.struct(x.alias("line"), F.size(F.regexp_extract_all(x, F.lit(r"\S+"), F.lit(0))).alias("n")))
-    described = docs.where(F.col("text").isNotNull()).select("doc_id", parts.alias("parts"))
-    described = described.select("doc_id", "parts", _running(F.transform("parts", lambda p: F.length(p["line"]) + 1)).alias("starts"), _running(F.transform("parts", lambda p: p["n"])).alias("firsts"), _running(F.transform("parts", lambda p: (p["n"] > 0).cast("int"))).alias("sents"))
-    rows = F.filter(F.transform("parts", lambda p, i: F.struct(F.get("sents", i).alias("sent_idx"), p["line"].alias("line"), F.get("starts", i).alias("line_start"), F.get("firsts", i).alias("first_token"), p["n"].alias("n"))), lambda r: r["n"] > 0)
-    return described.select("doc_id", F.inline(rows))
+def _cut(texts: pa.Array) -> dict[str, np.ndarray]:
+    """All tokens of some texts: the text's number, token and sentence number in it, character range, first byte and one behind the last.
+
+    Every array is made in time linear in the texts' bytes.
+    """
+    offsets = np.frombuffer(texts.buffers()[1], np.int64)[texts.offset : texts.offset + len(texts) + 1]
+    data = np.frombuffer(texts.buffers()[2] or b"", np.uint8)[offsets[0] : offsets[-1]]
+    begins = offsets - offsets[0]
+    white = WHITE[data]
+    edge = np.zeros(len(data) + 1, bool)  # a text's first byte begins a token, whatever stood before it
+    edge[begins] = True
+    solid = ~white
+    first = np.flatnonzero(solid & (edge[:-1] | np.append(True, white[:-1])))
+    last = np.flatnonzero(solid & (edge[1:] | np.append(white[1:], True))) + 1
+    text = np.searchsorted(begins, first, side="right") - 1
+    chars = np.concatenate([[0], np.cumsum((data & 0xC0) != 0x80)])  # characters before each byte
+    line = np.concatenate([[0], np.cumsum(data == LINE_END)])[first]
+    new_text = np.append(True, text[1:] != text[:-1])[: len(first)]
+    new_line = new_text | np.append(True, line[1:] != line[:-1])[: len(first)]
+    sentence = np.cumsum(new_line)
+    heads = np.flatnonzero(new_text)
+    of = np.cumsum(new_text) - 1
+    return {
+        "text": text,
+        "tok_idx": np.arange(len(first)) - heads[of],
+        "sent_idx": sentence - sentence[heads][of],
+        "char_start": chars[first] - chars[begins[text]],
+        "char_end": chars[last] - chars[begins[text]],
+        "bytes": data[solid],
+        "size": last - first,
+    }
+
+
+def _pieces(batch: pa.RecordBatch) -> Iterator[tuple[pa.Array, dict[str, np.ndarray]]]:
+    """Ids and cut tokens of a batch (doc_id, text), in slices of bounded size."""
+    ids, texts = batch.column(0), batch.column(1).cast(pa.large_string())
+    ends, at = np.cumsum(pc.binary_length(texts).to_numpy(zero_copy_only=False)), 0
+    while at < len(texts):
+        stop = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + PIECE_BYTES, side="right")))
+        yield ids.slice(at, stop - at), _cut(texts.slice(at, stop - at))
+        at = stop
 
 
 def tokens(docs: DataFrame) -> DataFrame:
-    """Runs of characters that aren't white space, each line a sentence; stays in one stage of generated code."""
-    pieces = lines(docs).select("doc_id", "sent_idx", "line_start", "first_token", F.regexp_extract_all("line", F.lit(r"\s*\S+"), F.lit(0)).alias("pieces"))
-    ended = pieces.withColumn("ends", F.slice(_running(F.transform("pieces", F.length)), F.lit(2), F.size("pieces")))
-    each = ended.select("doc_id", "sent_idx", "line_start", "first_token", F.posexplode(F.arrays_zip("pieces", "ends")).alias("i", "p"))
-    token, end = F.regexp_replace("p.pieces", r"^\s+", ""), F.col("line_start") + F.col("p.ends")
-    return each.select("doc_id", (F.col("first_token") + F.col("i")).alias("tok_idx"), "sent_idx", token.alias("token"), (end - F.length(token)).alias("char_start"), end.alias("char_end"))
+    """Runs of characters that aren't white space, each line that isn't blank a sentence; no shuffle.
+
+    Texts are cut in one pass over their bytes, so in linear time, whatever the length of a line or a document.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for ids, cut in _pieces(batch):
+                for at in range(0, len(cut["size"]), 200_000):
+                    part = slice(at, at + 200_000)
+                    offsets = np.concatenate([[0], np.cumsum(cut["size"][part])])
+                    base = int(cut["size"][:at].sum())
+                    words = pa.StringArray.from_buffers(len(offsets) - 1, pa.py_buffer(offsets.astype(np.int32)), pa.py_buffer(cut["bytes"][base : base + int(offsets[-1])]))
+                    numbers = [pa.array(cut[c][part].astype(np.int32)) for c in ("tok_idx", "sent_idx", "char_start", "char_end")]
+                    yield pa.RecordBatch.from_arrays([ids.take(pa.array(cut["text"][part])), *numbers[:2], words, *numbers[2:]], ["doc_id", "tok_idx", "sent_idx", "token", "char_start", "char_end"])
+
+    return docs.where("text IS NOT NULL").select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, tok_idx int, sent_idx int, token string, char_start int, char_end int")
 
 
 def sentences(docs: DataFrame) -> DataFrame:
-    return lines(docs).select("doc_id", "sent_idx", F.col("first_token").alias("start_token"), (F.col("first_token") + F.col("n")).alias("end_token"))
+    """(doc_id, sent_idx, start_token, end_token) of lines that aren't blank; no shuffle."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for ids, cut in _pieces(batch):
+                text, sent, tok = cut["text"], cut["sent_idx"], cut["tok_idx"]
+                if len(tok):
+                    first = np.flatnonzero(np.append(True, (text[1:] != text[:-1]) | (sent[1:] != sent[:-1])))
+                    last = np.append(first[1:], len(tok)) - 1
+                    numbers = [pa.array(x.astype(np.int32)) for x in (sent[first], tok[first], tok[last] + 1)]
+                    yield pa.RecordBatch.from_arrays([ids.take(pa.array(text[first])), *numbers], ["doc_id", "sent_idx", "start_token", "end_token"])
+
+    return docs.where("text IS NOT NULL").select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, sent_idx int, start_token int, end_token int")
 
 
 def paragraphs(docs: DataFrame) -> DataFrame:
@@ -59,17 +120,18 @@ def sentences_of(tokens: DataFrame) -> DataFrame:
 
 
 def _renumbered(parts: DataFrame) -> DataFrame:
-    """New token numbers for rows that carry their old one and a place in it."""
-    order = Window.partitionBy("doc_id").orderBy("tok_idx", "part")
-    return parts.select("doc_id", (F.row_number().over(order) - 1).alias("tok_idx"), "sent_idx", "token", "char_start", "char_end")
+    """New token numbers ``new_idx`` for rows that carry their old one and a place in it."""
+    return parts.withColumn("new_idx", F.row_number().over(Window.partitionBy("doc_id").orderBy("tok_idx", "part")) - 1)
 
 
 def _split(tokens: DataFrame, pieces: Column) -> DataFrame:
     """Tokens replaced by their pieces, which joined make up the token."""
-    zipped = tokens.withColumn("pieces", pieces).withColumn("starts", _running(F.transform("pieces", F.length)))
-    each = zipped.select("*", F.posexplode("pieces").alias("part", "piece"))
-    start = F.col("char_start") + F.get("starts", F.col("part"))
-    return _renumbered(each.select("doc_id", "tok_idx", "part", "sent_idx", F.col("piece").alias("token"), start.alias("char_start"), (start + F.length("piece")).alias("char_end")))
+    each = tokens.select("doc_id", "tok_idx", "sent_idx", "char_start", F.posexplode(pieces).alias("part", "token"))
+    before = Window.partitionBy("doc_id", "tok_idx").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    numbered = _renumbered(each)
+    start = F.col("char_start") + F.coalesce(F.sum(F.length("token")).over(before), F.lit(0)).cast("int")
+    placed = numbered.withColumn("start", start)
+    return placed.select("doc_id", "new_idx", "sent_idx", "token", F.col("start").alias("char_start"), (F.col("start") + F.length("token")).alias("char_end")).withColumnRenamed("new_idx", "tok_idx")
 
 
 def split_joined(tokens: DataFrame, delimiters: str) -> DataFrame:

@@ -52,16 +52,16 @@ def shortest_paths(spark, sf):
 
 
 def path_labels(spark, sf):
-    few = _steps(spark, sf).where("source % 50 = 0")
-    found = D.path_labels(few, _tree(spark, sf), subtree=True)
+    found = D.path_labels(_steps(spark, sf), _tree(spark, sf), subtree=True)
     n = lambda k: F.size(F.filter("found", lambda x: x == k)).cast("long")
-    return found.select("doc_id", "source", "target", n(1).alias("on_path"), n(2).alias("below"))
+    on_path = F.filter(F.transform("found", lambda x, i: F.when(x == 1, i)), lambda i: i.isNotNull())
+    return found.select("doc_id", "source", "target", F.array_join(on_path.cast("array<string>"), " ").alias("on_path"), n(2).alias("below"))
 
 
 def root_paths(spark, sf):
-    few = _steps(spark, sf).where("source % 50 = 0")
-    found = D.root_path(few.select("doc_id", "sent_idx", "source"), _tree(spark, sf))
-    return found.select("doc_id", "source", F.array_max("found").alias("steps"))
+    found = D.root_path(_steps(spark, sf).select("doc_id", "sent_idx", "source"), _tree(spark, sf))
+    steps = F.array_sort(F.filter(F.transform("found", lambda x, i: F.when(x >= 0, F.struct(x.alias("step"), i.alias("at")))), lambda x: x.isNotNull()))
+    return found.select("doc_id", "source", F.array_join(F.transform(steps, lambda x: x["at"].cast("string")), " ").alias("path"))
 
 
 def arcs(spark, sf):
@@ -124,7 +124,7 @@ def chain_groups(spark, sf):
 
 
 def similar_mentions(spark, sf):
-    m = base.mentions(spark, sf).where("type = 'CTX' AND ord < 60")
+    m = base.mentions(spark, sf).where("type = 'CTX'")
     tokens = base.tokens(spark, sf).withColumn("lemma", F.lower("token"))
     return C.similar_pairs(C.words_of(m, tokens, "lemma"))
 
@@ -154,13 +154,13 @@ STEPS = """WITH RECURSIVE up AS (
   UNION ALL SELECT doc_id, source, base, (node - 1) // 2, n + 1 FROM up WHERE node > 0)"""
 
 
-def _paths(rest: str) -> str:
+def _paths(rest: str, more: str = "") -> str:
     return "WITH RECURSIVE " + TOKENS.strip() + ", " + TREE + ", " + STEPS.removeprefix("WITH RECURSIVE ") + """,
     st AS (SELECT doc_id, sent_idx, tok_idx AS source, tok_idx + 4 AS target, tok_idx - k AS base FROM tr WHERE tok_idx % 5 = 0 AND tok_idx + 4 < end_token),
     mt AS (SELECT st.*, max(a.node) AS top FROM st JOIN up a ON a.doc_id = st.doc_id AND a.source = st.source JOIN up b ON b.doc_id = st.doc_id AND b.source = st.target AND b.node = a.node GROUP BY ALL),
     pt AS (SELECT mt.*, a.node, a.n AS place FROM mt JOIN up a ON a.doc_id = mt.doc_id AND a.source = mt.source AND a.node >= top
            UNION ALL SELECT mt.*, b.node, 1000 - b.n FROM mt JOIN up b ON b.doc_id = mt.doc_id AND b.source = mt.target AND b.node > top)
-    """ + rest
+    """ + more + " " + rest
 
 
 ORACLES = {
@@ -169,7 +169,13 @@ ORACLES = {
     "tree_breakups": oracle(TREE + " SELECT doc_id, tok_idx, head_dist > 0 AS forward, head_dist < 0 AS backward FROM tr"),
     "span_heads": oracle(TREE + " SELECT m.doc_id, m.ent_id, coalesce(min(tok_idx) FILTER (head_dist = 0), min(tok_idx) FILTER (tok_idx + head_dist < start_token OR tok_idx + head_dist >= m.end_token)) AS head FROM ment m LEFT JOIN tr ON tr.doc_id = m.doc_id AND tok_idx >= start_token AND tok_idx < m.end_token GROUP BY m.doc_id, m.ent_id", MENTIONS),
     "shortest_paths": _paths("SELECT doc_id, source, target, string_agg(base + node, ' ' ORDER BY place) AS path FROM pt GROUP BY ALL"),
-    "root_paths": oracle(TREE + " SELECT doc_id, tok_idx AS source, depth AS steps FROM tr WHERE tok_idx % 50 = 0 AND tok_idx + 4 < end_token"),
+    "root_paths": _paths("SELECT st.doc_id, st.source, string_agg(up.node, ' ' ORDER BY up.n) AS path FROM st JOIN up ON up.doc_id = st.doc_id AND up.source = st.source GROUP BY ALL"),
+    "path_labels": _paths(
+        "SELECT onp.doc_id, source, target, on_path, size.n - onp.n AS below FROM onp JOIN size ON size.doc_id = onp.doc_id AND size.base = onp.base AND size.node = onp.top",
+        """, every AS (SELECT doc_id, tok_idx - k AS base, k AS node FROM tr UNION ALL SELECT doc_id, base, (node - 1) // 2 FROM every WHERE node > 0),
+        size AS (SELECT doc_id, base, node, count(*) AS n FROM every GROUP BY ALL),
+        onp AS (SELECT doc_id, source, target, base, top, string_agg(node, ' ' ORDER BY node) AS on_path, count(*) AS n FROM pt GROUP BY ALL)""",
+    ),
     "arcs": oracle(TREE + f" SELECT a.doc_id, CASE WHEN b.tok_idx + b.head_dist = a.tok_idx THEN 'right' WHEN a.tok_idx + a.head_dist = b.tok_idx THEN 'left' END AS arc, count(*) AS n FROM tr a JOIN tr b ON a.doc_id = b.doc_id AND a.sent_idx = b.sent_idx AND b.tok_idx BETWEEN a.tok_idx + 1 AND a.tok_idx + {FAR} GROUP BY ALL"),
     "arc_types": oracle(TREE + " SELECT DISTINCT s || '_d' || k % 3 AS arc_type FROM tr, (SELECT unnest(['left', 'right']) AS s) WHERE head_dist <> 0 UNION ALL SELECT NULL"),
     "contrasted_arcs": oracle(

@@ -66,7 +66,7 @@ def initial_vectors(spark, sf):
 
 
 def padded_characters(spark, sf):
-    return base.tokens(spark, sf).where("tok_idx < 50").select("doc_id", "tok_idx", F.array_join(T.pad_characters(F.col("token"), 2, "_"), "").alias("chars"))
+    return base.tokens(spark, sf).select("doc_id", "tok_idx", F.array_join(T.pad_characters(F.col("token"), 2, "_"), "").alias("chars"))
 
 
 def _gold_and_predicted(spark, sf):
@@ -143,7 +143,7 @@ def segment_batches(spark, sf):
 
 
 def pad2d(spark, sf):
-    turns = spark.read.parquet(f"{sf}/conversations.parquet").select("conv_id", "turn", F.transform(F.slice(F.split("text", " "), 1, 6), F.length).alias("lens"), F.transform(F.slice(F.split("text", "[.]"), 1, 4), lambda s: F.transform(F.slice(F.split(s, " "), 1, 3), F.length)).alias("deep"))
+    turns = spark.read.parquet(f"{sf}/conversations.parquet").select("conv_id", "turn", F.transform(F.split("text", " "), F.length).alias("lens"), F.transform(F.split("text", "[.]"), lambda s: F.transform(F.split(s, " "), F.length)).alias("deep"))
     once = O.padded(turns, ["conv_id"], "lens", F.lit(0))
     made = O.padded_2d(once, ["conv_id"], "deep", F.lit(-1))
     return made.select("conv_id", "turn", F.array_join(F.col("lens").cast("array<string>"), ",").alias("lens"), F.array_join(F.transform("deep", lambda x: F.array_join(x.cast("array<string>"), ",")), ";").alias("deep"))
@@ -179,7 +179,7 @@ def down_sampled(spark, sf):
 
 
 def early_stopping(spark, sf):
-    turns = spark.read.parquet(f"{sf}/conversations.parquet").where("conv_id < 60").select((F.col("conv_id") * 100 + F.col("turn")).alias("epoch"), (F.length("text") % 3 == 0).alias("improved"))
+    turns = spark.read.parquet(f"{sf}/conversations.parquet").select((F.col("conv_id") * 100 + F.col("turn")).alias("epoch"), (F.length("text") % 3 == 0).alias("improved"))
     return O.stopped(turns, 4)
 
 
@@ -207,7 +207,7 @@ ORACLES = {
     "clip_signed": oracle("SELECT doc_id, tok_idx, least(greatest(tok_idx % 41 - 20, -8), 10) AS clipped, least(abs(tok_idx % 41 - 20), 6) AS unsigned FROM tok"),
     "bit_log": oracle("SELECT doc_id, tok_idx, CASE WHEN d = 0 THEN 0 ELSE CAST(sign(d) * (floor(log2(abs(d))) + 1) AS INTEGER) END AS bits FROM (SELECT *, tok_idx % 41 - 20 AS d FROM tok)"),
     "initial_vectors": oracle("SELECT DISTINCT lower(token) AS token, CASE lower(token) WHEN 'the' THEN 1.0 WHEN 'of' THEN 3.0 ELSE 0.0 END::DOUBLE AS v0, CASE lower(token) WHEN 'the' THEN 2.0 WHEN 'of' THEN 4.0 ELSE 0.0 END::DOUBLE AS v1 FROM tok"),
-    "padded_characters": oracle("SELECT doc_id, tok_idx, '__' || token || '__' AS chars FROM tok WHERE tok_idx < 50"),
+    "padded_characters": oracle("SELECT doc_id, tok_idx, '__' || token || '__' AS chars FROM tok"),
     "outcomes": oracle(OUTCOMES + " SELECT * FROM oc", MENTIONS),
     "prf_micro": oracle(OUTCOMES + f", ct AS (SELECT {COUNTS} FROM oc) SELECT tp, fp, fn, {SCORES} FROM ct", MENTIONS),
     "prf_macro": oracle(OUTCOMES + f", ct AS (SELECT doc_id, {COUNTS} FROM oc GROUP BY doc_id), sc AS (SELECT doc_id, {SCORES} FROM ct) SELECT avg(coalesce(precision, 0)) AS precision, avg(coalesce(recall, 0)) AS recall, avg(coalesce(f1, 0)) AS f1 FROM documents LEFT JOIN sc USING (doc_id)", MENTIONS),
@@ -235,8 +235,8 @@ ORACLES = {
     "neighbours_in_time": "SELECT event_id, lag(event_id) OVER w AS previous, lead(event_id) OVER w AS next FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)",
     "unprocessed": "SELECT event_id, user_id FROM events WHERE event_id % 3 <> 0",
     "down_sampled": oracle("nm AS (SELECT count(*) FILTER (type = 'NUM') AS p, count(*) FILTER (type <> 'NUM') AS n FROM runs) SELECT 'NUM' AS label, p AS n FROM nm WHERE p > 0 UNION ALL SELECT NULL, least(n, 2 * p) FROM nm", MENTIONS),
-    "early_stopping": "WITH ep AS (SELECT conv_id * 100 + turn AS epoch, length(text) % 3 = 0 AS improved FROM conversations WHERE conv_id < 60), rn AS (SELECT *, sum(CAST(improved AS INTEGER)) OVER (ORDER BY epoch) AS run FROM ep), bd AS (SELECT *, sum(CASE WHEN improved THEN 0 ELSE 1 END) OVER (PARTITION BY run ORDER BY epoch) AS bad FROM rn) SELECT epoch, improved, max(bad) OVER (ORDER BY epoch) >= 4 AS stopped FROM bd",
-    "pad2d": """WITH ls AS (SELECT conv_id, turn, list_transform(string_split(text, ' ')[1:6], lambda x: length(x)) AS l, list_transform(string_split(text, '.')[1:4], lambda s: list_transform(string_split(s, ' ')[1:3], lambda x: length(x))) AS d FROM conversations),
+    "early_stopping": "WITH ep AS (SELECT conv_id * 100 + turn AS epoch, length(text) % 3 = 0 AS improved FROM conversations), rn AS (SELECT *, sum(CAST(improved AS INTEGER)) OVER (ORDER BY epoch) AS run FROM ep), bd AS (SELECT *, sum(CASE WHEN improved THEN 0 ELSE 1 END) OVER (PARTITION BY run ORDER BY epoch) AS bad FROM rn) SELECT epoch, improved, max(bad) OVER (ORDER BY epoch) >= 4 AS stopped FROM bd",
+    "pad2d": """WITH ls AS (SELECT conv_id, turn, list_transform(string_split(text, ' '), lambda x: length(x)) AS l, list_transform(string_split(text, '.'), lambda s: list_transform(string_split(s, ' '), lambda x: length(x))) AS d FROM conversations),
     mx AS (SELECT *, max(len(l)) OVER w AS ml, max(len(d)) OVER w AS outer_n, max(list_max(list_transform(d, lambda x: len(x)))) OVER w AS inner_n FROM ls WINDOW w AS (PARTITION BY conv_id))
     SELECT conv_id, turn, array_to_string(list_transform(range(1, ml + 1), lambda i: coalesce(l[i], 0)), ',') AS lens, array_to_string(list_transform(range(1, outer_n + 1), lambda i: array_to_string(list_transform(range(1, inner_n + 1), lambda j: coalesce(d[i][j], -1)), ',')), ';') AS deep FROM mx""",
 }

@@ -88,8 +88,9 @@ def unquoted_mentions(spark, sf):
 QUERIES = {f"{s}_encode": _encode(s) for s in L.SYMBOLS} | {f"{s}_decode": _decode(s) for s in ("io", "bio", "bilou")}
 QUERIES |= {f.__name__: f for f in (possible_tags, adjust_sentences, merge_intersecting, illegal_overlaps, merged_relations, collapsed_tokens, collapsed_mentions, unquoted_tokens, unquoted_mentions)}
 
-ENCODE = """pl AS (SELECT *, coalesce(lag(end_token) OVER (PARTITION BY doc_id, type ORDER BY start_token) = start_token, false) AS follows FROM ment WHERE type <> 'CTX')
-SELECT t.doc_id, t.tok_idx, t.sent_idx, CASE WHEN pl.type IS NULL THEN 'O' ELSE {symbol} || '-' || pl.type END AS tag FROM tok t LEFT JOIN pl ON pl.doc_id = t.doc_id AND t.tok_idx >= pl.start_token AND t.tok_idx < pl.end_token"""
+ENCODE = """pl AS (SELECT *, coalesce(lag(end_token) OVER (PARTITION BY doc_id, type ORDER BY start_token) = start_token, false) AS follows FROM ment WHERE type <> 'CTX'),
+cov AS (SELECT *, unnest(range(start_token, end_token)) AS tok_idx FROM pl)
+SELECT t.doc_id, t.tok_idx, t.sent_idx, CASE WHEN pl.type IS NULL THEN 'O' ELSE {symbol} || '-' || pl.type END AS tag FROM tok t LEFT JOIN cov pl ON pl.doc_id = t.doc_id AND pl.tok_idx = t.tok_idx"""
 ENCODED = {
     "io": "'I'",
     "bio2": "CASE WHEN t.tok_idx = pl.start_token AND follows THEN 'B' ELSE 'I' END",

@@ -53,8 +53,10 @@ def sentence_of_mention(spark, sf):
 
 
 def paragraph_of_mention(spark, sf):
-    docs = base.documents(spark, sf)
-    return M.paragraph_of(base.mentions(spark, sf), G.paragraphs(docs)).select("doc_id", "ent_id", "par_idx")
+    """Paragraphs of three sentences each."""
+    thirds = base.sentences(spark, sf).groupBy("doc_id", F.floor(F.col("sent_idx") / 3).cast("int").alias("par_idx"))
+    paragraphs = thirds.agg(F.min("sent_idx").alias("start_sentence"), (F.max("sent_idx") + 1).alias("end_sentence"))
+    return M.paragraph_of(base.mentions(spark, sf), paragraphs).select("doc_id", "ent_id", "par_idx")
 
 
 def longest_paragraph(spark, sf):
@@ -73,7 +75,7 @@ def borders(spark, sf):
 def align_raw(spark, sf):
     tokens = base.tokens(spark, sf)
     raw = tokens.where("tok_idx % 5 = 0").select("doc_id", F.concat(F.lit("R"), "tok_idx").alias("id"), F.lit("X").alias("type"), (F.col("char_start") + F.col("tok_idx") % 2).alias("start"), (F.col("char_end") + F.col("tok_idx") % 4).alias("end"))
-    return M.align_raw(raw, tokens.where("tok_idx < 400")).select("doc_id", "id", "start_token", "end_token")
+    return M.align_raw(raw, tokens).select("doc_id", "id", "start_token", "end_token")
 
 
 def type_counts(spark, sf):
@@ -135,7 +137,12 @@ def _chains(spark, sf):
 
 def nearest_left(spark, sf):
     m = base.mentions(spark, sf)
-    return _ids(P.nearest_in_chain(m, _chains(spark, sf), F.col("type") == "NUM", F.col("type") == "CAP", 30), "chain_id", "distance")
+    return _ids(P.nearest_in_chain(m, _chains(spark, sf), F.col("type") == "NUM", F.col("type") == "CAP", 3), "chain_id", "distance")
+
+
+def pronoun_pairs(spark, sf):
+    m = base.mentions(spark, sf)
+    return _ids(P.pronoun_pairs(m, _chains(spark, sf), F.col("type") == "MAIL", F.col("type") == "CAP", 5), "chain_id", "entity_distance")
 
 
 def chain_labels(spark, sf):
@@ -169,7 +176,7 @@ def log_distance_pairs(spark, sf):
     return _pairs(spark, sf).groupBy(T.log_distance(d).alias("log_distance")).agg(F.count("*").alias("n"))
 
 
-QUERIES = {f.__name__: f for f in (rule_mentions, span_relations, distinct_spans, spans_at_tokens, span_contains_join, sentence_of_mention, paragraph_of_mention, longest_paragraph, most_nested, borders, align_raw, type_counts, filtered_types, candidate_pairs, resolved_relations, sentence_relations, labelled_pairs, argument_types, label_masks, band_pairs, nearest_left, chain_labels, entity_distance, mention_distance, layer_labels, labels_by_type, log_distance_pairs)}
+QUERIES = {f.__name__: f for f in (rule_mentions, span_relations, distinct_spans, spans_at_tokens, span_contains_join, sentence_of_mention, paragraph_of_mention, longest_paragraph, most_nested, borders, align_raw, type_counts, filtered_types, candidate_pairs, resolved_relations, sentence_relations, labelled_pairs, argument_types, label_masks, band_pairs, nearest_left, pronoun_pairs, chain_labels, entity_distance, mention_distance, layer_labels, labels_by_type, log_distance_pairs)}
 
 DIST = "greatest(0, greatest(a.start_token, b.start_token) - least(a.end_token, b.end_token) + 1)"
 COVERS = "({0}.start_token <= {1}.start_token AND {0}.end_token >= {1}.end_token)"
@@ -201,13 +208,16 @@ ORACLES = {
     "spans_at_tokens": _m("SELECT doc_id, CAST(unnest(range(start_token, end_token)) AS INTEGER) AS tok_idx, ent_id FROM ment"),
     "span_contains_join": _m(f"SELECT a.doc_id, a.ent_id AS container, b.ent_id AS mention FROM ment a JOIN ment b ON a.doc_id = b.doc_id AND {AB} WHERE a.type = 'CTX'"),
     "sentence_of_mention": _m("SELECT m.doc_id, ent_id, t.sent_idx FROM ment m JOIN tok t ON t.doc_id = m.doc_id AND t.tok_idx = m.start_token"),
-    "paragraph_of_mention": _m("SELECT doc_id, ent_id, 0 AS par_idx FROM ment"),
+    "paragraph_of_mention": _m("SELECT doc_id, ent_id, CAST(sent_idx // 3 AS INTEGER) AS par_idx FROM ment"),
     "longest_paragraph": oracle("SELECT greatest(1, max(t)) AS tokens, greatest(1, max(s)) AS sentences FROM (SELECT CAST(max(end_token) AS BIGINT) AS t, count(*) AS s FROM sent GROUP BY doc_id)"),
     "most_nested": _m("ov AS (SELECT doc_id, unnest(range(start_token, end_token)) AS tok_idx, type, end_token - start_token AS len, ord FROM ment), ag AS (SELECT doc_id, tok_idx, min_by(type, (len, ord)) AS entity_type, count(*) AS n FROM ov GROUP BY ALL) SELECT tok.doc_id, tok.tok_idx, entity_type, coalesce(n, 0) AS entity_depth FROM tok LEFT JOIN ag ON ag.doc_id = tok.doc_id AND ag.tok_idx = tok.tok_idx"),
     "borders": oracle("SELECT t.doc_id, tok_idx, CASE WHEN tok_idx = start_token THEN 'start' WHEN tok_idx = end_token - 1 THEN 'end' ELSE 'in' END AS border FROM tok t JOIN sent s ON s.doc_id = t.doc_id AND s.sent_idx = t.sent_idx"),
     "align_raw": oracle(
         """raw AS (SELECT doc_id, 'R' || tok_idx AS id, char_start + tok_idx % 2 AS s, char_end + tok_idx % 4 AS e FROM tok WHERE tok_idx % 5 = 0),
-        al AS (SELECT raw.doc_id, id, min(tok_idx) FILTER (char_end > s) AS st, coalesce(min(tok_idx) FILTER (char_start < e AND e <= char_end), max(tok_idx) FILTER (char_end < e)) + 1 AS en FROM raw LEFT JOIN tok ON tok.doc_id = raw.doc_id AND tok_idx < 400 GROUP BY raw.doc_id, id)
+        f1 AS (SELECT raw.*, t.tok_idx AS st FROM raw ASOF LEFT JOIN tok t ON raw.doc_id = t.doc_id AND raw.s < t.char_end),
+        f2 AS (SELECT f1.*, t.tok_idx AS over_idx, t.char_start AS over_start FROM f1 ASOF LEFT JOIN tok t ON f1.doc_id = t.doc_id AND f1.e <= t.char_end),
+        f3 AS (SELECT f2.*, t.tok_idx AS under_idx FROM f2 ASOF LEFT JOIN tok t ON f2.doc_id = t.doc_id AND f2.e > t.char_end),
+        al AS (SELECT doc_id, id, st, CASE WHEN over_start < e THEN over_idx ELSE under_idx END + 1 AS en FROM f3)
         SELECT doc_id, id, CASE WHEN st < en THEN st END AS start_token, CASE WHEN st < en THEN en END AS end_token FROM al"""
     ),
     "type_counts": _m("SELECT doc_id, type, count(*) AS n FROM ment GROUP BY ALL"),
@@ -221,9 +231,22 @@ ORACLES = {
     "band_pairs": _m(BAND.format(more="")),
     "nearest_left": _m(
         CHAINS
-        + f""", near AS (SELECT a.doc_id, a.ord AS o1, a.ent_id AS i1, b.ord AS o2, b.ent_id AS i2, chain_id, {DIST} AS distance, row_number() OVER (PARTITION BY a.doc_id, a.ord, chain_id ORDER BY b.start_token <= a.start_token DESC, {DIST}, b.ord) AS r
-        FROM ment a JOIN ment b ON a.doc_id = b.doc_id AND a.ord <> b.ord JOIN ch ON ch.doc_id = b.doc_id AND ch.ent_id = b.ent_id WHERE a.type = 'NUM' AND b.type = 'CAP')
-        SELECT doc_id, CASE WHEN o1 < o2 THEN i1 ELSE i2 END AS id1, CASE WHEN o1 < o2 THEN i2 ELSE i1 END AS id2, chain_id, distance FROM near WHERE r = 1 AND distance <= 30"""
+        + f""", rch AS (SELECT doc_id, ord, start_token, max(end_token) OVER (PARTITION BY doc_id ORDER BY ord) AS reach FROM ment),
+        cand AS (SELECT a.doc_id, a.ord AS o1, b.ord AS o2, chain_id, {DIST} AS distance, b.start_token <= a.start_token AS lft, least(a.end_token, b.end_token) AS lo, greatest(a.start_token, b.start_token) AS hi
+          FROM ment a JOIN ment b ON a.doc_id = b.doc_id AND a.ord <> b.ord JOIN ch ON ch.doc_id = b.doc_id AND ch.ent_id = b.ent_id WHERE a.type = 'NUM' AND b.type = 'CAP'),
+        two AS (SELECT *, 0 AS try FROM (SELECT *, row_number() OVER (PARTITION BY doc_id, o1, chain_id ORDER BY distance, o2) AS r FROM cand WHERE lft) WHERE r = 1
+          UNION ALL SELECT *, 1 FROM (SELECT *, row_number() OVER (PARTITION BY doc_id, o1, chain_id ORDER BY distance, o2) AS r FROM cand) WHERE r = 1),
+        dst AS (SELECT two.doc_id, o1, o2, chain_id, distance, try, count(m.ord) AS ed FROM two LEFT JOIN rch m ON m.doc_id = two.doc_id AND m.reach <= hi AND m.start_token >= lo GROUP BY ALL),
+        one AS (SELECT *, row_number() OVER (PARTITION BY doc_id, o1, chain_id ORDER BY try) AS r FROM dst WHERE ed <= 3)
+        SELECT one.doc_id, x.ent_id AS id1, y.ent_id AS id2, chain_id, distance FROM one JOIN ment x ON x.doc_id = one.doc_id AND x.ord = least(o1, o2) JOIN ment y ON y.doc_id = one.doc_id AND y.ord = greatest(o1, o2) WHERE r = 1"""
+    ),
+    "pronoun_pairs": _m(
+        CHAINS
+        + f""", rch AS (SELECT doc_id, ord, start_token, max(end_token) OVER (PARTITION BY doc_id ORDER BY ord) AS reach FROM ment),
+        cand AS (SELECT a.doc_id, a.ord AS o1, b.ord AS o2, chain_id, least(a.end_token, b.end_token) AS lo, greatest(a.start_token, b.start_token) AS hi
+          FROM ment a JOIN ment b ON a.doc_id = b.doc_id AND a.ord <> b.ord AND b.start_token <= a.start_token JOIN ch ON ch.doc_id = b.doc_id AND ch.ent_id = b.ent_id WHERE a.type = 'MAIL' AND b.type = 'CAP'),
+        dst AS (SELECT cand.doc_id, o1, o2, chain_id, count(m.ord) AS ed FROM cand LEFT JOIN rch m ON m.doc_id = cand.doc_id AND m.reach <= hi AND m.start_token >= lo GROUP BY ALL)
+        SELECT dst.doc_id, x.ent_id AS id1, y.ent_id AS id2, chain_id, ed AS entity_distance FROM dst JOIN ment x ON x.doc_id = dst.doc_id AND x.ord = least(o1, o2) JOIN ment y ON y.doc_id = dst.doc_id AND y.ord = greatest(o1, o2) WHERE ed <= 5"""
     ),
     "chain_labels": _m(CHAINS + f", pr AS ({BAND.format(more='')}) SELECT pr.doc_id, id1, id2, CASE WHEN c1.chain_id = c2.chain_id THEN 'COREF' END AS label FROM pr LEFT JOIN ch c1 ON c1.doc_id = pr.doc_id AND c1.ent_id = id1 LEFT JOIN ch c2 ON c2.doc_id = pr.doc_id AND c2.ent_id = id2"),
     "entity_distance": _m(
