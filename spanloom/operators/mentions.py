@@ -72,11 +72,28 @@ def at_tokens(mentions: DataFrame) -> DataFrame:
     return mentions.withColumn("tok_idx", F.explode(F.sequence("start_token", F.col("end_token") - 1)))
 
 
+#: Tokens of a bin in which mentions and the ranges that may hold them meet.
+BIN = 32
+
+
+def within(ranges: DataFrame, start: F.Column, end: F.Column, mentions: DataFrame, mention: str = "m") -> DataFrame:
+    """Rows of ranges (doc_id, ...) with each mention, as a struct, that begins at ``start`` or later and ends at ``end`` or before.
+
+    They meet in bins of tokens, each mention in the one that it begins in, so that a document's mentions and ranges
+    don't all meet.
+    """
+    names = ranges.columns
+    begun = mentions.select("doc_id", F.floor(F.col("start_token") / BIN).alias("bin"), F.struct(*(c for c in mentions.columns if c != "doc_id")).alias(mention))
+    spread = ranges.withColumn("bin", F.explode(F.sequence(F.floor(start / BIN), F.floor(F.greatest(start, end) / BIN))))
+    joined = spread.join(begun, ["doc_id", "bin"])
+    return joined.where((F.col(f"{mention}.start_token") >= start) & (F.col(f"{mention}.end_token") <= end)).select(*names, mention)
+
+
 def contained_in(inner: DataFrame, outer: DataFrame) -> DataFrame:
-    """Pairs (doc_id, container, mention) where the container covers the mention; joined on doc_id."""
+    """Pairs (doc_id, container, mention) where the container covers the mention."""
     a = outer.select("doc_id", as_struct().alias("container"))
-    b = inner.select("doc_id", as_struct().alias("mention"))
-    return a.join(b, "doc_id").where(S.contains(F.col("container"), F.col("mention")))
+    found = within(a, F.col("container.start_token"), F.col("container.end_token"), inner)
+    return found.select("doc_id", "container", as_struct("m.").alias("mention"))
 
 
 def sentence_of(mentions: DataFrame, tokens: DataFrame) -> DataFrame:

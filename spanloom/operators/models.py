@@ -66,13 +66,20 @@ def attention(states: np.ndarray, lengths: np.ndarray, query: np.ndarray, weight
     return np.einsum("bt,bth->bh", share, states)
 
 
+def _let(value: Column, body) -> Column:
+    """A body that uses a value many times but computes it once."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def masked_softmax(logits: Column, mask: Column) -> Column:
     """Probabilities of an array of logits; those with mask 0 get none."""
-    kept = F.zip_with(logits, mask, lambda x, m: F.when(m == 1, x))
-    top = F.array_max(F.filter(kept, lambda x: x.isNotNull()))
-    parts = F.transform(kept, lambda x: F.coalesce(F.exp(x - top), F.lit(0.0)))
-    total = F.aggregate(parts, F.lit(0.0), lambda s, x: s + x)
-    return F.transform(parts, lambda x: x / total)
+
+    def shares(kept: Column) -> Column:
+        parts = lambda top: F.transform(kept, lambda x: F.coalesce(F.exp(x - top), F.lit(0.0)))
+        total = lambda ps: F.aggregate(ps, F.lit(0.0), lambda s, x: s + x)
+        return _let(_let(F.array_max(kept), parts), lambda ps: _let(total(ps), lambda t: F.transform(ps, lambda x: x / t)))
+
+    return _let(F.zip_with(logits, mask, lambda x, m: F.when(m == 1, x)), shares)
 
 
 def cross_entropy(logits: Column, mask: Column, label: Column) -> Column:

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from spanloom.functions import spans as S
 from spanloom.operators.asof import with_counts
-from spanloom.operators.mentions import as_struct
+from spanloom.operators.mentions import as_struct, within
 
 Filter = Callable[[Column, Column], Column]
 
@@ -44,8 +44,21 @@ def none_of(*heuristics: Filter) -> Filter:
     return lambda a, b: ~reduce(lambda x, y: x | y, (F.coalesce(h(a, b), F.lit(False)) for h in heuristics))
 
 
-def candidates(mentions: DataFrame, keep: Filter | None = None, in_sentence: bool = False) -> DataFrame:
-    """All ordered pairs of a document's mentions that a filter keeps, a mention with itself included."""
+def candidates(mentions: DataFrame, keep: Filter | None = None, in_sentence: bool = False, near: int | None = None) -> DataFrame:
+    """All ordered pairs of a document's mentions that a filter keeps, a mention with itself included.
+
+    With ``near`` only those within so many tokens, and then only mentions meet that cover or neighbour one bin of
+    tokens, so that pairs don't grow with the square of a document's or a sentence's mentions. Each pair comes from
+    the first bin that both reach.
+    """
+    if near is not None:
+        size = max(near, 1)
+        reached = lambda: F.sequence(F.floor(F.col("start_token") / size), F.floor((F.col("end_token") + near) / size))
+        spread = mentions.select("doc_id", "sent_idx", as_struct().alias("m"), F.explode(reached()).alias("bin"), F.floor(F.col("start_token") / size).alias("first_bin"))
+        sides = [spread.select("doc_id", "bin", *(["sent_idx"] if in_sentence else []), F.col("m").alias(e), F.col("first_bin").alias(f"{e}_bin")) for e in ("e1", "e2")]
+        met = sides[0].join(sides[1], ["doc_id", "bin", *(["sent_idx"] if in_sentence else [])]).where(F.col("bin") == F.greatest("e1_bin", "e2_bin"))
+        found = met.select("doc_id", "e1", "e2").where(S.token_distance(F.col("e1"), F.col("e2")) <= near)
+        return found.where(keep(F.col("e1"), F.col("e2"))) if keep else found
     a = mentions.select("doc_id", F.col("sent_idx").alias("pair_sent"), as_struct().alias("e1"))
     b = mentions.select("doc_id", F.col("sent_idx").alias("pair_sent"), as_struct().alias("e2"))
     joined = a.join(b, ["doc_id", "pair_sent"]) if in_sentence else a.drop("pair_sent").join(b.drop("pair_sent"), "doc_id")
@@ -72,9 +85,10 @@ def labelled(pairs: DataFrame, relations: DataFrame) -> DataFrame:
 
 def in_sentence_relations(relations: DataFrame, sentences: DataFrame) -> DataFrame:
     """Relations both of whose arguments lie in one sentence."""
-    bounds = sentences.select("doc_id", F.struct("start_token", "end_token").alias("sentence"), F.col("sent_idx").alias("in_sent"))
+    begun = with_counts(relations, F.least("e1.start_token", "e2.start_token"), sentences.select("doc_id", F.col("start_token").alias("pos")), "place", inclusive=True)
+    placed = sentences.select("doc_id", F.row_number().over(Window.partitionBy("doc_id").orderBy("start_token")).alias("place"), F.struct("start_token", "end_token").alias("sentence"), F.col("sent_idx").alias("in_sent"))
     inside = S.contains(F.col("sentence"), F.col("e1")) & S.contains(F.col("sentence"), F.col("e2"))
-    return relations.join(bounds, "doc_id").where(inside).drop("sentence")
+    return begun.join(placed, ["doc_id", "place"]).where(inside).drop("sentence", "place")
 
 
 def resolve(raw: DataFrame, mentions: DataFrame, symmetric: list[str]) -> DataFrame:
@@ -100,13 +114,12 @@ def preceding(mentions: DataFrame, k: int) -> DataFrame:
 
 
 def training_pairs(mentions: DataFrame, chains: DataFrame) -> DataFrame:
-    """Neighbours in a chain, and every mention between their starts paired with the later one."""
+    """Neighbours in a chain, and with the later one every other mention that begins no earlier than the first and ends no later than the later."""
     order = Window.partitionBy("doc_id", "chain_id").orderBy("ord")
     linked = mentions.join(chains.select("doc_id", "ent_id", "chain_id"), ["doc_id", "ent_id"]).withColumn("me", as_struct())
     steps = linked.select("doc_id", F.col("me").alias("e1"), F.lead("me").over(order).alias("e2")).where("e2 IS NOT NULL")
-    others = mentions.select("doc_id", as_struct().alias("m"))
-    between = steps.join(others, "doc_id").where((F.col("m.ord") > F.col("e1.ord")) & (F.col("m.ord") < F.col("e2.ord")) & (F.col("m.start_token") >= F.col("e1.start_token")) & (F.col("m.end_token") <= F.col("e2.start_token")))
-    return steps.unionByName(between.select("doc_id", F.col("m").alias("e1"), "e2")).distinct()
+    between = within(steps, F.col("e1.start_token"), F.col("e2.end_token"), mentions).where("m.ord <> e1.ord AND m.ord <> e2.ord")
+    return steps.unionByName(between.select("doc_id", as_struct("m.").alias("e1"), "e2")).distinct()
 
 
 def with_entity_distance(pairs: DataFrame, mentions: DataFrame) -> DataFrame:
@@ -128,8 +141,8 @@ def with_mention_distance(pairs: DataFrame, mentions: DataFrame) -> DataFrame:
     """Pairs with ``mention_distance``: mentions that lie wholly between the two."""
     keyed = pairs.withColumns({"from_end": F.least("e1.end_token", "e2.end_token"), "to_start": F.greatest("e1.start_token", "e2.start_token")})
     gaps = keyed.select("doc_id", "from_end", "to_start").distinct()
-    m = mentions.select("doc_id", F.col("start_token").alias("m_start"), F.col("end_token").alias("m_end"))
-    between = gaps.join(m, "doc_id").where("m_start >= from_end AND m_end <= to_start").groupBy("doc_id", "from_end", "to_start").agg(F.count("*").alias("mention_distance"))
+    inside = within(gaps, F.col("from_end"), F.col("to_start"), mentions.select("doc_id", "start_token", "end_token"))
+    between = inside.groupBy("doc_id", "from_end", "to_start").agg(F.count("*").alias("mention_distance"))
     joined = keyed.join(between, ["doc_id", "from_end", "to_start"], "left").drop("from_end", "to_start")
     return joined.withColumn("mention_distance", F.coalesce("mention_distance", F.lit(0)))
 

@@ -22,6 +22,8 @@ from spanloom.functions import text as T
 OPEN_ABBREVIATIONS = ["sp", "spp", "subsp", "approx", "i.e", "e.g", "b.i.d"]
 
 
+#: Characters at which joined tokens are cut. Fixed values.
+DELIMITERS = "-–―‐−—‒‑─•·∙⋅·≥≤~∼≈|/\\∶†™®©∷'´׳"
 #: The bytes that part tokens, and the one that ends a line. They never stand inside a longer UTF-8 sequence.
 WHITE = np.isin(np.arange(256), np.frombuffer(b" \t\n\x0b\x0c\r", np.uint8))
 LINE_END = 10
@@ -134,7 +136,7 @@ def _split(tokens: DataFrame, pieces: Column) -> DataFrame:
     return placed.select("doc_id", "new_idx", "sent_idx", "token", F.col("start").alias("char_start"), (F.col("start") + F.length("token")).alias("char_end")).withColumnRenamed("new_idx", "tok_idx")
 
 
-def split_joined(tokens: DataFrame, delimiters: str) -> DataFrame:
+def split_joined(tokens: DataFrame, delimiters: str = DELIMITERS) -> DataFrame:
     """Cut tokens at delimiter characters; each of them becomes a token of its own."""
     within = "".join("\\" + c if c in r"\]^-[&" else c for c in delimiters)
     return _split(tokens, F.regexp_extract_all("token", F.lit(f"[{within}]|[^{within}]+"), F.lit(0)))
@@ -230,6 +232,16 @@ def fix_sentence_ends(tokens: DataFrame) -> DataFrame:
     return grouped.groupBy("doc_id", F.col("group").cast("int").alias("sent_idx")).agg(F.min("start_token").alias("start_token"), F.max("end_token").alias("end_token"))
 
 
+def post_processed(docs: DataFrame) -> dict[str, DataFrame]:
+    """Tokens and sentences of texts without citations, whose tokens are cut at delimiters and after initials, names
+    written in full, offsets those of the old texts, and sentences joined after abbreviations."""
+    cut = eliminate_citations(docs)
+    made = expand_names(split_names(split_joined(tokens(cut))))
+    start, end = restore_offsets(F.col("char_start"), F.col("char_end"), F.col("cuts"))
+    placed = made.join(cut.select("doc_id", "cuts"), "doc_id").select("doc_id", "tok_idx", "sent_idx", "token", start.alias("char_start"), end.alias("char_end"))
+    return {"tokens": placed, "sentences": fix_sentence_ends(placed)}
+
+
 def sentence_tails(tokens: DataFrame) -> DataFrame:
     """Sentences with their last token and the one before it, null in a sentence of one token."""
     before = F.lag("token").over(Window.partitionBy("doc_id", "sent_idx").orderBy("tok_idx"))

@@ -17,8 +17,7 @@ MOST_TOKENS = 12
 
 
 def _pairs(spark, sf):
-    keep = P.all_of(P.different(), P.within_tokens(MOST_TOKENS))
-    return P.candidates(base.mentions(spark, sf), keep, in_sentence=True)
+    return P.candidates(base.mentions(spark, sf), P.different(), in_sentence=True, near=MOST_TOKENS)
 
 
 def _ids(pairs, *more):
@@ -88,9 +87,9 @@ def filtered_types(spark, sf):
 
 
 def candidate_pairs(spark, sf):
-    keep = P.all_of(P.different(), P.same_sentence(), P.within_tokens(MOST_TOKENS), P.not_intersecting())
+    keep = P.all_of(P.different(), P.same_sentence(), P.not_intersecting())
     types = spark.createDataFrame([("CAP", "CAP"), ("CAP", "NUM"), ("NUM", "CTX")], "t1 string, t2 string")
-    return _ids(P.of_argument_types(P.candidates(base.mentions(spark, sf), keep, in_sentence=True), types))
+    return _ids(P.of_argument_types(P.candidates(base.mentions(spark, sf), keep, in_sentence=True, near=MOST_TOKENS), types))
 
 
 def _relations(spark, sf):
