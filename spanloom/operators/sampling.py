@@ -32,9 +32,9 @@ def with_place(df: DataFrame, order: list[str]) -> DataFrame:
         before[part], total = total, total + n
     if not before:
         return dealt.withColumns({"place": F.lit(0).cast("long"), "rows": F.lit(0).cast("long")}).select(*columns, "place", "rows")
-    base = F.element_at(F.create_map(*(F.lit(x) for pair in before.items() for x in pair)), F.col("part"))
-    place = base + F.row_number().over(Window.partitionBy("part").orderBy(*order)) - 1
-    return dealt.withColumns({"place": place.cast("long"), "rows": F.lit(total).cast("long")}).select(*columns, "place", "rows")
+    bases = F.broadcast(df.sparkSession.createDataFrame(sorted(before.items()), "part int, base long"))  # two numbers for each partition
+    place = F.col("base") + F.row_number().over(Window.partitionBy("part").orderBy(*order)) - 1
+    return dealt.join(bases, "part").withColumns({"place": place.cast("long"), "rows": F.lit(total).cast("long")}).select(*columns, "place", "rows")
 
 
 def top(df: DataFrame, score: str, order: str, k: int = 5) -> DataFrame:

@@ -9,7 +9,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from spanloom.operators import labels, segment
+from spanloom.operators import labels, rewrite, segment
+from spanloom.operators.chains import chain_relations
+from spanloom.operators.sampling import with_place
+from spanloom.operators.trees import span_heads
 
 
 def doc_key(name: Column) -> Column:
@@ -106,8 +109,11 @@ def _fields(docs: DataFrame) -> DataFrame:
     return numbered_lines(docs).select("doc_id", "name", "n", F.filter(F.split(bare, r"\s+"), lambda x: x != "").alias("f"))
 
 
-def factrueval(spark: SparkSession, path: str, blacklist: list[str] = (), keep_locorg: bool = True) -> dict[str, DataFrame]:
-    """Tokens, with sentences between blank lines, and mentions that reach over all spans of an object."""
+def factrueval(spark: SparkSession, path: str, blacklist: list[str] = (), keep_locorg: bool = True, collapse: bool = True) -> dict[str, DataFrame]:
+    """Tokens, with sentences between blank lines, and mentions that reach over all spans of an object.
+
+    Mentions that overlap become one, unless told not to ``collapse`` them; see ``rewrite.merge_intersecting``.
+    """
     f = lambda i: F.get("f", F.lit(i))
     rows = _fields(files(spark, path, ".tokens"))
     order = Window.partitionBy("doc_id").orderBy("n")
@@ -119,59 +125,113 @@ def factrueval(spark: SparkSession, path: str, blacklist: list[str] = (), keep_l
     objects = objects.select("doc_id", f(0).alias("ent_id"), f(1).alias("type"), F.explode(F.slice("f", 3, 1_000_000)).alias("span_id"))
     kind = F.col("type") if keep_locorg else F.when(F.col("type") == "LocOrg", "Location").otherwise(F.col("type"))
     mentions = objects.join(spans, ["doc_id", "span_id"]).groupBy("doc_id", "ent_id", kind.alias("type")).agg(F.min("s").alias("start_token"), F.max_by("e", "s").alias("end_token"))
+    if collapse:
+        order = Window.partitionBy("doc_id").orderBy("start_token", "end_token", "ent_id")
+        merged = rewrite.merge_intersecting(mentions.withColumn("ord", F.row_number().over(order) - 1))
+        mentions = merged.select("doc_id", F.col("new_id").alias("ent_id"), "type", "start_token", "end_token").distinct()
     return {"tokens": tokens.drop("own_id"), "mentions": mentions}
 
 
+def _numbered_files(spark: SparkSession, path: str) -> DataFrame:
+    """(doc_id, name, n, line) of a file's lines or those of all files below a folder, each numbered by itself."""
+    read = spark.read.option("recursiveFileLookup", "true").text(path, wholetext=True)
+    name = F.regexp_extract("_metadata.file_name", r"^(.*?)(\.[^.]*)?$", 1)
+    return numbered_lines(read.select(doc_key(F.col("_metadata.file_path")).alias("doc_id"), name.alias("name"), F.col("value").alias("text")))
+
+
+def _part_key() -> list[Column]:
+    """The key and the name of a document that is part of a file (doc_id, name), by its number ``part`` in it."""
+    return [F.xxhash64("doc_id", "part").alias("doc_id"), F.concat_ws("_", "name", "part").alias("name")]
+
+
 def conll(spark: SparkSession, path: str) -> dict[str, DataFrame]:
-    """Four columns a token, blank lines between sentences, ``-DOCSTART-`` before documents, which are numbered; tags in bio2."""
-    rows = numbered_lines(spark.read.text(path, wholetext=True).select(F.lit(0).cast("long").alias("doc_id"), F.lit("").alias("name"), F.col("value").alias("text")))
+    """Four columns a token, blank lines between sentences, ``-DOCSTART-`` before documents; tags in bio2.
+
+    Documents are named by file and number in it, so that any number of files can be read.
+    """
+    rows = _numbered_files(spark, path)
     order = Window.partitionBy("doc_id").orderBy("n")
     starts, blank = F.col("line").startswith("-DOCSTART-"), F.trim("line") == ""
     marked = rows.withColumn("d", F.sum(starts.cast("int")).over(order)).withColumn("s", F.sum((starts | blank).cast("int")).over(order)).where(~starts & ~blank)
     w = F.split(F.trim("line"), r"\s+")
-    dense = marked.select((F.dense_rank().over(Window.orderBy("d")) - 1).cast("long").alias("doc_id"), "s", "n", F.get(w, F.lit(0)).alias("token"), F.get(w, F.lit(1)).alias("pos"), F.get(w, F.lit(3)).alias("tag"))
+    parted = marked.withColumn("part", F.dense_rank().over(Window.partitionBy("doc_id").orderBy("d")) - 1)
+    dense = parted.select(*_part_key(), "s", "n", F.get(w, F.lit(0)).alias("token"), F.get(w, F.lit(1)).alias("pos"), F.get(w, F.lit(3)).alias("tag"))
     own = Window.partitionBy("doc_id")
-    tokens = dense.select("doc_id", (F.row_number().over(own.orderBy("n")) - 1).alias("tok_idx"), (F.dense_rank().over(own.orderBy("s")) - 1).alias("sent_idx"), "token", "pos", "tag")
+    tokens = dense.select("doc_id", "name", (F.row_number().over(own.orderBy("n")) - 1).alias("tok_idx"), (F.dense_rank().over(own.orderBy("s")) - 1).alias("sent_idx"), "token", "pos", "tag")
     return {"tokens": tokens, "mentions": labels.decode(tokens, "bio2")}
 
 
 def conllu(spark: SparkSession, path: str) -> DataFrame:
-    """Tokens of a CoNLL-U file, a document for each sentence: token, lemma, pos, feats as a map, head distance, label."""
-    rows = numbered_lines(spark.read.text(path, wholetext=True).select(F.lit(0).cast("long").alias("doc_id"), F.lit("").alias("name"), F.col("value").alias("text")))
+    """Tokens of CoNLL-U files, a document for each sentence, named by file and number in it: token, lemma, pos, feats as a map, head distance, label."""
     blank = (F.trim("line") == "").cast("int")
-    rows = rows.withColumn("s", F.sum(blank).over(Window.orderBy("n"))).where("line RLIKE '^[0-9]+\t'")
+    own = Window.partitionBy("doc_id")
+    rows = _numbered_files(spark, path).withColumn("s", F.sum(blank).over(own.orderBy("n"))).where("line RLIKE '^[0-9]+\t'")
+    rows = rows.withColumn("part", F.dense_rank().over(own.orderBy("s")) - 1)
     c = lambda i: F.get(F.split("line", "\t"), F.lit(i))
     feats = F.when(c(5) == "_", F.create_map().cast("map<string,string>")).otherwise(F.str_to_map(c(5), F.lit("[|]"), F.lit("=")))
     head = F.when(c(6) == "0", 0).otherwise(c(6).cast("int") - c(0).cast("int"))
-    return rows.select((F.dense_rank().over(Window.orderBy("s")) - 1).cast("long").alias("doc_id"), (c(0).cast("int") - 1).alias("tok_idx"), F.lit(0).alias("sent_idx"), c(1).alias("token"), c(2).alias("lemma"), c(3).alias("pos"), feats.alias("feats"), head.alias("head_dist"), c(7).alias("dt_label"))
+    return rows.select(*_part_key(), (c(0).cast("int") - 1).alias("tok_idx"), F.lit(0).alias("sent_idx"), c(1).alias("token"), c(2).alias("lemma"), c(3).alias("pos"), feats.alias("feats"), head.alias("head_dist"), c(7).alias("dt_label"))
+
+
+#: Kinds of mentions that count as pronouns, and those that count as nouns; others keep their kind. Fixed values.
+PRONOUN_KINDS = ["refl", "poss", "rel", "dem", "pron"]
+NOUN_KINDS = ["noun", "appo"]
 
 
 def rucor(spark: SparkSession, path: str) -> dict[str, DataFrame]:
-    """Tokens (sentences end at the grammeme SENT), mentions of nouns and pronouns, and their chains."""
-    read = lambda name, sep: spark.read.option("sep", sep).option("header", "true").option("quote", "").csv(f"{path}/{name}")
-    raw = read("Tokens.txt", "\t").toDF("doc", "shift", "length", "token", "lemma", "gram")
+    """Tokens, sentences (they end at the grammeme SENT, and never inside a mention), mentions, chains and all relations of chains.
+
+    Where ``TokensSpeech.txt`` is there too, tokens have its marks, and those that it lacks are left out. A mention
+    reaches from its first listed token to its last; one without attributes or kind is a noun.
+    """
+    read = lambda name, columns: spark.read.option("sep", "\t").option("header", "true").option("quote", "").option("pathGlobFilter", name).schema(", ".join(f"{c} string" for c in columns)).csv(path)
+    raw = read("Tokens.txt", ["doc", "shift", "length", "token", "lemma", "gram"])
     key = doc_key(F.col("doc")).alias("doc_id")
+    tokens = raw.select(key, F.col("doc").alias("name"), F.col("shift").cast("int").alias("shift"), "token", "lemma", "gram")
+    marks = ["speech", "said", "author_comment", "speech_verb"]
+    speech = read("TokensSpeech.txt", ["doc", "shift", "length", "token", *marks]).select(key, F.col("shift").cast("int").alias("shift"), *marks)
+    if speech.limit(1).count():
+        tokens = tokens.join(speech, ["doc_id", "shift"])
     order = Window.partitionBy("doc_id").orderBy("shift")
-    tokens = raw.select(key, F.col("shift").cast("int").alias("shift"), "token", "lemma", "gram")
     ended = F.coalesce(F.sum((F.col("gram") == "SENT").cast("int")).over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).cast("int")
     tokens = tokens.withColumns({"tok_idx": F.row_number().over(order) - 1, "sent_idx": ended})
-    groups = read("Groups.txt", "\t")
-    groups = groups.toDF(*["doc", "variant", "group_id", "chain_id", "link", "c5", "c6", "c7", "tk_shifts", "attributes", *groups.columns[10:]])
-    kind = F.when(F.coalesce("attributes", F.lit("")).contains("str:pron"), "pron").otherwise("noun")
-    places = groups.select(key, F.col("group_id").alias("ent_id"), "chain_id", kind.alias("type"), F.explode(F.split("tk_shifts", ",")).alias("shift")).withColumn("shift", F.col("shift").cast("int"))
-    mentions = places.join(tokens.select("doc_id", "shift", "tok_idx"), ["doc_id", "shift"]).groupBy("doc_id", "ent_id", "chain_id", "type").agg(F.min("tok_idx").alias("start_token"), (F.max("tok_idx") + 1).alias("end_token"))
-    return {"tokens": tokens.drop("shift"), "mentions": mentions.drop("chain_id"), "chains": mentions.select("doc_id", "ent_id", "chain_id")}
+    groups = read("Groups.txt", ["doc", "variant", "group_id", "chain_id", "link", "c5", "c6", "c7", "tk_shifts", "attributes"])
+    kind = F.coalesce(F.try_element_at(F.str_to_map(F.coalesce("attributes", F.lit("str:noun")), F.lit("[|]"), F.lit(":")), F.lit("str")), F.lit(""))
+    kind = F.when(kind.isin("", *NOUN_KINDS), "noun").when(kind.isin(PRONOUN_KINDS), "pron").otherwise(kind)
+    shifts = F.split("tk_shifts", ",")
+    ends = groups.select(key, F.col("group_id").alias("ent_id"), "chain_id", kind.alias("type"), F.element_at(shifts, 1).cast("int").alias("first"), F.element_at(shifts, -1).cast("int").alias("last"))
+    at = lambda shift, place: tokens.select("doc_id", F.col("shift").alias(shift), F.col("tok_idx").alias(place))
+    placed = ends.join(at("first", "start_token"), ["doc_id", "first"]).join(at("last", "last_token"), ["doc_id", "last"]).withColumn("end_token", F.col("last_token") + 1)
+    number = Window.partitionBy("doc_id").orderBy("start_token", "end_token", "ent_id")
+    mentions = placed.select("doc_id", "ent_id", "chain_id", "type", "start_token", "end_token", (F.row_number().over(number) - 1).alias("ord"))
+    chains = mentions.select("doc_id", "ent_id", "chain_id")
+    relations = chain_relations(mentions.drop("chain_id"), chains, every=True).withColumn("rel_type", F.lit("COREF"))
+    sentences = rewrite.adjust_sentences(segment.sentences_of(tokens), mentions)
+    return {"tokens": tokens.drop("shift"), "sentences": sentences, "mentions": mentions.drop("chain_id"), "chains": chains, "relations": relations}
+
+
+def retyped_by_head(mentions: DataFrame, tokens: DataFrame) -> DataFrame:
+    """Mentions typed anew: pronouns are those whose head is one by its part of speech, the rest are nouns."""
+    pos = tokens.select("doc_id", F.col("tok_idx").alias("head"), "pos")
+    headed = span_heads(mentions, tokens).join(pos, ["doc_id", "head"], "left")
+    return headed.withColumn("type", F.when(F.col("pos") == "PRON", "pron").otherwise("noun")).drop("head", "pos")
 
 
 def vectors(spark: SparkSession, path: str, header: bool) -> DataFrame:
-    """(token, vector) from word2vec text (with a header line, whose count bounds the rows) or GloVe text. Of equal words the first."""
-    rows = numbered_lines(spark.read.text(path, wholetext=True).select(F.lit(0).cast("long").alias("doc_id"), F.lit("").alias("name"), F.col("value").alias("text")))
+    """(token, vector) from word2vec text (with a header line, whose count bounds the rows) or GloVe text. Of equal words the first.
+
+    Files are read line by line, in splits; lines are in order of file and place in it.
+    """
+    rows = spark.read.text(path).select(F.struct(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("n")).alias("spot"), "value")
     if header:
-        most = int(rows.where("n = 0").select(F.split_part("line", F.lit(" "), F.lit(1))).first()[0])
-        rows = rows.where((F.col("n") > 0) & (F.col("n") <= most))
-    w = F.split(F.trim("line"), " ")
-    made = rows.select(F.get(w, F.lit(0)).alias("token"), F.transform(F.slice(w, 2, 1_000_000), lambda x: x.cast("double")).alias("vector"), "n")
-    return made.groupBy("token").agg(F.min_by("vector", "n").alias("vector"))
+        first = rows.orderBy("spot").first()
+        most = int(first["value"].split(" ")[0])
+        rows = rows.where(F.col("spot") != F.struct(F.lit(first["spot"]["file"]).alias("file"), F.lit(first["spot"]["block"]).cast("long").alias("block"), F.lit(first["spot"]["n"]).cast("long").alias("n")))
+        if rows.count() > most:
+            rows = with_place(rows, ["spot"]).where(F.col("place") < most).drop("place", "rows")
+    w = F.split(F.trim("value"), " ")
+    made = rows.select(F.get(w, F.lit(0)).alias("token"), F.transform(F.slice(w, 2, 1_000_000), lambda x: x.cast("double")).alias("vector"), "spot")
+    return made.groupBy("token").agg(F.min_by("vector", "spot").alias("vector"))
 
 
 def gazetteer(spark: SparkSession, path: str) -> DataFrame:

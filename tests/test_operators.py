@@ -153,11 +153,44 @@ def test_tabular_readers(spark, tmp_path):
     assert [(r.ent_id, r.type, r.start_token, r.end_token) for r in ev["mentions"].collect()] == [("7", "Location", 0, 3)]
     c = write_files(tmp_path, e__conll="-DOCSTART- -X- O O\n\nEU NNP I-NP I-ORG\nsays VB O O\n\nUN NNP I-NP I-ORG\n\n-DOCSTART- -X- O O\n\nx y z O\n")
     con = readers.conll(spark, c + "/e.conll")
-    assert [tuple(r) for r in con["tokens"].select("doc_id", "tok_idx", "sent_idx", "token").orderBy("doc_id", "tok_idx").collect()] == [(0, 0, 0, "EU"), (0, 1, 0, "says"), (0, 2, 1, "UN"), (1, 0, 0, "x")]
+    assert [tuple(r) for r in con["tokens"].select("name", "tok_idx", "sent_idx", "token").orderBy("name", "tok_idx").collect()] == [("e_0", 0, 0, "EU"), ("e_0", 1, 0, "says"), ("e_0", 2, 1, "UN"), ("e_1", 0, 0, "x")]
     assert con["mentions"].count() == 2
     u = write_files(tmp_path, f__conllu="# c\n1\tA\ta\tN\t_\tCase=Nom|Num=S\t2\tsubj\t_\t_\n2\tb\tb\tV\t_\t_\t0\troot\t_\t_\n\n1\tc\tc\tX\t_\t_\t0\troot\t_\t_\n")
-    rows = readers.conllu(spark, u + "/f.conllu").orderBy("doc_id", "tok_idx").collect()
-    assert [(r.doc_id, r.token, r.head_dist, r.feats) for r in rows] == [(0, "A", 1, {"Case": "Nom", "Num": "S"}), (0, "b", 0, {}), (1, "c", 0, {})]
+    rows = readers.conllu(spark, u + "/f.conllu").orderBy("name", "tok_idx").collect()
+    assert [(r.name, r.token, r.head_dist, r.feats) for r in rows] == [("f_0", "A", 1, {"Case": "Nom", "Num": "S"}), ("f_0", "b", 0, {}), ("f_1", "c", 0, {})]
+
+
+def test_folders_of_corpora_are_read_file_by_file(spark, tmp_path):
+    one = "-DOCSTART- -X- O O\n\na A x B-X\nb A x I-X\n\nc A x O\n"
+    path = write_files(tmp_path, one__conll=one, two__conll=one.replace("a A", "z A") + "\n-DOCSTART- -X- O O\n\ny A x I-Y\n")
+    got = readers.conll(spark, path)
+    assert [tuple(r) for r in got["tokens"].select("name", "tok_idx", "sent_idx", "token").orderBy("name", "tok_idx").collect()] == [("one_0", 0, 0, "a"), ("one_0", 1, 0, "b"), ("one_0", 2, 1, "c"), ("two_0", 0, 0, "z"), ("two_0", 1, 0, "b"), ("two_0", 2, 1, "c"), ("two_1", 0, 0, "y")]
+    assert sorted((r.start_token, r.end_token, r.type) for r in got["mentions"].collect()) == [(0, 1, "Y"), (0, 2, "X"), (0, 2, "X")]
+    (tmp_path / "v").mkdir()
+    (tmp_path / "v" / "w.txt").write_text("3 1\na 1\nb 2\na 3\nc 4\n")
+    assert {r.token: r.vector for r in readers.vectors(spark, str(tmp_path / "v" / "w.txt"), True).collect()} == {"a": [1.0], "b": [2.0]}
+
+
+def test_overlapping_mentions_of_a_corpus_become_one(spark, tmp_path):
+    f = write_files(tmp_path, d__tokens="10 0 2 Aa\n11 3 2 bb\n12 6 2 cc\n\n", d__spans="1 n 0 2 10 2\n2 n 6 2 11 2\n3 n 0 2 10 3\n", d__objects="7 Org 1\n8 Org 2\n9 Org 3\n")
+    kept = readers.factrueval(spark, f, collapse=False)["mentions"]
+    assert sorted((r.ent_id, r.start_token, r.end_token) for r in kept.collect()) == [("7", 0, 2), ("8", 1, 3), ("9", 0, 3)]
+    assert [(r.ent_id, r.type, r.start_token, r.end_token) for r in readers.factrueval(spark, f)["mentions"].collect()] == [("7", "Org", 0, 3)]
+
+
+def test_coreference_corpus(spark, tmp_path):
+    tokens = ["1\t0\t2\tHe\the\tP", "1\t3\t2\tand\tand\tC", "1\t7\t1\t.\t.\tSENT", "1\t9\t3\tMan\tman\tN", "1\t13\t1\t.\t.\tSENT"]
+    groups = ["1\t1\t10\t5\t0\t0\t0\t0\t0\tstr:refl|x:y", "1\t1\t11\t5\t10\t0\t0\t0\t9\t", "1\t1\t12\t6\t0\t0\t0\t0\t3,7,9\tstr:appo", "1\t1\t13\t5\t0\t0\t0\t0\t13\tstr:coll"]
+    path = write_files(tmp_path, Tokens__txt="\n".join(["doc_id\tshift\tlength\ttoken\tlemma\tgram", *tokens]) + "\n", Groups__txt="\n".join(["doc_id\tvariant\tgroup_id\tchain_id\tlink\tshift\tlength\tcontent\ttk_shifts\tattributes", *groups]) + "\n")
+    got = readers.rucor(spark, path)
+    assert sorted((r.ent_id, r.type, r.start_token, r.end_token) for r in got["mentions"].collect()) == [("10", "pron", 0, 1), ("11", "noun", 3, 4), ("12", "noun", 1, 4), ("13", "coll", 4, 5)]
+    assert [(r.start_token, r.end_token) for r in got["sentences"].collect()] == [(0, 5)]  # a mention reaches over the first end
+    assert sorted((r.first, r.second) for r in got["relations"].collect()) == [("10", "11"), ("10", "13"), ("11", "13")]
+    heads = spark.createDataFrame([(r.doc_id, r.tok_idx, 0, "PRON" if r.token == "Man" else "NOUN") for r in got["tokens"].collect()], "doc_id long, tok_idx int, head_dist int, pos string")
+    assert {r.ent_id: r.type for r in readers.retyped_by_head(got["mentions"], heads).collect()} == {"10": "noun", "11": "pron", "12": "noun", "13": "noun"}
+    (tmp_path / "TokensSpeech.txt").write_text("doc_id\tshift\tlength\ttoken\tspeech\tsaid\tauthor_comment\tspeech_verb\n1\t0\t2\tHe\tS\tO\tO\tO\n1\t9\t3\tMan\tO\tO\tO\tV\n")
+    marked = readers.rucor(spark, path)["tokens"].orderBy("tok_idx").collect()
+    assert [(r.token, r.speech, r.speech_verb, r.tok_idx) for r in marked] == [("He", "S", "O", 0), ("Man", "O", "V", 1)]
 
 
 def test_vectors_and_lists(spark, tmp_path):
