@@ -67,11 +67,6 @@ def first_of(*classified: DataFrame) -> DataFrame:
     return best.select("doc_id", "e1", "e2", F.col("b.label").alias("label"), F.lit(1.0).alias("score"))
 
 
-def is_exact_match(a: Column, b: Column, noun: str = NOUN) -> Column:
-    """As a heuristic on mention structs with ``words``: different nouns of equal sets of words."""
-    return (a["ord"] != b["ord"]) & (a["type"] == noun) & (b["type"] == noun) & (a["words"] == b["words"])
-
-
 def is_intersecting(a: Column, b: Column) -> Column:
     return S.intersects(a, b)
 

@@ -45,49 +45,23 @@ def _parts(tag: Column) -> tuple[Column, Column]:
 
 
 def decode(tagged: DataFrame, scheme: str) -> DataFrame:
-    """(doc_id, sent_idx, start_token, end_token, type) from (doc_id, tok_idx, sent_idx, tag), within sentences."""
-    if scheme == "bilou":
-        return _decode_by_fold(tagged, *SYMBOLS[scheme])
-    opening = SYMBOLS[scheme][0]
+    """(doc_id, sent_idx, start_token, end_token, type) from (doc_id, tok_idx, sent_idx, tag), within sentences.
+
+    With nothing open, a closing symbol is a span of one token and any other symbol opens one. With a span open, the
+    outside tag ends it before, another type or an opening symbol ends it before and opens a new one, and a closing
+    symbol ends it here. So a tag either opens for sure, or leaves nothing open, or leaves things as they were (a
+    closing symbol that would open anew), and what is open after a tag is what the last sure one said.
+    """
+    opening, closing = SYMBOLS[scheme]
     order = Window.partitionBy("doc_id", "sent_idx").orderBy("tok_idx")
     symbol, kind = _parts(F.col("tag"))
-    before = F.coalesce(F.lag("tag").over(order), F.lit(OUTSIDE))
-    begins = (F.col("tag") != OUTSIDE) & ((before == OUTSIDE) | (_parts(before)[1] != kind) | symbol.isin(opening))
-    islands = tagged.withColumn("island", F.sum(begins.cast("int")).over(order)).where(F.col("tag") != OUTSIDE)
-    grouped = islands.groupBy("doc_id", "sent_idx", "island").agg(F.min("tok_idx").alias("start_token"), (F.max("tok_idx") + 1).alias("end_token"), F.first(kind).alias("type"))
+    split = tagged.select("doc_id", "sent_idx", "tok_idx", (F.col("tag") == OUTSIDE).alias("outside"), symbol.alias("symbol"), kind.alias("kind"))
+    anew = F.col("symbol").isin(opening) | ~F.col("kind").eqNullSafe(F.lag("kind").over(order))
+    marked = split.withColumn("anew", anew)
+    sure = F.when(F.col("outside"), False).when(~F.col("symbol").isin(closing), True).when(~F.col("anew"), False)
+    after = marked.withColumn("open_after", F.coalesce(F.last(sure, ignorenulls=True).over(order.rowsBetween(Window.unboundedPreceding, 0)), F.lit(False)))
+    was_open = F.coalesce(F.lag("open_after").over(order), F.lit(False))
+    begun = after.withColumn("begins", (~F.col("outside") & (~was_open | F.col("anew"))).cast("int"))
+    islands = begun.withColumn("island", F.sum("begins").over(order)).where(~F.col("outside"))
+    grouped = islands.groupBy("doc_id", "sent_idx", "island").agg(F.min("tok_idx").alias("start_token"), (F.max("tok_idx") + 1).alias("end_token"), F.min_by("kind", "tok_idx").alias("type"))
     return grouped.drop("island")
-
-
-def fold_tags(tags: Column, opening: list[str], closing: list[str]) -> Column:
-    """Spans (start, end, type) of an array of tags by the history of what is open.
-
-    With nothing open, a closing symbol is a span of one token and any other symbol opens one. With a span
-    open, ``O`` ends it before, another type or an opening symbol ends it before and opens a new one, and a
-    closing symbol ends it here.
-    """
-    span = "struct<start: int, end: int, type: string>"
-    start = F.struct(F.lit(0).alias("i"), F.lit(-1).alias("open"), F.lit(None).cast("string").alias("kind"), F.array().cast(f"array<{span}>").alias("out"))
-
-    def made(s: Column, e: Column, t: Column) -> Column:
-        return F.array(F.struct(s.alias("start"), e.alias("end"), t.alias("type")))
-
-    def step(state: Column, tag: Column) -> Column:
-        symbol, kind = _parts(tag)
-        i, is_open, outside, closes = state["i"], state["open"] >= 0, tag == OUTSIDE, symbol.isin(closing)
-        anew = is_open & ~outside & ((kind != state["kind"]) | symbol.isin(opening))
-        out = F.when(~is_open & ~outside & closes, F.concat(state["out"], made(i, i + 1, kind)))
-        out = out.when(is_open & (outside | anew), F.concat(state["out"], made(state["open"], i, state["kind"])))
-        out = out.when(is_open & closes, F.concat(state["out"], made(state["open"], i + 1, state["kind"]))).otherwise(state["out"])
-        opens = anew | (~is_open & ~outside & ~closes)
-        ends = is_open & ~anew & (outside | closes)
-        now = F.when(opens, i).when(ends, -1).otherwise(state["open"])
-        return F.struct((i + 1).alias("i"), now.alias("open"), F.when(opens, kind).otherwise(state["kind"]).alias("kind"), out.alias("out"))
-
-    return F.aggregate(tags, start, step, lambda s: F.when(s["open"] >= 0, F.concat(s["out"], made(s["open"], s["i"], s["kind"]))).otherwise(s["out"]))
-
-
-def _decode_by_fold(tagged: DataFrame, opening: list[str], closing: list[str]) -> DataFrame:
-    ordered = F.array_sort(F.collect_list(F.struct("tok_idx", "tag")))
-    sentences = tagged.groupBy("doc_id", "sent_idx").agg(ordered.alias("tags"), F.min("tok_idx").alias("base"))
-    spans = fold_tags(F.transform("tags", lambda x: x["tag"]), opening, closing)
-    return sentences.select("doc_id", "sent_idx", "base", F.explode(spans).alias("s")).select("doc_id", "sent_idx", (F.col("base") + F.col("s.start")).alias("start_token"), (F.col("base") + F.col("s.end")).alias("end_token"), "s.type")

@@ -105,7 +105,7 @@ def relation_codes(spark, sf):
 def training_relations(spark, sf):
     """Relations that a filter of candidate pairs would let pass."""
     found = P.resolve(_relations(spark, sf), base.mentions(spark, sf), ["LIKE"])
-    keep = P.none_of(lambda a, b: S.intersects(a, b), lambda a, b: S.token_distance(a, b) > 9)
+    keep = P.all_of(P.none_of(R.is_intersecting), P.within_tokens(9))
     return _ids(found.where(keep(F.col("e1"), F.col("e2"))), "rel_type")
 
 

@@ -121,6 +121,15 @@ up AS (SELECT qt.*, ct.tok_idx IS NULL AS kept, CAST(sum(CASE WHEN ct.tok_idx IS
 ORACLES = {f"{s}_encode": oracle(ENCODE.format(symbol=x), MENTIONS) for s, x in ENCODED.items()}
 ORACLES |= {f"{s}_decode": oracle(DECODE.format(symbols=x, n=len(x)), TOKENS) for s, x in (("io", "I"), ("bio", "BI"))}
 ORACLES |= {
+    "bilou_decode": oracle(
+        """tg AS (SELECT doc_id, sent_idx, tok_idx, length(token) % 3 = 0 AS outside, substr('BILU', CAST(ord(token) % 4 + 1 AS INTEGER), 1) AS sym, CASE WHEN length(token) % 2 = 0 THEN 'X' ELSE 'Y' END AS kind FROM tok),
+        pv AS (SELECT *, CASE WHEN lag(outside) OVER w THEN 'O' ELSE lag(kind) OVER w END AS pk FROM tg WINDOW w AS (PARTITION BY doc_id, sent_idx ORDER BY tok_idx)),
+        st AS (SELECT *, coalesce(last_value(CASE WHEN outside THEN 0 WHEN sym IN ('B', 'I') THEN 1 WHEN sym = 'L' AND kind = pk THEN 0 END IGNORE NULLS) OVER (PARTITION BY doc_id, sent_idx ORDER BY tok_idx ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), 0) AS open_after FROM pv),
+        bg AS (SELECT *, NOT outside AND (coalesce(lag(open_after) OVER w, 0) = 0 OR kind <> pk OR sym IN ('B', 'U')) AS b FROM st WINDOW w AS (PARTITION BY doc_id, sent_idx ORDER BY tok_idx)),
+        sp AS (SELECT *, sum(CAST(b AS INTEGER)) OVER (PARTITION BY doc_id, sent_idx ORDER BY tok_idx) AS island FROM bg)
+        SELECT doc_id, sent_idx, min(tok_idx) AS start_token, max(tok_idx) + 1 AS end_token, min_by(kind, tok_idx) AS type FROM sp WHERE NOT outside GROUP BY doc_id, sent_idx, island""",
+        TOKENS,
+    ),
     "possible_tags": oracle("SELECT DISTINCT s || '-' || type AS tag FROM ment, (SELECT unnest(['B', 'I', 'L', 'U']) AS s) UNION SELECT 'O'", MENTIONS),
     "adjust_sentences": oracle(
         """cr AS (SELECT s.doc_id, s.sent_idx, EXISTS (SELECT 1 FROM ment m WHERE m.doc_id = s.doc_id AND m.start_token < s.start_token AND m.end_token > s.start_token) AS crossed FROM sent s),
