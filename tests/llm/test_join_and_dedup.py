@@ -244,6 +244,32 @@ def test_vectors_against_all_pairs(spark):
         assert {i: r.component_id for i, r in got.items()} == groups_of(range(len(y)), linked)
 
 
+@pytest.mark.parametrize("rows", [10_000, 10**7, 4 * 10**8])
+def test_pivots_grow_and_keep_recall(spark, rows, monkeypatch):
+    rng = np.random.default_rng(2)
+    base = rng.normal(size=(400, 64))
+    base /= np.linalg.norm(base, axis=1, keepdims=True)
+    off = rng.normal(size=base.shape)
+    off -= (off * base).sum(1, keepdims=True) * base
+    near = 0.9805 * base + np.sqrt(1 - 0.9805**2) * off / np.linalg.norm(off, axis=1, keepdims=True)
+    far = 0.975 * base + np.sqrt(1 - 0.975**2) * off / np.linalg.norm(off, axis=1, keepdims=True)
+    vectors = np.concatenate([base, near, -far])
+    count = pivots.pivots_for(rows)
+    assert count == {10_000: 64, 10**7: 297, 4 * 10**8: 1015}[rows]
+    monkeypatch.setattr(pivots, "pivots_for", lambda _: count)
+    table = [(i, v.tolist(), 1) for i, v in enumerate(vectors)]
+    got = {r.vec_id: r for r in pivots.join(spark.createDataFrame(table, "vec_id long, embedding array<double>, label int")).collect()}
+    linked = sum(got[i].n_links == 1 and got[i + 400].component_id == i for i in range(400))
+    assert linked >= 0.98 * 400 and all(got[i].n_links == 0 for i in range(800, 1200))
+
+
+def test_vectors_that_share_an_id(spark):
+    a, b, c = [1.0, 0.0, 0.0], [0.0, 1.0, 0.0], [0.0, 0.0, 1.0]
+    rows = [(1, a, 1), (2, b, 1), (2, a, 1), (3, b, 1), (3, b, 1), (4, c, 1), (4, c, 2)]
+    got = sorted((r.vec_id, r.n_links, r.component_id, r.kept) for r in pivots.join(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")).collect())
+    assert got == [(1, 1, 1, True), (2, 1, 1, False), (2, 1, 2, True), (3, 1, 2, False), (3, 1, 2, False), (4, 0, 4, True), (4, 0, 4, True)]
+
+
 def test_vector_edges(spark):
     nan, inf = float("nan"), float("inf")
     one, other = [1.0, 2.0, 3.0], [2.0, 4.0, 6.0]
