@@ -7,12 +7,17 @@ are the parallel unit.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from spanloom.functions import spans as S
 from spanloom.functions import text as T
+from spanloom.operators.grouped import whole_documents
 from spanloom.operators.mentions import as_struct
 
 
@@ -23,27 +28,49 @@ def _root(parent: dict, x):
     return x
 
 
+def _components(nodes: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """The smallest node that links lead to, for each node; whole arrays at a time, in rounds that halve what is left."""
+    least = np.arange(nodes)
+    while True:
+        low = np.minimum(least[a], least[b])
+        before = least.copy()
+        np.minimum.at(least, least[a], low)
+        np.minimum.at(least, least[b], low)
+        while not np.array_equal(least, shorter := least[least]):
+            least = shorter
+        if np.array_equal(before, least):
+            return least
+
+
 def chains(mentions: DataFrame, relations: DataFrame) -> DataFrame:
     """(doc_id, ent_id, chain_id): components of relations (doc_id, first, second); mentions alone are chains too.
 
-    Chains are numbered by their first mention in ``ord``.
+    Chains are numbered by their first mention in ``ord``. Documents are dealt whole, and each batch's are worked on
+    together; relations that name an unknown mention are passed over.
     """
     members = mentions.select("doc_id", "ord", "ent_id", F.lit(None).cast("string").alias("other"))
     links = relations.select("doc_id", F.lit(None).cast("int").alias("ord"), F.col("first").alias("ent_id"), F.col("second").alias("other"))
 
-    def build(frame: pd.DataFrame) -> pd.DataFrame:
-        own = frame[frame["other"].isna()].sort_values("ord")
-        parent = {e: e for e in own["ent_id"]}
-        place = dict(zip(own["ent_id"], range(len(own)), strict=True))
-        for a, b in frame.loc[frame["other"].notna(), ["ent_id", "other"]].itertuples(index=False):
-            a, b = _root(parent, a), _root(parent, b)
-            if a != b:
-                parent[max(a, b, key=place.get)] = min(a, b, key=place.get)
-        roots = [_root(parent, e) for e in own["ent_id"]]
-        numbers = {r: n for n, r in enumerate(dict.fromkeys(roots))}
-        return pd.DataFrame({"doc_id": own["doc_id"], "ent_id": own["ent_id"], "chain_id": [numbers[r] for r in roots]})
-
-    return members.unionByName(links).groupBy("doc_id").applyInPandas(build, "doc_id long, ent_id string, chain_id int")
+    def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table in whole_documents(batches):
+            frame = table.to_pandas()
+            known = frame["other"].isna()
+            own = frame[known].sort_values(["doc_id", "ord"])
+            places = pd.Series(np.arange(len(own)), pd.MultiIndex.from_frame(own[["doc_id", "ent_id"]]))
+            places = places[~places.index.duplicated()]
+            edges = frame[~known]
+            a, b = (places.reindex(pd.MultiIndex.from_arrays([edges["doc_id"], edges[c]])).to_numpy(float) for c in ("ent_id", "other"))
+            real = ~(np.isnan(a) | np.isnan(b))
+            heads = _components(len(own), a[real].astype(np.int64), b[real].astype(np.int64))
+            docs = own["doc_id"].to_numpy()
+            first = heads == np.arange(len(own))
+            number = np.cumsum(first) - 1
+            begins = np.flatnonzero(np.append(True, docs[1:] != docs[:-1])[: len(docs)])
+            base = np.repeat(number[begins], np.diff(np.append(begins, len(docs)))) if len(docs) else number
+            yield pa.RecordBatch.from_arrays([pa.array(docs, pa.int64()), pa.array(own["ent_id"], pa.string()), pa.array((number[heads] - base).astype(np.int32))], ["doc_id", "ent_id", "chain_id"])
+
+    dealt = members.unionByName(links).repartition("doc_id").sortWithinPartitions("doc_id")
+    return dealt.mapInArrow(build, "doc_id long, ent_id string, chain_id int")
 
 
 def chain_relations(mentions: DataFrame, of_chain: DataFrame, every: bool = False) -> DataFrame:

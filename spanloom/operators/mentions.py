@@ -184,3 +184,14 @@ def strip_quotes(mentions: DataFrame, tokens: DataFrame, quotes: str) -> DataFra
     joined = mentions.join(first, ["doc_id", "start_token"]).join(last, ["doc_id", "end_token"])
     quoted = (F.col("end_token") - F.col("start_token") > 2) & F.col("q1") & F.col("q2")
     return joined.withColumns({"start_token": F.when(quoted, F.col("start_token") + 1).otherwise(F.col("start_token")), "end_token": F.when(quoted, F.col("end_token") - 1).otherwise(F.col("end_token"))}).drop("q1", "q2")
+
+
+def rendered(docs: DataFrame, spans: DataFrame) -> DataFrame:
+    """(doc_id, piece_idx, text, type): a text cut at spans (doc_id, start, end, type) of characters, which don't overlap; type is null between them."""
+    order = Window.partitionBy("doc_id").orderBy("start")
+    before = spans.select("doc_id", F.coalesce(F.lag("end").over(order), F.lit(0)).alias("start"), F.col("start").alias("end"), F.lit(None).cast("string").alias("type"))
+    last = docs.where("text IS NOT NULL").join(spans.groupBy("doc_id").agg(F.max("end").alias("start")), "doc_id", "left")
+    tail = last.select("doc_id", F.coalesce("start", F.lit(0)).alias("start"), F.length("text").alias("end"), F.lit(None).cast("string").alias("type"))
+    pieces = spans.select("doc_id", "start", "end", "type").unionByName(before).unionByName(tail).where("end > start")
+    cut = pieces.withColumn("piece_idx", F.row_number().over(order) - 1).join(docs.select("doc_id", F.col("text").alias("whole")), "doc_id")
+    return cut.select("doc_id", "piece_idx", F.substring("whole", F.col("start") + 1, F.col("end") - F.col("start")).alias("text"), "type")

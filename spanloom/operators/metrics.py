@@ -91,3 +91,19 @@ def b_cubed(predicted: DataFrame, gold: DataFrame) -> DataFrame:
     sizes = ps.agg(F.sum("np").alias("np")).join(gs.agg(F.sum("ng").alias("ng")))
     scores = total.join(sizes).select(_ratio(F.col("a"), F.col("np")).alias("precision"), _ratio(F.col("b"), F.col("ng")).alias("recall"))
     return scores.withColumn("f1", f1(F.col("precision"), F.col("recall")))
+
+
+def muc(predicted: DataFrame, gold: DataFrame) -> DataFrame:
+    """MUC scores of chains (doc_id, ent_id, chain_id), by the published definition: the share of a chain's links that
+    remain when the other side cuts it up. A mention that the other side lacks is a part of its own."""
+    p = predicted.select("doc_id", "ent_id", F.col("chain_id").alias("p"))
+    g = gold.select("doc_id", "ent_id", F.col("chain_id").alias("g"))
+
+    def links(own: DataFrame, other: DataFrame, chain: str, cut: str) -> DataFrame:
+        joined = own.join(other, ["doc_id", "ent_id"], "left")
+        parts = joined.groupBy("doc_id", chain).agg(F.count("*").alias("size"), (F.count_distinct(cut) + F.count_if(F.col(cut).isNull())).alias("parts"))
+        return parts.agg(F.sum(F.col("size") - F.col("parts")).alias("kept"), F.sum(F.col("size") - 1).alias("all"))
+
+    right = links(p, g, "p", "g").select(_ratio(F.col("kept"), F.col("all")).alias("precision"))
+    found = links(g, p, "g", "p").select(_ratio(F.col("kept"), F.col("all")).alias("recall"))
+    return right.join(found).withColumn("f1", f1(F.col("precision"), F.col("recall")))

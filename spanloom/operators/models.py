@@ -99,6 +99,32 @@ def margin_loss(scores: Column, label: Column, positive: float = 2.5, negative:
     return F.log1p(F.exp(scale * (positive - right))) + F.log1p(F.exp(scale * (negative + wrong)))
 
 
+def l2_loss(weights: Column, share: float) -> Column:
+    """Half the sum of squares of an array of weights, times ``share``."""
+    return F.aggregate(F.transform(weights, lambda x: x * x), F.lit(0.0), lambda s, x: s + x) * share / 2
+
+
+def crf_loss(emissions: np.ndarray, transitions: np.ndarray, tags: np.ndarray) -> float:
+    """The negative log-likelihood of a tag sequence in a linear-chain model with (time, tags) emissions and (from, to) transitions."""
+    forward = emissions[0]
+    for row in emissions[1:]:
+        moved = forward[:, None] + transitions
+        top = moved.max(0)
+        forward = top + np.log(np.exp(moved - top).sum(0)) + row
+    gold = emissions[np.arange(len(tags)), tags].sum() + transitions[tags[:-1], tags[1:]].sum()
+    top = forward.max()
+    return float(top + np.log(np.exp(forward - top).sum()) - gold)
+
+
+def distance_loss(states: np.ndarray, labels: np.ndarray, embeddings: np.ndarray) -> float:
+    """The mean of 1 + the distance of a state to its label's embedding - the greatest distance to another label's, both of unit length."""
+    unit = lambda x: x / np.maximum(np.linalg.norm(x, axis=-1, keepdims=True), 1e-12)
+    far = np.linalg.norm(unit(states)[:, None] - unit(embeddings)[None], axis=-1)
+    own = far[np.arange(len(labels)), labels]
+    far[np.arange(len(labels)), labels] = -np.inf
+    return float((1 + own - far.max(1)).mean())
+
+
 def viterbi(emissions: np.ndarray, transitions: np.ndarray) -> list[int]:
     """The best tag sequence of a linear-chain model with (time, tags) emissions and (from, to) transitions."""
     score, back = emissions[0], []

@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
+from functools import reduce
 from itertools import product
 
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -116,6 +120,42 @@ def padded_2d(samples: DataFrame, group: list[str], column: str, value: Column)
     return sized.withColumn(column, pad(rows, F.col("_outer"), F.array_repeat(value, F.col("_inner")))).drop("_inner", "_outer")
 
 
+def padded_nd(samples: DataFrame, group: list[str], column: str, value: Column, rank: int) -> DataFrame:
+    """Pad an array nested ``rank`` deep to the group's longest in every rank, from the outermost inwards."""
+    w = Window.partitionBy(*group)
+
+    def longest(values: Column, depth: int) -> Column:
+        return F.size(values) if depth == 0 else F.coalesce(F.array_max(F.transform(values, lambda x: longest(x, depth - 1))), F.lit(0))
+
+    sized = samples.withColumns({f"_size{k}": F.max(longest(F.col(column), k)).over(w) for k in range(rank)})
+
+    def empty(k: int) -> Column:
+        return value if k == rank else F.array_repeat(empty(k + 1), F.col(f"_size{k}"))
+
+    def filled(values: Column, k: int) -> Column:
+        inner = values if k == rank - 1 else F.transform(values, lambda x: filled(x, k + 1))
+        return pad(inner, F.col(f"_size{k}"), empty(k + 1))
+
+    return sized.withColumn(column, filled(F.col(column), 0)).drop(*(f"_size{k}" for k in range(rank)))
+
+
+def cross_validated(samples: DataFrame, k: int, order: list[str], run: Callable[[DataFrame, DataFrame], DataFrame]) -> DataFrame:
+    """(fold, ...): for each of ``k`` folds the rows that ``run`` gives for its training and its held-out samples."""
+    dealt = folds(samples, k, order)
+    parts = [run(dealt.where(F.col("fold") != i).drop("fold"), dealt.where(F.col("fold") == i).drop("fold")).select(F.lit(i).alias("fold"), "*") for i in range(k)]
+    return reduce(lambda a, b: a.unionByName(b), parts)
+
+
+@contextmanager
+def kept_on_disk(df: DataFrame) -> Iterator[DataFrame]:
+    """A table that can be gone over many times without being made again; it is let go at the end of the block."""
+    held = df.persist(StorageLevel.DISK_ONLY)
+    try:
+        yield held
+    finally:
+        held.unpersist()
+
+
 def stopped(improved: DataFrame, history: int) -> DataFrame:
     """For epochs (epoch, improved) whether training has stopped: ``history`` epochs in a row without improvement.
 

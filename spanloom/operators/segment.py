@@ -17,6 +17,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from spanloom.functions import text as T
+from spanloom.operators.asof import with_counts
 
 #: Sentences don't end after one of these and a full stop. Fixed values.
 OPEN_ABBREVIATIONS = ["sp", "spp", "subsp", "approx", "i.e", "e.g", "b.i.d"]
@@ -264,8 +265,11 @@ def space_joined_offsets(tokens: DataFrame) -> DataFrame:
 
 def align_annotations(tokens: DataFrame, annotations: DataFrame, default: str) -> DataFrame:
     """For each token the value of the first annotation (doc_id, ann_start, ann_end, value) that lies in it, or the default."""
-    inside = (F.col("ann_start") >= F.col("char_start")) & (F.col("ann_end") <= F.col("char_end"))
-    found = tokens.join(annotations, "doc_id").where(inside).groupBy("doc_id", "tok_idx").agg(F.min_by("value", F.struct("ann_start", "ann_end")).alias("value"))
+    # The token that an annotation begins in is the last that begins no later.
+    numbered = tokens.withColumn("place", F.row_number().over(Window.partitionBy("doc_id").orderBy("char_start")))
+    at = with_counts(annotations, F.col("ann_start"), tokens.select("doc_id", F.col("char_start").alias("pos")), "place", inclusive=True)
+    within = at.join(numbered.select("doc_id", "place", "tok_idx", "char_end"), ["doc_id", "place"]).where("ann_end <= char_end")
+    found = within.groupBy("doc_id", "tok_idx").agg(F.min_by("value", F.struct("ann_start", "ann_end")).alias("value"))
     return tokens.join(found, ["doc_id", "tok_idx"], "left").withColumn("value", F.coalesce("value", F.lit(default)))
 
 

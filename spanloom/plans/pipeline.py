@@ -113,3 +113,46 @@ EVALUATORS = {
 def evaluator_for(task: str) -> Callable[[DataFrame, DataFrame, DataFrame], dict[str, DataFrame]]:
     keys, categories = EVALUATORS[task]
     return lambda predicted, gold, docs: evaluate(predicted, gold, keys, docs, categories)
+
+
+def difference(base: dict, other: dict) -> dict:
+    """What ``other`` has that ``base`` has not, or has otherwise; nested dictionaries are compared inside."""
+    out = {}
+    for key, value in other.items():
+        old = base.get(key)
+        if isinstance(old, dict) and isinstance(value, dict):
+            if old != value:
+                out[key] = difference(old, value)
+        elif old is None or old != value:
+            out[key] = value
+    return out
+
+
+def without_paths(properties: dict, paths: list[list[str]]) -> dict:
+    """Properties without the entries at these paths of keys."""
+    firsts = {path[0] for path in paths if len(path) == 1}
+    kept = {}
+    for key, value in properties.items():
+        deeper = [path[1:] for path in paths if len(path) > 1 and path[0] == key]
+        if key not in firsts:
+            kept[key] = without_paths(value, deeper) if deeper and isinstance(value, dict) else value
+    return kept
+
+
+#: For each task that has preprocessing, its layers of mentions with the property that says how their types merge.
+PREPROCESSED = {"ner": {"mentions": "ent_types_merge_pattern"}, "net": {"mentions": "ent_types_merge_pattern", "ne": "ne_types_merge_pattern"}}
+
+
+def preprocessor_for(task: str, properties: dict) -> Callable[[dict[str, DataFrame]], dict[str, DataFrame]]:
+    """The function from a document model to the one that a task learns from: mentions of some types left out, types
+    merged in each layer by its own pattern, and no relations. The layer ``ne`` is made of the same mentions."""
+    if task not in PREPROCESSED:
+        raise KeyError(f"there is no preprocessing for {task}")
+    dropped = list(properties.get("ent_types_to_filter", []))
+    merged = {layer: M.merge_pattern(properties.get(pattern, {})) for layer, pattern in PREPROCESSED[task].items()}
+
+    def process(parts: dict[str, DataFrame]) -> dict[str, DataFrame]:
+        layers = {layer: M.filter_types(parts["mentions"], dropped, renamed) for layer, renamed in merged.items()}
+        return {k: v for k, v in parts.items() if k != "relations"} | layers
+
+    return process

@@ -11,6 +11,7 @@ from spanloom.operators import metrics as ME
 from spanloom.operators import models as ML
 from spanloom.operators import pairs as P
 from spanloom.operators import rewrite as W
+from spanloom.operators import sampling as O
 from spanloom.plans import base, pipeline
 from spanloom.plans.base import MENTIONS, oracle
 from spanloom.plans.model_queries import OUTCOMES, SCORES, _gold_and_predicted
@@ -127,9 +128,51 @@ def fitting_vectors(spark, sf):
     return made.select("token", F.size("v").cast("long").alias("size"), (F.slice("v", 1, 4) == F.slice("v", 5, 4)).alias("same"), F.forall("v", lambda x: F.abs(x) <= 1).alias("bounded"))
 
 
+def typed_layers(spark, sf):
+    """Mentions for typing with their types in both layers."""
+    run = pipeline.preprocessor_for("net", {"ent_types_to_filter": ["MAIL"], "ent_types_merge_pattern": {"NAME": ["CAP"]}, "ne_types_merge_pattern": {"OTHER": ["NUM", "CTX"]}})
+    made = run({"mentions": base.mentions(spark, sf)})
+    ne = made["ne"].select("doc_id", "ent_id", F.col("type").alias("ne_type"))
+    return made["mentions"].select("doc_id", "ent_id", "type").join(ne, ["doc_id", "ent_id"])
+
+
+def pad3d(spark, sf):
+    """Lengths of runs of letters, in words, in sentences of turns, padded in all three ranks."""
+    runs = lambda w: F.transform(F.split(w, "e"), F.length)
+    turns = spark.read.parquet(f"{sf}/conversations.parquet").select("conv_id", "turn", F.transform(F.split("text", "[.]"), lambda s: F.transform(F.split(s, " "), runs)).alias("deep"))
+    made = O.padded_nd(turns, ["conv_id"], "deep", F.lit(-1), 3)
+    flat = F.array_join(F.transform("deep", lambda s: F.array_join(F.transform(s, lambda w: F.array_join(w.cast("array<string>"), ",")), ";")), "|")
+    return made.select("conv_id", "turn", F.md5(flat.cast("binary")).alias("deep"))
+
+
+def cross_validated(spark, sf):
+    """For each of five folds of labelled documents how often the held-out label is the one most frequent in training."""
+    rows = spark.read.parquet(f"{sf}/labels.parquet").select("doc_id", "quality")
+
+    def run(train, rest):
+        most = train.groupBy("quality").count().orderBy(F.desc("count"), "quality").limit(1).select(F.col("quality").alias("guess"))
+        return rest.join(F.broadcast(most)).agg(F.count("*").alias("n"), F.count_if(F.col("quality") == F.col("guess")).alias("hits"))  # one row
+
+    return O.cross_validated(rows, 5, ["doc_id"], run)
+
+
+def chain_muc(spark, sf):
+    m = base.mentions(spark, sf)
+    return ME.muc(m.where("ord % 7 > 0").withColumn("chain_id", F.col("ord") % 5), m.withColumn("chain_id", F.col("ord") % 4))
+
+
+def rendered_texts(spark, sf):
+    """Texts cut at the runs of tokens that are mentions."""
+    m, t = base.mentions(spark, sf).where("type <> 'CTX'"), base.tokens(spark, sf)
+    first = t.select("doc_id", F.col("tok_idx").alias("start_token"), F.col("char_start").alias("start"))
+    last = t.select("doc_id", (F.col("tok_idx") + 1).alias("end_token"), F.col("char_end").alias("end"))
+    spans = m.join(first, ["doc_id", "start_token"]).join(last, ["doc_id", "end_token"]).select("doc_id", "start", "end", "type")
+    return M.rendered(base.documents(spark, sf), spans)
+
+
 QUERIES = {
     f.__name__: f
-    for f in (collapsed_features, collapsed_sentences, bad_entities, unresolved_relations, evaluated_mentions, stripped_mentions, answers, plugged_in, retyped_mentions, pair_samples, group_samples, character_codes, token_reports, relation_reports, json_mentions, result_files, fitting_vectors)
+    for f in (collapsed_features, collapsed_sentences, bad_entities, unresolved_relations, evaluated_mentions, stripped_mentions, answers, plugged_in, retyped_mentions, pair_samples, group_samples, character_codes, token_reports, relation_reports, json_mentions, result_files, fitting_vectors, typed_layers, pad3d, cross_validated, chain_muc, rendered_texts)
 }
 
 
@@ -180,5 +223,22 @@ ORACLES = {
     "json_mentions": _m("""SELECT '{"doc_id":' || doc_id || ',"ent_id":"' || ent_id || '","start_token":' || start_token || '}' AS json FROM ment"""),
     "result_files": """WITH r AS (SELECT event_type AS run, count(*) AS score FROM events GROUP BY 1), j AS (SELECT *, '{"run":"' || run || '","score":' || score || '}' AS js FROM r)
     SELECT 'experiments_report.json' AS file, string_agg(js, chr(10) ORDER BY js) AS json FROM j UNION ALL SELECT 'mean_results.json', '{"total":' || sum(score) || '}' FROM r UNION ALL SELECT 'best_results.json', js FROM (SELECT * FROM j ORDER BY score DESC, run LIMIT 1)""",
+    "typed_layers": _m("SELECT doc_id, ent_id, CASE type WHEN 'CAP' THEN 'NAME' ELSE type END AS type, CASE WHEN type IN ('NUM', 'CTX') THEN 'OTHER' ELSE type END AS ne_type FROM ment WHERE type <> 'MAIL'"),
+    "pad3d": """WITH ds AS (SELECT conv_id, turn, list_transform(string_split(text, '.'), lambda s: list_transform(string_split(s, ' '), lambda w: list_transform(string_split(w, 'e'), lambda x: length(x)))) AS d FROM conversations),
+    mx AS (SELECT *, max(len(d)) OVER w AS a, max(list_max(list_transform(d, lambda s: len(s)))) OVER w AS b, max(list_max(list_transform(d, lambda s: list_max(list_transform(s, lambda x: len(x)))))) OVER w AS c FROM ds WINDOW w AS (PARTITION BY conv_id))
+    SELECT conv_id, turn, md5(array_to_string(list_transform(range(1, a + 1), lambda i: array_to_string(list_transform(range(1, b + 1), lambda j: array_to_string(list_transform(range(1, c + 1), lambda k: coalesce(d[i][j][k], -1)), ',')), ';')), '|')) AS deep FROM mx""",
+    "cross_validated": """WITH f AS (SELECT quality, CAST(ntile(5) OVER (ORDER BY doc_id) - 1 AS INTEGER) AS fold FROM labels), g AS (SELECT a.fold, b.quality, count(*) AS n FROM (SELECT DISTINCT fold FROM f) a JOIN f b ON a.fold <> b.fold GROUP BY ALL),
+    t AS (SELECT fold, quality AS guess, row_number() OVER (PARTITION BY fold ORDER BY n DESC, quality) AS r FROM g) SELECT f.fold, count(*) AS n, count(*) FILTER (quality = guess) AS hits FROM f JOIN t ON t.fold = f.fold AND r = 1 GROUP BY f.fold""",
+    "chain_muc": _m(
+        """pd AS (SELECT doc_id, ent_id, ord % 5 AS p, ord % 4 AS g FROM ment WHERE ord % 7 > 0), gd AS (SELECT doc_id, ent_id, ord % 4 AS g, CASE WHEN ord % 7 > 0 THEN ord % 5 END AS p FROM ment),
+        pr AS (SELECT sum(n - k)::DOUBLE / sum(n - 1) AS precision FROM (SELECT count(*) AS n, count(DISTINCT g) AS k FROM pd GROUP BY doc_id, p)),
+        rc AS (SELECT sum(n - k)::DOUBLE / sum(n - 1) AS recall FROM (SELECT count(*) AS n, count(DISTINCT p) + count(*) FILTER (p IS NULL) AS k FROM gd GROUP BY doc_id, g))
+        SELECT precision, recall, 2 * precision * recall / (precision + recall) AS f1 FROM pr, rc"""
+    ),
+    "rendered_texts": _m(
+        """sp AS (SELECT m.doc_id, a.char_start AS s, b.char_end AS e, type FROM ment m JOIN tok a ON a.doc_id = m.doc_id AND a.tok_idx = start_token JOIN tok b ON b.doc_id = m.doc_id AND b.tok_idx = end_token - 1 WHERE type <> 'CTX'),
+        cut AS (SELECT * FROM sp UNION ALL SELECT doc_id, coalesce(lag(e) OVER w, 0), s, NULL FROM sp WINDOW w AS (PARTITION BY doc_id ORDER BY s) UNION ALL SELECT d.doc_id, coalesce(max(e), 0), length(any_value(text)), NULL FROM documents d LEFT JOIN sp ON sp.doc_id = d.doc_id WHERE text IS NOT NULL GROUP BY d.doc_id)
+        SELECT cut.doc_id, CAST(row_number() OVER (PARTITION BY cut.doc_id ORDER BY s) - 1 AS INTEGER) AS piece_idx, substr(text, s + 1, e - s) AS text, type FROM cut JOIN documents d ON d.doc_id = cut.doc_id WHERE e > s"""
+    ),
     "fitting_vectors": oracle("SELECT DISTINCT token, CAST(8 AS BIGINT) AS size, token = lower(token) AS same, true AS bounded FROM tok WHERE length(token) = 3"),
 }

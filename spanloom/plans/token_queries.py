@@ -72,7 +72,10 @@ def space_joined_offsets(spark, sf):
 
 def align_annotations(spark, sf):
     tokens = base.tokens(spark, sf)
-    annotations = tokens.where("tok_idx % 3 = 0").select("doc_id", F.col("char_start").alias("ann_start"), (F.col("char_start") + 1).alias("ann_end"), F.substring("token", 1, 1).alias("value"))
+    # Annotations of the first longer run of small letters in a token, which is a part of it as a rule.
+    found = tokens.select("doc_id", "char_start", "token", F.regexp_extract("token", "[a-z]{4,}", 0).alias("value")).where("value <> ''")
+    annotations = found.withColumn("ann_start", F.col("char_start") + F.instr("token", F.col("value")) - 1)
+    annotations = annotations.select("doc_id", "ann_start", (F.col("ann_start") + F.length("value")).alias("ann_end"), "value")
     return G.align_annotations(tokens, annotations, "O").select("doc_id", "tok_idx", "value")
 
 
@@ -128,7 +131,7 @@ ORACLES = {
         "so AS (SELECT doc_id, tok_idx, sent_idx, token, coalesce(sum(length(token) + 1) OVER (PARTITION BY doc_id, sent_idx ORDER BY tok_idx ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS s FROM tok) "
         "SELECT doc_id, tok_idx, sent_idx, CAST(s AS INTEGER) AS char_start, CAST(s + length(token) AS INTEGER) AS char_end FROM so"
     ),
-    "align_annotations": oracle("SELECT doc_id, tok_idx, CASE WHEN tok_idx % 3 = 0 THEN token[1:1] ELSE 'O' END AS value FROM tok"),
+    "align_annotations": oracle("SELECT doc_id, tok_idx, CASE WHEN regexp_matches(token, '[a-z]{4,}') THEN regexp_extract(token, '[a-z]{4,}') ELSE 'O' END AS value FROM tok"),
     "gazetteer_flag": oracle(f"SELECT doc_id, tok_idx, lower(token) IN ({GAZETTEER_SQL}) AS in_gazetteer FROM tok"),
     "gazetteer_report": oracle(f"SELECT lang, lower(token) AS term, count(*) AS n, count(DISTINCT doc_id) AS n_docs FROM tok JOIN documents USING (doc_id) WHERE lower(token) IN ({GAZETTEER_SQL}) GROUP BY ALL"),
 }
