@@ -11,19 +11,19 @@ from pyspark.sql import functions as F
 
 from spanloom.functions import spans as S
 
-#: Patterns of the rule annotator, tried in order on a token without its edge punctuation.
-RULES = {"NUM": "^[0-9]+$", "CAP": "^[A-Z][a-z]+$"}
-EDGES = r"^[^A-Za-z0-9]+|[^A-Za-z0-9]+$"
+#: Patterns of the rule annotator, tried in order on whole tokens; marks at a token's edges don't count.
+EDGE = "[^A-Za-z0-9]*+"
+RULES = {"NUM": f"^{EDGE}[0-9]++{EDGE}$", "CAP": f"^{EDGE}[A-Z][a-z]++{EDGE}$"}
 MAIL = r"^[^@]+@[^@]+$"
 
 
 def annotate(tokens: DataFrame) -> DataFrame:
     """(doc_id, tok_idx, sent_idx, tag): the rule annotator's type of each token that has one."""
-    core = F.regexp_replace("token", EDGES, "")
-    tag = F.when(F.col("token").rlike(MAIL), "MAIL")
+    tag = F.when(F.contains("token", F.lit("@")) & F.col("token").rlike(MAIL), "MAIL")
     for kind, pattern in RULES.items():
-        tag = tag.when(core.rlike(pattern), kind)
-    return tokens.select("doc_id", "tok_idx", "sent_idx", tag.alias("tag")).where("tag IS NOT NULL")
+        tag = tag.when(F.col("token").rlike(pattern), kind)
+    tagged = tokens.select("doc_id", "tok_idx", "sent_idx", tag.alias("tag"))
+    return tagged.where("tag IS NOT NULL")
 
 
 def runs(tagged: DataFrame) -> DataFrame:
