@@ -11,9 +11,11 @@ from __future__ import annotations
 import bisect
 import os
 import struct
+import sys
 import zlib
 from collections.abc import Iterator
 from itertools import chain
+from types import ModuleType
 
 import numpy as np
 import pyarrow as pa
@@ -188,7 +190,7 @@ class Encoder:
     Where one space stands between two other characters that aren't white space, the byte-level
     pre-tokenizer always cuts before it, and it makes a lone line feed a piece of its own, so that the ids of
     the runs, joined, are the ids of the text. Texts with other white space are cut by a pattern instead.
-    Nothing is remembered from one piece of text to the next, so memory is bounded by a piece.
+    No ids are remembered from one piece of text to the next, so memory is bounded by a piece.
     """
 
     BATCH = 20_000
@@ -268,6 +270,14 @@ class Encoder:
         return ids[where], total[starts]
 
 
+def encoder_of(path: str) -> Encoder:
+    """The encoder of a tokenizer's file, loaded once in a worker's life. It is all that outlives a task, and of fixed size."""
+    held = vars(sys.modules.setdefault("_spanloom_worker", ModuleType("_spanloom_worker")))
+    if held.get("path") != path:
+        held.update(path=path, encoder=Encoder(path))
+    return held["encoder"]
+
+
 def write(docs: DataFrame, path: str, tokenizer: str, end_id: int, key: str = "doc_id", text: str = "text", id_bytes: int = 2) -> None:
     """Encode every row's whole text, a null one as an empty one, append ``end_id``, and write shards.
 
@@ -282,7 +292,7 @@ def write(docs: DataFrame, path: str, tokenizer: str, end_id: int, key: str = "d
     most = 1 << 8 * id_bytes
 
     def shards(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, writer, last, nth = Encoder(tokenizer), ShardWriter(id_bytes), (), 0
+        encoder, writer, last, nth = encoder_of(tokenizer), ShardWriter(id_bytes), (), 0
         give = lambda w: pa.RecordBatch.from_arrays([pa.array([w.finish()], pa.binary())], ["shard"])
         for batch in batches:
             for part, texts in pieces(batch, "text", PIECE_BYTES):

@@ -18,7 +18,10 @@ PIECE_BYTES = 12_000_000
 
 
 def pieces(batch: pa.RecordBatch, column: str = "text", most: int = PIECE_BYTES) -> Iterator[tuple[pa.RecordBatch, pa.Array]]:
-    """Cut a batch into runs of rows with about ``most`` bytes of text; nulls become empty texts."""
+    """Cut a batch into runs of rows with about ``most`` bytes of text; nulls become empty texts.
+
+    What Arrow holds of a run is given back before the next, so that a worker at rest is small.
+    """
     text = batch.column(batch.schema.get_field_index(column)).cast(pa.large_string()).fill_null("")
     ends = np.cumsum(pc.binary_length(text).to_numpy(zero_copy_only=False).astype(np.int64))
     at = 0
@@ -27,6 +30,7 @@ def pieces(batch: pa.RecordBatch, column: str = "text", most: int = PIECE_BYTES)
         stop = max(at + 1, int(np.searchsorted(ends, base + most, side="right")))
         yield batch.slice(at, stop - at), text.slice(at, stop - at)
         at = stop
+        pa.default_memory_pool().release_unused()
 
 
 def hash_strings(values: pa.Array) -> np.ndarray:
