@@ -6,6 +6,7 @@ Arrow arrays, so that no Python code runs for each word but once for each distin
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 
 import numpy as np
@@ -17,10 +18,18 @@ import xxhash
 PIECE_BYTES = 12_000_000
 
 
+def give_back() -> None:
+    """Return free memory to the system, as far as the C library can."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
+
+
 def pieces(batch: pa.RecordBatch, column: str = "text", most: int = PIECE_BYTES) -> Iterator[tuple[pa.RecordBatch, pa.Array]]:
     """Cut a batch into runs of rows with about ``most`` bytes of text; nulls become empty texts.
 
-    What Arrow holds of a run is given back before the next, so that a worker at rest is small.
+    What Arrow and the C library hold of a run is given back before the next, so that a worker at rest is small.
     """
     text = batch.column(batch.schema.get_field_index(column)).cast(pa.large_string()).fill_null("")
     ends = np.cumsum(pc.binary_length(text).to_numpy(zero_copy_only=False).astype(np.int64))
@@ -30,7 +39,7 @@ def pieces(batch: pa.RecordBatch, column: str = "text", most: int = PIECE_BYTES)
         stop = max(at + 1, int(np.searchsorted(ends, base + most, side="right")))
         yield batch.slice(at, stop - at), text.slice(at, stop - at)
         at = stop
-        pa.default_memory_pool().release_unused()
+        give_back()
 
 
 def hash_strings(values: pa.Array) -> np.ndarray:
