@@ -85,8 +85,8 @@ STAGES = [
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over ``documents``, each one's rows written to the shared folder and read again."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    others = set(store.TABLES)
-    for name, stage in STAGES:
-        docs = store.materialise(stage(spark, docs, sf_dir), name.replace(" ", "-"))
-        store.release(spark, others | {store.last_table()})  # what this stage read and wrote on its way
+    with store.tables_of_run() as written:
+        for name, stage in STAGES:
+            docs = store.materialise(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+            store.release(spark, written[:-1])  # what this stage read and wrote on its way
     return docs

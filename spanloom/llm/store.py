@@ -1,71 +1,13 @@
-"""Tables that cut lineage, in the folder that driver and executors share."""
+"""Names and schemas of tables, next to the library's own shared tables."""
 
 from __future__ import annotations
 
-import atexit
-import tempfile
-import uuid
-
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql.types import StructType
 
+from spanloom.store import last_table, materialise, release, remove, scratch_path, shared_dir, tables_of_run
 
-#: Whether shuffle files go when a query has ended.
-SHUFFLE_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
-#: Paths of tables written by ``materialise`` that are still there.
-TABLES: dict[str, None] = {}
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder named by spark.checkpoint.dir. Only in local mode (tests) a new temporary one, where that is unset."""
-    sc = spark.sparkContext
-    path = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir", None)
-    if not path:
-        set_dir = sc._jsc.sc().getCheckpointDir()
-        if set_dir.isDefined():
-            path = set_dir.get()
-        elif sc.master.startswith("local"):
-            path = "file://" + tempfile.mkdtemp(prefix="spanloom-")
-            sc.setCheckpointDir(path)
-        else:
-            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
-    return path.rstrip("/")
-
-
-def scratch_path(spark: SparkSession, name: str) -> str:
-    """A new path under the shared folder, removed when the driver's Python ends."""
-    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    atexit.register(remove, spark, path)
-    return path
-
-
-def materialise(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` as Parquet into the shared folder and return it as read back.
-
-    Unlike localCheckpoint the rows outlive the executors that made them. Files that were shuffled on the way are
-    no longer needed then, and are removed at once.
-    """
-    spark = df.sparkSession
-    path = scratch_path(spark, name)
-    before = spark.conf.get(SHUFFLE_CLEANUP, "false")
-    spark.conf.set(SHUFFLE_CLEANUP, "true")
-    try:
-        df.write.parquet(path)
-    finally:
-        spark.conf.set(SHUFFLE_CLEANUP, before)
-    TABLES[path] = None
-    return spark.read.schema(df.schema).parquet(path)
-
-
-def last_table() -> str:
-    """The path of the table that was written last."""
-    return next(reversed(TABLES))
-
-
-def release(spark: SparkSession, kept: set[str]) -> None:
-    """Remove all tables written by ``materialise`` but those kept. For when nothing that reads them is still to run."""
-    for path in [p for p in TABLES if p not in kept]:
-        remove(spark, path)
+__all__ = ["free_name", "last_table", "materialise", "release", "remove", "scratch_path", "shared_dir", "tables_of_run", "wider"]
 
 
 def free_name(names: list[str], wanted: str) -> str:
@@ -76,19 +18,6 @@ def free_name(names: list[str], wanted: str) -> str:
     return wanted
 
 
-def remove(spark: SparkSession, path: str) -> None:
-    """Delete a scratch folder through Hadoop's file system; a stopped session is left alone."""
-    TABLES.pop(path, None)
-    sc = spark.sparkContext
-    if sc._jsc is None:
-        return
-    try:
-        where = sc._jvm.org.apache.hadoop.fs.Path(path)
-        where.getFileSystem(sc._jsc.hadoopConfiguration()).delete(where, True)
-    except Exception:  # the JVM may have gone before the interpreter's exit
-        return
-
-
 def wider(df: DataFrame, ddl: str) -> StructType:
     """The schema of ``df`` with the fields of ``ddl`` behind."""
     return StructType([*df.schema.fields, *StructType.fromDDL(ddl).fields])
