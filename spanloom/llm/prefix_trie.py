@@ -24,12 +24,15 @@ from spanloom.llm.store import materialise
 BLOCK = 64
 #: Identifiers that are written out at once.
 PACK = 65_536
-#: The digest of the root, which has no turn.
-ROOT = F.expr("X''")
 #: Most turns that a rebuilt conversation takes from the first of its hundred.
 BORROWED = 5
 
 
+def root() -> Column:
+    """The digest of the root, which has no turn."""
+    return F.expr("X''")
+
+
 def digest(*parts: Column) -> Column:
     """md5 in 16 bytes; the parts but the first have a fixed length."""
     return F.unhex(F.md5(F.concat(*parts)))
@@ -81,9 +84,9 @@ def paths(sequences: DataFrame) -> DataFrame:
     long = blocks.where(F.col("total") > BLOCK)
     most = long.agg(F.max("block")).first()[0]
     chained = lambda start: F.aggregate("turns", F.array(start), lambda made, t: F.concat(made, F.array(digest(F.element_at(made, -1), t["dig"]))))
-    short = blocks.where(F.col("total") <= BLOCK).select("conv", "total", "turns", chained(ROOT).alias("nodes"), ROOT.alias("parent"))
+    short = blocks.where(F.col("total") <= BLOCK).select("conv", "total", "turns", chained(root()).alias("nodes"), root().alias("parent"))
     if most is not None:
-        now = materialise(long.select("conv", "block", F.element_at(chained(ROOT), -1).alias("d")), "scan")
+        now = materialise(long.select("conv", "block", F.element_at(chained(root()), -1).alias("d")), "scan")
         span = 1
         while span <= most:
             earlier = now.select("conv", (F.col("block") + span).alias("block"), F.col("d").alias("before"))
@@ -91,10 +94,10 @@ def paths(sequences: DataFrame) -> DataFrame:
             now = materialise(now.join(earlier, ["conv", "block"], "left").select("conv", "block", joined.alias("d")), "scan")
             span *= 2
         starts = now.select("conv", (F.col("block") + 1).alias("block"), F.col("d").alias("start"))
-        made = long.join(starts, ["conv", "block"], "left").select("conv", "block", "total", "turns", chained(F.coalesce("start", ROOT)).alias("nodes"))
+        made = long.join(starts, ["conv", "block"], "left").select("conv", "block", "total", "turns", chained(F.coalesce("start", root())).alias("nodes"))
         made = materialise(made, "chains")
         last = made.select("conv", (F.col("block") + 1).alias("block"), F.element_at("nodes", -1).alias("last"))
-        made = made.join(last, ["conv", "block"], "left").withColumn("parent", F.coalesce("last", ROOT))
+        made = made.join(last, ["conv", "block"], "left").withColumn("parent", F.coalesce("last", root()))
         short = short.unionByName(made.select(*short.columns))
     each = short.select("conv", "total", "turns", "nodes", "parent", F.posexplode("turns").alias("j", "t"))
     parent = F.when(F.col("j") == 0, F.col("parent")).otherwise(F.element_at("nodes", F.col("j") + 1))
@@ -166,18 +169,18 @@ def trie(sequences: DataFrame, convs: DataFrame) -> DataFrame:
     steps = materialise(paths(sequences), "paths")
     nodes = steps.groupBy("dig").agg(F.min("depth").alias("depth"), F.min("parent").alias("parent"), F.min("conv").alias("conv_id"), F.count("*").alias("n_convs"), F.min("chars").alias("chars"))
     top = convs.agg(F.count("*").alias("n_convs"), F.min("conv").alias("conv_id")).where("n_convs > 0")
-    top = top.select(ROOT.alias("dig"), F.lit(0).cast("long").alias("depth"), F.lit(None).cast("binary").alias("parent"), "conv_id", "n_convs", F.lit(0).cast("long").alias("chars"))
+    top = top.select(root().alias("dig"), F.lit(0).cast("long").alias("depth"), F.lit(None).cast("binary").alias("parent"), "conv_id", "n_convs", F.lit(0).cast("long").alias("chars"))
     nodes = materialise(nodes.unionByName(top), "nodes")
     children = materialise(nodes.where("parent IS NOT NULL").groupBy(F.col("parent").alias("dig")).agg(F.count("*").alias("n")), "children")
     nodes = materialise(nodes.join(children, "dig", "left").withColumn("n", F.coalesce("n", F.lit(0))), "nodes")
     own = nodes.select("dig", "parent", "depth", (F.col("n") == 0).cast("long").alias("n_leaves"), ((F.col("n_convs") - 1) * F.col("chars")).alias("saved_tokens"))
     sums = summed(own, ["n_leaves", "saved_tokens"])
-    ends = steps.where("ends").select("dig", "conv").unionByName(convs.where("total = 0").select(ROOT.alias("dig"), "conv"))
+    ends = steps.where("ends").select("dig", "conv").unionByName(convs.where("total = 0").select(root().alias("dig"), "conv"))
     packed = ends.repartitionByRange("dig", "conv").sortWithinPartitions("dig", "conv").mapInArrow(packs, "dig binary, part int, nth long, ids string")
     shas = packed.repartition("dig").sortWithinPartitions("dig", "part", "nth").select("dig", "ids").mapInArrow(hashed, "dig binary, sha string")
     over = nodes.select(F.col("dig").alias("parent"), F.col("conv_id").alias("parent_conv_id"))
     found = look_up(nodes, over, ["parent"], children.select(F.col("dig").alias("parent"), "n"), "left")
-    nothing = F.sha2(ROOT, 256)
+    nothing = F.sha2(root(), 256)
     return found.join(sums, "dig").join(shas, "dig", "left").select("conv_id", "depth", "parent_conv_id", "n_convs", F.col("n").alias("n_children"), "n_leaves", "saved_tokens", F.coalesce("sha", nothing).alias("ends_sha256"))
 
 

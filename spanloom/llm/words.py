@@ -104,3 +104,19 @@ def shingles(words: np.ndarray, starts: np.ndarray, n: int = 5) -> tuple[np.ndar
             h = (h * int(mult) + w + 1) & 0xFFFFFFFFFFFFFFFF
         out[out_starts[t]] = h
     return mix(out), out_starts
+
+
+def ascii_words(text: pa.Array) -> tuple[np.ndarray, np.ndarray, pa.Array]:
+    """Runs of characters other than ASCII white space: each one's place in the array of distinct ones, where each text's begin, and that array."""
+    parts = pc.ascii_split_whitespace(pc.ascii_trim_whitespace(text))
+    starts = parts.offsets.to_numpy(zero_copy_only=False).astype(np.int64)
+    flat = parts.values.slice(starts[0], starts[-1] - starts[0])
+    starts = starts - starts[0]
+    coded = pc.dictionary_encode(flat)
+    codes = coded.indices.to_numpy(zero_copy_only=False)
+    empty = pc.index(coded.dictionary, "").as_py() if len(coded.dictionary) else -1
+    if empty >= 0:  # of texts without a word
+        keep = codes != empty
+        starts = np.concatenate([[0], np.cumsum(keep)])[starts]
+        codes = codes[keep]
+    return codes, starts, coded.dictionary
