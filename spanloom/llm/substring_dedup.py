@@ -25,16 +25,18 @@ from pyspark.sql import functions as F
 
 from spanloom.llm.skew import look_up
 from spanloom.llm.store import materialise
-from spanloom.llm.words import ascii_words, hash_strings, mix, pieces
+from spanloom.llm.words import mix, pieces
 
 #: Words of a window, and of the run in it that decides its shard.
 WINDOW, ANCHOR = 35, 8
 #: Windows of a passage at most: the places that an anchor has in a window.
 MOST = WINDOW - ANCHOR + 1
 #: Words of a shard's automaton, and distinct passages of an anchor beyond which its windows are dealt by themselves.
-SHARD_WORDS, MOST_PASSAGES = 200_000, 4_000
-#: Places, of a few numbers each, up to which a table is broadcast.
-BROADCAST_PLACES = 400_000
+SHARD_WORDS, MOST_PASSAGES = 100_000, 1_000
+#: Runs of words that go, of two numbers each, up to which their table is broadcast.
+BROADCAST_RUNS = 400_000
+#: Bytes of text that are worked on at once, and bytes of a word's hash that are shuffled.
+PIECE_BYTES, WORD_BYTES = 4_000_000, 6
 BASE = np.uint64(0x9E3779B97F4A7C15)
 INVERSE = np.uint64(pow(int(BASE), -1, 1 << 64))
 KEYS = ["k1", "k2"]
@@ -116,21 +118,64 @@ def rows_of(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
     return docs.select(F.coalesce(key, F.lit(0)).alias("k1"), F.xxhash64(own, key).alias("k2"), own.alias("text"))
 
 
-def word_prints(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, pa.Array, np.ndarray]:
-    """The hash of each word of all texts, where each text's begin, the distinct words and each word's place among them."""
-    codes, starts, distinct = ascii_words(texts)
-    hashes = hash_strings(distinct)
-    return hashes[codes] if len(hashes) else np.zeros(0, np.uint64), starts, distinct, codes
+#: The bytes that part words, none of which stands inside a longer UTF-8 sequence, and what cuts eight bytes down to fewer.
+WHITE = np.isin(np.arange(256), [0x20, *range(0x09, 0x0E)])
+BYTE_MASKS = np.array([(1 << 8 * n) - 1 for n in range(9)], np.uint64)
+
+
+class Words:
+    """The words of a row of texts, found in their bytes: first byte and one behind the last of each, and where each text's words begin."""
+
+    def __init__(self, texts: pa.Array):
+        texts = texts.cast(pa.large_string())
+        offsets = np.frombuffer(texts.buffers()[1], np.int64)[texts.offset : texts.offset + len(texts) + 1]
+        self.data = np.frombuffer(texts.buffers()[2] or b"", np.uint8)[offsets[0] : offsets[-1]]
+        solid = ~WHITE[self.data]
+        edge = np.zeros(len(solid) + 1, bool)  # a text's first byte begins a word, whatever stood before it
+        edge[offsets - offsets[0]] = True
+        before, after = np.append(True, ~solid), np.append(~solid, True)
+        self.first = np.flatnonzero(solid & (before[:-1] | edge[:-1]))
+        self.last = np.flatnonzero(solid & (after[1:] | edge[1:])) + 1
+        self.starts = np.searchsorted(self.first, offsets - offsets[0])
+
+    def prints(self) -> np.ndarray:
+        """A 64-bit hash of each word, from its length and eight of its bytes at a time."""
+        size = self.last - self.first
+        padded = np.append(self.data, np.zeros(8, np.uint8))
+        eight = np.ndarray(len(self.data) + 1, "<u8", padded, strides=(1,))  # the eight bytes from each place on
+        out = mix(size.astype(np.uint64) * BASE)
+        some, at = np.arange(len(size)), self.first
+        while some.size:
+            part = eight[at] & BYTE_MASKS[np.minimum(size, 8)]
+            out[some] = mix((out[some] ^ part) * BASE + np.uint64(1))
+            longer = size > 8
+            some, at, size = some[longer], at[longer] + 8, size[longer] - 8
+        return out
+
+    def joined(self, stay: np.ndarray) -> pa.Array:
+        """Each text's words that stay, with one space between."""
+        text = np.repeat(np.arange(len(self.starts) - 1), np.diff(self.starts))[stay]
+        first, size = self.first[stay], (self.last - self.first)[stay] + 1  # with a space behind
+        ends = np.cumsum(size)
+        at = np.repeat(first - (ends - size), size) + np.arange(ends[-1] if len(ends) else 0)
+        out = self.data[np.minimum(at, max(0, len(self.data) - 1))] if len(ends) else np.zeros(0, np.uint8)
+        out[ends - 1] = ord(" ")
+        final = np.append(text[1:] != text[:-1], True)[: len(text)]  # a text's last word has no space behind
+        keep = np.ones(len(out), bool)
+        keep[ends[final] - 1] = False
+        sizes = np.bincount(text, size, minlength=len(self.starts) - 1).astype(np.int64)
+        sizes -= sizes > 0
+        offsets = np.concatenate([[0], np.cumsum(sizes)])
+        return pa.Array.from_buffers(pa.large_string(), len(sizes), [None, pa.py_buffer(offsets), pa.py_buffer(out[keep])])
 
 
 class Prints:
-    """Hashes of any runs of a row of words, from sums up to each place."""
+    """Hashes of any runs of a row of numbers, from sums up to each place."""
 
     def __init__(self, words: np.ndarray):
         self.sums = np.zeros(len(words) + 1, np.uint64)
-        powers = np.full(len(words), BASE, np.uint64)
-        np.cumsum(mix(words + np.uint64(1)) * np.cumprod(powers), out=self.sums[1:])
-        self.back = np.concatenate([[np.uint64(1)], np.cumprod(np.full(len(words), INVERSE, np.uint64))])
+        np.cumsum(mix(words + np.uint64(1)) * np.cumprod(np.full(len(words), BASE)), out=self.sums[1:])
+        self.back = np.concatenate([[np.uint64(1)], np.cumprod(np.full(len(words), INVERSE))])
 
     def __call__(self, first: np.ndarray, last: np.ndarray) -> np.ndarray:
         return mix((self.sums[last] - self.sums[first]) * self.back[first] + (last - first).astype(np.uint64))
@@ -168,43 +213,48 @@ def passages(rows: DataFrame) -> DataFrame:
 
     def cut_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part, texts in pieces(batch):
-                words, starts, _, _ = word_prints(texts)
-                doc, first, size, anchor, name = cut(words, starts)
+            for part, texts in pieces(batch, "text", PIECE_BYTES):
+                found = Words(texts)
+                doc, first, size, anchor, name = cut(found.prints(), found.starts)
                 keys = [part.column(k).take(pa.array(doc)) for k in range(2)]
                 yield pa.RecordBatch.from_arrays([*keys, pa.array(first.astype(np.int32)), pa.array(size.astype(np.int32)), pa.array(anchor), pa.array(name)], ["k1", "k2", "first", "size", "anchor", "print"])
 
     return rows.mapInArrow(cut_up, "k1 long, k2 long, first int, size int, anchor long, print long")
 
 
-def with_places(rows: DataFrame, places: DataFrame, n: int, how: str) -> DataFrame:
-    """Texts joined with lists of places; only lists that are small in all are broadcast."""
-    return rows.join(F.broadcast(places) if n <= BROADCAST_PLACES else places, KEYS, how)
-
-
 def gathered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """From texts with places of passages in them: (anchor, print, n, several, words)."""
     for batch in batches:
-        for part, texts in pieces(batch):
-            words, starts, _, _ = word_prints(texts)
+        for part, texts in pieces(batch, "text", PIECE_BYTES):
+            found = Words(texts)
+            words, starts = found.prints(), found.starts
             lists = part.column(part.schema.get_field_index("places"))
             wanted = lists.flatten()
             doc = np.repeat(np.arange(len(texts)), pc.list_value_length(lists).to_numpy())
             get = {k: wanted.field(k) for k in ("first", "size", "anchor", "print", "n", "several")}
             size = get["size"].to_numpy().astype(np.int64) + WINDOW - 1
             first = starts[doc] + get["first"].to_numpy()
-            ends = np.cumsum(size)
-            at = np.repeat(first - (ends - size), size) + np.arange(ends[-1] if len(ends) else 0)
-            offsets = pa.py_buffer(np.concatenate([[0], ends * 8]).astype(np.int32))
-            held = pa.Array.from_buffers(pa.binary(), len(size), [None, offsets, pa.py_buffer(words[at])])
             for k in range(0, len(size), 20_000):
-                yield pa.RecordBatch.from_arrays([*(get[c].slice(k, 20_000) for c in ("anchor", "print", "n", "several")), held.slice(k, 20_000)], ["anchor", "print", "n", "several", "words"])
+                begin, length = first[k : k + 20_000], size[k : k + 20_000]
+                ends = np.cumsum(length)
+                at = np.repeat(begin - (ends - length), length) + np.arange(ends[-1])
+                yield pa.RecordBatch.from_arrays([*(get[c].slice(k, 20_000) for c in ("anchor", "print", "n", "several")), binary(words[at], ends)], ["anchor", "print", "n", "several", "words"])
+
+
+def binary(words: np.ndarray, ends: np.ndarray) -> pa.Array:
+    """Rows of word hashes, cut to ``WORD_BYTES`` each; ``ends`` says where each row's end."""
+    parts = words.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :WORD_BYTES]
+    offsets = np.concatenate([[0], ends * WORD_BYTES]).astype(np.int32)
+    return pa.Array.from_buffers(pa.binary(), len(ends), [None, pa.py_buffer(offsets), pa.py_buffer(np.ascontiguousarray(parts))])
 
 
 def words_of(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """The numbers in a binary column, and where each row's begin."""
+    """The word hashes of a binary column, and where each row's begin."""
     starts = np.frombuffer(column.buffers()[1], np.int32)[column.offset : column.offset + len(column) + 1]
-    return np.frombuffer(column.buffers()[2], np.uint8)[starts[0] : starts[-1]].view(np.uint64), (starts - starts[0]) // 8
+    parts = np.frombuffer(column.buffers()[2] or b"", np.uint8)[starts[0] : starts[-1]].reshape(-1, WORD_BYTES)
+    whole = np.zeros((len(parts), 8), np.uint8)
+    whole[:, :WORD_BYTES] = parts
+    return whole.view("<u8").ravel(), (starts - starts[0]) // WORD_BYTES
 
 
 def matched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -249,9 +299,9 @@ def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         nth = np.arange(len(row)) - np.repeat(np.cumsum(size) - size, size)
         first = starts[row] + nth
         names = Prints(words)(first, first + WINDOW).view(np.int64)
-        parts = [words[f : f + WINDOW].tobytes() for f in first.tolist()]
         keep = [batch.column(c).take(pa.array(row)) for c in range(3)]
-        yield pa.RecordBatch.from_arrays([keep[0], keep[1], pa.array(nth.astype(np.int32)), keep[2], pa.array(names), pa.array(parts, pa.binary())], ["anchor", "print", "nth", "n", "window", "words"])
+        held = binary(words[(first[:, None] + np.arange(WINDOW)).ravel()], np.arange(1, len(first) + 1) * WINDOW)
+        yield pa.RecordBatch.from_arrays([keep[0], keep[1], pa.array(nth.astype(np.int32)), keep[2], pa.array(names), held], ["anchor", "print", "nth", "n", "window", "words"])
 
 
 def decide(distinct: DataFrame) -> DataFrame:
@@ -271,11 +321,9 @@ def repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> Data
     known = look_up(folded, several, ["anchor"], several.withColumnRenamed("several", "n"))
     known = known.select("place.*", F.struct("place.first", "place.size", "anchor", "print", "n", "several").alias("at"))
     places = materialise(known.groupBy(*KEYS).agg(F.collect_list("at").alias("places")), "places")
-    n = folded.count()
     kinds = "anchor long, print long, n long, several long, words binary"
-    distinct = with_places(rows, places, n, "inner").mapInArrow(gathered, kinds).dropDuplicates(["anchor", "print"])
-    distinct = materialise(distinct, "reference")
-    many = distinct.where(F.col("several") > MOST_PASSAGES)
+    distinct = materialise(rows.join(places, KEYS).mapInArrow(gathered, kinds), "reference")  # rows that repeat a text give its passages again
+    many = distinct.where(F.col("several") > MOST_PASSAGES).dropDuplicates(["anchor", "print"])
     decided = decide(distinct.where(F.col("several") <= MOST_PASSAGES))
     if not many.isEmpty():
         single = materialise(many.select("anchor", "print", "n", "words").mapInArrow(windows, "anchor long, print long, nth int, n long, window long, words binary"), "windows")
@@ -323,25 +371,23 @@ def remove(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataF
     """
     spans = repeats(docs, doc_id, text)
     n = spans.agg(F.coalesce(F.sum(F.size("firsts")), F.lit(0))).first()[0]
-    rows = rows_of(docs, doc_id, text).withColumn("none", F.lit(None).cast("long"))
     given = docs.select(F.col(f"`{doc_id}`").cast("long").alias("doc_id"), F.col(f"`{text}`").alias("text"))
     keyed = given.select("doc_id", "text", F.coalesce("doc_id", F.lit(0)).alias("k1"), F.xxhash64("text", "doc_id").alias("k2"))
-    joined = with_places(keyed, spans, n, "left").select("doc_id", "text", "firsts", "lasts")
+    joined = keyed.join(F.broadcast(spans) if n <= BROADCAST_RUNS else spans, KEYS, "left").select("doc_id", "text", "firsts", "lasts")
 
     def kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part, texts in pieces(batch):
-                codes, starts, distinct = ascii_words(texts)
+            for part, texts in pieces(batch, "text", PIECE_BYTES):
+                found = Words(texts)
+                starts = found.starts
                 lists = [part.column(k) for k in (2, 3)]
                 doc = np.repeat(np.arange(len(texts)), pc.fill_null(pc.list_value_length(lists[0]), 0).to_numpy())
-                edge = np.zeros(len(codes) + 1, np.int64)
+                edge = np.zeros(len(found.first) + 1, np.int64)
                 for values, step in zip(lists, (1, -1), strict=True):
                     np.add.at(edge, starts[doc] + values.flatten().to_numpy(), step)
-                stay = np.cumsum(edge[:-1]) == 0
-                left = np.concatenate([[0], np.cumsum(stay)])[starts]
-                words = pa.ListArray.from_arrays(left.astype(np.int32), distinct.take(pa.array(codes[stay])))
-                n_words = np.diff(starts)
-                out = [part.column(0), pa.array(n_words), pa.array(n_words - np.diff(left)), pc.binary_join(words, pa.scalar(" ", pa.large_string())).cast(pa.string()), *lists]
+                gone = np.concatenate([[0], np.cumsum(np.cumsum(edge[:-1]) > 0)])
+                n_words, n_removed = np.diff(starts), np.diff(gone[starts])
+                out = [part.column(0), pa.array(n_words), pa.array(n_removed), found.joined(np.diff(gone) == 0).cast(pa.string()), *lists]
                 yield pa.RecordBatch.from_arrays(out, ["doc_id", "n_words", "n_removed", "kept", "firsts", "lasts"])
 
     return joined.mapInArrow(kept, "doc_id long, n_words long, n_removed long, kept string, firsts array<int>, lasts array<int>")

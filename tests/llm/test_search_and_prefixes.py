@@ -146,11 +146,11 @@ def repeating():
     return texts
 
 
-@pytest.mark.parametrize("most, shard", [(4_000, 200_000), (3, 200)])
+@pytest.mark.parametrize("most, shard", [(1_000, 100_000), (3, 200)])
 def test_removal_matches_counting_all_windows(spark, repeating, monkeypatch, most, shard):
     monkeypatch.setattr(substring_dedup, "MOST_PASSAGES", most)
     monkeypatch.setattr(substring_dedup, "SHARD_WORDS", shard)
-    monkeypatch.setattr(substring_dedup, "BROADCAST_PLACES", 0 if most == 3 else 1000)
+    monkeypatch.setattr(substring_dedup, "BROADCAST_RUNS", 0 if most == 3 else 1000)
     want = plain_removal(repeating)
     frame = spark.createDataFrame(list(enumerate(repeating)), "doc_id long, text string").repartition(4)
     got = {r.doc_id: r for r in substring_dedup.remove(frame).collect()}
