@@ -6,15 +6,19 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def counts_before(requests: DataFrame, places: DataFrame, inclusive: bool = False, name: str = "n") -> DataFrame:
-    """(doc_id, pos, n) for each distinct request (doc_id, pos): places (doc_id, pos) before it, or with ``inclusive`` up to it."""
-    asked = requests.select("doc_id", "pos").distinct().select("doc_id", "pos", F.lit(0).alias("one"), F.lit(1 if inclusive else 0).alias("later"))
-    known = places.select("doc_id", "pos", F.lit(1).alias("one"), F.lit(0 if inclusive else 1).alias("later"))
+def counts_before(requests: DataFrame, places: DataFrame, inclusive: bool = False, name: str = "n", weight: str | None = None) -> DataFrame:
+    """(doc_id, pos, n) for each distinct request (doc_id, pos): places (doc_id, pos) before it, or with ``inclusive`` up to it.
+
+    With ``weight``, a column of the places, its sum instead of their number.
+    """
+    one = F.lit(1) if weight is None else F.col(weight)
+    asked = requests.select("doc_id", "pos").distinct().select("doc_id", "pos", F.lit(0).alias("one"), F.lit(1 if inclusive else 0).alias("later"), F.lit(True).alias("asked"))
+    known = places.select("doc_id", "pos", one.alias("one"), F.lit(0 if inclusive else 1).alias("later"), F.lit(False).alias("asked"))
     order = Window.partitionBy("doc_id").orderBy("pos", "later").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    return known.unionByName(asked).withColumn(name, F.sum("one").over(order)).where("one = 0").select("doc_id", "pos", name)
+    return known.unionByName(asked).withColumn(name, F.sum("one").over(order)).where("asked").select("doc_id", "pos", name)
 
 
-def with_counts(rows: DataFrame, at: Column, places: DataFrame, name: str, inclusive: bool = False) -> DataFrame:
-    """Rows with ``name``: the number of places (doc_id, pos) of their document before ``at``, or up to it."""
+def with_counts(rows: DataFrame, at: Column, places: DataFrame, name: str, inclusive: bool = False, weight: str | None = None) -> DataFrame:
+    """Rows with ``name``: the number (or summed weight) of places (doc_id, pos) of their document before ``at``, or up to it."""
     keyed = rows.withColumn("pos", at)
-    return keyed.join(counts_before(keyed, places, inclusive, name), ["doc_id", "pos"], "left").drop("pos")
+    return keyed.join(counts_before(keyed, places, inclusive, name, weight), ["doc_id", "pos"], "left").drop("pos")

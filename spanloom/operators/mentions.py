@@ -6,6 +6,9 @@ order of (start, end, id, type).
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -103,8 +106,9 @@ def sentence_of(mentions: DataFrame, tokens: DataFrame) -> DataFrame:
 
 
 def paragraph_of(mentions: DataFrame, paragraphs: DataFrame) -> DataFrame:
-    inside = (F.col("sent_idx") >= F.col("start_sentence")) & (F.col("sent_idx") < F.col("end_sentence"))
-    return mentions.join(paragraphs, "doc_id").where(inside).drop("start_sentence", "end_sentence")
+    """Mentions with the paragraph that their sentence is in, looked up by sentence."""
+    spread = paragraphs.where("start_sentence < end_sentence").withColumn("sent_idx", F.explode(F.sequence("start_sentence", F.col("end_sentence") - 1)))
+    return mentions.join(spread.drop("start_sentence", "end_sentence"), ["doc_id", "sent_idx"])
 
 
 def longest_paragraph(paragraphs: DataFrame, sentences: DataFrame) -> DataFrame:
@@ -187,11 +191,25 @@ def strip_quotes(mentions: DataFrame, tokens: DataFrame, quotes: str) -> DataFra
 
 
 def rendered(docs: DataFrame, spans: DataFrame) -> DataFrame:
-    """(doc_id, piece_idx, text, type): a text cut at spans (doc_id, start, end, type) of characters, which don't overlap; type is null between them."""
-    order = Window.partitionBy("doc_id").orderBy("start")
-    before = spans.select("doc_id", F.coalesce(F.lag("end").over(order), F.lit(0)).alias("start"), F.col("start").alias("end"), F.lit(None).cast("string").alias("type"))
-    last = docs.where("text IS NOT NULL").join(spans.groupBy("doc_id").agg(F.max("end").alias("start")), "doc_id", "left")
-    tail = last.select("doc_id", F.coalesce("start", F.lit(0)).alias("start"), F.length("text").alias("end"), F.lit(None).cast("string").alias("type"))
-    pieces = spans.select("doc_id", "start", "end", "type").unionByName(before).unionByName(tail).where("end > start")
-    cut = pieces.withColumn("piece_idx", F.row_number().over(order) - 1).join(docs.select("doc_id", F.col("text").alias("whole")), "doc_id")
-    return cut.select("doc_id", "piece_idx", F.substring("whole", F.col("start") + 1, F.col("end") - F.col("start")).alias("text"), "type")
+    """(doc_id, piece_idx, text, type): a text cut at spans (doc_id, start, end, type) of characters, which don't overlap; type is null between them.
+
+    A document's spans come to its text as one row, and the text is cut there.
+    """
+    ranges = spans.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("start", "end", "type"))).alias("spans"))
+    joined = docs.where("text IS NOT NULL").select(F.col("doc_id").cast("long"), "text").join(ranges, "doc_id", "left").select("doc_id", "text", "spans.start", "spans.end", "spans.type")
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for doc_id, text, starts, ends, types in zip(batch.column(0).to_pylist(), batch.column(1), *(batch.column(k).to_pylist() for k in (2, 3, 4)), strict=True):
+                text = text.as_py()
+                pieces, at = [], 0
+                for start, end, kind in zip(starts or [], ends or [], types or [], strict=True):
+                    pieces += [(text[at:start], None), (text[start:end], kind)]
+                    at = end
+                pieces.append((text[at:], None))
+                pieces = [x for x in pieces if x[0]]
+                if pieces:
+                    columns = [pa.array([doc_id] * len(pieces), pa.int64()), pa.array(range(len(pieces)), pa.int32()), pa.array([t for t, _ in pieces], pa.string()), pa.array([k for _, k in pieces], pa.string())]
+                    yield pa.RecordBatch.from_arrays(columns, ["doc_id", "piece_idx", "text", "type"])
+
+    return joined.mapInArrow(cut, "doc_id long, piece_idx int, text string, type string")

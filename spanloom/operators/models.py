@@ -54,21 +54,45 @@ def pool(vectors: Column, how: str = "max", index: Column | None = None) -> Colu
     return F.transform(total, lambda x: x / F.size(vectors))
 
 
-def attention(states: np.ndarray, lengths: np.ndarray, query: np.ndarray, weights: dict[str, np.ndarray]) -> np.ndarray:
-    """Pooling of (batch, time, size) states by attention: additive with ``state``, ``query`` and ``score`` weights, else multiplicative with ``score``."""
+def _let(value: Column, body) -> Column:
+    """A body that uses a value many times but computes it once."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def _dot(a: Column, b: Column) -> Column:
+    return F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
+
+
+def _matrix(rows: list[list[float]]) -> Column:
+    return F.array(*(F.array(*(F.lit(float(x)) for x in row)) for row in rows))
+
+
+def softmax(values: Column) -> Column:
+    """Shares of an array of numbers, by their exponentials."""
+    parts = lambda top: F.transform(values, lambda x: F.exp(x - top))
+    return _let(_let(F.array_max(values), parts), lambda ps: _let(F.aggregate(ps, F.lit(0.0), lambda s, x: s + x), lambda t: F.transform(ps, lambda x: x / t)))
+
+
+def attend(states: Column, query: Column, weights: dict[str, list]) -> Column:
+    """Pooling of an array of vectors, of any number, by attention to a query vector.
+
+    Each vector's energy is s·M·q with the matrix ``score``, or with ``state`` and ``query`` matrices v·tanh(W s + U q) for the
+    vector ``score``; what comes out is their sum weighted by the softmax of the energies. Null for an empty array.
+    """
+    times = lambda matrix, vector: F.transform(matrix, lambda row: _dot(row, vector))
     if "state" in weights:
-        energy = np.tanh(states @ weights["state"] + (query @ weights["query"])[:, None, :]) @ weights["score"]
+        score = F.array(*(F.lit(float(x)) for x in weights["score"]))
+        turned = times(_matrix(weights["query"]), query)
+        energy = lambda q: F.transform(states, lambda s: _dot(score, F.transform(F.zip_with(times(_matrix(weights["state"]), s), q, lambda x, y: x + y), F.tanh)))
     else:
-        energy = np.einsum("bth,hk,bk->bt", states, weights["score"], query)
-    energy = np.where(np.arange(states.shape[1]) < lengths[:, None], energy, -np.inf)
-    share = np.exp(energy - energy.max(1, keepdims=True))
-    share /= share.sum(1, keepdims=True)
-    return np.einsum("bt,bth->bh", share, states)
+        turned = times(_matrix(weights["score"]), query)
+        energy = lambda q: F.transform(states, lambda s: _dot(s, q))
 
+    def pooled(shares: Column) -> Column:
+        scaled = F.zip_with(states, shares, lambda s, w: F.transform(s, lambda x: x * w))
+        return F.aggregate(F.slice(scaled, 2, F.size(scaled)), F.get(scaled, F.lit(0)), lambda a, v: F.zip_with(a, v, lambda x, y: x + y))
 
-def _let(value: Column, body) -> Column:
-    """A body that uses a value many times but computes it once."""
-    return F.get(F.transform(F.array(value), body), F.lit(0))
+    return F.when(F.size(states) > 0, _let(_let(turned, lambda q: softmax(energy(q))), pooled))
 
 
 def masked_softmax(logits: Column, mask: Column) -> Column:

@@ -147,27 +147,69 @@ def with_mention_distance(pairs: DataFrame, mentions: DataFrame) -> DataFrame:
     return joined.withColumn("mention_distance", F.coalesce("mention_distance", F.lit(0)))
 
 
+def _reaches(mentions: DataFrame) -> DataFrame:
+    """Mentions (doc_id, m, up, down): how many mentions are over before one begins, and how many begin before it ends.
+
+    Over are those of the running maximum of ends, as ``with_entity_distance`` counts; the entity distance of two mentions is
+    the greater ``up`` less the smaller ``down``, if that is above 0.
+    """
+    order = Window.partitionBy("doc_id").orderBy("ord").rowsBetween(Window.unboundedPreceding, 0)
+    over = mentions.select("doc_id", F.max("end_token").over(order).alias("pos"))
+    made = mentions.select("doc_id", as_struct().alias("m"))
+    made = with_counts(made, F.col("m.start_token"), over, "up", inclusive=True)
+    return with_counts(made, F.col("m.end_token"), mentions.select("doc_id", F.col("start_token").alias("pos")), "down")
+
+
+def in_reach(mentions: DataFrame, chains: DataFrame, seekers: Column, targets: Column, most: int) -> DataFrame:
+    """(doc_id, chain_id, s, t, entity_distance): seeking mentions and members of chains within ``most`` by entity distance.
+
+    The limit is an overlap of two ranges of counts, so mentions meet in bins of counts, each pair in the first bin that
+    both reach, and no pair is made only to be dropped for its distance but for those of one bin.
+    """
+    reach = _reaches(mentions)
+    size = most + 4
+    bins = F.sequence(F.floor(F.col("up") / size), F.floor((F.col("down") + most) / size))
+    spread = reach.withColumns({"first_bin": F.floor(F.col("up") / size), "bin": F.explode(bins)}).select("doc_id", "m.*", F.col("m").alias("me"), "up", "down", "first_bin", "bin")
+    seek = spread.where(seekers).select("doc_id", "bin", F.col("me").alias("s"), F.struct("up", "down", "first_bin").alias("sr"))
+    aim = spread.where(targets).join(chains.select("doc_id", "ent_id", "chain_id"), ["doc_id", "ent_id"]).where("chain_id IS NOT NULL")
+    aim = aim.select("doc_id", "bin", "chain_id", F.col("me").alias("t"), F.struct("up", "down", "first_bin").alias("tr"))
+    met = seek.join(aim, ["doc_id", "bin"]).where((F.col("bin") == F.greatest("sr.first_bin", "tr.first_bin")) & (F.col("s.ord") != F.col("t.ord")))
+    distance = F.greatest(F.greatest("sr.up", "tr.up") - F.least("sr.down", "tr.down"), F.lit(0))
+    return met.select("doc_id", "chain_id", "s", "t", distance.alias("entity_distance")).where(F.col("entity_distance") <= most)
+
+
+def _in_order(s: str, t: str) -> list[Column]:
+    first = F.col(f"{s}.ord") < F.col(f"{t}.ord")
+    return [F.when(first, F.col(s)).otherwise(F.col(t)).alias("e1"), F.when(first, F.col(t)).otherwise(F.col(s)).alias("e2")]
+
+
 def nearest_in_chain(mentions: DataFrame, chains: DataFrame, seekers: Column, targets: Column, most: int, strict: bool = False) -> DataFrame:
     """For each seeking mention and each chain one member within ``most`` by entity distance, or none.
 
     That is the nearest by token distance of those that begin no later, or if there is none or it is too far (and
     not ``strict``) the nearest of all, if that isn't too far. Of equally near ones the first in order. Members are
     mentions that ``targets`` holds for; pairs are in order of place. ``distance`` is the token distance.
+
+    Both distances grow alike on one side, so the nearest within reach is the nearest there is, and members out of reach are
+    never paired. Where all within reach begin later, the last end of the chain's earlier members says whether one of
+    those is as near.
     """
-    m = mentions.join(chains.select("doc_id", "ent_id", "chain_id"), ["doc_id", "ent_id"], "left")
-    seek = m.where(seekers).select("doc_id", as_struct().alias("s"))
-    aim = m.where(targets & F.col("chain_id").isNotNull()).select("doc_id", "chain_id", as_struct().alias("t"))
-    joined = seek.join(aim, "doc_id").where(F.col("s.ord") != F.col("t.ord"))
     near = F.struct(S.token_distance(F.col("s"), F.col("t")).alias("distance"), F.col("t.ord").alias("ord"), F.col("t").alias("t"))
     left = F.col("t.start_token") <= F.col("s.start_token")
-    best = joined.groupBy("doc_id", "s", "chain_id").agg(F.min(F.when(left, near)).alias("on_left"), F.min(near).alias("anywhere"))
-    tries = F.array(*(F.struct(F.lit(i).alias("try"), F.col(c).alias("n")) for i, c in enumerate(["on_left"] if strict else ["on_left", "anywhere"])))
-    tried = best.select("doc_id", "s", "chain_id", F.inline(tries)).where("n IS NOT NULL")
-    first = F.col("s.ord") < F.col("n.t.ord")
-    pairs = tried.select("doc_id", "chain_id", "try", F.col("s.ord").alias("seeker"), F.when(first, F.col("s")).otherwise(F.col("n.t")).alias("e1"), F.when(first, F.col("n.t")).otherwise(F.col("s")).alias("e2"), F.col("n.distance").alias("distance"))
-    reached = with_entity_distance(pairs, mentions).where(F.col("entity_distance") <= most)
-    chosen = reached.groupBy("doc_id", "chain_id", "seeker").agg(F.min_by(F.struct("e1", "e2", "distance"), "try").alias("p"))
-    return chosen.select("doc_id", "chain_id", "p.*")
+    met = in_reach(mentions, chains, seekers, targets, most)
+    best = met.groupBy("doc_id", "chain_id", F.col("s.ord").alias("seeker")).agg(F.any_value("s").alias("s"), F.min(F.when(left, near)).alias("on_left"), F.min(near).alias("anywhere"))
+    chosen = best.where("on_left IS NOT NULL").select("doc_id", "chain_id", "s", F.col("on_left").alias("n"))
+    if not strict:
+        later = best.where("on_left IS NULL").select("doc_id", "chain_id", "seeker", "s", F.col("anywhere").alias("n"))
+        members = mentions.where(targets).join(chains.select("doc_id", "ent_id", "chain_id"), ["doc_id", "ent_id"])
+        members = members.select("doc_id", "chain_id", F.col("ord").alias("at"), F.lit(1).alias("member"), "end_token")
+        asked = later.select("doc_id", "chain_id", F.col("seeker").alias("at"), F.lit(0).alias("member"), F.lit(None).cast("int").alias("end_token"))
+        order = Window.partitionBy("doc_id", "chain_id").orderBy("at", "member").rowsBetween(Window.unboundedPreceding, 0)
+        ends = members.unionByName(asked).withColumn("last_end", F.max("end_token").over(order)).where("member = 0")
+        told = later.join(ends.select("doc_id", "chain_id", F.col("at").alias("seeker"), "last_end"), ["doc_id", "chain_id", "seeker"])
+        as_near = F.col("s.start_token") - F.col("last_end") + 1 <= F.col("n.distance")
+        chosen = chosen.unionByName(told.where(~F.coalesce(as_near, F.lit(False))).select(*chosen.columns))
+    return chosen.withColumn("t", F.col("n.t")).select("doc_id", "chain_id", *_in_order("s", "t"), F.col("n.distance").alias("distance"))
 
 
 def pronoun_pairs(mentions: DataFrame, chains: DataFrame, seekers: Column, targets: Column, most: int) -> DataFrame:
@@ -175,12 +217,8 @@ def pronoun_pairs(mentions: DataFrame, chains: DataFrame, seekers: Column, targe
 
     Members are mentions that ``targets`` holds for; pairs are in order of place.
     """
-    aim = mentions.where(targets).join(chains.select("doc_id", "ent_id", "chain_id"), ["doc_id", "ent_id"]).select("doc_id", "chain_id", as_struct().alias("t"))
-    seek = mentions.where(seekers).select("doc_id", as_struct().alias("s"))
-    joined = seek.join(aim, "doc_id").where((F.col("t.start_token") <= F.col("s.start_token")) & (F.col("t.ord") != F.col("s.ord")))
-    first = F.col("s.ord") < F.col("t.ord")
-    pairs = joined.select("doc_id", "chain_id", F.when(first, F.col("s")).otherwise(F.col("t")).alias("e1"), F.when(first, F.col("t")).otherwise(F.col("s")).alias("e2"))
-    return with_entity_distance(pairs, mentions).where(F.col("entity_distance") <= most)
+    met = in_reach(mentions, chains, seekers, targets, most).where("t.start_token <= s.start_token")
+    return met.select("doc_id", "chain_id", *_in_order("s", "t"), "entity_distance")
 
 
 def chain_labelled(pairs: DataFrame, chains: DataFrame, label: str = "COREF") -> DataFrame:
@@ -210,6 +248,36 @@ def label_mask(vocabulary: list[str | None], valid: Column) -> Column:
     return F.array(*(F.lit(1) if v is None else F.coalesce(F.array_contains(valid, v).cast("int"), F.lit(0)) for v in vocabulary))
 
 
+#: Bits of a hash that one histogram looks at, and so the most rows that are put in order in the end.
+CELL_BITS = 12
+
+
+def smallest(rows: DataFrame, most: int, hashed: Column, key: list[str]) -> DataFrame:
+    """The ``most`` rows of smallest (hash, key), exactly, without putting all in order.
+
+    A histogram of the hashes' first bits says in which cell the last of them lies; that cell is looked at by its next bits until
+    it holds few. Rows before the cell are a filter, and only those of the cell are put in order.
+    """
+    if most <= 0:
+        return rows.limit(0)
+    marked = rows.withColumn("_hash", hashed.bitwiseXOR(F.lit(-(1 << 63))))  # in order as an unsigned number
+    head = lambda bits: F.shiftrightunsigned("_hash", 64 - bits)
+    inside, found, left = marked, None, most
+    for bits in range(CELL_BITS, 61, CELL_BITS):
+        counts = sorted((r["cell"], r["n"]) for r in inside.groupBy(head(bits).alias("cell")).agg(F.count("*").alias("n")).collect())  # at most 4,096
+        for cell, n in counts:
+            if n >= left:
+                break
+            left -= n
+        else:
+            return rows if bits == CELL_BITS else marked.drop("_hash")
+        found, inside = cell, marked.where(head(bits) == cell)
+        if n <= 1 << CELL_BITS:
+            break
+    before, last = marked.where(head(bits) < found), inside.withColumn("_hash", inside["_hash"].bitwiseXOR(F.lit(-(1 << 63)))).orderBy("_hash", *key).limit(left)
+    return before.drop("_hash").unionByName(last.drop("_hash"))
+
+
 def down_sampled(pairs: DataFrame, key: list[str], ratio: float, seed: int = 0) -> DataFrame:
     """All labelled pairs, and of the others as many as ``ratio`` times those, those of smallest hash."""
     if not ratio >= 0:
@@ -218,5 +286,4 @@ def down_sampled(pairs: DataFrame, key: list[str], ratio: float, seed: int = 0)
         return pairs
     positive = pairs.where("label IS NOT NULL")
     most = int(positive.count() * ratio)
-    negative = pairs.where("label IS NULL").orderBy(F.xxhash64(F.lit(seed), *key), *key).limit(most)
-    return positive.unionByName(negative)
+    return positive.unionByName(smallest(pairs.where("label IS NULL"), most, F.xxhash64(F.lit(seed), *key), key))

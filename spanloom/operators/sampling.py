@@ -11,6 +11,8 @@ from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from spanloom.store import materialise
+
 
 def folds(df: DataFrame, k: int, order: list[str]) -> DataFrame:
     """Add ``fold`` (0 to k-1): contiguous blocks in order, the first ones larger by one where k doesn't divide.
@@ -27,9 +29,12 @@ def _block(place: Column, rows: Column, k: int) -> Column:
 
 
 def with_place(df: DataFrame, order: list[str]) -> DataFrame:
-    """Add ``place`` (0, 1, ...) in order and ``rows``, by a range partitioning and a prefix sum over partitions."""
+    """Add ``place`` (0, 1, ...) in order and ``rows``, by a range partitioning and a prefix sum over partitions.
+
+    The partitions are written as a table, since places within them and their sizes must come from the same ones.
+    """
     columns = df.columns
-    dealt = df.repartitionByRange(*order).withColumn("part", F.spark_partition_id()).persist()
+    dealt = materialise(df.repartitionByRange(*order).withColumn("part", F.spark_partition_id()), "dealt")
     sizes = sorted((r["part"], r["count"]) for r in dealt.groupBy("part").count().collect())  # one row a partition
     before, total = {}, 0
     for part, n in sizes:
@@ -41,6 +46,14 @@ def with_place(df: DataFrame, order: list[str]) -> DataFrame:
     return dealt.join(bases, "part").withColumns({"place": place.cast("long"), "rows": F.lit(total).cast("long")}).select(*columns, "place", "rows")
 
 
+def place_within(df: DataFrame, group: str, order: list[str]) -> DataFrame:
+    """Add ``place`` (0, 1, ...) in order within each group, however many rows a group has."""
+    placed = with_place(df, [group, *order]).drop("rows")
+    begins = placed.groupBy(F.col(group).alias("_group")).agg(F.min("place").alias("_begin"))
+    joined = placed.join(begins, F.col(group).eqNullSafe(F.col("_group")))
+    return joined.withColumn("place", F.col("place") - F.col("_begin")).drop("_group", "_begin")
+
+
 def top(df: DataFrame, score: str, order: str, k: int = 5) -> DataFrame:
     """The k rows of highest score; ties stay in order."""
     return df.orderBy(F.desc(score), order).limit(k)
@@ -89,14 +102,12 @@ def batches(samples: DataFrame, size: int, order: list[str]) -> DataFrame:
 def bucketed_batches(samples: DataFrame, size: int, length: str, bucket_length: int, order: list[str]) -> DataFrame:
     """Add ``bucket`` (by length) and ``batch`` within it, so that a batch pads little."""
     bucketed = samples.withColumn("bucket", F.floor(F.col(length) / bucket_length))
-    place = F.row_number().over(Window.partitionBy("bucket").orderBy(*order)) - 1
-    return bucketed.withColumn("batch", F.floor(place / size))
+    return place_within(bucketed, "bucket", order).withColumn("batch", F.floor(F.col("place") / size)).drop("place")
 
 
 def segment_batches(samples: DataFrame, size: int, segment: str, order: list[str]) -> DataFrame:
     """Add ``batch`` within each segment."""
-    place = F.row_number().over(Window.partitionBy(segment).orderBy(*order)) - 1
-    return samples.withColumn("batch", F.floor(place / size))
+    return place_within(samples, segment, order).withColumn("batch", F.floor(F.col("place") / size)).drop("place")
 
 
 def pad(values: Column, length: Column, value: Column) -> Column:
@@ -156,12 +167,22 @@ def kept_on_disk(df: DataFrame) -> Iterator[DataFrame]:
         held.unpersist()
 
 
-def stopped(improved: DataFrame, history: int) -> DataFrame:
-    """For epochs (epoch, improved) whether training has stopped: ``history`` epochs in a row without improvement.
+def stopped(improved: DataFrame, history: int, order: list[str] = ("epoch",)) -> DataFrame:
+    """For epochs (epoch or other columns of order, improved) whether training has stopped: ``history`` epochs in a row without improvement.
 
-    Epochs are few, so their order needs one task.
+    Each epoch's run without improvement is as long as it lies behind the last place that improved; both come from places
+    in the whole order and from windows over its parts, so the number of epochs isn't bounded by a task.
     """
-    order = Window.orderBy("epoch")
-    runs = improved.withColumn("run", F.sum(F.col("improved").cast("int")).over(order))
-    bad = F.sum((~F.col("improved")).cast("int")).over(Window.partitionBy("run").orderBy("epoch"))
-    return runs.withColumn("bad", bad).withColumn("stopped", F.max((F.col("bad") >= history).cast("int")).over(order) == 1).drop("run", "bad")
+    placed = with_place(improved, list(order)).drop("rows").withColumn("_part", F.floor(F.col("place") / EPOCHS))
+    seen = F.max(F.when(F.col("improved"), F.col("place")))
+    parts = placed.groupBy("_part").agg(seen.alias("_last")).withColumn("_last", F.max("_last").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)))  # a row for many epochs
+    inside = Window.partitionBy("_part").orderBy("place").rowsBetween(Window.unboundedPreceding, 0)
+    last = F.coalesce(seen.over(inside), F.col("_last"), F.lit(-1))
+    runs = placed.join(parts, "_part").withColumn("_bad", F.col("place") - last >= history)
+    first = runs.where("_bad").agg(F.min("place").alias("_first"))
+    out = runs.crossJoin(F.broadcast(first))  # one row
+    return out.withColumn("stopped", F.coalesce(F.col("place") >= F.col("_first"), F.lit(False))).drop("place", "_part", "_last", "_bad", "_first")
+
+
+#: Epochs whose places are looked at by one task.
+EPOCHS = 1 << 20

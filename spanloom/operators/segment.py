@@ -7,10 +7,9 @@ Documents are (doc_id, text). Tokens are (doc_id, tok_idx, sent_idx, token, char
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
@@ -181,31 +180,38 @@ CITED = [
 ]
 
 
+#: What all of them match: brackets without brackets inside, closed. Found first, in time linear in the text.
+BRACKETS = re.compile(r"\([^()]*+\)")
+CITED_WHOLE = [re.compile(pattern, flags) for pattern, flags in CITED]
+
+
 def cited_ranges(text: str) -> list[tuple[int, int]]:
-    """Character ranges of all citations, overlapping ones merged, in order."""
-    found = sorted((m.start(), -m.end()) for pattern, flags in CITED for m in re.finditer(pattern, text, flags))
-    merged: list[tuple[int, int]] = []
-    for start, end in ((s, -e) for s, e in found):
-        if merged and start < merged[-1][1]:
-            merged[-1] = merged[-1][0], max(end, merged[-1][1])
-        else:
-            merged.append((start, end))
-    return merged
+    """Character ranges of all citations, in order."""
+    return [m.span() for m in BRACKETS.finditer(text) if any(p.fullmatch(m[0]) for p in CITED_WHOLE)]
 
 
 def eliminate_citations(docs: DataFrame) -> DataFrame:
     """(doc_id, text, cuts): the text without citations, and their ranges in the old text."""
+    kind = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            cuts = [cited_ranges(t) for t in frame["text"]]
-            kept = []
-            for t, ranges in zip(frame["text"], cuts, strict=True):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ids, texts, cuts, size = [], [], [], 0
+            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                text = text.as_py()
+                ranges = cited_ranges(text)
                 ends = [0, *(e for _, e in ranges)]
-                kept.append("".join(t[a:b] for a, b in zip(ends, [*(s for s, _ in ranges), len(t)], strict=True)))
-            yield pd.DataFrame({"doc_id": frame["doc_id"], "text": kept, "cuts": [[{"start": s, "end": e} for s, e in c] for c in cuts]})
+                ids.append(doc_id)
+                texts.append("".join(text[a:b] for a, b in zip(ends, [*(s for s, _ in ranges), len(text)], strict=True)))
+                cuts.append([{"start": s, "end": e} for s, e in ranges])
+                size += len(text)
+                if size >= PIECE_BYTES:
+                    yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(texts, pa.string()), pa.array(cuts, kind)], ["doc_id", "text", "cuts"])
+                    ids, texts, cuts, size = [], [], [], 0
+            if ids:
+                yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(texts, pa.string()), pa.array(cuts, kind)], ["doc_id", "text", "cuts"])
 
-    return docs.where("text IS NOT NULL").select("doc_id", "text").mapInPandas(run, "doc_id long, text string, cuts array<struct<start: int, end: int>>")
+    return docs.where("text IS NOT NULL").select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, text string, cuts array<struct<start: int, end: int>>")
 
 
 def restore_offsets(start: Column, end: Column, cuts: Column) -> tuple[Column, Column]:
@@ -233,13 +239,30 @@ def fix_sentence_ends(tokens: DataFrame) -> DataFrame:
     return grouped.groupBy("doc_id", F.col("group").cast("int").alias("sent_idx")).agg(F.min("start_token").alias("start_token"), F.max("end_token").alias("end_token"))
 
 
-def post_processed(docs: DataFrame) -> dict[str, DataFrame]:
+def restored(tokens: DataFrame, cut: DataFrame) -> DataFrame:
+    """Tokens of cut texts with character ranges in the old ones; ``cut`` is what ``eliminate_citations`` gives.
+
+    As ``restore_offsets``, but all cuts that lie before a place are summed up by one window over places and cuts.
+    """
+    size = (F.col("c.end") - F.col("c.start")).alias("size")
+    each = cut.select("doc_id", F.explode("cuts").alias("c")).select("doc_id", F.col("c.start").alias("at"), size)
+    before = F.coalesce(F.sum("size").over(Window.partitionBy("doc_id").orderBy("at").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    places = each.select("doc_id", (F.col("at") - before).cast("int").alias("pos"), "size")
+    pushed = with_counts(tokens, F.col("char_start"), places, "pushed", inclusive=True, weight="size")
+    pushed = with_counts(pushed, F.col("char_end"), places, "stretched", weight="size")
+    moved = lambda c, by: (F.col(c) + F.coalesce(F.col(by), F.lit(0))).cast("int")
+    return pushed.withColumns({"char_start": moved("char_start", "pushed"), "char_end": moved("char_end", "stretched")}).drop("pushed", "stretched")
+
+
+def post_processed(docs: DataFrame, cut_up: Callable[[DataFrame], DataFrame] = tokens) -> dict[str, DataFrame]:
     """Tokens and sentences of texts without citations, whose tokens are cut at delimiters and after initials, names
-    written in full, offsets those of the old texts, and sentences joined after abbreviations."""
+    written in full, offsets those of the old texts, and sentences joined after abbreviations.
+
+    ``cut_up`` makes tokens with sentence numbers of texts: by white space and lines, or ``punkt.tokens``.
+    """
     cut = eliminate_citations(docs)
-    made = expand_names(split_names(split_joined(tokens(cut))))
-    start, end = restore_offsets(F.col("char_start"), F.col("char_end"), F.col("cuts"))
-    placed = made.join(cut.select("doc_id", "cuts"), "doc_id").select("doc_id", "tok_idx", "sent_idx", "token", start.alias("char_start"), end.alias("char_end"))
+    made = expand_names(split_names(split_joined(cut_up(cut.select("doc_id", "text")))))
+    placed = restored(made, cut).select("doc_id", "tok_idx", "sent_idx", "token", "char_start", "char_end")
     return {"tokens": placed, "sentences": fix_sentence_ends(placed)}
 
 

@@ -9,7 +9,6 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -71,85 +70,152 @@ def span_heads(spans: DataFrame, tokens: DataFrame) -> DataFrame:
     return spans.join(covered.groupBy(*keys).agg(head.alias("head")), keys, "left")
 
 
-def _climb(heads: np.ndarray, i: int) -> list[int]:
-    """A token and its ancestors, up to a root, a head outside or one seen before."""
-    path, seen = [], set()
-    while 0 <= i < len(heads) and i not in seen:
-        path.append(i)
-        seen.add(i)
-        if heads[i] == 0:
-            break
-        i += int(heads[i])
-    return path
-
-
-def tree_path(heads: np.ndarray, source: int, target: int) -> list[int] | None:
-    """The tokens from source to target along the tree, or none if they hang on different roots."""
-    up, down = _climb(heads, source), _climb(heads, target)
-    common = set(down)
-    top = next((i for i in up if i in common), None)
-    if top is None:
-        return None
-    return up[: up.index(top) + 1] + down[: down.index(top)][::-1]
+class Forest:
+    """The trees of a batch of sentences as flat arrays: parents, depths and ancestors at distances of powers of two.
 
+    A head outside its sentence ends a tree like a root does. Tokens on a cycle, or that hang on one, have no path.
+    """
 
-def below(heads: np.ndarray, path: list[int]) -> np.ndarray:
-    """Marks all tokens that are on the path or hang below it, by doubling the way up at each step."""
-    found, up = np.zeros(len(heads), bool), np.arange(len(heads)) + heads
-    found[path] = True
-    up = np.where((up >= 0) & (up < len(heads)), up, np.arange(len(heads)))
-    for _ in range(int(len(heads)).bit_length()):
-        found |= found[up]
-        up = up[up]
-    return found
+    def __init__(self, heads: np.ndarray, first: np.ndarray, size: np.ndarray):
+        here = np.arange(len(heads))
+        parent = here + heads
+        self.parent = np.where((parent < first) | (parent >= first + size), here, parent)
+        self.up, steps = [self.parent], (self.parent != here).astype(np.int64)
+        for _ in range(max(1, int(size.max(initial=1)).bit_length())):
+            steps = steps + steps[self.up[-1]]
+            self.up.append(self.up[-1][self.up[-1]])
+        self.depth, self.top = steps, self.up[-1]
+        self.cyclic = self.parent[self.top] != self.top
+
+    def lifted(self, nodes: np.ndarray, by: np.ndarray) -> np.ndarray:
+        """Each node's ancestor so far above."""
+        for k, table in enumerate(self.up):
+            nodes = np.where(by >> k & 1, table[nodes], nodes)
+        return nodes
+
+    def meeting(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """The lowest common ancestor of each two nodes, -1 if they hang on different roots or on a cycle."""
+        level = np.minimum(self.depth[a], self.depth[b])
+        x, y = self.lifted(a, self.depth[a] - level), self.lifted(b, self.depth[b] - level)
+        for table in reversed(self.up):
+            apart = table[x] != table[y]
+            x, y = np.where(apart, table[x], x), np.where(apart, table[y], y)
+        found = np.where(x == y, x, self.parent[x])
+        return np.where((self.top[a] != self.top[b]) | self.cyclic[a] | self.cyclic[b], -1, found)
+
+    def climbed(self, nodes: np.ndarray, steps: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """All nodes met on the way up, with their request's number and their step, first ones included, the last excluded."""
+        row = np.repeat(np.arange(len(nodes)), steps)
+        step = np.arange(len(row)) - np.repeat(np.cumsum(steps) - steps, steps)
+        return self.lifted(nodes[row], step), row, step
 
 
 def _on_sentences(requests: DataFrame, tokens: DataFrame, columns: list[str], made: str, work) -> DataFrame:
-    """Rows of requests (doc_id, sent_idx, ...) with lists that ``work`` reads off the sentence's heads."""
-    joined = requests.join(sentence_heads(tokens), ["doc_id", "sent_idx"]).select("doc_id", "sent_idx", *columns, "base", "heads")
+    """Rows of requests (doc_id, sent_idx, ...) with lists that ``work`` reads off the forest of all their sentences.
+
+    Requests of one sentence stand in one row, with its heads, so that no sentence is shipped for each of them. ``work``
+    gets the forest, each request's sentence's first token and size, and the requests' columns as places in the forest.
+    """
+    asked = requests.groupBy("doc_id", "sent_idx").agg(F.collect_list(F.struct(*columns)).alias("asked"))
+    joined = asked.join(sentence_heads(tokens), ["doc_id", "sent_idx"]).select("doc_id", "sent_idx", "base", "heads", "asked")
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for f in frames:
-            got = [work(np.asarray(r.heads), r.base, *(getattr(r, c) for c in columns)) for r in f.itertuples()]
-            yield f[["doc_id", "sent_idx", *columns]].assign(found=got)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, SENTENCES):
+                part = batch.slice(at, SENTENCES)
+                lists = part.column(3)
+                lens = lists.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
+                heads = lists.flatten().to_numpy(zero_copy_only=False).astype(np.int64)
+                starts = np.cumsum(lens) - lens
+                forest = Forest(heads, np.repeat(starts, lens), np.repeat(lens, lens))
+                base = part.column(2).to_numpy().astype(np.int64)
+                row = np.repeat(np.arange(len(lens)), part.column(4).value_lengths().to_numpy(zero_copy_only=False))
+                fields = part.column(4).flatten()
+                values = [fields.field(k) for k in range(len(columns))]
+                places = [v.to_numpy().astype(np.int64) - base[row] + starts[row] for v in values]
+                for some in _shares(lens[row]):
+                    found = work(forest, starts[row[some]], lens[row[some]], base[row[some]] - starts[row[some]], *(p[some] for p in places))
+                    keys = [part.column(k).take(pa.array(row[some])) for k in (0, 1)]
+                    yield pa.RecordBatch.from_arrays([*keys, *(v.slice(some.start, some.stop - some.start) for v in values), found], ["doc_id", "sent_idx", *columns, "found"])
 
     kinds = dict(requests.dtypes)
     schema = ", ".join(f"{c} {kinds[c]}" for c in ["doc_id", "sent_idx", *columns]) + f", found {made}"
-    return joined.mapInPandas(run, schema)
+    return joined.mapInArrow(run, schema)
+
+
+#: Sentences that are worked on at once, and elements of their requests' lists.
+SENTENCES, ELEMENTS = 2_000, 2_000_000
+
+
+def _shares(sizes: np.ndarray) -> Iterator[slice]:
+    """Runs of requests with about ``ELEMENTS`` tokens in their sentences."""
+    ends, at = np.cumsum(sizes), 0
+    while at < len(sizes):
+        stop = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + ELEMENTS, side="right")))
+        yield slice(at, stop)
+        at = stop
+
+
+def _path_nodes(forest: Forest, source: np.ndarray, target: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Of each request: where its ends meet; then all nodes of all paths from source to target, with their request and place."""
+    meet = forest.meeting(source, target)
+    there = meet >= 0
+    up = np.where(there, forest.depth[source] - forest.depth[meet] + 1, 0)
+    down = np.where(there, forest.depth[target] - forest.depth[meet], 0)
+    rising, row_up, step_up = forest.climbed(source, up)
+    falling, row_down, step_down = forest.climbed(target, down)
+    return meet, np.concatenate([rising, falling]), np.concatenate([row_up, row_down]), np.concatenate([step_up, (up + down)[row_down] - 1 - step_down])
+
+
+def _lists(values: np.ndarray, sizes: np.ndarray, missing: np.ndarray | None = None) -> pa.Array:
+    offsets = pa.array(np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32), mask=None if missing is None else np.append(missing, False))
+    return pa.ListArray.from_arrays(offsets, pa.array(values.astype(np.int32)))
 
 
 def shortest_paths(pairs: DataFrame, tokens: DataFrame) -> DataFrame:
-    """Pairs (doc_id, sent_idx, source, target) with ``found``: the tokens of the path, null across two roots."""
+    """Pairs (doc_id, sent_idx, source, target) with ``found``: the tokens of the path, null across two roots or on a cycle."""
 
-    def work(heads, base, source, target):
-        path = tree_path(heads, source - base, target - base)
-        return None if path is None else [int(base + i) for i in path]
+    def work(forest, first, size, shift, source, target):
+        meet, nodes, row, place = _path_nodes(forest, source, target)
+        order = np.lexsort((place, row))
+        return _lists((nodes + shift[row])[order], np.bincount(row, minlength=len(source)), meet < 0)
 
     return _on_sentences(pairs, tokens, ["source", "target"], "array<int>", work)
 
 
 def path_labels(pairs: DataFrame, tokens: DataFrame, subtree: bool = False) -> DataFrame:
-    """Pairs with a label for each token of the sentence: 1 on the path, with ``subtree`` 2 for what hangs below it."""
+    """Pairs with a label for each token of the sentence: 1 on the path, with ``subtree`` 2 for what hangs below it.
 
-    def work(heads, base, source, target):
-        path = tree_path(heads, source - base, target - base) or []
-        labels = np.zeros(len(heads), int)
-        if subtree and path:
-            labels[below(heads, path)] = 2
-        labels[path] = 1
-        return labels.tolist()
+    What hangs below a path is what hangs below its highest node.
+    """
+
+    def work(forest, first, size, shift, source, target):
+        meet, nodes, row, _ = _path_nodes(forest, source, target)
+        begin = np.cumsum(size) - size
+        request = np.repeat(np.arange(len(source)), size)
+        token = np.arange(len(request)) - begin[request] + first[request]
+        labels = np.zeros(len(request), np.int64)
+        if subtree:
+            high = meet[request]
+            above = forest.lifted(token, np.maximum(forest.depth[token] - forest.depth[high], 0))
+            labels[(above == high) & ~forest.cyclic[token]] = 2
+        labels[begin[row] + nodes - first[row]] = 1
+        return _lists(labels, size)
 
     return _on_sentences(pairs, tokens, ["source", "target"], "array<int>", work)
 
 
 def root_path(starts: DataFrame, tokens: DataFrame) -> DataFrame:
-    """(doc_id, sent_idx, source) with ``found``: for each token of the sentence its steps from the source up to the root, else -1."""
+    """(doc_id, sent_idx, source) with ``found``: for each token of the sentence its steps from the source up to the root, else -1.
+
+    On a cycle there is no way up, and the source alone has 0 steps.
+    """
 
-    def work(heads, base, source):
-        out = np.full(len(heads), -1)
-        path = _climb(heads, source - base)
-        out[path] = np.arange(len(path))
-        return out.tolist()
+    def work(forest, first, size, shift, source):
+        nodes, row, step = forest.climbed(source, np.where(forest.cyclic[source], 1, forest.depth[source] + 1))
+        out = np.full(int(size.sum()), -1)
+        out[(np.cumsum(size) - size)[row] + nodes - first[row]] = step
+        return _lists(out, size)
 
     return _on_sentences(starts, tokens, ["source"], "array<int>", work)
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 from importlib import import_module
 
-MODULES = ["token_queries", "span_queries", "rewrite_queries", "graph_queries", "model_queries", "task_queries", "feature_queries", "report_queries"]
+MODULES = ["token_queries", "span_queries", "rewrite_queries", "graph_queries", "model_queries", "task_queries", "feature_queries", "report_queries", "chain_queries", "segment_queries", "tagger_queries"]
 
 
 def _modules():

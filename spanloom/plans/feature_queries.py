@@ -11,7 +11,6 @@ from spanloom.operators import features as X
 from spanloom.operators import metrics as ME
 from spanloom.operators import pairs as P
 from spanloom.operators import rewrite as W
-from spanloom.operators import segment as G
 from spanloom.plans import base
 from spanloom.plans.base import MENTIONS, oracle
 from spanloom.plans.graph_queries import CHAINED, SCORED, TREE, _scored, _tree
@@ -161,10 +160,6 @@ def merged_documents(spark, sf):
     return made["mentions"].select("doc_id", "ent_id", "start_token", "end_token", "ord", "sent_idx")
 
 
-def post_processed_tokens(spark, sf):
-    return G.post_processed(base.documents(spark, sf))["tokens"].select("doc_id", "tok_idx", "token", "char_start", "char_end")
-
-
 def moved_spans(spark, sf):
     m = base.mentions(spark, sf).withColumn("me", F.struct("start_token", "end_token", "type"))
     moved = S.with_type(S.relocated(F.col("me"), F.col("start_token") + 5, F.col("end_token") + 5), "MOVED")
@@ -180,7 +175,7 @@ def signed_codes(spark, sf):
 
 QUERIES = {
     f.__name__: f
-    for f in (token_positions, sentence_positions, head_entity_types, marked_mentions, morph_features, label_masks_of_mentions, layer_codes, pair_context, empty_features, path_samples, path_pairs, streams, relation_codes, training_relations, relation_scores, noun_chains, noun_links, exact_matches, heuristic_scores, pronoun_ranks, coref_training_pairs, paragraph_ranges, merged_documents, post_processed_tokens, moved_spans, signed_codes)
+    for f in (token_positions, sentence_positions, head_entity_types, marked_mentions, morph_features, label_masks_of_mentions, layer_codes, pair_context, empty_features, path_samples, path_pairs, streams, relation_codes, training_relations, relation_scores, noun_chains, noun_links, exact_matches, heuristic_scores, pronoun_ranks, coref_training_pairs, paragraph_ranges, merged_documents, moved_spans, signed_codes)
 }
 
 SCORES = """CASE WHEN tp + fp = 0 THEN 0 ELSE tp::DOUBLE / (tp + fp) END AS precision, CASE WHEN tp + fn = 0 THEN 0 ELSE tp::DOUBLE / (tp + fn) END AS recall, CASE WHEN tp = 0 THEN 0 ELSE 2.0::DOUBLE * tp / (2 * tp + fp + fn) END AS f1"""

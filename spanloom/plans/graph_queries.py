@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
@@ -42,24 +44,31 @@ def span_heads(spark, sf):
     return D.span_heads(base.mentions(spark, sf), _tree(spark, sf)).select("doc_id", "ent_id", "head")
 
 
-def _steps(spark, sf):
-    return base.tokens(spark, sf).where("tok_idx % 5 = 0").join(base.sentences(spark, sf), ["doc_id", "sent_idx"]).where("tok_idx + 4 < end_token").select("doc_id", "sent_idx", F.col("tok_idx").alias("source"), (F.col("tok_idx") + 4).alias("target"))
+#: How far a path's target lies behind its source.
+APART = [1, 4]
+
+
+def _steps(spark, sf, apart):
+    """Every token with those some places behind it in its sentence."""
+    bounds = base.sentences(spark, sf).select("doc_id", "sent_idx", "end_token")
+    each = base.tokens(spark, sf).select("doc_id", "sent_idx", F.col("tok_idx").alias("source")).join(bounds, ["doc_id", "sent_idx"])
+    return each.withColumn("target", F.explode(F.array(*(F.col("source") + k for k in apart)))).where("target < end_token").select("doc_id", "sent_idx", "source", "target")
 
 
 def shortest_paths(spark, sf):
-    found = D.shortest_paths(_steps(spark, sf), _tree(spark, sf))
+    found = D.shortest_paths(_steps(spark, sf, APART), _tree(spark, sf))
     return found.select("doc_id", "source", "target", F.array_join(F.col("found").cast("array<string>"), " ").alias("path"))
 
 
 def path_labels(spark, sf):
-    found = D.path_labels(_steps(spark, sf), _tree(spark, sf), subtree=True)
+    found = D.path_labels(_steps(spark, sf, APART[1:]), _tree(spark, sf), subtree=True)
     n = lambda k: F.size(F.filter("found", lambda x: x == k)).cast("long")
     on_path = F.filter(F.transform("found", lambda x, i: F.when(x == 1, i)), lambda i: i.isNotNull())
     return found.select("doc_id", "source", "target", F.array_join(on_path.cast("array<string>"), " ").alias("on_path"), n(2).alias("below"))
 
 
 def root_paths(spark, sf):
-    found = D.root_path(_steps(spark, sf).select("doc_id", "sent_idx", "source"), _tree(spark, sf))
+    found = D.root_path(base.tokens(spark, sf).select("doc_id", "sent_idx", F.col("tok_idx").alias("source")), _tree(spark, sf))
     steps = F.array_sort(F.filter(F.transform("found", lambda x, i: F.when(x >= 0, F.struct(x.alias("step"), i.alias("at")))), lambda x: x.isNotNull()))
     return found.select("doc_id", "source", F.array_join(F.transform(steps, lambda x: x["at"].cast("string")), " ").alias("path"))
 
@@ -100,7 +109,7 @@ def _scored(spark, sf):
 
 
 def easy_first(spark, sf):
-    return C.easy_first(_scored(spark, sf)).groupBy("doc_id").agg(F.count("*").alias("mentions"), F.count_distinct("chain_id").alias("chains"))
+    return C.easy_first(_scored(spark, sf))
 
 
 def ranked(spark, sf):
@@ -129,6 +138,13 @@ def similar_mentions(spark, sf):
     return C.similar_pairs(C.words_of(m, tokens, "lemma"))
 
 
+def similar_chains(spark, sf):
+    """Chains of mentions whose words match, directly or through others."""
+    m = base.mentions(spark, sf).where("type = 'CTX'")
+    tokens = base.tokens(spark, sf).withColumn("lemma", F.lower("token"))
+    return C.similar_chains(m, C.words_of(m, tokens, "lemma"))
+
+
 def string_matches(spark, sf):
     m = base.mentions(spark, sf).where("type = 'CTX'")
     worded = C.words_of(m, base.tokens(spark, sf)).withColumn("w", F.transform("words", lambda x: x["token"]))
@@ -137,7 +153,7 @@ def string_matches(spark, sf):
     return pairs.select("doc_id", "ent_id", *(x.alias(k) for k, x in T.string_match(F.col("w"), F.col("v")).items()))
 
 
-QUERIES = {f.__name__: f for f in (tree_depth, tree_deltas, tree_breakups, span_heads, shortest_paths, path_labels, root_paths, arcs, arc_types, contrasted_arcs, chains, chain_steps, easy_first, ranked, pronoun_votes, majority_types, chain_groups, similar_mentions, string_matches)}
+QUERIES = {f.__name__: f for f in (tree_depth, tree_deltas, tree_breakups, span_heads, shortest_paths, path_labels, root_paths, arcs, arc_types, contrasted_arcs, chains, chain_steps, easy_first, ranked, pronoun_votes, majority_types, chain_groups, similar_mentions, similar_chains, string_matches)}
 
 TREE = """tr0 AS (SELECT t.*, t.tok_idx - s.start_token AS k, s.end_token FROM tok t JOIN sent s USING (doc_id, sent_idx)),
 tr AS MATERIALIZED (SELECT *, CAST(CASE WHEN k = 0 THEN 0 ELSE (k - 1) // 2 - k END AS INTEGER) AS head_dist, CAST(floor(log2(k + 1)) AS INTEGER) AS depth, 'P' || length(token) % 4 AS pos FROM tr0)"""
@@ -150,31 +166,47 @@ chn AS (SELECT *, CAST(dense_rank() OVER (PARTITION BY doc_id ORDER BY head) - 1
 SCORED = "sc AS (SELECT a.doc_id, a.ent_id AS e1, b.ent_id AS e2, ((a.ord * 7 + b.ord * 13) % 97) / 97.0::DOUBLE AS score, CASE WHEN a.type = b.type THEN 'COREF' END AS label FROM ment a JOIN ment b ON a.doc_id = b.doc_id AND a.ord BETWEEN b.ord - 3 AND b.ord - 1)"
 #: From both ends up to the root; the path turns where the ends first meet.
 STEPS = """WITH RECURSIVE up AS (
-  SELECT doc_id, tok_idx AS source, tok_idx - k AS base, k AS node, 0 AS n FROM tr WHERE tok_idx % 5 IN (0, 4)
+  SELECT doc_id, tok_idx AS source, tok_idx - k AS base, k AS node, 0 AS n FROM tr
   UNION ALL SELECT doc_id, source, base, (node - 1) // 2, n + 1 FROM up WHERE node > 0)"""
 
 
-def _paths(rest: str, more: str = "") -> str:
+def _paths(rest: str, more: str = "", apart: list[int] = APART) -> str:
     return "WITH RECURSIVE " + TOKENS.strip() + ", " + TREE + ", " + STEPS.removeprefix("WITH RECURSIVE ") + """,
-    st AS (SELECT doc_id, sent_idx, tok_idx AS source, tok_idx + 4 AS target, tok_idx - k AS base FROM tr WHERE tok_idx % 5 = 0 AND tok_idx + 4 < end_token),
+    st AS (SELECT doc_id, sent_idx, tok_idx AS source, tok_idx + d AS target, tok_idx - k AS base FROM tr, (SELECT unnest({apart}) AS d) WHERE tok_idx + d < end_token),
     mt AS (SELECT st.*, max(a.node) AS top FROM st JOIN up a ON a.doc_id = st.doc_id AND a.source = st.source JOIN up b ON b.doc_id = st.doc_id AND b.source = st.target AND b.node = a.node GROUP BY ALL),
     pt AS (SELECT mt.*, a.node, a.n AS place FROM mt JOIN up a ON a.doc_id = mt.doc_id AND a.source = mt.source AND a.node >= top
            UNION ALL SELECT mt.*, b.node, 1000 - b.n FROM mt JOIN up b ON b.doc_id = mt.doc_id AND b.source = mt.target AND b.node > top)
-    """ + more + " " + rest
+    """.replace("{apart}", str(apart)) + more + " " + rest
+
+
+#: At most one edit between two lemmas x and y, in characters: what follows a common beginning is equal but for one on either side. DuckDB's own distance counts bytes.
+ONE_EDIT = "(levenshtein(x, y) <= 4 AND len(list_filter(range(0, least(length(x), length(y)) + 1), lambda p: x[1:p] = y[1:p] AND (x[p + 2:] = y[p + 2:] OR x[p + 1:] = y[p + 2:] OR x[p + 2:] = y[p + 1:]))) > 0)"
+#: Lists of words of mentions, the later one first; the shorter one's words take the first free partners, one after another.
+SIMILAR = r"""wd AS (SELECT m.doc_id, m.ent_id, m.ord, list({'token': token, 'lemma': lower(token)} ORDER BY tok_idx) AS w FROM ment m JOIN tok t ON t.doc_id = m.doc_id AND t.tok_idx >= start_token AND t.tok_idx < end_token WHERE type = 'CTX' GROUP BY ALL),
+pw AS (SELECT a.doc_id, a.ent_id AS first, b.ent_id AS second, CASE WHEN len(b.w) > len(a.w) THEN b.w ELSE a.w END AS long, CASE WHEN len(b.w) > len(a.w) THEN a.w ELSE b.w END AS short FROM wd a JOIN wd b ON a.doc_id = b.doc_id AND a.ord > b.ord),
+gr AS (SELECT doc_id, first, second, long, short, 1 AS i, []::BIGINT[] AS taken FROM pw
+  UNION ALL SELECT doc_id, first, second, long, short, i + 1, list_append(taken, j) FROM (SELECT *, list_filter(range(1, len(long) + 1), lambda j: NOT list_contains(taken, j) AND (long[j].token = short[i].token OR {near}))[1] AS j FROM gr WHERE i <= len(short)) WHERE j IS NOT NULL),
+sm AS (SELECT doc_id, first, second FROM gr WHERE i = len(short) + 1)""".replace("{near}", re.sub(r"\b([xy])\b", lambda m: {"x": "long[j].lemma", "y": "short[i].lemma"}[m[1]], ONE_EDIT))
+
+
+def _recursive(select: str) -> str:
+    return "WITH RECURSIVE " + MENTIONS.strip() + ", " + SIMILAR + " " + select
 
 
 ORACLES = {
+    "similar_mentions": _recursive("SELECT * FROM sm"),
     "tree_depth": oracle(TREE + " SELECT doc_id, sent_idx, tok_idx, depth FROM tr"),
     "tree_deltas": oracle(TREE + " SELECT doc_id, tok_idx, coalesce(CAST(depth - lag(depth) OVER w AS VARCHAR), '$START$') AS forward, coalesce(CAST(depth - lead(depth) OVER w AS VARCHAR), '$START$') AS backward FROM tr WINDOW w AS (PARTITION BY doc_id, sent_idx ORDER BY tok_idx)"),
     "tree_breakups": oracle(TREE + " SELECT doc_id, tok_idx, head_dist > 0 AS forward, head_dist < 0 AS backward FROM tr"),
     "span_heads": oracle(TREE + " SELECT m.doc_id, m.ent_id, coalesce(min(tok_idx) FILTER (head_dist = 0), min(tok_idx) FILTER (tok_idx + head_dist < start_token OR tok_idx + head_dist >= m.end_token)) AS head FROM ment m LEFT JOIN tr ON tr.doc_id = m.doc_id AND tok_idx >= start_token AND tok_idx < m.end_token GROUP BY m.doc_id, m.ent_id", MENTIONS),
     "shortest_paths": _paths("SELECT doc_id, source, target, string_agg(base + node, ' ' ORDER BY place) AS path FROM pt GROUP BY ALL"),
-    "root_paths": _paths("SELECT st.doc_id, st.source, string_agg(up.node, ' ' ORDER BY up.n) AS path FROM st JOIN up ON up.doc_id = st.doc_id AND up.source = st.source GROUP BY ALL"),
+    "root_paths": _paths("SELECT doc_id, source, string_agg(node, ' ' ORDER BY n) AS path FROM up GROUP BY ALL"),
     "path_labels": _paths(
         "SELECT onp.doc_id, source, target, on_path, size.n - onp.n AS below FROM onp JOIN size ON size.doc_id = onp.doc_id AND size.base = onp.base AND size.node = onp.top",
         """, every AS (SELECT doc_id, tok_idx - k AS base, k AS node FROM tr UNION ALL SELECT doc_id, base, (node - 1) // 2 FROM every WHERE node > 0),
         size AS (SELECT doc_id, base, node, count(*) AS n FROM every GROUP BY ALL),
         onp AS (SELECT doc_id, source, target, base, top, string_agg(node, ' ' ORDER BY node) AS on_path, count(*) AS n FROM pt GROUP BY ALL)""",
+        APART[1:],
     ),
     "arcs": oracle(TREE + f" SELECT a.doc_id, CASE WHEN b.tok_idx + b.head_dist = a.tok_idx THEN 'right' WHEN a.tok_idx + a.head_dist = b.tok_idx THEN 'left' END AS arc, count(*) AS n FROM tr a JOIN tr b ON a.doc_id = b.doc_id AND a.sent_idx = b.sent_idx AND b.tok_idx BETWEEN a.tok_idx + 1 AND a.tok_idx + {FAR} GROUP BY ALL"),
     "arc_types": oracle(TREE + " SELECT DISTINCT s || '_d' || k % 3 AS arc_type FROM tr, (SELECT unnest(['left', 'right']) AS s) WHERE head_dist <> 0 UNION ALL SELECT NULL"),

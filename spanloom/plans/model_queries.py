@@ -179,8 +179,8 @@ def down_sampled(spark, sf):
 
 
 def early_stopping(spark, sf):
-    turns = spark.read.parquet(f"{sf}/conversations.parquet").select((F.col("conv_id") * 100 + F.col("turn")).alias("epoch"), (F.length("text") % 3 == 0).alias("improved"))
-    return O.stopped(turns, 4)
+    turns = spark.read.parquet(f"{sf}/conversations.parquet").select("conv_id", "turn", (F.length("text") % 3 == 0).alias("improved"))
+    return O.stopped(turns, 4, ["conv_id", "turn"])
 
 
 QUERIES = {f.__name__: f for f in (char_vocab, vocabulary, feature_labels, entity_types, dict_encode, dict_reverse, dict_lookup, clip_signed, bit_log, initial_vectors, padded_characters, outcomes, prf_micro, prf_macro, prf_by_category, binary_scores, binary_macro_scores, chain_b_cubed, best_run, mean_scores, fold_split, standard_batches, bucketed_batches, segment_batches, pad2d, top_documents, paged_events, neighbours_in_time, unprocessed, down_sampled, early_stopping)}
@@ -235,7 +235,7 @@ ORACLES = {
     "neighbours_in_time": "SELECT event_id, lag(event_id) OVER w AS previous, lead(event_id) OVER w AS next FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)",
     "unprocessed": "SELECT event_id, user_id FROM events WHERE event_id % 3 <> 0",
     "down_sampled": oracle("nm AS (SELECT count(*) FILTER (type = 'NUM') AS p, count(*) FILTER (type <> 'NUM') AS n FROM runs) SELECT 'NUM' AS label, p AS n FROM nm WHERE p > 0 UNION ALL SELECT NULL, least(n, 2 * p) FROM nm", MENTIONS),
-    "early_stopping": "WITH ep AS (SELECT conv_id * 100 + turn AS epoch, length(text) % 3 = 0 AS improved FROM conversations), rn AS (SELECT *, sum(CAST(improved AS INTEGER)) OVER (ORDER BY epoch) AS run FROM ep), bd AS (SELECT *, sum(CASE WHEN improved THEN 0 ELSE 1 END) OVER (PARTITION BY run ORDER BY epoch) AS bad FROM rn) SELECT epoch, improved, max(bad) OVER (ORDER BY epoch) >= 4 AS stopped FROM bd",
+    "early_stopping": "WITH ep AS (SELECT conv_id, turn, length(text) % 3 = 0 AS improved FROM conversations), rn AS (SELECT *, sum(CAST(improved AS INTEGER)) OVER (ORDER BY conv_id, turn) AS run FROM ep), bd AS (SELECT *, sum(CASE WHEN improved THEN 0 ELSE 1 END) OVER (PARTITION BY run ORDER BY conv_id, turn) AS bad FROM rn) SELECT conv_id, turn, improved, max(bad) OVER (ORDER BY conv_id, turn) >= 4 AS stopped FROM bd",
     "pad2d": """WITH ls AS (SELECT conv_id, turn, list_transform(string_split(text, ' '), lambda x: length(x)) AS l, list_transform(string_split(text, '.'), lambda s: list_transform(string_split(s, ' '), lambda x: length(x))) AS d FROM conversations),
     mx AS (SELECT *, max(len(l)) OVER w AS ml, max(len(d)) OVER w AS outer_n, max(list_max(list_transform(d, lambda x: len(x)))) OVER w AS inner_n FROM ls WINDOW w AS (PARTITION BY conv_id))
     SELECT conv_id, turn, array_to_string(list_transform(range(1, ml + 1), lambda i: coalesce(l[i], 0)), ',') AS lens, array_to_string(list_transform(range(1, outer_n + 1), lambda i: array_to_string(list_transform(range(1, inner_n + 1), lambda j: coalesce(d[i][j], -1)), ',')), ';') AS deep FROM mx""",

@@ -71,10 +71,11 @@ def from_properties(properties: dict[str, dict]) -> Step:
     return run
 
 
-def predict(docs: DataFrame, mentions: Callable[[DataFrame], DataFrame] = M.rule_mentions, relate: Callable[[DataFrame], DataFrame] | None = None, raw_entities: DataFrame | None = None) -> dict[str, DataFrame]:
+def predict(docs: DataFrame, mentions: Callable[[DataFrame], DataFrame] = M.rule_mentions, relate: Callable[[DataFrame], DataFrame] | None = None, raw_entities: DataFrame | None = None, near: int | None = None) -> dict[str, DataFrame]:
     """From (doc_id, text) to entities in characters, numbered T1, T2, ..., and relations between them.
 
-    Given raw entities are aligned with the tokens in place of found ones. ``relate`` labels candidate pairs.
+    Given raw entities are aligned with the tokens in place of found ones. ``relate`` labels candidate pairs, those of a
+    sentence, and with ``near`` those within so many tokens, which alone meet then.
     """
     tokens = G.tokens(docs)
     if raw_entities is None:
@@ -87,7 +88,7 @@ def predict(docs: DataFrame, mentions: Callable[[DataFrame], DataFrame] = M.rule
     entities = found.join(first, ["doc_id", "start_token"]).join(last, ["doc_id", "end_token"]).select("doc_id", F.col("ent_id").alias("id"), F.col("char_start").alias("start"), F.col("char_end").alias("end"), "type")
     if relate is None:
         return {"tokens": tokens, "entities": entities}
-    labelled = relate(P.candidates(found, P.different(), in_sentence=True)).where("label IS NOT NULL")
+    labelled = relate(P.candidates(found, P.different(), in_sentence=True, near=near)).where("label IS NOT NULL")
     return {"tokens": tokens, "entities": entities, "relations": labelled.select("doc_id", F.col("e1.ent_id").alias("first"), F.col("e2.ent_id").alias("second"), F.col("label").alias("type"))}
 
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from spanloom.functions.text import QUOTE_CODE_POINTS
 from spanloom.operators import segment as G
 from spanloom.plans import base
-from spanloom.plans.base import oracle
+from spanloom.plans.base import TOKENS, oracle
 
 DELIMITERS = "-/,"
 GAZETTEER = ["the", "of", "and", "die", "der", "que", "de", "la"]
@@ -52,9 +52,7 @@ def eliminate_citations(spark, sf):
 def restored_offsets(spark, sf):
     """Tokens of texts without digits in brackets, in offsets of the whole text."""
     cut = G.eliminate_citations(base.documents(spark, sf))
-    tokens = G.tokens(cut).join(cut.select("doc_id", "cuts"), "doc_id")
-    start, end = G.restore_offsets(F.col("char_start"), F.col("char_end"), F.col("cuts"))
-    return tokens.select("doc_id", "tok_idx", start.alias("char_start"), end.alias("char_end"))
+    return G.restored(G.tokens(cut), cut).select("doc_id", "tok_idx", "char_start", "char_end")
 
 
 def fix_sentence_ends(spark, sf):
@@ -100,7 +98,21 @@ pz AS (SELECT doc_id, tok_idx, sent_idx, char_start, unnest(regexp_extract_all(t
 pw AS (SELECT *, char_start + sum(length(piece)) OVER (PARTITION BY doc_id, tok_idx ORDER BY part) AS piece_end FROM pz),
 cut AS (SELECT doc_id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY tok_idx, part) - 1 AS INTEGER) AS tok_idx, sent_idx, piece AS token, CAST(piece_end - length(piece) AS INTEGER) AS char_start, CAST(piece_end AS INTEGER) AS char_end FROM pw)"""
 
+#: A text as its closed brackets, the runs between them, and lone brackets; and which brackets are cited.
+PARTS = r"regexp_extract_all(text, '\([^()]*\)|[^(]+|\(')"
+_RANGE = r"(\d+|\d+[-–―‐−—‒‑─]\d+)"
+IS_CITED = rf"""(starts_with(x, '(') AND length(x) > 1 AND (regexp_matches(x, '(?i)et(\s|\.|\.\s)al') OR regexp_matches(x, 'Fig\.|Figure\s|Figs\.|Table\s|Tables\s') OR regexp_full_match(x, '\({_RANGE}(,\s*{_RANGE})*\)')
+  OR regexp_full_match(x, '\([A-Z][a-z]+ and [A-Z][a-z]+, \d{{4}}\)') OR regexp_full_match(x, '\(\d+%?\)')))"""
+CUT = f"""src AS (SELECT doc_id, unnest({PARTS}) AS x, unnest(range(1, len({PARTS}) + 1)) AS k FROM documents WHERE text IS NOT NULL),
+ct AS (SELECT doc_id, k, length(x) AS size, {IS_CITED} AS cited, coalesce(sum(CASE WHEN NOT {IS_CITED} THEN length(x) END) OVER (PARTITION BY doc_id ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS pos FROM src),
+documents AS (SELECT doc_id, array_to_string(list_filter({PARTS}, lambda x: NOT {IS_CITED}), '') AS text FROM documents WHERE text IS NOT NULL)"""
+
 ORACLES = {
+    "eliminate_citations": f"SELECT doc_id, array_to_string(list_filter({PARTS}, lambda x: NOT {IS_CITED}), '') AS text, len(list_filter({PARTS}, lambda x: {IS_CITED}))::INTEGER AS n_cuts FROM documents WHERE text IS NOT NULL",
+    "restored_offsets": oracle(
+        "SELECT t.doc_id, t.tok_idx, CAST(char_start + coalesce(sum(size) FILTER (pos <= char_start), 0) AS INTEGER) AS char_start, CAST(char_end + coalesce(sum(size) FILTER (pos < char_end), 0) AS INTEGER) AS char_end FROM tok t LEFT JOIN (SELECT * FROM ct WHERE cited) c ON c.doc_id = t.doc_id GROUP BY t.doc_id, t.tok_idx, char_start, char_end",
+        CUT + ", " + TOKENS.strip(),
+    ),
     "tok_ws_segment": oracle("SELECT * FROM tok"),
     "sentences": oracle("SELECT * FROM sent"),
     "paragraphs": oracle("SELECT doc_id, 0 AS par_idx, 0 AS start_sentence, CAST(count(*) AS INTEGER) AS end_sentence FROM sent GROUP BY doc_id"),

@@ -218,17 +218,20 @@ def retyped_by_head(mentions: DataFrame, tokens: DataFrame) -> DataFrame:
 
 
 def vectors(spark: SparkSession, path: str, header: bool) -> DataFrame:
-    """(token, vector) from word2vec text (with a header line, whose count bounds the rows) or GloVe text. Of equal words the first.
+    """(token, vector) from word2vec text (each file with a header line, whose count bounds its rows) or GloVe text. Of equal words the first.
 
     Files are read line by line, in splits; lines are in order of file and place in it.
     """
-    rows = spark.read.text(path).select(F.struct(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("n")).alias("spot"), "value")
+    spot = F.struct(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("n"))
+    rows = spark.read.text(path).select(spot.alias("spot"), "value")
     if header:
-        first = rows.orderBy("spot").first()
-        most = int(first["value"].split(" ")[0])
-        rows = rows.where(F.col("spot") != F.struct(F.lit(first["spot"]["file"]).alias("file"), F.lit(first["spot"]["block"]).cast("long").alias("block"), F.lit(first["spot"]["n"]).cast("long").alias("n")))
-        if rows.count() > most:
-            rows = with_place(rows, ["spot"]).where(F.col("place") < most).drop("place", "rows")
+        heads = rows.where("spot.block = 0").groupBy(F.col("spot.file").alias("file")).agg(F.min("spot").alias("head"), F.min_by("value", "spot").alias("line"))
+        heads = heads.select("file", "head", F.get(F.split("line", " "), F.lit(0)).cast("long").alias("most"))
+        rows = rows.withColumn("file", F.col("spot.file")).join(F.broadcast(heads), "file").where(F.col("spot") != F.col("head"))  # a row a file, which the driver lists anyway
+        if not rows.groupBy("file", "most").count().where(F.col("count") > F.col("most")).isEmpty():
+            placed = with_place(rows.select("file", "most", "spot", "value"), ["spot"])
+            begins = placed.groupBy("file").agg(F.min("place").alias("begin"))
+            rows = placed.join(F.broadcast(begins), "file").where(F.col("place") - F.col("begin") < F.col("most"))
     w = F.split(F.trim("value"), " ")
     made = rows.select(F.get(w, F.lit(0)).alias("token"), F.transform(F.slice(w, 2, 1_000_000), lambda x: x.cast("double")).alias("vector"), "spot")
     return made.groupBy("token").agg(F.min_by("vector", "spot").alias("vector"))

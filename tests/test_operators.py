@@ -230,9 +230,10 @@ def test_incremental(spark, tmp_path):
 def test_models(spark):
     emissions, transitions = np.array([[1.0, 0.0], [0.0, 0.4], [1.0, 0.0]]), np.array([[0.5, -1.0], [-1.0, 0.5]])
     assert ML.viterbi(emissions, transitions) == [0, 0, 0]
-    states = np.arange(12.0).reshape(1, 3, 4)
-    pooled = ML.attention(states, np.array([2]), np.ones((1, 4)), {"score": np.zeros((4, 4))})
-    assert np.allclose(pooled[0], states[0, :2].mean(0))
+    states = np.arange(8.0).reshape(2, 4)
+    frame = spark.createDataFrame([(states.tolist(), [1.0] * 4)], "states array<array<double>>, query array<double>")
+    pooled = frame.select(ML.attend(F.col("states"), F.col("query"), {"score": [[0.0] * 4] * 4}).alias("p")).first().p
+    assert np.allclose(pooled, states.mean(0))
     assert ML.schedule({"a": 2, "b": 1}) == ["a", "b", "a"] and ML.learning_rate(1.0, 0.5, 3) == 0.5
     train = spark.createDataFrame([("x", 0.1, "p"), ("y", 0.2, "q")] * 10, "w string, v double, label string")
     assert ML.predict(ML.trainer(["w", "v"], "label").fit(train), train).where("label <> prediction_label").count() == 0
