@@ -46,26 +46,33 @@ def pairs_in_groups(group: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]
 
 
 def whole_groups(batches: Iterator[pa.RecordBatch], keys: list[str], sized: str | None = None) -> Iterator[tuple[pa.Table, np.ndarray]]:
-    """Tables of whole groups, sorted rows of equal keys, with a number for each row's group."""
+    """Tables of whole groups, sorted rows of equal keys, with a number for each row's group.
+
+    A batch's last group waits for the batches to come, which are put together once, when another group begins.
+    """
     waiting: list[pa.RecordBatch] = []
     for batch in batches:
-        if batch.num_rows:
-            waiting.append(batch)
-            table = pa.Table.from_batches(waiting).combine_chunks()
-            number = _numbers(table, keys)
-            cut = int(np.searchsorted(number, number[-1]))
-            if cut:
-                yield from _bounded(table.slice(0, cut), number[:cut], sized)
-            waiting = table.slice(cut).combine_chunks().to_batches()
+        if not batch.num_rows:
+            continue
+        number = _numbers(batch, keys)
+        cut = int(np.searchsorted(number, number[-1]))
+        goes_on = bool(waiting) and all(batch[k][0] == waiting[-1][k][-1] for k in keys)
+        if waiting and (cut or not goes_on):
+            table = pa.Table.from_batches([*waiting, batch.slice(0, cut)]).combine_chunks()
+            yield from _bounded(table, _numbers(table, keys), sized)
+            waiting = []
+        elif cut:
+            yield from _bounded(pa.Table.from_batches([batch.slice(0, cut)]), number[:cut], sized)
+        waiting.append(batch.slice(cut))
     if waiting:
         table = pa.Table.from_batches(waiting).combine_chunks()
         yield from _bounded(table, _numbers(table, keys), sized)
 
 
-def _numbers(table: pa.Table, keys: list[str]) -> np.ndarray:
+def _numbers(table: pa.Table | pa.RecordBatch, keys: list[str]) -> np.ndarray:
     new = np.zeros(table.num_rows, bool)
     for k in keys:
-        column = table[k].to_numpy()
+        column = table[k].to_numpy() if isinstance(table, pa.Table) else table[k].to_numpy(zero_copy_only=False)
         new[1:] |= column[1:] != column[:-1]
     return np.cumsum(new)
 

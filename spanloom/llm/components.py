@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from spanloom.llm.skew import look_up
 from spanloom.llm.store import last_table, materialise, remove
 
 
@@ -12,8 +13,8 @@ def components(edges: DataFrame) -> DataFrame:
     """(node, component) for every node of the edges (a, b), the component being its smallest node.
 
     Each round hangs greater neighbours on the smallest one by aggregates and joins, so that no node's
-    neighbours meet in one row; rounds grow with the logarithm of the longest chain. Each round's edges are
-    written to the shared folder. Loops and edges with a null are left out.
+    neighbours meet in one row, nor a star's in one task; rounds grow with the logarithm of the longest chain. Each
+    round's edges are written to the shared folder. Loops and edges with a null are left out.
     """
     now = edges.where(F.col("a") != F.col("b")).select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct()
     now, before = materialise(now, "edges"), None
@@ -24,10 +25,15 @@ def components(edges: DataFrame) -> DataFrame:
             return now.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(now.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())
         before = state
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(least, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"), F.count("*").alias("n"))
+        least = materialise(least, "least")
+        gone = [here, last_table()]
+        large = look_up(both, least.select("u", "m"), ["u"], least.select("u", "n")).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        large = materialise(large, "large")
+        gone.append(last_table())
+        least = large.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n"))
+        small = look_up(large, least.select("u", "m"), ["u"], least.select("u", "n")).where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
         now = materialise(small.unionByName(least.select("u", F.col("m").alias("v"))).distinct(), "edges")
-        remove(now.sparkSession, here)
         here = last_table()
+        for path in gone:
+            remove(now.sparkSession, path)

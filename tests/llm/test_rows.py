@@ -195,6 +195,41 @@ def test_quality(spark, messy, corpus, nothing, clashing):
     assert quality.training_rows(nothing, labels, "quality", "doc_id", "text", 10)[0] == []
 
 
+def test_quality_parts_equal_plain_versions(monkeypatch):
+    """Ratios by counting, the hinge loss's optimum by projected gradient steps on the dual, the curve by its own derivative."""
+    rng = np.random.default_rng(12)
+    rows = [np.unique(rng.integers(0, 30, rng.integers(1, 9))) for _ in range(50)]
+    good = rng.random(50) < 0.5
+    ratios = quality.log_count_ratios(rows, good)
+    share = lambda side: [1 + sum(c in r for r, g in zip(rows, good, strict=True) if g == side) for c in range(30)]
+    totals = [sum(share(side)) + quality.COLUMNS - 30 for side in (True, False)]
+    for c in range(30):
+        assert ratios[c] == pytest.approx(np.log((share(True)[c] / totals[0]) / (share(False)[c] / totals[1])))
+
+    monkeypatch.setattr(quality, "PASSES", 3000)
+    values = [rng.normal(size=len(r)) for r in rows]
+    signs, costs = np.where(good, 1.0, -1.0), rng.uniform(0.2, 2, 50)
+    weights, offset = quality.dual_coordinate_descent(rows, values, signs, costs)
+    dense = np.zeros((50, 31))
+    dense[:, 30] = 1  # the offset is a weight like the others
+    for k, (r, v) in enumerate(zip(rows, values, strict=True)):
+        dense[k, r] = v
+    loss = lambda w: w @ w / 2 + costs @ np.maximum(0, 1 - signs * (dense @ w))
+    gram = (dense @ dense.T) * np.outer(signs, signs)
+    alpha, step = np.zeros(50), 1 / np.linalg.eigvalsh(gram).max()
+    for _ in range(50_000):
+        alpha = np.clip(alpha - step * (gram @ alpha - 1), 0, costs)
+    best = loss(dense.T @ (alpha * signs))
+    assert loss(np.append(weights[:30], offset)) == pytest.approx(best, rel=2e-3) and not weights[30:].any()
+
+    margins = rng.normal(size=200) + np.where(np.arange(200) < 90, 1.0, -0.5)
+    yes = np.arange(200) < 90
+    target = np.where(yes, 91 / 92, 1 / 112)
+    cross = lambda a, b: -np.sum(target * np.log(1 / (1 + np.exp(-(a * margins + b)))) + (1 - target) * np.log(1 / (1 + np.exp(a * margins + b))))
+    a, b = quality.calibrate(margins, yes)
+    assert all(cross(a, b) <= cross(a + i, b + j) + 1e-9 for i in (-0.01, 0, 0.01) for j in (-0.01, 0, 0.01))
+
+
 def plain_distance(pattern, text):
     row = [0] * (len(text) + 1)
     for i, a in enumerate(pattern, 1):
