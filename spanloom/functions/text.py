@@ -70,9 +70,10 @@ def as_set(a: Column) -> Column:
     return F.array_sort(F.array_distinct(a))
 
 
-def string_match(a: Column, b: Column) -> dict[str, Column]:
-    """The family of matches between two mentions' words: exact and partial, as sets and in order."""
-    return {
+def string_match(a: Column, b: Column, heads: tuple[Column, Column] | None = None) -> dict[str, Column]:
+    """The family of matches between two mentions' words: exact and partial, as sets and in order; with the lemmas of their
+    heads, whether these are equal."""
+    return ({"head_match": heads[0].eqNullSafe(heads[1])} if heads else {}) | {
         "exact_match": as_set(a) == as_set(b),
         "partial_match": F.arrays_overlap(a, b),
         "ordered_exact_match": a == b,

@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from spanloom.functions import spans as S
 from spanloom.operators.asof import with_counts
 from spanloom.operators.mentions import as_struct, within
+from spanloom.store import materialise
 
 Filter = Callable[[Column, Column], Column]
 
@@ -243,6 +244,14 @@ def labels_by_type(labelled: DataFrame, restricted: list[str] = ()) -> DataFrame
     return grouped.withColumn("single", F.size("labels") == 1)
 
 
+def learnable_labels(labelled: DataFrame, restricted: list[str] = ()) -> DataFrame:
+    """``labels_by_type`` as a table; an error if every type has one label alone, as there is nothing to learn then."""
+    found = materialise(labels_by_type(labelled, restricted), "labels")
+    if not found.isEmpty() and found.where("NOT single").isEmpty():
+        raise ValueError("every type has one label alone")
+    return found
+
+
 def label_mask(vocabulary: list[str | None], valid: Column) -> Column:
     """For each label of a dictionary 1 if it is null (no relation) or valid here, else 0."""
     return F.array(*(F.lit(1) if v is None else F.coalesce(F.array_contains(valid, v).cast("int"), F.lit(0)) for v in vocabulary))

@@ -71,6 +71,32 @@ def matrix(tokens: DataFrame | None, source: Source, spark: SparkSession, seed:
     return rows.withColumn("vector", F.coalesce("vector", unknown(source, seed)))
 
 
+def grams(word: Column, shortest: int, longest: int) -> Column:
+    """All runs of so many characters of a word between its marks, and the whole of it."""
+    marked = F.concat(F.lit("<"), word, F.lit(">"))
+    of = lambda n: F.transform(F.sequence(F.lit(1), F.greatest(F.length(marked) - (n - 1), F.lit(1))), lambda i: F.substring(marked, i, F.lit(n)))
+    return F.array_append(F.flatten(F.array(*(of(n) for n in range(shortest, longest + 1)))), marked)
+
+
+def bucket(gram: Column, buckets: int) -> Column:
+    """The row of a matrix that a run of characters shares with others, by the first 24 bits of its md5."""
+    return (F.conv(F.substring(F.md5(gram), 1, 6), 16, 10).cast("long") % buckets).cast("int")
+
+
+def composed(words: DataFrame, matrix: DataFrame, buckets: int, shortest: int = 3, longest: int = 5) -> DataFrame:
+    """(token, vector) for any distinct words: the mean of the vectors (bucket, vector) of all their runs of characters.
+
+    Runs are counted by word and bucket first and meet the matrix's rows by bucket; sums are taken by word and dimension, so
+    neither a word nor the matrix need be in one place. A bucket that the matrix lacks counts as zeros.
+    """
+    runs = words.select("token").distinct().select("token", F.explode(grams(F.col("token"), shortest, longest)).alias("gram"))
+    counted = runs.groupBy("token", bucket(F.col("gram"), buckets).alias("bucket")).agg(F.count("*").alias("n"))
+    sizes = counted.groupBy("token").agg(F.sum("n").alias("size"))
+    parts = counted.join(matrix, "bucket").select("token", "n", F.posexplode("vector").alias("dim", "x"))
+    sums = parts.groupBy("token", "dim").agg(F.sum(F.col("n") * F.col("x")).alias("sum")).join(sizes, "token")
+    return sums.groupBy("token").agg(F.transform(F.array_sort(F.collect_list(F.struct("dim", (F.col("sum") / F.col("size")).alias("x")))), lambda v: v["x"]).alias("vector"))
+
+
 def unknown(source: Source, seed: int = 0) -> Column:
     """The vector of a word that a model lacks: zeros, or if it is trained random numbers of a width that fits the size."""
     if not source.trainable:

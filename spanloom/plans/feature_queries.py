@@ -8,10 +8,9 @@ from spanloom.functions import spans as S
 from spanloom.operators import coref as R
 from spanloom.operators import encode as E
 from spanloom.operators import features as X
-from spanloom.operators import metrics as ME
 from spanloom.operators import pairs as P
 from spanloom.operators import rewrite as W
-from spanloom.plans import base
+from spanloom.plans import base, pipeline
 from spanloom.plans.base import MENTIONS, oracle
 from spanloom.plans.graph_queries import CHAINED, SCORED, TREE, _scored, _tree
 from spanloom.plans.graph_queries import chains as chain_table
@@ -112,9 +111,7 @@ def relation_scores(spark, sf):
     """Predicted relations are those of every other first mention, and all that are alike are called next."""
     gold = P.resolve(_relations(spark, sf), base.mentions(spark, sf), [])
     predicted = gold.where("e1.ord % 4 <> 2").withColumn("rel_type", F.when(F.col("e1.ord") % 5 == 0, "NEXT").otherwise(F.col("rel_type")))
-    outcomes = ME.outcome(predicted, gold, ["doc_id", "e1", "e2", "rel_type"])
-    names = ["args_types", "args_token_log_dists", "args_sent_dists"]
-    return ME.categorized(X.relation_categories(outcomes), {"type": "rel_type"} | {n: n for n in names})
+    return pipeline.evaluator_for("rel_ext")(predicted, gold, base.documents(spark, sf))["categories"]
 
 
 def noun_chains(spark, sf):

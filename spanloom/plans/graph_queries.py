@@ -150,7 +150,8 @@ def string_matches(spark, sf):
     worded = C.words_of(m, base.tokens(spark, sf)).withColumn("w", F.transform("words", lambda x: x["token"]))
     nxt = F.lead("w").over(Window.partitionBy("doc_id").orderBy("ord"))
     pairs = worded.withColumn("v", nxt).where("v IS NOT NULL")
-    return pairs.select("doc_id", "ent_id", *(x.alias(k) for k, x in T.string_match(F.col("w"), F.col("v")).items()))
+    heads = tuple(F.lower(F.element_at(c, -1)) for c in ("w", "v"))
+    return pairs.select("doc_id", "ent_id", *(x.alias(k) for k, x in T.string_match(F.col("w"), F.col("v"), heads).items()))
 
 
 QUERIES = {f.__name__: f for f in (tree_depth, tree_deltas, tree_breakups, span_heads, shortest_paths, path_labels, root_paths, arcs, arc_types, contrasted_arcs, chains, chain_steps, easy_first, ranked, pronoun_votes, majority_types, chain_groups, similar_mentions, similar_chains, string_matches)}
@@ -193,8 +194,21 @@ def _recursive(select: str) -> str:
     return "WITH RECURSIVE " + MENTIONS.strip() + ", " + SIMILAR + " " + select
 
 
+VOTES = """m2 AS (SELECT *, CASE WHEN type = 'CTX' THEN 'pron' ELSE type END AS t2 FROM chn), bs AS (SELECT doc_id, e1 AS n, e2 AS p, score FROM sc UNION ALL SELECT doc_id, e2, e1, score FROM sc),
+pr AS (SELECT * FROM m2 WHERE t2 = 'pron' AND (doc_id, ent_id) IN (SELECT (doc_id, p) FROM bs)),
+cand AS (SELECT p.doc_id, p.ent_id AS mention, n.ent_id AS candidate, n.chain_id, n.ord, greatest(0, greatest(p.start_token, n.start_token) - least(p.end_token, n.end_token) + 1) AS d, s.score
+  FROM pr p JOIN m2 n ON n.doc_id = p.doc_id AND n.t2 <> 'pron' LEFT JOIN bs s ON s.doc_id = p.doc_id AND s.n = n.ent_id AND s.p = p.ent_id),
+vt AS (SELECT doc_id, mention, chain_id, row_number() OVER (PARTITION BY doc_id, mention ORDER BY coalesce(avg(score), 0) DESC, chain_id) AS r FROM cand GROUP BY doc_id, mention, chain_id)
+SELECT doc_id, candidate, mention FROM (SELECT cand.*, row_number() OVER (PARTITION BY cand.doc_id, cand.mention ORDER BY d, ord) AS k FROM cand JOIN vt ON vt.doc_id = cand.doc_id AND vt.mention = cand.mention AND vt.chain_id = cand.chain_id AND vt.r = 1) WHERE k = 1"""
+
 ORACLES = {
+    "pronoun_votes": oracle(CHAINED + ", " + SCORED + ", " + VOTES, MENTIONS),
     "similar_mentions": _recursive("SELECT * FROM sm"),
+    "similar_chains": _recursive(
+        """, ed AS (SELECT doc_id, first AS x, second AS y FROM sm UNION SELECT doc_id, second, first FROM sm),
+        rc AS (SELECT doc_id, ent_id AS x, ent_id AS y FROM ment WHERE type = 'CTX' UNION SELECT rc.doc_id, rc.x, ed.y FROM rc JOIN ed ON ed.doc_id = rc.doc_id AND ed.x = rc.y)
+        SELECT doc_id, ent_id, CAST(dense_rank() OVER (PARTITION BY doc_id ORDER BY low) - 1 AS INTEGER) AS chain_id FROM (SELECT rc.doc_id, x AS ent_id, min(ord) AS low FROM rc JOIN ment ON ment.doc_id = rc.doc_id AND ment.ent_id = rc.y GROUP BY rc.doc_id, x)"""
+    ),
     "tree_depth": oracle(TREE + " SELECT doc_id, sent_idx, tok_idx, depth FROM tr"),
     "tree_deltas": oracle(TREE + " SELECT doc_id, tok_idx, coalesce(CAST(depth - lag(depth) OVER w AS VARCHAR), '$START$') AS forward, coalesce(CAST(depth - lead(depth) OVER w AS VARCHAR), '$START$') AS backward FROM tr WINDOW w AS (PARTITION BY doc_id, sent_idx ORDER BY tok_idx)"),
     "tree_breakups": oracle(TREE + " SELECT doc_id, tok_idx, head_dist > 0 AS forward, head_dist < 0 AS backward FROM tr"),
@@ -228,7 +242,7 @@ ORACLES = {
     "string_matches": oracle(
         """wd AS (SELECT m.doc_id, m.ent_id, m.ord, list(token ORDER BY tok_idx) AS w FROM ment m JOIN tok t ON t.doc_id = m.doc_id AND t.tok_idx >= start_token AND t.tok_idx < end_token WHERE type = 'CTX' GROUP BY ALL),
         nx AS (SELECT *, lead(w) OVER (PARTITION BY doc_id ORDER BY ord) AS v FROM wd)
-        SELECT doc_id, ent_id, list_sort(list_distinct(w)) = list_sort(list_distinct(v)) AS exact_match, list_has_any(w, v) AS partial_match, w = v AS ordered_exact_match,
+        SELECT doc_id, ent_id, lower(w[-1]) = lower(v[-1]) AS head_match, list_sort(list_distinct(w)) = list_sort(list_distinct(v)) AS exact_match, list_has_any(w, v) AS partial_match, w = v AS ordered_exact_match,
         list_reduce(list_prepend(0, list_transform(v, lambda x: 0)), lambda a, x, i: CASE WHEN i - 1 <= len(v) AND a < len(w) AND w[a + 1] = v[i - 1] THEN a + 1 ELSE a END) = len(w) OR
         list_reduce(list_prepend(0, list_transform(w, lambda x: 0)), lambda a, x, i: CASE WHEN i - 1 <= len(w) AND a < len(v) AND v[a + 1] = w[i - 1] THEN a + 1 ELSE a END) = len(v) AS ordered_partial_match FROM nx WHERE v IS NOT NULL""",
         MENTIONS,

@@ -12,6 +12,7 @@ from spanloom.operators import metrics
 from spanloom.operators import pairs as P
 from spanloom.operators import rewrite as R
 from spanloom.operators import segment as G
+from spanloom.operators.features import relation_categories
 
 Step = Callable[[dict[str, DataFrame]], dict[str, DataFrame]]
 
@@ -36,12 +37,8 @@ def _rules(**_: object) -> Step:
 
 @register("entities_collapser", "types")
 def _collapse(types: list[str], layer: str = "mentions") -> Step:
-    def step(t: dict[str, DataFrame]) -> dict[str, DataFrame]:
-        mapped = R.token_map(t["tokens"], R.to_collapse(t[layer], types))
-        out = {"tokens": R.collapse_tokens(t["tokens"], mapped), "token_map": mapped}
-        return t | out | {k: R.remapped(t[k], mapped) for k in ("mentions", "ne", "sentences") if k in t}
-
-    return step
+    """Mentions of these types become one token each, and with them all features of tokens and the bounds of all layers."""
+    return lambda t: R.collapse(t, types, layer)
 
 
 @register("ne_collapser", "types")
@@ -97,9 +94,10 @@ def checked_entities(raw: DataFrame, docs: DataFrame) -> DataFrame:
     return raw.join(docs.select("doc_id", F.length("text").alias("n")), "doc_id", "left").where(~((F.col("start") >= 0) & (F.col("start") < F.col("end")) & (F.col("end") <= F.coalesce("n", F.lit(-1)))))
 
 
-def evaluate(predicted: DataFrame, gold: DataFrame, keys: list[str], docs: DataFrame, categories: dict[str, str]) -> dict[str, DataFrame]:
-    """Micro, macro and categorised scores of one task."""
+def evaluate(predicted: DataFrame, gold: DataFrame, keys: list[str], docs: DataFrame, categories: dict[str, str], prepare: Callable[[DataFrame], DataFrame] | None = None) -> dict[str, DataFrame]:
+    """Micro, macro and categorised scores of one task; ``prepare`` adds the columns of categories that items lack."""
     found = metrics.outcome(predicted, gold, keys)
+    found = prepare(found) if prepare else found
     return {"micro": metrics.micro(found), "macro": metrics.macro(found, docs), "categories": metrics.categorized(found, categories)}
 
 
@@ -107,13 +105,13 @@ def evaluate(predicted: DataFrame, gold: DataFrame, keys: list[str], docs: DataF
 EVALUATORS = {
     "ner": (["doc_id", "start_token", "end_token", "type"], {"type": "type"}),
     "net": (["doc_id", "start_token", "end_token", "type"], {"type": "type"}),
-    "rel_ext": (["doc_id", "first", "second", "rel_type"], {"type": "rel_type"}),
+    "rel_ext": (["doc_id", "e1", "e2", "rel_type"], {"type": "rel_type"} | {c: c for c in ("args_types", "args_token_log_dists", "args_sent_dists")}, relation_categories),
 }
 
 
 def evaluator_for(task: str) -> Callable[[DataFrame, DataFrame, DataFrame], dict[str, DataFrame]]:
-    keys, categories = EVALUATORS[task]
-    return lambda predicted, gold, docs: evaluate(predicted, gold, keys, docs, categories)
+    keys, categories, *prepare = EVALUATORS[task]
+    return lambda predicted, gold, docs: evaluate(predicted, gold, keys, docs, categories, *prepare)
 
 
 def difference(base: dict, other: dict) -> dict:

@@ -18,6 +18,7 @@ from spanloom.plans.model_queries import OUTCOMES, SCORES, _gold_and_predicted
 from spanloom.plans.rewrite_queries import MAPPED
 from spanloom.plans.span_queries import RELATIONS, _relations
 from spanloom.sources import writers
+from spanloom.store import materialise
 
 
 def _collapsed(spark, sf):
@@ -103,12 +104,13 @@ def token_reports(spark, sf):
 
 
 def relation_reports(spark, sf):
-    gold = P.resolve(_relations(spark, sf), base.mentions(spark, sf), [])
+    m = materialise(base.mentions(spark, sf), "mentions")
+    gold = P.resolve(_relations(spark, sf), m, [])
     rows = gold.select("doc_id", F.col("e1.sent_idx").alias("sent_idx"), F.col("e1.ent_id").alias("first"), F.col("e2.ent_id").alias("second"), "rel_type", F.col("e1.ord").alias("o"))
     keys = ["doc_id", "sent_idx", "first", "second", "rel_type"]
     outcomes = ME.outcome(rows.where("o % 4 <> 0").withColumn("rel_type", F.when(F.col("o") % 5 == 0, "NEXT").otherwise(F.col("rel_type"))), rows, keys)
-    made = writers.relation_report(outcomes)
-    return made.select("doc_id", "sent_idx", *(F.array_join(c, ";").alias(c) for c in ("false_positives", "false_negatives", "true_positives")))
+    made = writers.relation_report(outcomes, base.tokens(spark, sf), m)
+    return made.select("doc_id", "sent_idx", "tokens", *(F.array_join(c, ";").alias(c) for c in ("entities", "false_positives", "false_negatives", "true_positives")))
 
 
 def json_mentions(spark, sf):
@@ -217,8 +219,10 @@ ORACLES = {
         + """, gd AS (SELECT raw.doc_id, a.sent_idx, first, second, rel_type, a.ord AS o FROM raw JOIN ment a ON a.doc_id = raw.doc_id AND a.ent_id = first),
         pd AS (SELECT * REPLACE (CASE WHEN o % 5 = 0 THEN 'NEXT' ELSE rel_type END AS rel_type) FROM gd WHERE o % 4 <> 0),
         oc AS (SELECT *, 'TP' AS outcome FROM (SELECT * FROM gd INTERSECT SELECT * FROM pd) UNION ALL SELECT *, 'FN' FROM (SELECT * FROM gd EXCEPT SELECT * FROM pd) UNION ALL SELECT *, 'FP' FROM (SELECT * FROM pd EXCEPT SELECT * FROM gd)),
+        wt AS (SELECT doc_id, sent_idx, string_agg(token, ' ' ORDER BY tok_idx) AS tokens FROM tok GROUP BY ALL),
+        we AS (SELECT doc_id, sent_idx, string_agg(concat_ws(' ', ent_id, start_token, end_token, type), ';' ORDER BY ord) AS entities FROM ment GROUP BY ALL),
         li AS (SELECT doc_id, sent_idx, outcome, first || ' ' || second || ' ' || rel_type AS l FROM oc)
-        SELECT doc_id, sent_idx, coalesce(string_agg(l, ';' ORDER BY l) FILTER (outcome = 'FP'), '') AS false_positives, coalesce(string_agg(l, ';' ORDER BY l) FILTER (outcome = 'FN'), '') AS false_negatives, coalesce(string_agg(l, ';' ORDER BY l) FILTER (outcome = 'TP'), '') AS true_positives FROM li GROUP BY doc_id, sent_idx"""
+        SELECT doc_id, sent_idx, any_value(tokens) AS tokens, any_value(entities) AS entities, coalesce(string_agg(l, ';' ORDER BY l) FILTER (outcome = 'FP'), '') AS false_positives, coalesce(string_agg(l, ';' ORDER BY l) FILTER (outcome = 'FN'), '') AS false_negatives, coalesce(string_agg(l, ';' ORDER BY l) FILTER (outcome = 'TP'), '') AS true_positives FROM li LEFT JOIN wt USING (doc_id, sent_idx) LEFT JOIN we USING (doc_id, sent_idx) GROUP BY doc_id, sent_idx"""
     ),
     "json_mentions": _m("""SELECT '{"doc_id":' || doc_id || ',"ent_id":"' || ent_id || '","start_token":' || start_token || '}' AS json FROM ment"""),
     "result_files": """WITH r AS (SELECT event_type AS run, count(*) AS score FROM events GROUP BY 1), j AS (SELECT *, '{"run":"' || run || '","score":' || score || '}' AS js FROM r)

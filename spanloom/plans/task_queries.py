@@ -54,7 +54,14 @@ def predicted_entities(spark, sf):
 
 def pipeline_collapse(spark, sf):
     run = pipeline.from_properties({"ner": {"rules": {}}, "ne_collapser": {"types": {"types": ["CTX", "NUM"]}}})
-    return run({"tokens": base.tokens(spark, sf)})["tokens"]
+    made = run({"tokens": base.tokens(spark, sf).withColumn("size", F.length("token"))})["tokens"]
+    return made.select("doc_id", "tok_idx", "sent_idx", "token", "size")
+
+
+def predicted_relations(spark, sf):
+    """Relations that a rule finds between mentions of one type that lie near each other in a sentence, from raw texts."""
+    alike = lambda pairs: pairs.withColumn("label", F.when(F.col("e1.type") == F.col("e2.type"), "LIKE"))
+    return pipeline.predict(base.documents(spark, sf), relate=alike, near=5)["relations"]
 
 
 def quality_classifier(spark, sf):
@@ -66,7 +73,7 @@ def quality_classifier(spark, sf):
     return ML.predict(model, made.where(rest)).agg(F.count("*").alias("n"), F.avg((F.col("quality") == F.col("prediction_label")).cast("double")).alias("accuracy"))
 
 
-QUERIES = {f.__name__: f for f in (pooled_vectors, masked_losses, sentence_samples, coreference_lines, task_lines, segmented_text, predicted_entities, pipeline_collapse, quality_classifier)}
+QUERIES = {f.__name__: f for f in (pooled_vectors, masked_losses, sentence_samples, coreference_lines, task_lines, segmented_text, predicted_entities, predicted_relations, pipeline_collapse, quality_classifier)}
 
 ORACLES = {
     "pooled_vectors": "WITH v AS (SELECT vec_id % 50 AS g, unnest(embedding) AS x, unnest(range(len(embedding))) AS i FROM embeddings) SELECT g, i, round(max(round(x::DOUBLE, 4)), 6) AS top, round(avg(round(x::DOUBLE, 4)), 6) AS mean FROM v GROUP BY ALL",
@@ -88,5 +95,6 @@ ORACLES = {
     "task_lines": oracle("SELECT m.doc_id, m.ord AS n, (CASE type WHEN 'CAP' THEN 'org' WHEN 'NUM' THEN 'num' ELSE 'loc' END) || ' ' || a.char_start || ' ' || (b.char_end - a.char_start) AS line FROM ment m JOIN tok a ON a.doc_id = m.doc_id AND a.tok_idx = start_token JOIN tok b ON b.doc_id = m.doc_id AND b.tok_idx = end_token - 1 WHERE type <> 'CTX'", MENTIONS),
     "segmented_text": oracle("ss AS (SELECT doc_id, sent_idx, string_agg(token, ' ' ORDER BY tok_idx) AS s FROM tok GROUP BY ALL) SELECT doc_id, string_agg(s, chr(10) ORDER BY sent_idx) AS text FROM ss GROUP BY doc_id"),
     "predicted_entities": oracle("SELECT m.doc_id, m.ent_id AS id, a.char_start AS start, b.char_end AS \"end\", type FROM ment m JOIN tok a ON a.doc_id = m.doc_id AND a.tok_idx = start_token JOIN tok b ON b.doc_id = m.doc_id AND b.tok_idx = end_token - 1", MENTIONS),
-    "pipeline_collapse": oracle(MAPPED + " SELECT doc_id, new_idx AS tok_idx, CASE WHEN kind IS NULL THEN token ELSE '$' || kind || '$' END AS token FROM mp WHERE stays", MENTIONS),
+    "pipeline_collapse": oracle(MAPPED + " SELECT mp.doc_id, new_idx AS tok_idx, tok.sent_idx, CASE WHEN kind IS NULL THEN tok.token ELSE '$' || kind || '$' END AS token, CASE WHEN kind IS NULL THEN length(tok.token) ELSE 0 END::INTEGER AS size FROM mp JOIN tok ON tok.doc_id = mp.doc_id AND tok.tok_idx = mp.tok_idx WHERE stays", MENTIONS),
+    "predicted_relations": oracle("SELECT a.doc_id, a.ent_id AS first, b.ent_id AS second, 'LIKE' AS type FROM ment a JOIN ment b ON a.doc_id = b.doc_id AND a.sent_idx = b.sent_idx AND a.ord <> b.ord AND a.type = b.type AND greatest(0, greatest(a.start_token, b.start_token) - least(a.end_token, b.end_token) + 1) <= 5", MENTIONS),
 }

@@ -299,3 +299,56 @@ def test_keys_are_forgotten_in_time(spark, tmp_path):
         frame.coalesce(1).write.mode("append").parquet(source)
         incremental.process_new(spark, source, target, mark, "id long, day string, at timestamp", lambda df: df, within=("at", "7 days"))
     assert sorted((r.id, r.day) for r in incremental.written(spark, target).collect()) == [(1, "2024-01-01"), (1, "2024-03-01"), (2, "2024-01-01"), (9, "2024-03-01")]
+
+
+def test_labels_that_nothing_can_be_learned_from(spark):
+    rows = spark.createDataFrame([("A", "x"), ("A", "x"), ("B", None)], "type string, label string")
+    with pytest.raises(ValueError):
+        P.learnable_labels(rows)
+    some = P.learnable_labels(rows.unionByName(spark.createDataFrame([("A", None)], "type string, label string")))
+    assert {(r.type, tuple(r.labels), r.single) for r in some.collect()} == {("A", ("None", "x"), False), ("B", ("None",), True)}
+
+
+def test_samples_of_relations(spark):
+    """Codes go up in order of text, so distance 4 among 0 to 51 is the thirty-fifth; unknown types of pairs make no sample."""
+    from spanloom.operators import samples as SA
+    from spanloom.operators.mentions import as_struct
+
+    spans = [(1, "a", 5, 6, "Bacteria", 1, 0), (1, "b", 9, 14, "Habitat", 1, 1), (1, "c", 20, 24, "Habitat", 2, 2), (1, "d", 22, 23, "Bacteria", 2, 3), (1, "e", 24, 25, "Odd", 2, 4)]
+    m = spark.createDataFrame(spans, MENTION)
+    one = lambda ids, name: m.where(F.col("ent_id").isin(ids)).select("doc_id", F.col("ent_id").alias(f"{name}_id"), as_struct().alias(name))
+    relations = one(["a", "d"], "e1").join(one(["b", "c"], "e2"), "doc_id").where("(e1_id = 'a' AND e2_id = 'b') OR (e1_id = 'd' AND e2_id = 'c')").select("doc_id", "e1", "e2", F.lit("Lives_In").alias("rel_type"))
+    sentences = spark.createDataFrame([(1, 0, 0, 4), (1, 1, 4, 18), (1, 2, 18, 30)], "doc_id long, sent_idx int, start_token int, end_token int")
+    tokens = spark.createDataFrame([(1, i, 0 if i < 4 else 1 if i < 18 else 2, f"w{i % 3}", i % 5) for i in range(30)], "doc_id long, tok_idx int, sent_idx int, token string, code int")
+    props = {"max_candidate_distance": 20, "max_token_entities_distance": 50, "max_sent_entities_distance": 8} | {f"{x}_in_classifier_size": 20 for x in ("rel_args", "entities_types", "entities_token_distance", "entities_sent_distance")}
+    learned = SA.learn(m, relations, props)
+    made = SA.relation_samples(m, sentences, learned, props, relations, tokens, ["code"])
+    got = {(r.e1.ent_id, r.e2.ent_id): r.asDict() for r in made.collect()}
+    assert got.keys() == {("a", "b"), ("d", "c")}
+    for pair, distance in ((("a", "b"), 35), (("d", "c"), 1)):
+        r = got[pair]
+        assert (r["labels"], r["labels_mask"], r["rel_args_in_classifier"], r["entities_types_in_classifier_0"], r["entities_types_in_classifier_1"]) == (0, [1, 1], 1, 1, 2)
+        assert (r["entities_token_distance_in_classifier"], r["entities_sent_distance_in_classifier"]) == (distance, 1)
+    assert got["a", "b"]["indices"] == [[1, 2], [5, 10]] and got["a", "b"]["seq_len"] == 14 == len(got["a", "b"]["code"])
+    batch = SA.padded_batches(made.select("doc_id", F.col("e1.ent_id").alias("id1"), "code"), 2, ["doc_id", "id1"], {"code": 0}).collect()
+    assert {len(r.code) for r in batch} == {14} and {r.batch for r in batch} == {0}
+
+
+def test_models_beside_each_other_meet_words_without_a_shuffle(spark, tmp_path):
+    from spanloom.operators import word_vectors as WV
+
+    sources = []
+    for k, words in enumerate((["a", "b", "c"], ["b", "d"])):
+        name = f"test_vectors_{k}_{tmp_path.name.replace('-', '_')}"
+        WV.keep(spark.createDataFrame([(w, [float(k), float(i)]) for i, w in enumerate(words)], "token string, vector array<double>"), name, 4, str(tmp_path / f"v{k}"))
+        sources.append(WV.Source(name, 2, trainable=k == 1, flags={"lower": True}))
+    tokens = spark.createDataFrame([(1, i, w) for i, w in enumerate(["A", "b", "x", "d"])], "doc_id long, tok_idx int, token string")
+    found = WV.looked_up(tokens, sources)
+    assert {r.token: (r.vector_0, r.vector_1) for r in found.collect()} == {"A": (None, None), "b": ([0.0, 1.0], [1.0, 0.0]), "x": (None, None), "d": (None, [1.0, 1.0])}
+    plan = found._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0]
+    assert plan.count("Bucketed: true") == 2 and plan.count("Exchange hashpartitioning(token") == 1  # that of the words
+    matrices = [WV.matrix(tokens, s, spark) for s in sources]
+    codes = [{r.token: r.code for r in x.collect()} for x in matrices]
+    assert codes == [{"$PADDING$": 0, "a": 1, "b": 2, "c": 3, "$OOV$": 4}, {"$PADDING$": 0, "a": 1, "b": 2, "d": 3, "x": 4, "$OOV$": 5}]
+    assert [(r.words_0, r.words_1) for r in WV.coded(tokens, sources, matrices).orderBy("tok_idx").collect()] == [(1, 1), (2, 2), (4, 4), (4, 3)]
+    assert all(abs(x) < 1.3 for r in matrices[1].collect() for x in r.vector)
