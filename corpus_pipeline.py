@@ -23,10 +23,13 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     """Keep documents that resemble some language learned from the labelled ones; the others go.
 
     Null and empty texts and those without a letter go. Equal rows share their fate; texts of any length are read
-    whole; ties between languages don't matter here. Without any label in the table all rows go, as no language is
-    known; an empty table gives an empty one. A null doc_id or source is no reason to go. All columns stay as they are.
+    whole; ties between languages don't matter here. Without any label in the table no language is known, so nothing
+    can be told and all rows stay; an empty table gives an empty one. A null doc_id or source is no reason to go. All
+    columns stay as they are.
     """
     profiles = langid.learn_profiles(docs.where(~langid.held_out()))
+    if not profiles:
+        return docs
     names = free_name(docs.columns, "lang_pred"), free_name(docs.columns, "lang_score")
     scored = langid.identify(docs, profiles, out=names)
     return scored.where((F.col(names[0]) != langid.UNKNOWN) & (F.col(names[1]) >= LEAST_LANGUAGE_SCORE)).drop(*names)

@@ -66,7 +66,7 @@ def ranked(keys: np.ndarray, size: int = PROFILE_SIZE) -> np.ndarray:
 def learn_profiles(docs: DataFrame, text: str = "text", lang: str = "lang", size: int = PROFILE_SIZE) -> dict[str, list[int]]:
     """Each language's ``size`` most frequent n-grams over all given rows, most frequent first.
 
-    Rows whose text or language is null teach nothing. Counts are summed in each batch before they are
+    Rows whose text or language is null teach nothing; an empty table, or one without a label, gives no profile. Counts are summed in each batch before they are
     shuffled; what comes to the driver is ``size`` keys for each language.
     """
 

@@ -232,7 +232,10 @@ def write_derivatives(spark, path: str, to: str) -> None:
 
 
 def read(spark, path: str) -> DataFrame:
-    """One row for each record of a folder of WARC files: its type, identifier, what it refers to, URI, all headers, block."""
+    """One row for each record of a folder of WARC files: its type, identifier, what it refers to, URI, all headers, block.
+
+    Files come whole, each to one task; Spark refuses one beyond 2 GB, as it does a record, and those written here close at 32 MB.
+    """
     named = {"type": "WARC-Type", "record_id": "WARC-Record-ID", "refers_to": "WARC-Refers-To", "target_uri": "WARC-Target-URI", "block_digest": "WARC-Block-Digest"}
 
     def table(some: list[tuple[dict[str, str], bytes]]) -> pa.RecordBatch:

@@ -67,3 +67,9 @@ def test_every_query_runs(spark, small, name):
     assert queries.QUERIES[name](spark, small).count() > 0
 
 
+
+
+def test_language_stage_without_labels_keeps_all(spark, messy, corpus, nothing, small):
+    bare = messy.withColumn("lang", F.lit(None).cast("string"))
+    assert corpus_pipeline.identify_language(spark, bare, small).count() == len(corpus)
+    assert corpus_pipeline.identify_language(spark, nothing, small).count() == 0
