@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from spanloom.functions import spans as S
 from spanloom.operators import chains as C
+from spanloom.operators import pairs as P
 from spanloom.operators.mentions import as_struct
 
 NOUN, LABEL = "noun", "COREF"
@@ -71,6 +72,25 @@ def is_intersecting(a: Column, b: Column) -> Column:
     return S.intersects(a, b)
 
 
+def candidate_pairs(mentions: DataFrame, most: int, relations: DataFrame | None = None, keep: P.Filter | None = None) -> DataFrame:
+    """(doc_id, e1, e2, label): pairs that a model of coreference is asked about, or is trained on if relations are given.
+
+    Without relations (doc_id, first, second) each mention is paired with the ``most`` before it in order. With them pairs are
+    those of neighbours in a chain, and the later one's with what lies between; those related in either direction have the
+    label. ``keep`` leaves pairs out before they are labelled.
+    """
+    if relations is None:
+        pairs = P.preceding(mentions, most)
+    else:
+        pairs = P.training_pairs(mentions, C.chains(mentions, relations))
+    if keep is not None:
+        pairs = pairs.where(keep(F.col("e1"), F.col("e2")))
+    if relations is None:
+        return pairs.select("doc_id", "e1", "e2", F.lit(None).cast("string").alias("label"))
+    known = relations.select("doc_id", "first", "second").withColumn("rel_type", F.lit(LABEL))
+    return P.labelled(pairs, P.resolve(known, mentions, [LABEL])).select("doc_id", "e1", "e2", "label")
+
+
 #: Ways from scored pairs to chains or links, by name.
 COLLECTING: dict[str, Callable[..., DataFrame]] = {"easy_first": C.easy_first, "rank": C.rank, "pron_rank": C.pronoun_rank, "pron_vote_rank": C.pronoun_votes, "default": C.chains}
 
