@@ -63,7 +63,8 @@ def whole_groups(batches: Iterator[pa.RecordBatch], keys: list[str], sized: str
             waiting = []
         elif cut:
             yield from _bounded(pa.Table.from_batches([batch.slice(0, cut)]), number[:cut], sized)
-        waiting.append(batch.slice(cut))
+        rest = batch.slice(cut)
+        waiting.append(rest.take(pa.array(np.arange(rest.num_rows))) if cut else rest)  # a copy, so that the batch can go
     if waiting:
         table = pa.Table.from_batches(waiting).combine_chunks()
         yield from _bounded(table, _numbers(table, keys), sized)
