@@ -67,7 +67,7 @@ def answers(spark, sf):
 
 
 def plugged_in(spark, sf):
-    """An external model's answers by batch: the reversed word."""
+    """An external model's answers by batch: the word in lower case."""
     return ML.plug_in(base.tokens(spark, sf).select("doc_id", "tok_idx", "token"), lambda: lambda frame: frame.assign(token=frame["token"].str.lower()), "doc_id long, tok_idx int, token string")
 
 
