@@ -4,6 +4,7 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from spanloom.operators import asof, grouped, trees
+from spanloom.operators import punkt as PK
 from spanloom.operators import segment as G
 
 
@@ -74,3 +75,23 @@ def test_contrasted_arcs_without_pairs(spark):
         found = trees.contrasted_arcs(tokens, ["C"], most)
         assert sorted((r.sent_idx, r.head, r.child, r.label) for r in found.collect()) == sorted(x[:4] for x in want)
         assert "Join" not in plan(found)
+
+
+def test_sentence_rules_look_at_distinct_tokens(spark):
+    tokens = PK.kept(G.tokens(spark.createDataFrame([(k, "Ask Dr. No at 3 p.m. today. He said so.\nYes?") for k in range(50)], "doc_id long, text string")))
+    words = {r.token: r.n for r in PK.vocabulary(tokens).collect()}
+    assert len(words) == 11 and set(words.values()) == {50}
+    cuts = PK.first_cuts(tokens, PK.vocabulary(tokens), spark.createDataFrame([("dr",), ("p.m",)], "type string"))
+    got = {(r.type, r.context, r.previous, r.starts): r.n for r in cuts.collect()}
+    assert len(got) == 11 and got["no", "unknown", "dr", True] == 50 and got["he", "begin", "today", True] == 50 and got["ask", "begin", None, False] == 50
+    ends = spark.createDataFrame([(1, 1), (1, 1), (1, 7)], "doc_id long, tok_idx int")
+    cut = PK.sentenced(tokens.where("doc_id = 1"), ends)
+    assert [(r.sent_idx, r["last"]) for r in cut.orderBy("tok_idx").collect()] == [(0, False), (0, True), *[(1, False)] * 5, (1, True), (2, False), (2, False), (2, True)]
+    assert "Join" not in plan(cut)
+
+
+def test_names_are_expanded_from_a_table(spark):
+    tokens = G.tokens(spark.createDataFrame([(1, "Escherichia coli and Elegans coli and E. coli or E. lata E. coli"), (2, "E. coli")], "doc_id long, text string"))
+    found = G.expand_names(tokens).orderBy("doc_id", "tok_idx")
+    assert " ".join(r.token for r in found.collect()) == "Escherichia coli and Elegans coli and Elegans coli or E. lata Elegans coli E. coli"
+    assert "MapInArrow" not in plan(found)
