@@ -1,9 +1,11 @@
 """Steps whose cost must not grow faster than the input: nothing made twice, no lists of a sentence's length for each token."""
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import functions as F
 
-from spanloom.operators import asof, grouped, trees
+from spanloom.operators import asof, grouped, rewrite, trees
+from spanloom.operators import crf as CR
 from spanloom.operators import punkt as PK
 from spanloom.operators import segment as G
 
@@ -95,3 +97,25 @@ def test_names_are_expanded_from_a_table(spark):
     found = G.expand_names(tokens).orderBy("doc_id", "tok_idx")
     assert " ".join(r.token for r in found.collect()) == "Escherichia coli and Elegans coli and Elegans coli or E. lata Elegans coli E. coli"
     assert "MapInArrow" not in plan(found)
+
+
+def test_tagger_works_on_long_sentences_together(spark):
+    rows = [(1, s, k, [k % 5], k % 2) for s, n in enumerate((3, 40, 1, 40, 7)) for k in range(n)]
+    tokens = spark.createDataFrame(rows, "doc_id long, sent_idx int, tok_idx int, feats array<int>, tag int").coalesce(1)
+    assert [len(r.tags) for r in CR.samples(tokens, "tag").coalesce(1).collect()] == [1, 3, 7, 40, 40]
+    batch = CR.Batch(pa.array([[[k % 5] for k in range(n)] for n in (3, 0, 2000)], pa.list_(pa.list_(pa.int32()))), pa.array([[k % 2 for k in range(n)] for n in (3, 0, 2000)]))
+    order, n = batch.by_step()
+    assert n[:3].tolist() == [2, 2, 2] and n.sum() == 2003 and batch.nth[order].tolist() == sorted(batch.nth)
+    loss, change = CR.likelihoods(batch, CR.Model(np.zeros((5, 2)), np.zeros((2, 2))))
+    assert np.allclose(loss, np.log(2) * np.array([2000, 3, 0])) and np.isfinite(change).all() and abs(change.sum()) < 1e-6
+    strong = CR.Model(np.full((5, 2), 900.0), np.array([[-800.0, 0], [0, -800.0]]))  # beyond what exp can hold
+    assert np.allclose(CR.likelihoods(batch, strong, gradient=False)[0], [np.log(2), np.log(2), 0])
+
+
+def test_collapse_takes_tokens_once(spark):
+    tokens = G.tokens(spark.createDataFrame([(1, "a bb ccc d e f"), (2, "g")], "doc_id long, text string"))
+    spans = spark.createDataFrame([(1, "T1", 1, 3, "X", 0, 0), (1, "T2", 2, 4, "Y", 0, 1), (1, "T3", 5, 9, "X", 0, 2)], "doc_id long, ent_id string, start_token int, end_token int, type string, sent_idx int, ord int")
+    made = rewrite.collapse({"tokens": tokens, "mentions": spans}, ["X", "Y"])["tokens"]
+    got = [(r.doc_id, r.tok_idx, r.token, r.char_start, r.char_end) for r in made.orderBy("doc_id", "tok_idx").collect()]
+    assert got == [(1, 0, "a", 0, 1), (1, 1, "$Y$", 2, 10), (1, 2, "e", 11, 12), (1, 3, "$X$", 13, 14), (2, 0, "g", 0, 1)]
+    assert "Join" not in plan(made) and plan(made).count("MapInArrow") == 1
