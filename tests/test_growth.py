@@ -1,9 +1,13 @@
 """Steps whose cost must not grow faster than the input: nothing made twice, no lists of a sentence's length for each token."""
 
+import re
+
 import numpy as np
 import pyarrow as pa
+import pytest
 from pyspark.sql import functions as F
 
+from spanloom import plans
 from spanloom.operators import asof, grouped, rewrite, trees
 from spanloom.operators import crf as CR
 from spanloom.operators import punkt as PK
@@ -119,3 +123,48 @@ def test_collapse_takes_tokens_once(spark):
     got = [(r.doc_id, r.tok_idx, r.token, r.char_start, r.char_end) for r in made.orderBy("doc_id", "tok_idx").collect()]
     assert got == [(1, 0, "a", 0, 1), (1, 1, "$Y$", 2, 10), (1, 2, "e", 11, 12), (1, 3, "$X$", 13, 14), (2, 0, "g", 0, 1)]
     assert "Join" not in plan(made) and plan(made).count("MapInArrow") == 1
+
+
+#: Queries whose tasks once held what all of a small shuffle was put together to.
+BY_DOCUMENT = ["nearest_left", "pronoun_pairs", "outcomes", "evaluated_mentions", "chain_groups", "chain_steps", "chains", "noun_chains", "noun_links", "coreference_lines", "coref_training_pairs", "pronoun_votes", "pair_context", "merged_documents"]
+
+
+@pytest.mark.parametrize("name", BY_DOCUMENT)
+def test_shares_of_large_files_are_not_put_together(spark, small, monkeypatch, name):
+    query = plans.queries()[name]
+    want = sorted(map(str, query(spark, small).collect()))
+    monkeypatch.setattr(grouped, "SHARE", 1 << 15)  # so that these files are several shares, as large ones are
+    monkeypatch.setattr(grouped, "FEW", 1, raising=False)
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "12")  # and the session's number is more than these
+    try:
+        found = query(spark, small)
+        assert sorted(map(str, found.collect())) == want
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    ran = found._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+    rows = [x for x in re.findall(r"Exchange (\w+\([^\n]*), (\w+), \[plan_id", ran) if x[0].startswith("hashpartitioning")]
+    assert any(kind == "REPARTITION_BY_NUM" for _, kind in rows)
+    # What is left to be put together are the few counts of an evaluation.
+    assert ran.count("coalesced") <= (1 if name == "evaluated_mentions" else 0)
+
+
+def test_sentences_are_adjusted_in_one_pass(spark):
+    rng = np.random.default_rng(3)
+    for _ in range(3):
+        ends = np.cumsum(rng.integers(1, 5, 12))
+        cuts = list(zip([0, *ends[:-1].tolist()], ends.tolist()))
+        spans = [(int(s), int(s) + int(n)) for s, n in zip(rng.integers(0, ends[-1] + 3, 6), rng.integers(1, 8, 6))]
+        want, reach = [], 0
+        for s, e in cuts:
+            if want and reach > s:
+                want[-1] = (want[-1][0], e)
+            else:
+                want.append((s, e))
+            reach = max([reach, e, *(b for a, b in spans if s <= a < e)])
+        made = rewrite.adjust_sentences(
+            spark.createDataFrame([(1, k, s, e) for k, (s, e) in enumerate(cuts)], "doc_id long, sent_idx int, start_token int, end_token int"),
+            spark.createDataFrame([(1, s, e) for s, e in spans], "doc_id long, start_token int, end_token int"),
+        )
+        assert [(r.sent_idx, r.start_token, r.end_token) for r in made.orderBy("sent_idx").collect()] == [(k, s, e) for k, (s, e) in enumerate(want)]
+        assert "Join" not in plan(made)
