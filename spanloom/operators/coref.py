@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from spanloom.functions import spans as S
 from spanloom.operators import chains as C
 from spanloom.operators import pairs as P
+from spanloom.operators.grouped import joined
 from spanloom.operators.mentions import as_struct
 
 NOUN, LABEL = "noun", "COREF"
@@ -18,7 +19,7 @@ NOUN, LABEL = "noun", "COREF"
 def noun_chains(mentions: DataFrame, chains: DataFrame, noun: str = NOUN) -> DataFrame:
     """(doc_id, ent_id, chain_id) of the noun members of chains; chains are made first, so nouns that only a pronoun connects stay together."""
     nouns = mentions.where(F.col("type") == noun).select("doc_id", "ent_id")
-    return chains.join(nouns, ["doc_id", "ent_id"], "left_semi")
+    return joined(chains, nouns, ["doc_id", "ent_id"], "left_semi")
 
 
 def nouns_only(mentions: DataFrame, chains: DataFrame, noun: str = NOUN) -> tuple[DataFrame, DataFrame]:
