@@ -12,6 +12,7 @@ from spanloom.functions.text import log_distance
 from spanloom.operators import encode as E
 from spanloom.operators import labels as L
 from spanloom.operators import trees as D
+from spanloom.operators.grouped import gathered, joined
 from spanloom.operators.mentions import at_tokens, within
 
 def positions_to_span(mentions: DataFrame, tokens: DataFrame) -> DataFrame:
@@ -71,11 +72,11 @@ def with_context(pairs: DataFrame, mentions: DataFrame, heads: DataFrame) -> Dat
 
     Ties go by order of place.
     """
-    m = mentions.join(heads.select("doc_id", "ent_id", "head"), ["doc_id", "ent_id"])
+    m = joined(mentions, heads.select("doc_id", "ent_id", "head"), ["doc_id", "ent_id"])
     ids = ["doc_id", "e1", "e2"]
     inside = within(pairs.select(*ids).distinct(), F.col("e1.start_token"), F.col("e2.end_token"), m)
-    found = inside.groupBy(*ids).agg(F.transform(F.array_sort(F.collect_list(F.struct("m.head", "m.ord", "m.ent_id"))), lambda x: x["ent_id"]).alias("context"))
-    return pairs.join(found, ids, "left").withColumn("context", F.coalesce("context", F.array().cast("array<string>")))
+    found = gathered(inside, *ids).groupBy(*ids).agg(F.transform(F.array_sort(F.collect_list(F.struct("m.head", "m.ord", "m.ent_id"))), lambda x: x["ent_id"]).alias("context"))
+    return joined(pairs, found, ids, "left").withColumn("context", F.coalesce("context", F.array().cast("array<string>")))
 
 
 def empty_features(tokens: DataFrame, features: list[str]) -> DataFrame:
