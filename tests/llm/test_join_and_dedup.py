@@ -187,6 +187,40 @@ def test_long_lines_against_all_pairs(spark):
     assert line_dedup.banded_distance(a, b, 45) == edit_distance(a, b) > 31
 
 
+def test_long_lines_meet_by_few_rows(spark, monkeypatch):
+    # Of lines without near copies almost nothing is written; with them, each pair meets, whatever the range of lengths or the length of lists.
+    rng = random.Random(6)
+    base = ["".join(rng.choice("abcdefgh ") for _ in range(n)).strip() for n in rng.choices(range(70, 700), k=150)]
+    copies = [random_edits(rng, x, rng.randrange(1, len(x) // 20 + 1)).strip() for x in base[:40]]
+    whole = spark.createDataFrame([(i, x, len(x)) for i, x in enumerate(base)], "node long, line string, length int")
+    written = []
+    monkeypatch.setattr(line_dedup, "materialise", lambda rows, name, real=line_dedup.materialise: (written.append((name, real(rows, name))), written[-1][1])[1])
+    monkeypatch.setattr(line_dedup, "remove", lambda *_: None)
+    line_dedup.long_lines_met(whole, line_dedup.edits_by_length)
+    assert sum(rows.count() for name, rows in written if name == "stretches") < len(base)
+    near = {(i, 150 + j) for i, x in enumerate(base) for j, y in enumerate(copies) if abs(len(x) - len(y)) < 40 and edit_distance(x, y) <= min(len(x), len(y)) // 20}
+    both = spark.createDataFrame([(i, x, len(x)) for i, x in enumerate(base + copies)], "node long, line string, length int")
+    monkeypatch.setattr(line_dedup, "FILTER_SEGMENTS", 1000)
+    pairs, _ = line_dedup.long_lines_met(both, line_dedup.edits_by_length)
+    assert len(near) > 30 and near <= {(r.node, r.partner) for r in pairs.collect()}
+    monkeypatch.setattr(line_dedup, "PAIR_ROWS", 1)
+    _, members = line_dedup.long_lines_met(both, line_dedup.edits_by_length)
+    lists = {}
+    for k, part in enumerate(members):
+        for r in part.collect():
+            lists.setdefault((k, r.bucket), set()).add(r.node)
+    assert len(members) > 1 and all(any({a, b} <= found for found in lists.values()) for a, b in near)
+
+
+def test_lanes_agree_with_the_banded_distance():
+    rng = random.Random(7)
+    first = ["".join(rng.choice("abcd") for _ in range(rng.choice([60, 81, 200, 639, 640, 900]))) for _ in range(120)]
+    second = [random_edits(rng, x, rng.randrange(0, len(x) // 14)) for x in first]
+    most = [line_dedup.edits_by_length(min(len(a), len(b))) for a, b in zip(first, second)]
+    want = [line_dedup.banded_distance(a, b, n) <= n for a, b, n in zip(first, second, most)]
+    assert line_dedup.within(first, second, line_dedup.edits_by_length).tolist() == want and 20 < sum(want) < 120
+
+
 def test_op9_links_a_replaced_word_in_a_long_line(spark, tmp_path):
     line = "the committee met again on tuesday to discuss the budget for the coming year and agreed that nothing should be decided before the auditors had reported to everyone"
     spark.createDataFrame([(1, line), (2, line.replace("tuesday", "friday"))], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
