@@ -212,6 +212,33 @@ def test_long_lines_meet_by_few_rows(spark, monkeypatch):
     assert len(members) > 1 and all(any({a, b} <= found for found in lists.values()) for a, b in near)
 
 
+@pytest.mark.parametrize("list_rows", [1024, 8])
+def test_families_meet_once_in_long_lists(spark, monkeypatch, list_rows):
+    # Copies of one line share most segments: their texts aren't sent out for each list again once they are connected; what isn't still is.
+    rng = random.Random(8)
+    base = ["".join(rng.choice("abcdefgh ") for _ in range(400)).strip() for _ in range(2)]
+    base.append(base[0][:60] + "".join(rng.choice("ijkl") for _ in range(320)))  # meets the first family, near none of it
+    lines = sorted({random_edits(rng, x, rng.randrange(0, 4)).strip() for x in base for _ in range(14)})
+    written = []
+    monkeypatch.setattr(line_dedup, "materialise", lambda rows, name, real=line_dedup.materialise: (written.append((name, real(rows, name))), written[-1][1])[1])
+    monkeypatch.setattr(line_dedup, "PAIR_ROWS", 4)
+    monkeypatch.setattr(line_dedup, "LIST_ROWS", list_rows)
+    found = line_dedup.groups(spark.createDataFrame(list(enumerate(lines)), "doc_id long, text string")).collect()
+    assert len(found) == len(lines) and len({r.first_doc for r in found}) == 3
+    rows = [df for name, df in written if name == "segments"]
+    assert len(rows) == 1 and rows[0].count() < 3 * len(lines) and (list_rows < 1024 or rows[0].count() == 0)
+
+
+def test_counters_keep_all_near_pairs(spark):
+    rng = random.Random(9)
+    base = ["".join(rng.choice("abcd ") for _ in range(n)) for n in (60, 200, 500, 511, 512, 515, 530, 900)]
+    lines = [y for x in base for y in (x, random_edits(rng, x, len(x) // 22), "".join(rng.choice("efgh") for _ in x))]
+    texts = spark.createDataFrame(list(enumerate(lines)), "node long, line string").mapInArrow(line_dedup.sketched, "node long, line string, length int, sketch binary")
+    pairs = spark.createDataFrame([(i, i + k, 1) for i in range(0, len(lines), 3) for k in (1, 2)], "node long, partner long, n long")
+    got = {(r.node, r.partner) for r in line_dedup.alike(pairs, texts, line_dedup.edits_by_length).collect()}
+    assert got == {(i, i + 1) for i in range(0, len(lines), 3)}
+
+
 def test_lanes_agree_with_the_banded_distance():
     rng = random.Random(7)
     first = ["".join(rng.choice("abcd") for _ in range(rng.choice([60, 81, 200, 639, 640, 900]))) for _ in range(120)]
