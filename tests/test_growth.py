@@ -168,3 +168,14 @@ def test_sentences_are_adjusted_in_one_pass(spark):
         )
         assert [(r.sent_idx, r.start_token, r.end_token) for r in made.orderBy("sent_idx").collect()] == [(k, s, e) for k, (s, e) in enumerate(want)]
         assert "Join" not in plan(made)
+
+
+def test_relation_reports_send_no_mentions_to_all(spark, small):
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "10m")  # which the mentions of a tenth of a gigabyte of texts pack into
+    try:
+        found = plans.queries()["relation_reports"](spark, small)
+        assert found.count() > 0
+        assert "BroadcastHashJoin" not in found._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
