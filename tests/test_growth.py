@@ -179,3 +179,28 @@ def test_relation_reports_send_no_mentions_to_all(spark, small):
         assert "BroadcastHashJoin" not in found._jdf.queryExecution().executedPlan().toString()
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+
+
+def test_learned_tokens_are_cut_without_shuffling_tokens(spark):
+    texts = ["Ask Dr. No at 3 p.m. today. He's 'late'. (See Fig. 2) E. coli grew.\nYes? Escherichia coli and E.coli-like rows.", "", "One.", "  \n ", None]
+    docs = spark.createDataFrame([(k, t) for k, t in enumerate(texts * 3)], "doc_id long, text string")
+    rough = PK.kept(G.tokens(docs))
+    assert sorted(map(str, rough.select("*").collect())) == sorted(map(str, G.tokens(docs, neighbours=True).select(rough.columns).collect()))
+    rules = PK.learn(rough)
+    want = PK.words(PK.sentenced(rough, PK.sentence_ends(rough, rules)))
+    found = PK.tokens(docs, rules)
+    assert sorted(map(str, found.select(want.columns).collect())) == sorted(map(str, want.collect()))
+    assert "Window" not in plan(found) and plan(found).count("MapInArrow") == 2
+    long = G.in_order(G.tokens(docs.limit(1)).withColumn("pieces", F.split("token", "")), F.col("pieces"), following=True).orderBy("tok_idx").collect()
+    assert [r.following for r in long[:-1]] == [r.token for r in long[1:]] and long[-1].following is None
+    with pytest.raises(Exception, match="don't stand in the order"):
+        G.in_order(G.tokens(docs).where("tok_idx <> 1"), F.array("token")).count()
+
+
+def test_pairs_of_neighbours_are_few(spark):
+    words = [f"w{chr(97 + k // 26)}{chr(97 + k % 26)}" for k in range(200)]
+    docs = spark.createDataFrame([(k, " ".join(words[(k * i) % 199] for i in range(1, 199)) + " Mr. Fox") for k in range(1, 40)], "doc_id long, text string")
+    tokens = G.tokens(docs, neighbours=True)
+    cuts = PK.first_cuts(tokens, PK.vocabulary(tokens), spark.createDataFrame([("mr",)], "type string"))
+    assert cuts.count() < 2 * 210
+    assert {(r.previous, r.context, r.opens, r.starts) for r in cuts.where("type = 'fox'").collect()} == {("mr", "unknown", True, True)}
